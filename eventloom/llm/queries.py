@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import render_maximal
 from .directcodes import encode_documents
+from .jaccard import jaccard_components
+from .kdshards import kd_shards
 from .warc import archive_pages
 
 
@@ -28,9 +31,24 @@ def op4_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
+
+
+def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_maximal(table(spark, sf_dir, "conversations"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archive": op3_warc_archive,
     "op4_direct_codes": op4_direct_codes,
+    "op6_kd_shards": op6_kd_shards,
+    "op8_chat_collapse": op8_chat_collapse,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -47,4 +65,35 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> lead_id THEN lead_id END AS refers_to
         FROM q
     """,
+    "op8_chat_collapse": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        p AS (
+            SELECT conv_id, count(*) OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+                   string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '') OVER w AS sofar,
+                   string_agg(CASE WHEN role IS NULL THEN '1' ELSE '0' END || CASE WHEN text IS NULL THEN '1' ELSE '0' END, '') OVER w AS nulls
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)
+        ),
+        f AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_equal, sofar, nulls FROM p WHERE pos = n_turns GROUP BY n_turns, sofar, nulls)
+        SELECT conv_id, n_turns, n_equal, sofar AS text FROM f
+        WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n_turns AND p.pos = f.n_turns AND p.sofar = f.sofar AND p.nulls = f.nulls)
+    """,
+    "op10_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles
+            FROM w
+        ), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        l AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), r AS (
+            SELECT doc_id AS x, doc_id AS reached FROM documents
+            UNION
+            SELECT r.x, l.y FROM r JOIN l ON l.x = r.reached
+        ), c AS (SELECT x, min(reached) AS component_id FROM r GROUP BY x)
+        SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c ON c.x = s.doc_id
+    """,
 }

@@ -43,7 +43,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class WordHashes(dict):
     """Word (bytes) -> signed 63-bit hash, filled on first use and emptied when large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -55,6 +55,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
+#: a Python worker's, kept from one task to the next
+WORD_HASHES = WordHashes()
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased; none for null.
     ``bytes.split`` and ``bytes.lower`` know exactly these six separators and these letters."""

@@ -196,7 +196,7 @@ class BatchEncoder:
     library as they are.
     """
 
-    LIMIT = 500_000
+    LIMIT = 400_000  # pieces of one generation; two are kept
     ODD = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)")
 
     def __init__(self, path: str):
@@ -204,30 +204,52 @@ class BatchEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # byte-level tokens have a character for each byte
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = e.ids
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces as one text and cuts its ids where the pieces' bytes end. Every
+        piece starts with a space and ends before one, so none joins the next."""
+        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, np.uint32)
+        ends = np.cumsum([len(p.encode("utf-8")) for p in pieces])
+        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
+        start = 0
+        for piece, cut in zip(pieces, cuts.tolist(), strict=True):
+            self.known[piece] = ids[start:cut].tobytes()
+            start = cut
+
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
-        if self.ODD.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if pieces is None:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.empty(0, np.uint32)
+        if "\0" in text or self.ODD.search(text):
+            return np.frombuffer(self._plain(text), np.uint32)
+        first, *pieces = text.replace(" ", "\0 ").split("\0")
         known = self.known
+        if len(known) > self.LIMIT:
+            self.older, self.known = known, (known := {})
         if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-            if len(known) > self.LIMIT:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            self._learn(new)
-        out: list[int] = []
-        for p in pieces:
-            out += known[p]
-        return out
+            older = self.older
+            known.update((p, older[p]) for p in new if p in older)
+            if new := [p for p in new if p not in older]:
+                self._learn(new)
+        if first and first not in known:
+            known[first] = self._plain(first)
+        return np.frombuffer((known[first] if first else b"") + b"".join(map(known.__getitem__, pieces)), np.uint32)
+
+
+_ENCODERS: dict[str, BatchEncoder] = {}
+
+
+def encoder_for(path: str) -> BatchEncoder:
+    """A Python worker's encoder, which keeps its pieces from one task to the next."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, BatchEncoder(path))
 
 
 def encode_to_files(documents: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -244,9 +266,9 @@ def encode_to_files(documents: DataFrame, tokenizer_path: str, end_id: int, fold
         for ids, texts in rows_of(batches, "doc_id", "text"):
             if writer is None:
                 fs.create_dir(path, recursive=True)
-                writer, encoder = Writer(fs.open_output_stream(name)), BatchEncoder(tokenizer_path)
+                writer, encoder = Writer(fs.open_output_stream(name)), encoder_for(tokenizer_path)
             for doc_id, text in zip(ids, texts, strict=True):
-                writer.add(doc_id, np.array([*encoder.encode(text), end_id], np.uint32))
+                writer.add(doc_id, np.append(encoder.encode(text), np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.total], pa.int64())], names=["part", "file", "docs", "tokens"])
@@ -278,7 +300,7 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
                     mask = reader.doc_ids == NULL_ID
                     yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids, pa.int64(), mask=mask), pa.array(reader.starts + base, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "base").repartition("file").mapInArrow(read, schema)
+    return manifest.select("file", "base").repartition(max(1, manifest.count())).mapInArrow(read, schema)
 
 
 def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 2, **names: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lower_words, rows_of, stored, windows
+from .common import WORD_HASHES, WordHashes, lower_words, rows_of, stored, windows
 from .components import components
 
 HOT_BITS = 23  # the bitmap of frequent shingles has 2**23 bits, one MiB
@@ -79,7 +79,7 @@ def _sets(documents: DataFrame, width: int, emit, schema: str) -> DataFrame:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen = WORD_HASHES, set()
         for ids, texts in rows_of(batches, "doc_id", "text"):
             out = []
             for doc_id, text in zip(ids, texts, strict=True):

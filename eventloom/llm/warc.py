@@ -198,7 +198,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if out:
                     yield _batch(out)
 
-    return manifest.repartition("file").mapInArrow(read, READ_SCHEMA)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, READ_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -10,6 +10,7 @@ from .chat import render_maximal
 from .directcodes import encode_documents
 from .jaccard import jaccard_components
 from .kdshards import kd_shards
+from .ordinal import classify
 from .qualityrules import quality_columns
 from .warc import archive_pages
 
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "p_ge_1", "p_ge_2", "kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
@@ -50,6 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc_archive": op3_warc_archive,
     "op4_direct_codes": op4_direct_codes,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import render_maximal
+from .decontaminate import leaks
 from .directcodes import encode_documents
 from .jaccard import jaccard_components
 from .kdshards import kd_shards
@@ -50,6 +51,10 @@ def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_maximal(table(spark, sf_dir, "conversations"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_direct_codes": op4_direct_codes,
     "op6_kd_shards": op6_kd_shards,
     "op8_chat_collapse": op8_chat_collapse,
+    "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

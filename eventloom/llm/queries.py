@@ -12,6 +12,7 @@ from .directcodes import encode_documents
 from .jaccard import jaccard_components
 from .kdshards import kd_shards
 from .ordinal import classify
+from .pieces import id_digests
 from .qualityrules import quality_columns
 from .warc import archive_pages
 
@@ -47,6 +48,10 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_maximal(table(spark, sf_dir, "conversations"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archive": op3_warc_archive,
     "op4_direct_codes": op4_direct_codes,
     "op6_kd_shards": op6_kd_shards,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_chat_collapse": op8_chat_collapse,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import render_maximal
 from .decontaminate import leaks
@@ -14,6 +15,7 @@ from .kdshards import kd_shards
 from .ordinal import classify
 from .pieces import id_digests
 from .qualityrules import quality_columns
+from .stupidbackoff import score_documents
 from .warc import archive_pages
 
 
@@ -44,6 +46,11 @@ def op4_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_warc_archive": op3_warc_archive,
     "op4_direct_codes": op4_direct_codes,
+    "op5_stupid_backoff": op5_stupid_backoff,
     "op6_kd_shards": op6_kd_shards,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_chat_collapse": op8_chat_collapse,
@@ -121,4 +129,21 @@ ORACLES: dict[str, str] = {
         ), c AS (SELECT x, min(reached) AS component_id FROM r GROUP BY x)
         SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c ON c.x = s.doc_id
     """,
+    "op5_stupid_backoff": """
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+        b AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS history FROM t),
+        c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+        c2 AS (SELECT history, word, count(*) AS n FROM b WHERE history IS NOT NULL GROUP BY history, word),
+        s AS (
+            SELECT b.doc_id, CASE WHEN c2.n >= 2 THEN ln(c2.n / h.n)
+                   ELSE ln(c1.n / (SELECT count(*) FROM t)) + CASE WHEN b.history IS NULL THEN 0 ELSE ln(0.4) END END AS score
+            FROM b JOIN c1 ON c1.word = b.word LEFT JOIN c1 h ON h.word = b.history
+            LEFT JOIN c2 ON c2.history = b.history AND c2.word = b.word
+        ), r AS (SELECT doc_id, count(*) AS n_words, sum(score) AS log_score FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(r.n_words, 0) AS n_words, coalesce(round(r.log_score, 4), 0.0) AS log_score
+        FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
+    """,
 }

@@ -43,7 +43,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class WordHashes(dict):
     """Word (bytes) -> signed 63-bit hash, filled on first use and emptied when large."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -4,11 +4,12 @@ Jaccard distance is a metric, so a pivot bounds the distance of any two document
 distances to it are known. For high-dimensional sets nearly all distances are 1, and pivots
 drawn at random separate nothing. So pivots are taken where documents can be close at all:
 
-1.  Shingles are ordered (very frequent ones last, else by hash), and a document's first
+1.  Shingles are ordered (frequent ones later, else by hash), and a document's first
     ``n - ceil(t n) + 1`` are its boundary: documents linked at similarity t share one of it.
-    All documents that share a boundary shingle meet at one pivot, the least of them. The documents
-    that reach a pivot form its Voronoi region; documents at the border of several regions are in each.
-2.  Distances to the pivot are computed for the whole region. Those within the threshold link to it.
+    All documents that share a boundary shingle meet at one pivot, that of them which meets most
+    others. The documents that reach a pivot form its Voronoi region; documents at the border of several regions are in each.
+2.  Distances to the pivot decide who links to it. Counts of shingles in 64 hash ranges
+    are distances to 64 more pivots; where these alone exclude a link, the sets aren't fetched.
 3.  What is left of a region are pairs of documents in different components, and of these only
     pairs that the triangle inequality allows, |d(x, p) - d(y, p)| <= 1 - t. Large regions take
     new pivots from what is left and repeat steps 2 and 3; small ones, or what the
@@ -16,8 +17,8 @@ drawn at random separate nothing. So pivots are taken where documents can be clo
 
 No link between different texts is lost: every linked pair is in one region, and in it either
 has a pivot, or is compared, or its documents are in one component already. Equal sets are one
-node from the start. Which shingles count as frequent is kept in a bitmap of fixed size; a
-collision in it moves a shingle back in the order for all documents alike, which can't
+node from the start. Which shingles are frequent is kept in bitmaps of fixed size; a
+collision in one moves a shingle back in the order for all documents alike, which can't
 change the result.
 
 Shingles are hashed to 64 bits, sets to 63.
@@ -42,12 +43,12 @@ from pyspark.sql import functions as F
 from .common import WORD_HASHES, WordHashes, lower_words, rows_of, stored, windows
 from .components import components
 
-HOT_BITS = 23  # the bitmap of frequent shingles has 2**23 bits, one MiB
-HOT_ROWS = 32
+MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB, at any input size
+FREQUENT = (3, 16, 128)  # boundaries that hold a shingle, for each class of the order
+SKETCH = 64
 LEAF = 1024
 ROUNDS = 3
 BLOCK = 256
-NULL_ID = -(2**63)
 
 
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -61,16 +62,27 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big") >> 1
 
 
-def boundary(shingles: np.ndarray, percent: int, hot: np.ndarray | None) -> np.ndarray:
+def boundary(shingles: np.ndarray, percent: int, frequent: list[np.ndarray], stretch: float = 1) -> np.ndarray:
     """The first ``n - ceil(percent n / 100) + 1`` shingles, frequent ones last."""
     n = len(shingles)
     size = n + 1 + (-percent * n) // 100
-    if hot is not None:
-        bit = (shingles >> np.uint64(64 - HOT_BITS)).astype(np.int64)
-        late = (hot[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-        if late.any():
-            shingles = np.concatenate([shingles[~late], shingles[late]])
-    return shingles[:size]
+    if frequent:
+        place = sum(_marked(bits, shingles).astype(np.int8) for bits in frequent)
+        if place.any():
+            shingles = shingles[np.argsort(place, kind="stable")]
+    return shingles[: int(size * stretch)]
+
+
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles in each of 64 hash ranges. The sum of differences of two sketches is at most
+    the number of shingles in one set alone."""
+    edges = np.searchsorted(shingles, np.arange(1, SKETCH, dtype=np.uint64) << np.uint64(58))
+    return np.minimum(np.diff(edges, prepend=0, append=len(shingles)), 65535).astype("<u2").tobytes()
 
 
 def _sets(documents: DataFrame, width: int, emit, schema: str) -> DataFrame:
@@ -94,28 +106,34 @@ def _sets(documents: DataFrame, width: int, emit, schema: str) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    """node, n, key for each boundary shingle of ``keys``, eight bytes each."""
+def _exploded(rows: DataFrame, wanted=None) -> DataFrame:
+    """node, key for each boundary shingle in ``keys``; ``wanted``: a broadcast bitmap to look them up in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, sizes, keys in rows_of(batches, "node", "n", "keys"):
+        for nodes, keys in rows_of(batches, "node", "keys"):
             for a in range(0, len(nodes), 500):
                 counts = np.array([len(k) // 8 for k in keys[a : a + 500]])
-                flat = np.frombuffer(b"".join(keys[a : a + 500]), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes[a : a + 500], np.int64), counts)), pa.array(np.repeat(np.array(sizes[a : a + 500], np.int32), counts)), pa.array(flat)], names=["node", "n", "key"])
+                flat = np.frombuffer(b"".join(keys[a : a + 500]), np.uint64)
+                owner = np.repeat(np.array(nodes[a : a + 500], np.int64), counts)
+                if wanted is not None:
+                    own = _marked(wanted.value, flat)
+                    flat, owner = flat[own], owner[own]
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(flat.view(np.int64))], names=["node", "key"])
 
-    return rows.select("node", "n", "keys").mapInArrow(run, "node long, n int, key long")
+    return rows.select("node", "keys").mapInArrow(run, "node long, key long")
 
 
-def _hot_bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of all shingles in ``HOT_ROWS`` boundaries or more: 1 MiB at any input size."""
-    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= HOT_ROWS)
-    bit = F.shiftrightunsigned("key", 64 - HOT_BITS)
-    words = hot.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - HOT_BITS}) & 31 as int))")).alias("bits"))
-    out = np.zeros(1 << (HOT_BITS - 5), "<u4")
-    got = words.toPandas()
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
+def _bitmaps(keys: DataFrame, *conditions) -> list[np.ndarray]:
+    """A bitmap for each condition of the keys that meet it: at most a MiB each to the driver."""
+    bit = F.shiftrightunsigned("key", 64 - MAP_BITS)
+    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 31 as int))")
+    words = keys.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(*(F.bit_or(F.when(c, mask).otherwise(F.lit(0))).alias(f"b{i}") for i, c in enumerate(conditions)))
+    got, out = words.toPandas(), []
+    for i in range(len(conditions)):
+        bits = np.zeros(1 << (MAP_BITS - 5), "<u4")
+        bits[got["word"].to_numpy()] = got[f"b{i}"].to_numpy().astype(np.uint32)
+        out.append(bits.view(np.uint8))
+    return out
 
 
 def _linked(inter: np.ndarray, a, b, percent: int) -> np.ndarray:
@@ -169,8 +187,8 @@ def _block_links(percent: int):
             m = np.zeros((len(sets), width), np.float32)
             m[owner[lo:hi], column[lo:hi] - a] = 1
             inter += (m[left] @ m[right].T).astype(np.int64)
-        comp, dist, node = pdf["component"].to_numpy(), pdf["dist"].to_numpy(), pdf["node"].to_numpy()
-        near = np.abs(dist[left][:, None] - dist[right][None, :]) <= 1 - percent / 100 + 1e-9
+        comp, dist, node = pdf["component"].to_numpy(), pdf["dist"].to_numpy(float), pdf["node"].to_numpy()
+        near = ~(np.abs(dist[left][:, None] - dist[right][None, :]) > 1 - percent / 100 + 1e-9)
         ok = _linked(inter, sizes[left][:, None], sizes[right][None, :], percent) & near & (comp[left][:, None] != comp[right][None, :])
         out, root = [], {}
 
@@ -201,14 +219,66 @@ def _left_over(regions: DataFrame, percent: int) -> DataFrame:
     component only those stay that can reach a document outside it by the triangle inequality."""
     t = 1 - percent / 100 + 1e-9
     outside = F.col("component") != F.col("home")
-    bounds = regions.where(outside).groupBy("region").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n_out"))
-    inside = regions.where(~outside).join(bounds, "region").where((F.col("dist") >= F.col("lo") - t) & (F.col("dist") <= F.col("hi") + t))
+    # a distance that wasn't computed may be any
+    bounds = regions.where(outside).groupBy("region").agg(F.min(F.coalesce("dist", F.lit(0.0))).alias("lo"), F.max(F.coalesce("dist", F.lit(1.0))).alias("hi"), F.count(F.lit(1)).alias("n_out"))
+    inside = regions.where(~outside).join(bounds, "region").where(F.col("dist").isNull() | ((F.col("dist") >= F.col("lo") - t) & (F.col("dist") <= F.col("hi") + t)))
     n_in = inside.groupBy("region").agg(F.count(F.lit(1)).alias("n_in"))
     rest = regions.where(outside).join(bounds, "region").unionByName(inside)
     # a lone document outside was compared with the pivot already
     return rest.join(n_in, "region", "left").withColumn("n_in", F.coalesce("n_in", F.lit(0))).where("n_out + n_in > 1")
 
 
+def _sketches_allow(percent: int):
+    """Whether sketches leave a link possible: at similarity t at most (1 - t) / (1 + t) of
+    both sizes' sum is in one set alone."""
+
+    def allow(n: pd.Series, m: pd.Series, own: pd.Series, theirs: pd.Series) -> pd.Series:
+        if not len(n):
+            return pd.Series([], dtype=bool)
+        a, b = (np.frombuffer(b"".join(x), "<u2").reshape(-1, SKETCH).astype(np.int64) for x in (own, theirs))
+        return pd.Series((100 + percent) * np.abs(a - b).sum(axis=1) <= (100 - percent) * (n.to_numpy(np.int64) + m.to_numpy(np.int64)))
+
+    return F.pandas_udf(allow, "boolean")
+
+
+SMALL = 512
+
+
+def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (pivot, node, possible) whose node may link with the pivot or with another node of the
+    region. Regions of at most ``SMALL`` nodes are looked through by sketches; nodes of
+    larger ones stay as they are."""
+
+    def partners(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = pdf["possible"].to_numpy(bool).copy()
+        pivot, size = pdf["pivot"].to_numpy(), pdf["n"].to_numpy(np.int64)
+        counts = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, SKETCH).astype(np.int32)
+        order = np.argsort(pivot, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(pivot[order])) + 1):
+            for k, i in enumerate(own[:-1]):
+                rest = own[k + 1 :]
+                rest = rest[100 * np.minimum(size[i], size[rest]) >= percent * np.maximum(size[i], size[rest])]
+                rest = rest[(100 + percent) * np.abs(counts[rest] - counts[i]).sum(axis=1) <= (100 - percent) * (size[i] + size[rest])]
+                if len(rest):
+                    keep[i] = True
+                    keep[rest] = True
+        return pdf.loc[keep, ["pivot", "node", "possible"]]
+
+    counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("nodes"), F.max("possible").alias("any")).where("nodes > 1 or any")
+    told = pairs.join(counted, "pivot")
+    small = told.where(F.col("nodes") <= SMALL).join(sketches, "node")
+    # many regions to a group, for each group costs a call; a group has about 2,000 rows
+    groups = max(1, small.count() // 2000)
+    looked = small.groupBy(F.pmod(F.xxhash64("pivot"), F.lit(groups)).alias("_g")).applyInPandas(lambda _, pdf: partners(pdf), "pivot long, node long, possible boolean")
+    return looked.union(told.where(F.col("nodes") > SMALL).select("pivot", "node", "possible"))
+
+
+def _of_ids(documents: DataFrame, ids) -> DataFrame:
+    """Documents whose hashed id is in a broadcast bitmap; others of the same bit may come along."""
+    keep = F.pandas_udf(lambda h: pd.Series(_marked(ids.value, h.to_numpy(np.int64).view(np.uint64))), "boolean")
+    return documents.where(keep(F.xxhash64("doc_id")))
+
+
 def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, n, node) of all documents, and edges (u, v) between nodes whose components
     are those of all links at a similarity of ``percent`` hundredths."""
@@ -216,26 +286,37 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def first(doc_id, node, shingles, seen):
-        again = node is None or node in seen
+        if node is None or node in seen:
+            return None
         seen.add(node)
-        return doc_id, node, len(shingles), None if again else boundary(shingles, percent, None).tobytes()
+        return node, boundary(shingles, percent, [], 1.3).tobytes()
 
-    rows = stored(_sets(base, width, first, "doc_id long, node long, n int, keys binary"), "jaccard-rows")
-    hot = spark.sparkContext.broadcast(_hot_bitmap(_exploded(rows.where("keys is not null"))))
+    counted = _exploded(_sets(base, width, first, "node long, keys binary")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= FREQUENT[0])
+    frequent = spark.sparkContext.broadcast(_bitmaps(counted, *(F.col("rows") >= n for n in FREQUENT)))
 
     def second(doc_id, node, shingles, seen):
         if node is None or node in seen:
-            return None
+            return doc_id, node, len(shingles), None, None
         seen.add(node)
-        return node, len(shingles), boundary(shingles, percent, hot.value).tobytes()
-
-    keys = stored(_exploded(_sets(base, width, second, "node long, n int, keys binary")).distinct(), "jaccard-keys")
-    groups = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot")
-    regions = stored(keys.join(groups, "key").where("node <> pivot").select("pivot", "node").distinct(), "jaccard-regions")
-
-    needed = regions.select("node").union(regions.select("pivot")).distinct()
-    by_id = rows.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("_id"))
-    chosen = by_id.join(needed, "node", "left_semi").select("_id").distinct()
+        return doc_id, node, len(shingles), boundary(shingles, percent, frequent.value).tobytes(), sketch(shingles)
+
+    rows = stored(_sets(base, width, second, "doc_id long, node long, n int, keys binary, sketch binary"), "jaccard-rows")
+    bounded = rows.where("keys is not null")
+    groups = stored(_exploded(bounded).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("key", "size"), "jaccard-groups")
+    shared = spark.sparkContext.broadcast(_bitmaps(groups, F.lit(True))[0])
+    members = stored(_exploded(bounded, shared).join(groups, "key"), "jaccard-members")
+    # the pivot of a shingle's documents is the one that meets most others: the middle of a group of near copies
+    # is in all their groups, so it is near to most of them and regions are few
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+    regions = stored(members.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct(), "jaccard-regions")
+
+    # a sketch for each node that regions name
+    sketches = bounded.select("node", "n", "sketch").dropDuplicates(["node"])
+    pairs = regions.join(sketches, "node").join(sketches.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("other")), "pivot")
+    sized = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & _sketches_allow(percent)("n", "m", "sketch", "other")
+    pairs = stored(pairs.select("pivot", "node", sized.alias("possible")), "jaccard-pairs")
+    pairs = stored(_with_partners(pairs, sketches, percent), "jaccard-partners")
 
     def whole(doc_id, node, shingles, seen):
         if node is None or node in seen:
@@ -243,13 +324,17 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
         seen.add(node)
         return node, shingles.tobytes()
 
-    texts = base.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(chosen, "_id", "left_semi")
-    sets = stored(_sets(texts, width, whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+    needed = pairs.select("node").union(pairs.select("pivot")).distinct()
+    by_id = bounded.join(needed, "node", "left_semi").select(F.xxhash64("doc_id").alias("key"))
+    ids = spark.sparkContext.broadcast(_bitmaps(by_id, F.lit(True))[0])
+    texts = _of_ids(base, ids)
+    sets = stored(_sets(texts, width, whole, "node long, shingles binary").join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
 
     far = 1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))
-    measured = stored(_distances(regions, sets).withColumn("dist", far), "jaccard-distances")
     is_link = 100 * F.col("inter") >= percent * (F.col("n") + F.col("m") - F.col("inter"))
-    links = measured.where(is_link).select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+    close = _distances(pairs.where("possible").select("pivot", "node"), sets).select("pivot", "node", far.alias("dist"), is_link.alias("linked"))
+    measured = stored(pairs.select("pivot", "node").join(close, ["pivot", "node"], "left"), "jaccard-distances")
+    links = measured.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
     open_regions = stored(_left_over(_labelled(measured.select(F.col("pivot").alias("region"), "pivot", "node", "dist"), links), percent), "jaccard-open")
     for _ in range(ROUNDS):
         large = open_regions.where(F.col("n_out") > LEAF)

@@ -9,7 +9,7 @@ dropout 0 the ids are those of the sentencepiece library.
 
 No piece of the model holds a word mark after another character, so a text is cut to segments before
 runs of marks and around line feeds, and segments are encoded apart: once for each different
-(segment, variant) of a batch, all of one length at a time, a merge per round. Segments
+(segment, variant) that a worker meets, all of one length at a time, a merge per round. Segments
 longer than ``LONG`` symbols use a heap.
 
 Characters without a piece, and the word mark itself when a text holds it, become byte pieces, so
@@ -28,16 +28,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import MUL, mixed
 
 MARK = "▁"
 LONG = 64
-BATCH_CHARS = 5_000_000
+BATCH_CHARS = 3_000_000
 SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 NEVER = 2**31 - 1
 ESCAPED = "\udfff"  # stands for a word mark of the text itself; no text from UTF-8 holds a lone surrogate
@@ -195,22 +196,63 @@ def merge_equal_lengths(model: Model, symbols: np.ndarray, keys: np.ndarray, rat
             merged[r, c], ranks[r, c] = m, rank
 
 
+def spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``BATCH_CHARS`` characters, which bound the memory of a step."""
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b] or "") <= BATCH_CHARS):
+            size += len(texts[b] or "")
+            b += 1
+        yield a, b
+        a = b
+
+
 class _Codes(dict):
     """Segment -> number in order of first use."""
 
+    def __init__(self):
+        self.names: list[str] = []
+
     def __missing__(self, segment: str) -> int:
-        value = self[segment] = len(self)
+        value = self[segment] = len(self.names)
+        self.names.append(segment)
         return value
 
 
 class Encoder:
     def __init__(self, model: Model, rate: float, seed: int, variants: int):
         self.model, self.rate, self.seed, self.variants = model, rate, seed, variants if rate else 1
+        self._forget()
         self.characters = np.full(65536, -1, np.int64)
         for c, i in model.symbols.items():
             if len(c) == 1 and ord(c) < 65536:
                 self.characters[ord(c)] = i
 
+    LIMIT = 300_000  # segments that a Python worker remembers
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.used = _Codes(), np.empty(1 << 16, np.int32), 0
+        self.begin, self.sizes = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, pairs: np.ndarray) -> None:
+        """Encodes the (segment, variant) pairs that aren't known yet."""
+        most = len(self.known.names) * self.variants
+        if most > len(self.begin):
+            more = max(most, 2 * len(self.begin)) - len(self.begin)
+            self.begin, self.sizes = np.append(self.begin, np.full(more, -1, np.int64)), np.append(self.sizes, np.zeros(more, np.int64))
+        new = np.unique(pairs[self.begin[pairs] < 0])
+        if not len(new):
+            return
+        segments = [self.known.names[c] for c in (new // self.variants).tolist()]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in segments), np.uint64, len(segments))
+        ids, starts = self.encode_segments(segments, hashes, new % self.variants)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat[: self.used], np.empty(max(len(ids), len(self.flat)), np.int32))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[new], self.sizes[new] = self.used + starts[:-1], np.diff(starts)
+        self.used += len(ids)
+
     def segment_keys(self, hashes: np.ndarray, variant: np.ndarray) -> np.ndarray:
         return mixed(hashes ^ mixed(np.uint64(self.seed) + variant.astype(np.uint64) * MUL))
 
@@ -251,15 +293,9 @@ class Encoder:
         return out, starts
 
     def encode(self, ids: list[int | None], texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text as int32, several texts at a time."""
-        a = 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size + len(texts[b] or "") <= BATCH_CHARS):
-                size += len(texts[b] or "")
-                b += 1
+        """Ids of each text as int32."""
+        for a, b in spans(texts):
             yield from self._encode(ids[a:b], texts[a:b])
-            a = b
 
     def _encode(self, ids: list[int | None], texts: list[str | None]) -> list[np.ndarray]:
         segments: list[str] = []
@@ -271,50 +307,61 @@ class Encoder:
         if not segments:
             return [np.empty(0, np.int32) for _ in texts]
         counts = np.array(counts)
-        known = _Codes()
-        codes = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
-        different = list(known)
+        codes = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
         key = np.array([xxhash.xxh64_intdigest(repr(i), self.seed) for i in ids], np.uint64)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
         variant = (mixed(np.repeat(key, counts) + place.astype(np.uint64) * MUL) % np.uint64(self.variants)).astype(np.int64)
-        pairs, inverse = np.unique(codes * self.variants + variant, return_inverse=True)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in different), np.uint64, len(different))
-        which = pairs // self.variants
-        flat, starts = self.encode_segments([different[c] for c in which.tolist()], hashes[which], pairs % self.variants)
-        sizes = np.diff(starts)[inverse]
+        pairs = codes * self.variants + variant
+        self._learn(pairs)
+        begin, sizes = self.begin[pairs], self.sizes[pairs]
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        whole = flat[np.repeat(starts[:-1][inverse], sizes) + within].astype(np.int32)
+        whole = self.flat[np.repeat(begin, sizes) + within]
+        if len(self.known.names) > self.LIMIT:
+            self._forget()
         ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), counts), sizes, len(texts)).astype(np.int64))
         return np.split(whole, ends[:-1])
 
 
 _MODELS: dict[str, Model] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def model_at(path: str) -> Model:
-    """A Python worker's model, kept from one task to the next."""
-    return _MODELS.get(path) or _MODELS.setdefault(path, Model(path))
+def encoder_for(path: str, rate: float, seed: int, variants: int) -> Encoder:
+    """A Python worker's model and encoder, kept from one task to the next."""
+    model = _MODELS.get(path) or _MODELS.setdefault(path, Model(path))
+    key = (path, rate, seed, variants)
+    return _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(model, rate, seed, variants))
 
 
-def with_ids(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _coded(batches: Iterator[pa.RecordBatch], encoder: Encoder, id_col: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.Array]]:
+    """Slices of the batches with their texts' ids and whether these decode to the texts."""
+    for batch in batches:
+        names, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (id_col, text_col))
+        for a, b in spans(texts):
+            ids = encoder._encode(names[a:b], texts[a:b])
+            yield batch.slice(a, b - a), ids, pa.array([encoder.model.decode(x) == (t or "") for x, t in zip(ids, texts[a:b], strict=True)], pa.bool_())
+
+
+def with_ids(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``documents`` with ids (array of int) and lossless: whether decoding them gives the text."""
+    documents = documents.drop("ids", "lossless")
 
-    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(model_at(model_path), rate, seed, variants)
-        for names, texts in batches:
-            texts = texts.tolist()
-            # nulls come as NaN where a column of ids has them
-            names = [None if pd.isna(x) else int(x) for x in names.tolist()]
-            ids = list(encoder.encode(names, texts))
-            yield pd.DataFrame({"ids": ids, "lossless": [encoder.model.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ids, lossless in _coded(batches, encoder_for(model_path, rate, seed, variants), id_col, text_col):
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, lists, lossless], names=[*rows.schema.names, "ids", "lossless"])
 
-    encode.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    coded = documents.drop("ids", "lossless").withColumn("_p", F.pandas_udf(encode, "ids array<int>, lossless boolean")(F.col(id_col), F.col(text_col)))
-    return coded.withColumns({"ids": F.col("_p.ids"), "lossless": F.col("_p.lossless")}).drop("_p")
+    schema = T.StructType([*documents.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    return documents.mapInArrow(encode, schema)
 
 
-def id_digests(documents: DataFrame, model_path: str, **options) -> DataFrame:
+def id_digests(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers) and lossless."""
-    crc = F.pandas_udf(lambda s: pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in s]), "long")
-    coded = with_ids(documents.select("doc_id", "text"), model_path, **options)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"), "lossless")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ids, lossless in _coded(batches, encoder_for(model_path, rate, seed, variants), "doc_id", "text"):
+            sizes, crcs = pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), sizes, crcs, lossless], names=["doc_id", "n_ids", "ids_crc32", "lossless"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, lossless boolean")

@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below the cluster's shared checkpoint folder.
 
@@ -30,9 +33,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends here, and a lost
-    executor costs a re-read rather than a recomputation."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    executor costs a re-read rather than a recomputation. Python tasks of the write get Arrow
+    batches of at most ``BATCH_BYTES``, so that rows of long texts or sets don't add up."""
+    path, conf = shared_dir(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH_LIMIT, None)
+    conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(BATCH_LIMIT) if before is None else conf.set(BATCH_LIMIT, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,25 +49,6 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-class WordHashes(dict):
-    """Word (bytes) -> signed 63-bit hash, filled on first use and emptied when large."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) >> 1
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
-
-
-#: a Python worker's, kept from one task to the next
-WORD_HASHES = WordHashes()
-
-
 def lower_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased; none for null.
     ``bytes.split`` and ``bytes.lower`` know exactly these six separators and these letters."""
@@ -77,6 +67,59 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: a 64-bit value for each byte, A-Z as a-z; hashes of words are polynomials of these in BASE
+BYTE_VALUES = mixed((np.arange(256, dtype=np.uint64) + np.where((np.arange(256) > 64) & (np.arange(256) < 91), 32, 0).astype(np.uint64) + np.uint64(1)) * MUL)
+BASE = 0xD6E8FEB86659FD93
+HASH_BLOCK = 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)), dtype=np.uint64)
+
+
+POWERS, INVERSES = _powers(BASE, 2 * HASH_BLOCK), _powers(pow(BASE, -1, 1 << 64), 2 * HASH_BLOCK)
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (as :func:`lower_words` cuts them) of a string array, one after the other,
+    and where each text's words start, with the end. Nulls have no words.
+
+    Whole arrays are hashed at once: sums of byte values times powers of a base run on over
+    a block, and a word's own is a difference of two, brought back to power 0.
+    """
+    texts = texts.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    edges = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(edges), np.int64)
+    inside = ~SEPARATOR[data]
+    new = np.ones(len(data) + 1, bool)  # whether no word goes on from the byte before
+    new[1:-1] = ~inside[:-1]
+    new[edges] = True
+    starts = np.flatnonzero(inside & new[:-1])
+    last = np.ones(len(data), bool)
+    last[:-1] = ~inside[1:]
+    last[edges[1:][edges[1:] > 0] - 1] = True
+    ends = np.flatnonzero(inside & last) + 1
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASH_BLOCK, "right")))
+        at = starts[a]
+        n = int(ends[b - 1] - at)
+        powers, inverses = (POWERS, INVERSES) if n < len(POWERS) else (_powers(BASE, n + 1), _powers(pow(BASE, -1, 1 << 64), n + 1))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data[at : at + n]] * powers[:n], out=sums[1:])
+        s, e = starts[a:b] - at, ends[a:b] - at
+        out[a:b] = mixed((sums[e] - sums[s]) * inverses[s] + (e - s).astype(np.uint64) * MUL)
+        a = b
+    return out, np.searchsorted(starts, edges)
+
+
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` words."""
     n = len(h) - width + 1

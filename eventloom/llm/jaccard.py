@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, WordHashes, lower_words, rows_of, stored, windows
+from .common import hashed_words, rows_of, stored, windows
 from .components import components
 
 MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB, at any input size
@@ -49,13 +49,19 @@ SKETCH = 64
 LEAF = 1024
 ROUNDS = 3
 BLOCK = 256
-
-
-def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``width`` words, or of the whole if shorter."""
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(windows(hashes.of(words), min(width, len(words))))
+ONE = np.ones(1, bool)
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of all runs of ``width`` words, or of the
+    whole if it has fewer."""
+    words, at = hashed_words(texts)
+    runs, at = windows(words, width) if len(words) >= width else words[:0], at.tolist()
+    out = []
+    for a, b in zip(at, at[1:], strict=False):
+        s = np.sort(runs[a : b - width + 1] if b - a >= width else windows(words[a:b], b - a) if b > a else words[:0])
+        out.append(s[np.concatenate((ONE, s[1:] != s[:-1]))] if len(s) > 1 else s)
+    return out
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -85,25 +91,49 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(np.diff(edges, prepend=0, append=len(shingles)), 65535).astype("<u2").tobytes()
 
 
-def _sets(documents: DataFrame, width: int, emit, schema: str) -> DataFrame:
-    """``emit(doc_id, node, shingles)`` gives a row or None for each document."""
+def _sets(documents: DataFrame, width: int, emit, schema: str, ids=None) -> DataFrame:
+    """``emit(doc_id, node, shingles, seen)`` gives a row or None for each document. With ``ids``, a
+    broadcast bitmap of hashed doc_ids, only documents in it are looked at."""
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WORD_HASHES, set()
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            out = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                shingles = shingle_set(lower_words(text), width, hashes)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if (row := emit(doc_id, node_of(shingles) if len(shingles) else None, shingles, seen)) is not None:
-                    out.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+        seen = set()
+        for batch in batches:
+            if ids is not None:
+                batch = batch.filter(pa.array(_marked(ids.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
+            for a in range(0, batch.num_rows, 500):
+                part, out = batch.slice(a, 500), []
+                for doc_id, shingles in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    if (row := emit(doc_id, node_of(shingles) if len(shingles) else None, shingles, seen)) is not None:
+                        out.append(row)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+
+    columns = ["doc_id", "text"] if ids is None else ["doc_id", "text", F.xxhash64("doc_id").alias("h")]
+    return documents.select(*columns).mapInArrow(run, schema)
+
+
+def _first_keys(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """key: shingles that may be in a boundary, of each different set that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                out = []
+                for shingles in shingle_sets(batch.column(0).slice(a, 500), width):
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    if len(shingles) and (node := node_of(shingles)) not in seen:
+                        seen.add(node)
+                        out.append(boundary(shingles, percent, [], 1.3))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["key"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("text").mapInArrow(run, "key long")
 
 
 def _exploded(rows: DataFrame, wanted=None) -> DataFrame:
@@ -273,25 +303,13 @@ def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return looked.union(told.where(F.col("nodes") > SMALL).select("pivot", "node", "possible"))
 
 
-def _of_ids(documents: DataFrame, ids) -> DataFrame:
-    """Documents whose hashed id is in a broadcast bitmap; others of the same bit may come along."""
-    keep = F.pandas_udf(lambda h: pd.Series(_marked(ids.value, h.to_numpy(np.int64).view(np.uint64))), "boolean")
-    return documents.where(keep(F.xxhash64("doc_id")))
-
-
 def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, n, node) of all documents, and edges (u, v) between nodes whose components
     are those of all links at a similarity of ``percent`` hundredths."""
     spark = documents.sparkSession
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def first(doc_id, node, shingles, seen):
-        if node is None or node in seen:
-            return None
-        seen.add(node)
-        return node, boundary(shingles, percent, [], 1.3).tobytes()
-
-    counted = _exploded(_sets(base, width, first, "node long, keys binary")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= FREQUENT[0])
+    counted = _first_keys(base, width, percent).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= FREQUENT[0])
     frequent = spark.sparkContext.broadcast(_bitmaps(counted, *(F.col("rows") >= n for n in FREQUENT)))
 
     def second(doc_id, node, shingles, seen):
@@ -327,8 +345,8 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
     needed = pairs.select("node").union(pairs.select("pivot")).distinct()
     by_id = bounded.join(needed, "node", "left_semi").select(F.xxhash64("doc_id").alias("key"))
     ids = spark.sparkContext.broadcast(_bitmaps(by_id, F.lit(True))[0])
-    texts = _of_ids(base, ids)
-    sets = stored(_sets(texts, width, whole, "node long, shingles binary").join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+    # others of the same bit may come along
+    sets = stored(_sets(base, width, whole, "node long, shingles binary", ids).join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
 
     far = 1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))
     is_link = 100 * F.col("inter") >= percent * (F.col("n") + F.col("m") - F.col("inter"))

@@ -21,20 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, lower_words, mixed, windows
+from .common import hashed_words, mixed, windows
 
 BATCH_BYTES = 16 << 20
 PART_WORDS = 3_000_000
 LEAST_BATCHES = 16
 
 
-def grams_of(hashes: list[np.ndarray], order: int) -> list[np.ndarray]:
+def grams_of(flat: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
     """n-grams of each length for all documents in a row; those that cross a document's end are 0."""
-    flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    left = np.concatenate([np.arange(len(h), 0, -1) for h in hashes]) if hashes else np.empty(0, np.int64)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
     out = []
     for n in range(1, order + 1):
         own = np.zeros(len(flat), np.uint64)
@@ -46,11 +46,11 @@ def grams_of(hashes: list[np.ndarray], order: int) -> list[np.ndarray]:
 
 def batch_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """Word counts of the texts, n-grams by length, and the different n-grams with counts."""
-    hashes = [WORD_HASHES.of(lower_words(t)) for t in texts]
-    grams = grams_of(hashes, order)
+    hashes, at = hashed_words(pa.array(texts, pa.large_string()))
+    grams = grams_of(hashes, np.diff(at), order)
     whole = np.concatenate(grams)
     different, counts = np.unique(whole[whole > 0], return_counts=True)
-    return np.array([len(h) for h in hashes], np.int64), grams, different, counts
+    return np.diff(at), grams, different, counts
 
 
 def scores(lengths: np.ndarray, grams: list[np.ndarray], different: np.ndarray, totals: np.ndarray, n_words: int, alpha: float, min_count: int) -> np.ndarray:

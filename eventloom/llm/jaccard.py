@@ -8,8 +8,8 @@ drawn at random separate nothing. So pivots are taken where documents can be clo
     ``n - ceil(t n) + 1`` are its boundary: documents linked at similarity t share one of it.
     All documents that share a boundary shingle meet at one pivot, that of them which meets most
     others. The documents that reach a pivot form its Voronoi region; documents at the border of several regions are in each.
-2.  Distances to the pivot decide who links to it. Counts of shingles in 64 hash ranges
-    are distances to 64 more pivots; where these alone exclude a link, the sets aren't fetched.
+2.  Distances to the pivot decide who links to it. Counts of shingles in 256 hash ranges
+    are distances to 256 more pivots; where these alone exclude a link, the sets aren't fetched.
 3.  What is left of a region are pairs of documents in different components, and of these only
     pairs that the triangle inequality allows, |d(x, p) - d(y, p)| <= 1 - t. Large regions take
     new pivots from what is left and repeat steps 2 and 3; small ones, or what the
@@ -45,7 +45,7 @@ from .components import components
 
 MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB, at any input size
 FREQUENT = (3, 16, 128)  # boundaries that hold a shingle, for each class of the order
-SKETCH = 64
+SKETCH = 256
 LEAF = 1024
 ROUNDS = 3
 BLOCK = 256
@@ -85,10 +85,13 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Shingles in each of 64 hash ranges. The sum of differences of two sketches is at most
-    the number of shingles in one set alone."""
-    edges = np.searchsorted(shingles, np.arange(1, SKETCH, dtype=np.uint64) << np.uint64(58))
-    return np.minimum(np.diff(edges, prepend=0, append=len(shingles)), 65535).astype("<u2").tobytes()
+    """Shingles in each of 256 hash ranges, 255 at most. The sum of differences of two sketches is
+    at most the number of shingles in one set alone."""
+    return np.minimum(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _counts(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH).astype(np.int16)
 
 
 def _sets(documents: DataFrame, width: int, emit, schema: str, ids=None) -> DataFrame:
@@ -166,14 +169,22 @@ def _bitmaps(keys: DataFrame, *conditions) -> list[np.ndarray]:
     return out
 
 
+def _of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sets whose node is in a bitmap of ``nodes``, so that few others are shuffled in a join with these."""
+    keys = nodes.select(F.shiftleft(nodes.columns[0], 1).alias("key"))  # nodes have 63 bits, keys 64
+    wanted = sets.sparkSession.sparkContext.broadcast(_bitmaps(keys, F.lit(True))[0])
+    keep = F.pandas_udf(lambda n: pd.Series(_marked(wanted.value, n.to_numpy(np.int64).view(np.uint64) << np.uint64(1))), "boolean")
+    return sets.where(keep("node"))
+
+
 def _linked(inter: np.ndarray, a, b, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a + b - inter)
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pivot, node, n, m (set sizes) and inter (common shingles) for pairs (pivot, node)."""
-    right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs"))
-    rows = pairs.join(sets.select("node", F.col("shingles").alias("own")), "node").join(right, "pivot")
+    right = _of_nodes(sets, pairs.select("pivot")).select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs"))
+    rows = pairs.join(_of_nodes(sets, pairs.select("node")).select("node", F.col("shingles").alias("own")), "node").join(right, "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,13 +276,13 @@ def _sketches_allow(percent: int):
     def allow(n: pd.Series, m: pd.Series, own: pd.Series, theirs: pd.Series) -> pd.Series:
         if not len(n):
             return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(x), "<u2").reshape(-1, SKETCH).astype(np.int64) for x in (own, theirs))
+        a, b = _counts(own), _counts(theirs)
         return pd.Series((100 + percent) * np.abs(a - b).sum(axis=1) <= (100 - percent) * (n.to_numpy(np.int64) + m.to_numpy(np.int64)))
 
     return F.pandas_udf(allow, "boolean")
 
 
-SMALL = 512
+SMALL = 2048
 
 
 def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +293,7 @@ def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     def partners(pdf: pd.DataFrame) -> pd.DataFrame:
         keep = pdf["possible"].to_numpy(bool).copy()
         pivot, size = pdf["pivot"].to_numpy(), pdf["n"].to_numpy(np.int64)
-        counts = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, SKETCH).astype(np.int32)
+        counts = _counts(pdf["sketch"])
         order = np.argsort(pivot, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(pivot[order])) + 1):
             for k, i in enumerate(own[:-1]):
@@ -366,9 +377,44 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
         links = stored(links.union(again.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))), "jaccard-links")
         small = open_regions.where(F.col("n_out") <= LEAF).select("region", "pivot", "node", "dist")
         open_regions = stored(_left_over(_labelled(again.drop("linked").unionByName(small), links), percent), "jaccard-open")
+    open_regions = stored(_narrowed(open_regions, sketches, percent), "jaccard-leaves")
     return rows, links.union(_leaf_links(open_regions, sets, percent))
 
 
+def _narrowed(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of regions of at most ``2 * LEAF`` documents those whose sketches leave a link to one of another
+    component possible; larger regions as they are."""
+    columns = ["region", "node", "component", "home", "dist", "n_out", "n_in"]
+    regions = regions.select(*columns)
+
+    def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, counts, parts = pdf["n"].to_numpy(np.int64), _counts(pdf["sketch"]), []
+        component, dist, region = pdf["component"].to_numpy(), pdf["dist"].to_numpy(float), pdf["region"].to_numpy()
+        order = np.argsort(region, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+            keep = np.zeros(len(own), bool)
+            for k, i in enumerate(own[:-1]):
+                at = k + 1 + np.flatnonzero((component[own[k + 1 :]] != component[i]) & ~(np.abs(dist[own[k + 1 :]] - dist[i]) > 1 - percent / 100 + 1e-9))
+                rest = own[at]
+                near = 100 * np.minimum(size[i], size[rest]) >= percent * np.maximum(size[i], size[rest])
+                at, rest = at[near], rest[near]
+                near = (100 + percent) * np.abs(counts[rest] - counts[i]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (size[i] + size[rest])
+                if near.any():
+                    keep[k] = True
+                    keep[at[near]] = True
+            kept = pdf.iloc[own[keep]]
+            n_out = int((kept["component"] != kept["home"]).sum())
+            parts.append(kept[columns].assign(n_out=n_out, n_in=len(kept) - n_out))
+        return pd.concat(parts)
+
+    small = F.col("n_out") + F.col("n_in") <= 2 * LEAF
+    told = regions.where(small).join(sketches, "node")
+    groups = max(1, regions.where(small).count() // 2000)
+    schema = ", ".join(f"{c} {regions.schema[c].dataType.simpleString()}" for c in columns)
+    looked = told.groupBy(F.pmod(F.xxhash64("region"), F.lit(groups)).alias("_g")).applyInPandas(lambda _, pdf: narrow(pdf), schema)
+    return looked.union(regions.where(~small))
+
+
 def _leaf_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Joins what is left of the regions, ``BLOCK`` by ``BLOCK`` documents at a time: documents
     outside the pivot's component with each other, and with those inside it."""
@@ -381,7 +427,7 @@ def _leaf_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     as_right = F.expr("transform(sequence(0, mine), i -> struct(i as i, mine as j, mine = i as left, true as right))")
     from_inside = F.expr("transform(sequence(0, n_out - 1), i -> struct(i as i, n_out + mine as j, false as left, true as right))")
     tasks = placed.withColumn("task", F.explode(F.when(F.col("outside"), F.array_distinct(F.concat(as_left, as_right))).otherwise(from_inside)))
-    rows = tasks.select("region", "node", "component", "dist", "task.*").join(sets, "node")
+    rows = tasks.select("region", "node", "component", "dist", "task.*").join(_of_nodes(sets, regions.select("node")), "node")
     return rows.groupBy("region", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 

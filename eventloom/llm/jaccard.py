@@ -183,8 +183,9 @@ def _linked(inter: np.ndarray, a, b, percent: int) -> np.ndarray:
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pivot, node, n, m (set sizes) and inter (common shingles) for pairs (pivot, node)."""
-    right = _of_nodes(sets, pairs.select("pivot")).select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs"))
-    rows = pairs.join(_of_nodes(sets, pairs.select("node")).select("node", F.col("shingles").alias("own")), "node").join(right, "pivot")
+    sets = _of_nodes(sets, pairs.select("node").union(pairs.select("pivot")))
+    right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs"))
+    rows = pairs.join(sets.select("node", F.col("shingles").alias("own")), "node").join(right, "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,6 +286,11 @@ def _sketches_allow(percent: int):
 SMALL = 2048
 
 
+def _dealt(column: str, spark):
+    """A few groups for each shuffle partition: many regions to a group, for each group costs a call."""
+    return F.pmod(F.xxhash64(column), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).alias("_g")
+
+
 def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (pivot, node, possible) whose node may link with the pivot or with another node of the
     region. Regions of at most ``SMALL`` nodes are looked through by sketches; nodes of
@@ -306,11 +312,9 @@ def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
         return pdf.loc[keep, ["pivot", "node", "possible"]]
 
     counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("nodes"), F.max("possible").alias("any")).where("nodes > 1 or any")
-    told = pairs.join(counted, "pivot")
+    told = stored(pairs.join(counted, "pivot"), "jaccard-told")
     small = told.where(F.col("nodes") <= SMALL).join(sketches, "node")
-    # many regions to a group, for each group costs a call; a group has about 2,000 rows
-    groups = max(1, small.count() // 2000)
-    looked = small.groupBy(F.pmod(F.xxhash64("pivot"), F.lit(groups)).alias("_g")).applyInPandas(lambda _, pdf: partners(pdf), "pivot long, node long, possible boolean")
+    looked = small.groupBy(_dealt("pivot", pairs.sparkSession)).applyInPandas(lambda _, pdf: partners(pdf), "pivot long, node long, possible boolean")
     return looked.union(told.where(F.col("nodes") > SMALL).select("pivot", "node", "possible"))
 
 
@@ -409,9 +413,8 @@ def _narrowed(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFram
 
     small = F.col("n_out") + F.col("n_in") <= 2 * LEAF
     told = regions.where(small).join(sketches, "node")
-    groups = max(1, regions.where(small).count() // 2000)
     schema = ", ".join(f"{c} {regions.schema[c].dataType.simpleString()}" for c in columns)
-    looked = told.groupBy(F.pmod(F.xxhash64("region"), F.lit(groups)).alias("_g")).applyInPandas(lambda _, pdf: narrow(pdf), schema)
+    looked = told.groupBy(_dealt("region", regions.sparkSession)).applyInPandas(lambda _, pdf: narrow(pdf), schema)
     return looked.union(regions.where(~small))
 
 
@@ -427,7 +430,7 @@ def _leaf_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     as_right = F.expr("transform(sequence(0, mine), i -> struct(i as i, mine as j, mine = i as left, true as right))")
     from_inside = F.expr("transform(sequence(0, n_out - 1), i -> struct(i as i, n_out + mine as j, false as left, true as right))")
     tasks = placed.withColumn("task", F.explode(F.when(F.col("outside"), F.array_distinct(F.concat(as_left, as_right))).otherwise(from_inside)))
-    rows = tasks.select("region", "node", "component", "dist", "task.*").join(_of_nodes(sets, regions.select("node")), "node")
+    rows = tasks.select("region", "node", "component", "dist", "task.*").join(sets, "node")
     return rows.groupBy("region", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 

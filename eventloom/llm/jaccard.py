@@ -47,7 +47,8 @@ MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB, at any input size
 FREQUENT = (3, 16, 128)  # boundaries that hold a shingle, for each class of the order
 SKETCH = 256
 LEAF = 1024
-ROUNDS = 3
+NARROW = 8192
+ROUNDS = 1
 BLOCK = 256
 ONE = np.ones(1, bool)
 
@@ -368,7 +369,11 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
     close = _distances(pairs.where("possible").select("pivot", "node"), sets).select("pivot", "node", far.alias("dist"), is_link.alias("linked"))
     measured = stored(pairs.select("pivot", "node").join(close, ["pivot", "node"], "left"), "jaccard-distances")
     links = measured.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
-    open_regions = stored(_left_over(_labelled(measured.select(F.col("pivot").alias("region"), "pivot", "node", "dist"), links), percent), "jaccard-open")
+
+    def still_open(regions: DataFrame, links: DataFrame) -> DataFrame:
+        return stored(_narrowed(stored(_left_over(_labelled(regions, links), percent), "jaccard-left"), sketches, percent), "jaccard-open")
+
+    open_regions = still_open(measured.select(F.col("pivot").alias("region"), "pivot", "node", "dist"), links)
     for _ in range(ROUNDS):
         large = open_regions.where(F.col("n_out") > LEAF)
         if large.isEmpty():
@@ -380,15 +385,14 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
         again = stored(members.join(found, ["pivot", "node"]).select("region", "pivot", "node", "dist", is_link.alias("linked")), "jaccard-round")
         links = stored(links.union(again.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))), "jaccard-links")
         small = open_regions.where(F.col("n_out") <= LEAF).select("region", "pivot", "node", "dist")
-        open_regions = stored(_left_over(_labelled(again.drop("linked").unionByName(small), links), percent), "jaccard-open")
-    open_regions = stored(_narrowed(open_regions, sketches, percent), "jaccard-leaves")
+        open_regions = still_open(again.drop("linked").unionByName(small), links)
     return rows, links.union(_leaf_links(open_regions, sets, percent))
 
 
 def _narrowed(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Of regions of at most ``2 * LEAF`` documents those whose sketches leave a link to one of another
+    """Of regions of at most ``NARROW`` documents those whose sketches leave a link to one of another
     component possible; larger regions as they are."""
-    columns = ["region", "node", "component", "home", "dist", "n_out", "n_in"]
+    columns = ["region", "pivot", "node", "component", "home", "dist", "n_out", "n_in"]
     regions = regions.select(*columns)
 
     def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -411,7 +415,7 @@ def _narrowed(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFram
             parts.append(kept[columns].assign(n_out=n_out, n_in=len(kept) - n_out))
         return pd.concat(parts)
 
-    small = F.col("n_out") + F.col("n_in") <= 2 * LEAF
+    small = F.col("n_out") + F.col("n_in") <= NARROW
     told = regions.where(small).join(sketches, "node")
     schema = ", ".join(f"{c} {regions.schema[c].dataType.simpleString()}" for c in columns)
     looked = told.groupBy(_dealt("region", regions.sparkSession)).applyInPandas(lambda _, pdf: narrow(pdf), schema)

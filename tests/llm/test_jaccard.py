@@ -61,6 +61,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("width", "percent", "leaf", "block"), [(3, 90, 1024, 256), (5, 80, 6, 4)])
 def test_components_equal_brute_force(spark, monkeypatch, width, percent, leaf, block):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "NARROW", 2 * leaf)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(width)
     documents = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, node int").repartition(3)

@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Has the session's Python tasks get Arrow batches of at most ``BATCH_BYTES``, whatever a row's length."""
+    spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends here, and a lost
     executor costs a re-read rather than a recomputation. Python tasks of the write get Arrow

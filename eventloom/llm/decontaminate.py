@@ -74,7 +74,7 @@ def overlap(own: set[tuple], passage: list[bytes], width: int) -> float:
 class _TermIds(dict):
     """Raw word -> term number, -1 for words of no item. Emptied when large."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __init__(self, terms: dict[bytes, int]):
         self.terms = terms
@@ -271,8 +271,8 @@ def _search_udf(shared, threshold: float, min_question: float, min_answer: float
         searcher = Searcher(shared.value, threshold, min_question, min_answer)
         for texts in batches:
             found = []
-            for a in range(0, len(texts), 1000):
-                found += searcher.search(texts.iloc[a : a + 1000].tolist())
+            for a in range(0, len(texts), 500):
+                found += searcher.search(texts.iloc[a : a + 500].tolist())
             yield pd.Series(found)
 
     search.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

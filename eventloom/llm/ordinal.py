@@ -50,7 +50,7 @@ def shape_of(word: str) -> str:
 class WordFeatures(dict):
     """Word -> feature ids of its letters, and of their first four and five."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
@@ -62,7 +62,7 @@ class WordFeatures(dict):
 
 
 class WordShapes(dict):
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> str:
         if len(self) >= self.LIMIT:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import render_maximal
+from .common import bounded_batches
 from .decontaminate import leaks
 from .directcodes import encode_documents
 from .jaccard import jaccard_components
@@ -26,7 +27,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

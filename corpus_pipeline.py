@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import stored
+from eventloom.llm.common import bounded_batches, stored
 from eventloom.llm.decontaminate import leak_columns
 from eventloom.llm.jaccard import jaccard_components
 from eventloom.llm.ordinal import classify
@@ -44,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document's merge-dropout segmentation, and whether they decode to its text."""
+    bounded_batches(spark)
     coded = with_ids(docs, tokenizer_path("piece_bpe_32k.model"))
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_ids"), "ids", "lossless")
 

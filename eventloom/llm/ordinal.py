@@ -7,7 +7,9 @@ the two tail probabilities; a document is kept if ``P(grade >= 2)`` reaches ``mi
 
 Ratings become grades: quality 0 is poor, quality 1 with a toxic mark is fair, quality 1 without
 one is good. Training reads at most ``max_train_rows`` rated documents, those of the lowest hashed ids
-(the documented bound); every document is scored.
+(the documented bound); every document is scored. Every feature of ``MIN_ROWS`` documents gets a weight. Its value
+is 1 if its documents' mean grade is off by ``SURE`` standard errors or more, and falls with the square
+of that below, so the penalty on weights holds chance features down and rare telling words still count.
 
 Defined results: a null or empty text has no features and gets the grades' base rates; ratings with a
 null quality are ignored, a null toxic mark counts as none; of several ratings of one document the worst
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 FEATURE_BITS = 20
 MIN_ROWS = 10  # training documents that a feature needs for a weight
-SCREEN = 8.0
+SURE = 8.0  # standard errors from which a feature counts in full
+SLICE = 1 << 20  # (document, feature) pairs in a step of the gradient, which bounds the driver's memory
 RESULTS = ("expected_grade", "p_ge_1", "p_ge_2", "kept")
 CORE = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"(.)\1+")
@@ -124,19 +127,21 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 150, rate: floa
         return OrdinalModel(np.empty(0, np.int32), np.empty(0), start)
     flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
     ids, counts = np.unique(flat, return_counts=True)
-    # screening: a weight goes to features whose documents' mean grade is off by SCREEN standard errors
     totals = np.bincount(np.searchsorted(ids, flat), np.repeat(grades, lengths), len(ids))
     off = np.abs(totals - counts * grades.mean()) / (np.sqrt(counts) * grades.std())
-    ids = ids[(counts >= MIN_ROWS) & (counts < n) & (off >= SCREEN)]
+    some = (counts >= MIN_ROWS) & (counts < n)
+    ids, value = ids[some], np.minimum(1.0, off[some] / SURE) ** 2
     at = np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
     own = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
-    owner, at = np.repeat(np.arange(n), lengths)[own], at[own]
+    owner, at = np.repeat(np.arange(n, dtype=np.int32), lengths)[own], at[own].astype(np.int32)
+    slices = [(owner[a : a + SLICE], at[a : a + SLICE]) for a in range(0, len(at), SLICE)]
     # theta_2 = theta_1 + exp(gap): the order of the thresholds can't break
     p = np.concatenate([np.zeros(len(ids)), [start[0], np.log(start[1] - start[0])]])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, t1, gap = p[:-2], p[-2], p[-1]
-        z = np.bincount(owner, w[at], n)
+        scaled = w * value
+        z = sum((np.bincount(o, scaled[c], n) for o, c in slices), np.zeros(n))
         upper = np.column_stack([np.ones(n), _sigmoid(z - t1), _sigmoid(z - t1 - np.exp(gap)), np.zeros(n)])
         slope = upper * (1 - upper)
         pick = np.arange(n)
@@ -144,10 +149,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 150, rate: floa
         lo, hi = slope[pick, grades] / likely, slope[pick, grades + 1] / likely
         dz = (lo - hi) / n
         g2 = (np.where(grades == 2, lo, 0) - np.where(grades == 1, hi, 0)) / n
-        g = np.concatenate([l2 * w - np.bincount(at, dz[owner], len(ids)), [dz.sum(), g2.sum() * np.exp(gap)]])
+        dw = sum((np.bincount(c, dz[o], len(ids)) for o, c in slices), np.zeros(len(ids)))
+        g = np.concatenate([l2 * w - value * dw, [dz.sum(), g2.sum() * np.exp(gap)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return OrdinalModel(ids, p[:-2], np.array([p[-2], p[-2] + np.exp(p[-1])]))
+    return OrdinalModel(ids, p[:-2] * value, np.array([p[-2], p[-2] + np.exp(p[-1])]))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

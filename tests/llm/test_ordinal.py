@@ -57,3 +57,21 @@ def test_query_cases(spark):
     assert len({r.p_ge_2 for r in got if r.doc_id == 901}) == 1
     assert o.classify(documents, labels.limit(0)).where("kept is null").count() == 0
     assert o.classify(documents.limit(0), labels).count() == 0
+
+
+def test_toxic_words_count_with_a_few_hundred_ratings():
+    def rated(n, seed):
+        rng = random.Random(seed)
+        words = [x + y for x in "bcdfghklmn" for y in ("ado", "ebi", "iru", "osa", "uta")]
+        for _ in range(n):
+            grade = rng.choice([0, 1, *[2] * 8])
+            text = [rng.choice(words) + "!" * (grade == 0) for _ in range(rng.randint(20, 120))]
+            if grade == 1:
+                text[rng.randrange(len(text))] = rng.choice(["nasty", "vile"])
+            yield o.features(" ".join(text)), grade
+
+    rows, held = list(rated(400, 1)), list(rated(2000, 2))
+    model = o.fit([x for x, _ in rows], np.array([g for _, g in rows]))
+    kept = model.tails(np.array([model.margin(x) for x, _ in held]))[:, 1] >= 0.7
+    grades = np.array([g for _, g in held])
+    assert kept[grades == 1].mean() < 0.2 and kept[grades == 2].mean() > 0.9

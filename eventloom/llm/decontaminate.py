@@ -1,8 +1,9 @@
 """Benchmark decontamination by a BM25 index of the test items with block-max WAND.
 
 Every passage of every training document is a query: passages are windows of two strides
-that start at each stride, the stride being the longest item's words (at most ``MAX_STRIDE``), so every
-item of that length lies whole in some passage. Impacts are divided by the item's score against
+that start at each stride. Items are searched by classes of length: up to ``CLASS_WORDS`` words, up to twice as
+many, and so on. A class's stride is its longest item's words, so every item, however long, lies whole in some
+passage, and long items don't widen the passages of short ones. Impacts are divided by the item's score against
 its own text, so one threshold holds for all items and all items that reach it are retrieved:
 
 *   a passage is skipped whose terms' greatest impacts don't add up to the threshold, over
@@ -14,7 +15,7 @@ A retrieved item is then verified on word runs: the share of the question's and
 runs that the passage holds. An item's answer is its last sentence, the question what is before it;
 an item of one sentence is all question.
 
-The index of one shard of items (``SHARD_BYTES`` of text) is broadcast; larger benchmarks are
+The index of one shard of a class (``SHARD_BYTES`` of text) is broadcast; larger benchmarks are
 searched shard by shard, with term statistics of the whole.
 
 Defined results: null or empty texts and items match nothing; items that repeat an id or a text
@@ -40,7 +41,7 @@ from .common import rows_of
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
 COARSE = 64
-MAX_STRIDE = 256
+CLASS_WORDS = 256  # words of items in the first class of length
 SHARD_BYTES = 16 << 20
 EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_"
 LEAK = "array<struct<item_id: bigint, bm25: double, question_overlap: double, answer_overlap: double>>"
@@ -240,7 +241,7 @@ class Searcher:
 
 
 def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = 4) -> Iterator[Index]:
-    """An index for each shard of items. A shard holds ``SHARD_BYTES`` of text, whatever the
+    """An index for each shard of each class of items. A shard holds ``SHARD_BYTES`` of text, whatever the
     benchmark's size, and so has a bounded broadcast."""
     items = benchmark.where(F.length(F.col(text_col)) > 0).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
 
@@ -249,21 +250,26 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             rows = [(t, len(own)) for own in map(terms_of, texts) if own for t in (*set(own), b"")]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["term", "n"])
 
-    counted = items.mapInArrow(terms, "term binary, n long").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"), F.max("n").alias("longest"))
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in rows_of(batches, "item_id", "text"):
+            rows = [(i, t, n, ((n - 1) // CLASS_WORDS).bit_length()) for i, t in zip(ids, texts, strict=True) if (n := len(terms_of(t)))]
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int32()), strict=True)], names=["item_id", "text", "n", "class"])
+
+    counted = items.mapInArrow(terms, "term binary, n long").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
     whole = counted.where(F.length("term") == 0).head()
     if whole is None:
         return
-    size = items.agg(F.sum(F.octet_length("text"))).head()[0]
-    shards = math.ceil(size / SHARD_BYTES)
-    stride = max(16, min(MAX_STRIDE, whole["longest"]))
-    for k in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        rows = sorted(tuple(r) for r in own.collect())
-        names = own.mapInArrow(terms, "term binary, n long").select("term").distinct()
-        frequencies = {bytes(r["term"]): r["df"] for r in counted.join(names, "term", "left_semi").select("term", "df").collect()}
-        rows = [r for r in rows if terms_of(r[1])]
-        if rows:
-            yield Index.build(rows, whole["df"], max(1.0, whole["n"] / whole["df"]), frequencies, width, stride)
+    classed = items.mapInArrow(classes, "item_id long, text string, n long, class int")
+    for c in classed.groupBy("class").agg(F.max("n").alias("longest"), F.sum(F.octet_length("text")).alias("size")).orderBy("class").collect():
+        shards = math.ceil(c["size"] / SHARD_BYTES)
+        for k in range(shards):
+            own = classed.where((F.col("class") == c["class"]) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)).select("item_id", "text")
+            rows = sorted(tuple(r) for r in own.collect())
+            names = own.mapInArrow(terms, "term binary, n long").select("term").distinct()
+            frequencies = {bytes(r["term"]): r["df"] for r in counted.join(names, "term", "left_semi").select("term", "df").collect()}
+            if rows:
+                yield Index.build(rows, whole["df"], max(1.0, whole["n"] / whole["df"]), frequencies, width, max(16, c["longest"]))
 
 
 def _search_udf(shared, threshold: float, min_question: float, min_answer: float):

@@ -69,3 +69,14 @@ def test_query_finds_planted_items_alone(spark, monkeypatch):
     monkeypatch.setattr(d, "SHARD_BYTES", 2000)
     assert {(r.doc_id, r.item_id) for r in d.leaks(documents, benchmark).collect()} == once
     assert d.leaks(documents, benchmark.limit(0)).count() == d.leaks(documents.limit(0), benchmark).count() == 0
+
+
+def test_query_finds_long_items_at_every_offset(spark):
+    items, texts = corpus()
+    rng = random.Random(3)
+    long = {900 + n: " ".join(f"q{rng.randrange(5000)}" for _ in range(n - 10)) + ". " + " ".join(f"a{i}" for i in range(10)) for n in (257, 600, 1000)}
+    copies = [(i, "filler " * at + text + " filler" * 50) for i, text in long.items() for at in (0, 1, 100, 255, 300, 511, 700, 999, 2003)]
+    documents = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(copies)] + [(1000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in d.leaks(documents, spark.createDataFrame([*items, *long.items()], "item_id long, text string")).collect()}
+    assert {(k, i) for k, (i, _) in enumerate(copies)} == {x for x in found if x[0] < 1000}
+    assert {(1000 + k, j) for k, t in enumerate(texts) for j, x in items if t and x.upper() in t} <= found

@@ -3,14 +3,14 @@
 Encoding keeps an agenda of adjacent symbol pairs whose union is a piece; the best piece merges
 first, the leftmost of equals. Each candidate merge is skipped for good if a keyed hash of (seed,
 variant, segment, where the two symbols start, meet and end) falls below the dropout rate. The
-variant is a hash of (seed, document id, place of the segment) modulo ``variants``, so equal words
-are cut differently within and between documents, and every run gives the same ids. With
-dropout 0 the ids are those of the sentencepiece library.
+variant is a hash of (seed, document id, place of the segment), so each occurrence of a word is cut
+by itself, and every run gives the same ids. With dropout 0 the ids are those of the sentencepiece library.
 
 No piece of the model holds a word mark after another character, so a text is cut to segments before
-runs of marks and around line feeds, and segments are encoded apart: once for each different
-(segment, variant) that a worker meets, all of one length at a time, a merge per round. Segments
-longer than ``LONG`` symbols use a heap.
+runs of marks and around line feeds, and segments are encoded apart, all of one length at a time, a
+merge per round. Segments longer than ``LONG`` symbols use a heap. Of a segment met ``OFTEN`` times a worker
+keeps the list of candidate merges; the ids depend on which of these are skipped alone, so they are
+encoded once for each different set of skipped ones.
 
 Characters without a piece, and the word mark itself when a text holds it, become byte pieces, so
 decoding gives back each text exactly.
@@ -38,6 +38,7 @@ from .common import MUL, mixed
 
 MARK = "▁"
 LONG = 64
+OFTEN, MOST = 8, 40  # occurrences from which, and number up to which, a segment's candidates are kept
 BATCH_CHARS = 3_000_000
 SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 NEVER = 2**31 - 1
@@ -208,6 +209,20 @@ def spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def candidate_spans(model: Model, symbols: list[int]) -> list[tuple[int, int, int]]:
+    """(start, middle, end) of every merge that some order of merges can offer."""
+    at = {(i, i + 1): s for i, s in enumerate(symbols) if s >= 0}
+    out = []
+    for width in range(2, len(symbols) + 1):
+        for start in range(len(symbols) - width + 1):
+            for middle in range(start + 1, start + width):
+                a, b = at.get((start, middle)), at.get((middle, start + width))
+                if a is not None and b is not None and (hit := model.pairs.get(a << 32 | b)):
+                    at[start, start + width] = hit[0]
+                    out.append((start, middle, start + width))
+    return out
+
+
 class _Codes(dict):
     """Segment -> number in order of first use."""
 
@@ -221,8 +236,8 @@ class _Codes(dict):
 
 
 class Encoder:
-    def __init__(self, model: Model, rate: float, seed: int, variants: int):
-        self.model, self.rate, self.seed, self.variants = model, rate, seed, variants if rate else 1
+    def __init__(self, model: Model, rate: float, seed: int, variants: int | None = None):
+        self.model, self.rate, self.seed, self.variants = model, rate, seed, variants
         self._forget()
         self.characters = np.full(65536, -1, np.int64)
         for c, i in model.symbols.items():
@@ -230,35 +245,52 @@ class Encoder:
                 self.characters[ord(c)] = i
 
     LIMIT = 300_000  # segments that a Python worker remembers
+    KEPT = 600_000  # and encodings
 
     def _forget(self) -> None:
-        self.known, self.flat, self.used = _Codes(), np.empty(1 << 16, np.int32), 0
-        self.begin, self.sizes = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, pairs: np.ndarray) -> None:
-        """Encodes the (segment, variant) pairs that aren't known yet."""
-        most = len(self.known.names) * self.variants
-        if most > len(self.begin):
-            more = max(most, 2 * len(self.begin)) - len(self.begin)
-            self.begin, self.sizes = np.append(self.begin, np.full(more, -1, np.int64)), np.append(self.sizes, np.zeros(more, np.int64))
-        new = np.unique(pairs[self.begin[pairs] < 0])
-        if not len(new):
-            return
-        segments = [self.known.names[c] for c in (new // self.variants).tolist()]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in segments), np.uint64, len(segments))
-        ids, starts = self.encode_segments(segments, hashes, new % self.variants)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat[: self.used], np.empty(max(len(ids), len(self.flat)), np.int32))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[new], self.sizes[new] = self.used + starts[:-1], np.diff(starts)
-        self.used += len(ids)
+        self.known, self.slots, self.flat, self.used = _Codes(), _Codes(), np.empty(1 << 16, np.int32), 0
+        self.begin, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)  # of each encoding
+        self.hashes, self.seen = np.empty(0, np.uint64), np.empty(0, np.int64)  # of each segment
+        self.first, self.many = np.empty(0, np.int64), np.empty(0, np.int64)  # its candidates; -1 if not kept
+        self.spans, self.n_spans = np.empty((3, 1 << 12), np.int64), 0
+
+    def _meet(self, codes: np.ndarray) -> None:
+        """Notes new segments, and the candidates of those now met often."""
+        names = self.known.names
+        new = len(names) - len(self.seen)
+        self.hashes = np.append(self.hashes, np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in names[len(self.seen) :]), np.uint64, new))
+        self.first, self.many = np.append(self.first, np.full(new, -1)), np.append(self.many, np.zeros(new, np.int64))
+        before = np.append(self.seen, np.zeros(new, np.int64))
+        self.seen = before + np.bincount(codes, minlength=len(names))
+        for c in np.flatnonzero((before < OFTEN) & (self.seen >= OFTEN)).tolist():
+            own = candidate_spans(self.model, self.model.symbol_ids(names[c])) if self.rate and len(names[c]) <= MOST else []
+            if len(own) > MOST or self.rate and len(names[c]) > MOST:
+                continue
+            if self.n_spans + len(own) > self.spans.shape[1]:
+                self.spans = np.concatenate([self.spans, np.empty_like(self.spans)], axis=1)
+            if own:
+                self.spans[:, self.n_spans : self.n_spans + len(own)] = np.array(own).T
+            self.first[c], self.many[c] = self.n_spans, len(own)
+            self.n_spans += len(own)
+
+    def _skipped(self, codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which of its segment's candidates each occurrence skips, as bits."""
+        out, first, many = np.zeros(len(codes), np.int64), self.first[codes], self.many[codes]
+        rows = np.argsort(-many, kind="stable")
+        left = np.searchsorted(-many[rows], -np.arange(many.max(initial=0)), "left")
+        for k, n in enumerate(left.tolist()):
+            own = rows[:n]
+            out[own] |= dropped(keys[own], *self.spans[:, first[own] + k], self.rate).astype(np.int64) << k
+        return out
 
     def segment_keys(self, hashes: np.ndarray, variant: np.ndarray) -> np.ndarray:
         return mixed(hashes ^ mixed(np.uint64(self.seed) + variant.astype(np.uint64) * MUL))
 
     def encode_segments(self, segments: list[str], hashes: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different (segment, variant) pairs, flat, and where each one starts."""
-        keys = self.segment_keys(hashes, variant)
+        """Ids of (segment, variant) pairs, flat, and where each one starts."""
+        return self._encode_keys(segments, self.segment_keys(hashes, variant))
+
+    def _encode_keys(self, segments: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, counts, ids
         for length in np.unique(lengths).tolist():
@@ -310,13 +342,31 @@ class Encoder:
         codes = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
         key = np.array([xxhash.xxh64_intdigest(repr(i), self.seed) for i in ids], np.uint64)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        variant = (mixed(np.repeat(key, counts) + place.astype(np.uint64) * MUL) % np.uint64(self.variants)).astype(np.int64)
-        pairs = codes * self.variants + variant
-        self._learn(pairs)
-        begin, sizes = self.begin[pairs], self.sizes[pairs]
+        variant = mixed(np.repeat(key, counts) + place.astype(np.uint64) * MUL)
+        if self.variants:
+            variant %= np.uint64(self.variants)
+        self._meet(codes)
+        keys = self.segment_keys(self.hashes[codes], variant)
+        often, single = np.flatnonzero(self.first[codes] >= 0), np.flatnonzero(self.first[codes] < 0)
+        states, example, state = np.unique(codes[often] << MOST | self._skipped(codes[often], keys[often]), return_index=True, return_inverse=True)
+        n_known = len(self.slots.names)
+        slot = np.fromiter(map(self.slots.__getitem__, states.tolist()), np.int64, len(states))
+        rows = np.concatenate([often[example[slot >= n_known]], single])
+        if len(rows):
+            found, starts = self._encode_keys([segments[i] for i in rows.tolist()], keys[rows])
+            if self.used + len(found) > len(self.flat):
+                self.flat = np.append(self.flat[: self.used], np.empty(max(len(found), len(self.flat)), np.int32))
+            self.flat[self.used : self.used + len(found)] = found
+            starts, n_new = self.used + starts, len(rows) - len(single)
+            self.begin, self.sizes = np.append(self.begin, starts[:n_new]), np.append(self.sizes, np.diff(starts)[:n_new])
+            self.used = int(starts[n_new])  # the next batch writes over what is not kept
+        begin, sizes = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+        begin[often], sizes[often] = self.begin[slot[state]], self.sizes[slot[state]]
+        if len(single):
+            begin[single], sizes[single] = starts[n_new:-1], np.diff(starts)[n_new:]
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         whole = self.flat[np.repeat(begin, sizes) + within]
-        if len(self.known.names) > self.LIMIT:
+        if len(self.known.names) > self.LIMIT or len(self.slots.names) > self.KEPT:
             self._forget()
         ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), counts), sizes, len(texts)).astype(np.int64))
         return np.split(whole, ends[:-1])
@@ -326,7 +376,7 @@ _MODELS: dict[str, Model] = {}
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder_for(path: str, rate: float, seed: int, variants: int) -> Encoder:
+def encoder_for(path: str, rate: float, seed: int, variants: int | None) -> Encoder:
     """A Python worker's model and encoder, kept from one task to the next."""
     model = _MODELS.get(path) or _MODELS.setdefault(path, Model(path))
     key = (path, rate, seed, variants)
@@ -342,7 +392,7 @@ def _coded(batches: Iterator[pa.RecordBatch], encoder: Encoder, id_col: str, tex
             yield batch.slice(a, b - a), ids, pa.array([encoder.model.decode(x) == (t or "") for x, t in zip(ids, texts[a:b], strict=True)], pa.bool_())
 
 
-def with_ids(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def with_ids(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``documents`` with ids (array of int) and lossless: whether decoding them gives the text."""
     documents = documents.drop("ids", "lossless")
 
@@ -356,7 +406,7 @@ def with_ids(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int
     return documents.mapInArrow(encode, schema)
 
 
-def id_digests(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
+def id_digests(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers) and lossless."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,3 +58,23 @@ def test_varied_seeded_and_lossless(spark, model):
     assert key(once) == key(p.id_digests(documents.repartition(1), PATH, rate=0.2, seed=9).collect())
     assert key(once) != key(p.id_digests(documents, PATH, rate=0.2, seed=10).collect())
     assert p.id_digests(documents.limit(0), PATH).count() == 0
+
+
+def test_each_occurrence_is_cut_by_itself(model):
+    encoder = p.Encoder(model, 0.1, 17)
+    letters = [c for c in "abcdeimopst" if p.MARK + c in model.symbols]
+    for c, ids in zip(letters, encoder.encode(list(range(len(letters))), [f"{c} " * 4000 for c in letters]), strict=True):
+        assert abs(np.count_nonzero(ids == model.symbols[p.MARK + c]) / 4000 - 0.9) < 0.03
+
+
+def test_kept_encodings_equal_the_agenda(model):
+    encoder, rng = p.Encoder(model, 0.2, 5), random.Random(6)
+    own = [" ".join(rng.choices(["the", "walking", "Übergang", "字", "x" * 70, "unbelievable"], k=60)) + f" rare{i}" for i in range(20)]
+    for _ in range(2):
+        for i, ids in enumerate(encoder.encode(list(range(20)), own)):
+            want, key = [], p.xxhash.xxh64_intdigest(repr(i), 5)
+            for place, s in enumerate(p.SEGMENTS.findall(p.MARK + own[i].replace(" ", p.MARK))):
+                variant = p.mixed(np.array([key], np.uint64) + np.array([place], np.uint64) * p.MUL)
+                one = encoder.segment_keys(np.array([p.xxhash.xxh64_intdigest(s)], np.uint64), variant)
+                want += model.finish(p.agenda_merge(model, model.symbol_ids(s), int(one[0]), 0.2))
+            assert ids.tolist() == want

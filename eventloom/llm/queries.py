@@ -52,6 +52,12 @@ def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
+def op5_stupid_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigrams with two levels of backoff; the SQL of the query above is of bigrams."""
+    scored = score_documents(table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archive": op3_warc_archive,
     "op4_direct_codes": op4_direct_codes,
     "op5_stupid_backoff": op5_stupid_backoff,
+    "op5_stupid_backoff_order3": op5_stupid_backoff_order3,
     "op6_kd_shards": op6_kd_shards,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_chat_collapse": op8_chat_collapse,

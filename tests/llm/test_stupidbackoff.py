@@ -38,3 +38,15 @@ def test_scores_equal_brute_force(spark, monkeypatch, order, min_count):
 
 def test_empty_table(spark):
     assert sb.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_registered_trigram_query(spark, tmp_path):
+    from eventloom.llm.queries import QUERIES
+
+    rng = random.Random(7)
+    texts = [None, *(" ".join(rng.choices(["the", "a", "b", "c"], k=rng.randint(0, 40))) for _ in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in QUERIES["op5_stupid_backoff_order3"](spark, str(tmp_path)).collect())
+    want = brute(texts, 3, 0.4, 2)
+    assert [x[:2] for x in got] == [(i, n) for i, (n, _) in enumerate(want)]
+    assert [x[2] for x in got] == pytest.approx([s for _, s in want], abs=1e-4)

@@ -173,10 +173,22 @@ _RULES = """SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN 'FREQ=
     SELECT rule_id, date FROM r, d WHERE (rule_id % 3 = 0 AND dayofweek(date) = 6 AND (date_diff('day', DATE '2024-01-06', date) // 7) % 2 = 0)
       OR (rule_id % 3 = 1 AND dayofweek(date) = 3 AND day(date) BETWEEN 8 AND 14) OR (rule_id % 3 = 2 AND date = last_day(date))""")
 def rrule_occurrences(t: Tables) -> DataFrame:
+    return _occurrences(t.part.where("p_size <= 5"))
+
+
+def _occurrences(parts: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     rule = F.when(k % 3 == 0, "FREQ=WEEKLY;INTERVAL=2;BYDAY=SA").when(k % 3 == 1, "FREQ=MONTHLY;BYDAY=2WE").otherwise("FREQ=MONTHLY;BYMONTHDAY=31")
     day = lambda s: F.lit(s).cast("date")
-    return t.part.where("p_size <= 5").select(k.alias("rule_id"), F.explode(occurrences(rule, day("2024-01-10"), day("2024-09-30"), day("2024-01-06"))).alias("date"))
+    return parts.select(k.alias("rule_id"), F.explode(occurrences(rule, day("2024-01-10"), day("2024-09-30"), day("2024-01-06"))).alias("date"))
+
+
+@query("""
+    WITH r AS (SELECT p_partkey AS rule_id FROM part), d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-09-30', INTERVAL 1 DAY)) AS DATE) AS date)
+    SELECT rule_id, date FROM r, d WHERE (rule_id % 3 = 0 AND dayofweek(date) = 6 AND (date_diff('day', DATE '2024-01-06', date) // 7) % 2 = 0)
+      OR (rule_id % 3 = 1 AND dayofweek(date) = 3 AND day(date) BETWEEN 8 AND 14) OR (rule_id % 3 = 2 AND date = last_day(date))""")
+def rrule_occurrences_all(t: Tables) -> DataFrame:
+    return _occurrences(t.part)
 
 
 @query("""

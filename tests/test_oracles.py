@@ -48,3 +48,10 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(expected.columns) == names
     at = [expected.columns.index(c) for c in names]
     assert rows == sorted(tuple(plain(r[i]) for i in at) for r in expected.fetchall())
+
+
+def test_whole_tables_are_read(spark, duck):
+    found = QUERIES["unpivot_matrix_month"](spark, SF_DIR).selectExpr("sum(n)").head()[0]
+    assert found == duck.sql("SELECT count(*) FROM events WHERE ts IS NOT NULL").fetchall()[0][0]
+    rules = QUERIES["rrule_occurrences_all"](spark, SF_DIR).select("rule_id").distinct().count()
+    assert rules == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]

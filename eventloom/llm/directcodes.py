@@ -9,6 +9,8 @@ A file is a run of segments of whole documents, then a footer::
 
     DACS | segment ... | doc ids, doc starts, segment table | footer bytes (uint64) | DACS
 
+Texts are encoded as the library's plain call does, so the name of an added token in a text is that token.
+
 Defined results: a null text is empty and so holds the end id alone; a null doc_id sorts
 first and comes back null; repeated doc_ids are separate documents; an empty table gives no
 file and no rows; columns other than the two named are ignored. A document may be of any
@@ -187,61 +189,74 @@ class Reader:
         return self.segment(k).slice(start - base, stop - base)
 
 
-class BatchEncoder:
-    """Ids of whole texts by the tokenizers library.
+#: pre-tokens of the byte-level pattern, spelt out for characters whose classes never changed
+PRE_TOKENS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n+(?!\S)|\n+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be printed, else one of the next free ones."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
+
+
+class BatchEncoder(dict):
+    """Ids of whole texts by the tokenizers library; as a dict, piece -> its ids as bytes.
 
     Byte-level BPE never joins a character with a space after it. So where every space of a text
     stands before a character that isn't white space, the ids of the text are those of its
-    pieces cut before each space, and repeated pieces need encoding once. Other texts go to the
-    library as they are.
+    pieces cut before each space, and repeated pieces need encoding once. A new piece of plain letters,
+    digits, punctuation and line feeds is cut to pre-tokens, which go to the library's model; any
+    other piece, and any other text, goes to the library as it is.
     """
 
-    LIMIT = 400_000  # pieces of one generation; two are kept
+    LIMIT = 300_000  # pieces, and pre-tokens, of one generation; two are kept
     ODD = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.n_bytes[i] = len(token)  # byte-level tokens have a character for each byte
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.letters = byte_letters()
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces as one text and cuts its ids where the pieces' bytes end. Every
-        piece starts with a space and ends before one, so none joins the next."""
-        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, np.uint32)
-        ends = np.cumsum([len(p.encode("utf-8")) for p in pieces])
-        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
-        start = 0
-        for piece, cut in zip(pieces, cuts.tolist(), strict=True):
-            self.known[piece] = ids[start:cut].tobytes()
-            start = cut
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        known = self.words.get(word) or self.older_words.get(word)
+        if known is None:
+            spelt = word.replace(" ", "\u0120") if word.isascii() and "\n" not in word else "".join(map(self.letters.__getitem__, word.encode("utf-8")))
+            known = np.array([t.id for t in self.model.tokenize(spelt)], np.uint32).tobytes()
+        self.words[word] = known
+        return known
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            parts = PRE_TOKENS.findall(piece)
+            found = b"".join(map(self._word, parts)) if sum(map(len, parts)) == len(piece) else self._plain(piece)
+        self[piece] = found
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if "\0" in text or self.ODD.search(text):
+        if "\0" in text or self.ODD.search(text) or self.added.search(text):
             return np.frombuffer(self._plain(text), np.uint32)
-        first, *pieces = text.replace(" ", "\0 ").split("\0")
-        known = self.known
-        if len(known) > self.LIMIT:
-            self.older, self.known = known, (known := {})
-        if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-            older = self.older
-            known.update((p, older[p]) for p in new if p in older)
-            if new := [p for p in new if p not in older]:
-                self._learn(new)
-        if first and first not in known:
-            known[first] = self._plain(first)
-        return np.frombuffer((known[first] if first else b"") + b"".join(map(known.__getitem__, pieces)), np.uint32)
+        if len(self) > self.LIMIT:
+            self.older = dict(self)
+            self.clear()
+        if len(self.words) > self.LIMIT:
+            self.older_words, self.words = self.words, {}
+        return np.frombuffer(b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0"))), np.uint32)
 
 
 _ENCODERS: dict[str, BatchEncoder] = {}
@@ -274,7 +289,8 @@ def encode_to_files(documents: DataFrame, tokenizer_path: str, end_id: int, fold
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.total], pa.int64())], names=["part", "file", "docs", "tokens"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows that share an id, null ones among them, are dealt out by their texts' hashes
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     ordered.mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(schema).parquet(f"{folder}/manifest")
     # one row for each file, not for each document

@@ -8,6 +8,7 @@ import pytest
 
 from eventloom.llm import directcodes as dc
 
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,15 +43,18 @@ def test_file_random_access(monkeypatch):
 def test_pieces_equal_whole_text():
     rng = random.Random(5)
     alphabet = ["a", "The", " ", " ", "\n", "é", "1", "'s", "!!", "\t", " ", "<|endoftext|>", "字", "\0", "  "]
-    encoder, plain = dc.BatchEncoder(PATH), dc.BatchEncoder(PATH).tokenizer
+    encoder, plain = dc.BatchEncoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("a\n b", "a\n\n b", "a\n\nb", "x's 't ''s ('s 'S", "a<|endoftext|> b", "fa\u00e7on \u0153uvre \u00d7\u00f7 12ab a_b", "a\x1cb \x85c", "\u65e5\u672c \u8a9e"):
+        assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encoder.encode("<|endoftext|>").tolist() == [50256]
     for _ in range(3000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
         assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_documents(spark):
-    texts = {5: "Hello there,  world\n", 1: None, 9: "", 2: "x" * 200_000, 3: "a b c"}
-    plain = dc.BatchEncoder(PATH).tokenizer
+    texts = {5: "Hello there,  world\n", 1: None, 9: "", 2: "x" * 200_000, 3: "a b c", 7: "end <|endoftext|> of it"}
+    plain = Tokenizer.from_file(PATH)
     rows = [(k, v, "clash") for k, v in texts.items()]
     got = sorted(tuple(r) for r in dc.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, start string"), PATH).collect())
     want, start = [], 0
@@ -62,3 +66,11 @@ def test_documents(spark):
     assert dc.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     again = dc.encode_documents(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), PATH)
     assert [(r.doc_id, r.start) for r in again.orderBy("start").collect()] == [(None, 0), (1, 2), (1, 4)]
+
+
+def test_generations_keep_the_ids(monkeypatch):
+    monkeypatch.setattr(dc.BatchEncoder, "LIMIT", 5)
+    encoder, plain, rng = dc.BatchEncoder(PATH), Tokenizer.from_file(PATH), random.Random(3)
+    for _ in range(300):
+        text = " ".join(rng.choice(["re", "anning.", "the", "over\nIt", "x1", "(a)", "fa\u00e7ade", "of,"]) for _ in range(4))
+        assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -1,13 +1,20 @@
 """Stupid-backoff language-model scores of all documents from n-gram counts of all documents.
 
 ``S(w | h) = count(h w) / count(h)`` if the n-gram h w occurs at least ``min_count`` times in the corpus, else
-``alpha * S(w | h without its first word)``; the last level is ``count(w) / N``.
+``alpha * S(w | h without its first word)``; the last level is ``count(w) / N``. The scored documents are the
+corpus, so every n-gram was seen: ``min_count`` of 2, the default, asks for one seen elsewhere too.
 
-The tables are relational, in packed rows to keep shuffles small. Documents are dealt to batches. A
-batch states its different n-grams, sorted by hash, with their counts in it: the counts' table is
-partitioned by the leading bits of the hash, and each partition adds up what all batches sent (a very
-common n-gram comes once from each batch). The sums return as the answer to the batch's own
-n-grams, are joined to the n-grams exploded from its documents, and summed per document.
+A document's score is that of backing off everywhere, plus for each n-gram of at least ``min_count`` what its own
+estimate adds over the one below. All of it is tables:
+
+*   words are counted; the ``TOP`` most frequent ones (a bound, so a broadcast) give their counts on the spot;
+*   n-grams are exploded, one row each, and partitioned by their hash, where each is counted and its
+    documents' rows take the count; rarer words of an n-gram that counts are looked up in the word table by a join;
+*   what rows add is summed per document.
+
+Pairs of two very common words (over one in ``HOT`` of all, so fewer than ``HOT`` words) don't meet in one
+partition: their counts are pre-aggregated to at most ``HOT`` squared sums, which are broadcast.
+From trigrams on, n-grams carry the hashes of their history and suffix, and those that count are joined to the table below.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, n-grams 64-bit hashes. Defined results: a null
 or empty text has no words and a score of 0; rows that repeat a doc_id count and are scored one by
@@ -18,112 +25,215 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mixed, windows
+from .common import hashed_words, mixed, stored, windows
 
-BATCH_BYTES = 16 << 20
-PART_WORDS = 3_000_000
-LEAST_BATCHES = 16
+TOP = 1 << 20
+HOT = 1024
+DOCS = 500
+BINS = 64  # of the word counts' logarithm to base 2
 
 
-def grams_of(flat: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
-    """n-grams of each length for all documents in a row; those that cross a document's end are 0."""
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
-    out = []
-    for n in range(1, order + 1):
-        own = np.zeros(len(flat), np.uint64)
-        if len(flat) >= n:
-            own[: len(flat) - n + 1] = mixed(windows(flat, n) + np.uint64(n))
-        out.append(np.where(left >= n, np.maximum(own, np.uint64(1)), np.uint64(0)))
-    return out
+@dataclass
+class Words:
+    """The most frequent words: hashes in order, natural logs of counts, and places among the hot ones (-1: none)."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+    hot: np.ndarray
+    n_words: int
+    pairs: np.ndarray | None = None  # counts of pairs of hot words
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words and whether they are here."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
 
 
-def batch_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Word counts of the texts, n-grams by length, and the different n-grams with counts."""
-    hashes, at = hashed_words(pa.array(texts, pa.large_string()))
-    grams = grams_of(hashes, np.diff(at), order)
-    whole = np.concatenate(grams)
-    different, counts = np.unique(whole[whole > 0], return_counts=True)
-    return np.diff(at), grams, different, counts
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n-gram that starts at each word."""
+    return mixed(windows(hashes, n) + np.uint64(n)) if len(hashes) >= n else hashes[:0]
 
 
-def scores(lengths: np.ndarray, grams: list[np.ndarray], different: np.ndarray, totals: np.ndarray, n_words: int, alpha: float, min_count: int) -> np.ndarray:
-    """Natural-log score of each document."""
-    if not len(different):
-        return np.zeros(len(lengths))
-    found = [np.where(g > 0, totals[np.minimum(np.searchsorted(different, g), len(different) - 1)], 0).astype(np.float64) for g in grams]
-    word = np.log(found[0] / n_words)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    for n in range(2, len(grams) + 1):
-        # the n-gram that ends at each word starts n - 1 words before; its history is the (n - 1)-gram there
-        full, history = (np.concatenate([np.zeros(min(n - 1, len(word))), found[k][: max(0, len(word) - n + 1)]]) for k in (n - 1, n - 2))
-        seen = (place >= n - 1) & (full >= min_count)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            word = np.where(seen, np.log(full / history), word + np.where(place >= n - 1, math.log(alpha), 0.0))
-    return np.bincount(np.repeat(np.arange(len(lengths)), lengths), word, len(lengths))
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """A few documents at a time: their rows, all words' hashes, where each text's words start, and each word's place in its text."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, DOCS):
+            part = batch.slice(a, DOCS)
+            hashes, at = hashed_words(part.column(column))
+            yield part, hashes, at, np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
 
 
-def _stated(parts: int, order: int):
-    """Packed rows of a batch: for each part of the hash range its n-grams and counts."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word (hash), n over all texts."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, different, counts = batch_grams(pdf["text"].tolist(), order)
-        cuts = np.searchsorted(different, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts))
-        rows = [(int(pdf["batch"].iloc[0]), k, g.tobytes(), c.astype("<u4").tobytes()) for k, (g, c) in enumerate(zip(np.split(different, cuts), np.split(counts, cuts), strict=True)) if len(g)]
-        return pd.DataFrame(rows, columns=["batch", "part", "grams", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, _, _ in _parts(batches, 0):
+            words, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(words)), pa.array(n)], names=["word", "n"])
 
-    return run
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds up one part of the table and answers every batch in the order it asked."""
-    grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-    sizes = [len(g) for g in grams]
-    _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]])
-    totals = np.bincount(inverse, counts)[inverse]
-    return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": [x.astype("<u4").tobytes() if x.max(initial=0) < 2**32 else _too_many() for x in np.split(totals, np.cumsum(sizes)[:-1])]})
+def _bin() -> F.Column:
+    return F.floor(F.log2("n") * BINS)
+
+
+def top_words(counts: DataFrame) -> tuple[Words, float]:
+    """At most ``TOP`` words, all those from some count on, and the bin of that count."""
+    n_words = counts.agg(F.sum("n")).head()[0] or 0
+    cut, room = math.inf, TOP
+    for r in sorted(counts.groupBy(_bin().alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r["bin"]
+    got = counts.where(_bin() >= F.lit(float(cut))).toPandas().sort_values("word", key=lambda w: w.astype(np.int64).to_numpy().view(np.uint64))
+    n = got["n"].to_numpy(np.int64)
+    hot = np.full(len(n), -1, np.int64)
+    often = n * HOT > n_words
+    hot[often] = np.arange(often.sum())
+    return Words(got["word"].to_numpy(np.int64).view(np.uint64), np.log(n), hot, n_words), cut
+
+
+def hot_pairs(texts: DataFrame, words: Words) -> np.ndarray:
+    """Counts of all pairs of hot words that follow each other in a text."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, _, place in _parts(batches, 0):
+            at, known = shared.value.find(hashes)
+            hot = np.where(known, shared.value.hot[at], -1) if len(at) and len(shared.value.hot) else np.full(len(at), -1)
+            own = (hot[:-1] >= 0) & (hot[1:] >= 0) & (place[1:] > 0)
+            pairs, n = np.unique(hot[:-1][own] * HOT + hot[1:][own], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n)], names=["pair", "n"])
+
+    out = np.zeros(HOT * HOT, np.int64)
+    if (words.hot >= 0).any():
+        got = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+        out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
 
 
-def _too_many() -> bytes:
-    raise OverflowError("an n-gram occurs over 2**32 times; widen the packed counts")
+ROWS = "kind byte, key long, row long, value double, first long, second long"
+DOC, RARE, PAIR = 0, 1, 2
+
+
+def exploded(documents: DataFrame, words: Words, order: int, alpha: float, min_count: int) -> DataFrame:
+    """The rows of single words and pairs. By ``kind``: of each document its id (first), words (second) and the
+    value that is known at once; of each rarer word its key and what its count adds to; of each
+    pair that may count its key, the value without its count, and the words whose counts aren't in the value."""
+    shared, log_alpha = documents.sparkSession.sparkContext.broadcast(words), math.log(alpha)
+    types = [pa.int8(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
+    def rows(kind: int, key, row, value, first, second) -> pa.RecordBatch:
+        arrays = [np.full(len(row), kind, np.int8), key, row, value, first, second]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(arrays, types, strict=True)], names=[f.split()[0] for f in ROWS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        log_n = math.log(max(1, w.n_words))
+        for part, hashes, at, place in _parts(batches, 2):
+            row, lengths = part.column(0).to_numpy(), np.diff(at)
+            owner = np.repeat(np.arange(len(row)), lengths)
+            where, known = w.find(hashes)
+            logs = np.where(known, w.logs[where], 0.0) if len(w.logs) else np.zeros(len(hashes))
+            # what the last level gives after backing off from all others; without a rarer word's own count
+            base = logs - log_n + log_alpha * np.minimum(place, order - 1)
+            gain = np.zeros(len(hashes))  # of the pair that ends at each word
+            h, t = np.flatnonzero(place[1:] > 0), np.flatnonzero(place[1:] > 0) + 1
+            value = -logs[h] - (logs[t] - log_n + log_alpha)
+            hot = np.where(known, w.hot[where], -1) if len(w.hot) else np.full(len(hashes), -1)
+            both = (hot[h] >= 0) & (hot[t] >= 0)
+            if order < 2:
+                h, t, value, both = h[:0], t[:0], value[:0], both[:0]
+            n = w.pairs[hot[h[both]] * HOT + hot[t[both]]]
+            gain[t[both]] = np.where(n >= min_count, np.log(np.maximum(n, 1)) + value[both], 0.0)
+            sums = np.bincount(owner, base + gain, len(row))
+            spread = mixed(row.astype(np.uint64) + np.uint64(0x51ED27))
+            yield rows(DOC, _signed(spread), row, sums, part.column(1), lengths)
+            if (rare := np.flatnonzero(~known)).size:
+                empty = pa.nulls(len(rare), pa.int64())
+                yield rows(RARE, _signed(hashes[rare]), row[owner[rare]], np.zeros(len(rare)), empty, empty)
+            # a word of fewer than min_count is in no pair of as many
+            few = math.log(min_count) - 1e-9
+            own = ~both & ~(known[h] & (logs[h] < few)) & ~(known[t] & (logs[t] < few))
+            h, t = h[own], t[own]
+            first, second = (pa.array(_signed(hashes[x]), pa.int64(), mask=known[x]) for x in (h, t))
+            yield rows(PAIR, _signed(mixed(mixed(hashes[h] * np.uint64(0x9E3779B97F4A7C15) + hashes[t]) + np.uint64(2))), row[owner[h]], value[own], first, second)
+
+    return documents.select("row", "doc_id", "text").mapInArrow(run, ROWS)
+
+
+def _known(rows: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the value that ``table`` (word, log_n) has for ``column``, 0 where that is null."""
+    return rows.join(table.select(F.col("word").alias(column), F.col("log_n").alias(name)), column, "left").fillna(0.0, [name])
+
+
+def pair_gains(rows: DataFrame, counts: DataFrame, cut: float, min_count: int) -> DataFrame:
+    """row, value, and of document rows first and second, for every exploded row that adds to a score."""
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "kind")))
+    plain = F.col("first").isNull() & F.col("second").isNull()
+    done = counted.where((F.col("kind") != PAIR) | (plain & (F.col("n") >= min_count)))
+    value = F.when(F.col("kind") == DOC, F.col("value")).otherwise(F.col("value") + F.log("n"))
+    done = done.select("row", value.alias("value"), *(F.when(F.col("kind") == DOC, F.col(c)).alias(c) for c in ("first", "second")), (F.col("kind") == DOC).alias("doc"))
+    # pairs of rarer words that count are few, and no such word is common
+    rare = counts.where(_bin() < F.lit(float(cut))).select("word", F.log("n").alias("log_n"))
+    left = counted.where((F.col("kind") == PAIR) & ~plain & (F.col("n") >= min_count))
+    left = _known(_known(left, rare, "first", "a"), rare, "second", "b")
+    missing = F.lit(None).cast("long")
+    return done.union(left.select("row", F.col("value") + F.log("n") - F.col("a") - F.col("b"), missing, missing, F.lit(False)))
+
+
+def higher_grams(documents: DataFrame, n: int) -> DataFrame:
+    """key, row, history, suffix of every n-gram, n of at least 2; these two are hashes of (n - 1)-grams, or words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, hashes, at, place in _parts(batches, 1):
+            left = np.repeat(at[1:], np.diff(at)) - np.arange(len(hashes))
+            own = np.flatnonzero(left >= n)
+            grams, below = _grams(hashes, n), _grams(hashes, n - 1) if n > 2 else hashes
+            row = part.column(0).to_numpy()[np.repeat(np.arange(part.num_rows), np.diff(at))]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(grams[own])), pa.array(row[own]), pa.array(_signed(below[own])), pa.array(_signed(below[own + 1]))], names=["key", "row", "history", "suffix"])
+
+    return documents.select("row", "text").mapInArrow(run, "key long, row long, history long, suffix long")
+
+
+def _estimates(grams: DataFrame, below: DataFrame, min_count: int) -> DataFrame:
+    """key, n, score and suffix score of the n-grams that count, from the table below (key, n, score)."""
+    counted = grams.groupBy("key", "history", "suffix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    out = counted.join(below.select(F.col("key").alias("history"), F.col("n").alias("before")), "history")
+    out = out.join(below.select(F.col("key").alias("suffix"), F.col("score").alias("lower")), "suffix")
+    return out.select("key", "n", (F.log("n") - F.log("before")).alias("score"), "lower")
 
 
 def score_documents(documents: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score (both natural logarithms)."""
-    text = F.coalesce("text", F.lit(""))
-    n_bytes, n_words = sizes(documents)
-    batches = max(LEAST_BATCHES, math.ceil(n_bytes / BATCH_BYTES))
-    parts = max(LEAST_BATCHES, math.ceil(n_words / PART_WORDS))
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32(text.cast("binary")))), F.lit(batches)).cast("int"))
-    stated = dealt.groupBy("batch").applyInPandas(_stated(parts, order), "batch int, part int, grams binary, counts binary")
-    answers = stated.groupBy("part").applyInPandas(_answered, "batch int, part int, totals binary")
-
-    def score(docs: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame({"doc_id": [], "n_words": [], "log_score": []})
-        lengths, grams, different, _ = batch_grams(docs["text"].tolist(), order)
-        totals = np.frombuffer(b"".join(answer.sort_values("part")["totals"]), "<u4")
-        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": lengths, "log_score": scores(lengths, grams, different, totals, n_words, alpha, min_count)})
-
-    scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, n_words long, log_score double")
-    return scored.withColumn("mean_log_score", F.coalesce(F.try_divide("log_score", "n_words"), F.lit(0.0)))
-
-
-def sizes(documents: DataFrame) -> tuple[int, int]:
-    """Bytes and words of all texts."""
-
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            raw = [t.encode("utf-8") if t else b"" for t in texts]
-            yield pd.DataFrame({"bytes": [len(r) for r in raw], "words": [len(r.split()) for r in raw]}, dtype="int64")
-
-    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    told = documents.select(F.pandas_udf(count, "bytes long, words long")("text").alias("t")).agg(F.sum("t.bytes"), F.sum("t.words")).head()
-    return told[0] or 0, told[1] or 0
+    base = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = stored(word_counts(base.select("text")), "lm-words")
+    words, cut = top_words(counts)
+    words.pairs = hot_pairs(base.select("text"), words)
+    gains = pair_gains(exploded(base, words, order, alpha, min_count), counts, cut, min_count)
+    if order > 2:
+        table = counts.select(F.col("word").alias("key"), "n", (F.log("n") - math.log(max(1, words.n_words))).alias("score"))
+        table = stored(_estimates(higher_grams(base, 2), table, min_count), "lm-table2")
+        for n in range(3, order + 1):
+            grams = higher_grams(base, n)
+            table = stored(_estimates(grams, table, min_count), f"lm-table{n}")
+            missing = F.lit(None).cast("long")
+            more = grams.select("key", "row").join(table, "key").select("row", (F.col("score") - F.col("lower") - math.log(alpha)).alias("value"), missing.alias("first"), missing.alias("second"), F.lit(False).alias("doc"))
+            gains = gains.union(more)
+    scored = gains.groupBy("row").agg(F.sum("value").alias("log_score"), F.max("first").alias("doc_id"), F.max("second").alias("n_words"))
+    return scored.select("doc_id", "n_words", "log_score", F.coalesce(F.try_divide("log_score", "n_words"), F.lit(0.0)).alias("mean_log_score"))

@@ -18,21 +18,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 CHUNK_TURNS = 1024
 
 
 def _turn_hash(seed: int) -> Column:
-    """Hash of position, role and text; ``xxhash64`` skips nulls, so they are flagged."""
-    return F.xxhash64(F.lit(seed), "pos", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+    """Hash of role and text; ``xxhash64`` skips nulls, so they are flagged."""
+    return F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+
 
+def turn_table(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Every different turn with its chunk of turn numbers, its place in the chunk and its content's hashes, written
+    to the shared folder. Texts are shuffled once for this; prefixes are computed from the other columns."""
+    turns = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(2**62))))
+    # the same partitioning serves the removal of repeats and the numbering
+    turns = turns.repartition("conv", "chunk").dropDuplicates()
+    place = F.row_number().over(Window.partitionBy("conv", "chunk").orderBy("turn", "role", "text"))
+    return stored(turns.withColumns({"place": place, "c1": _turn_hash(11), "c2": _turn_hash(29)}), "chat-turns")
 
-def prefix_hashes(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Turns with their position from 1, the conversation's length and the hash (h1, h2) of
+
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """conv, chunk, place and, of :func:`turn_table`'s rows, the position from 1, the conversation's length and the hash (h1, h2) of
     the prefix that ends there. Windows run over chunks of turn numbers, whose totals
     are carried forward, so one huge conversation isn't one task."""
-    turns = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).dropDuplicates()
-    turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(2**62))))
-    in_chunk = Window.partitionBy("conv", "chunk").orderBy("turn", "role", "text")
+    turns = turns.select("conv", "chunk", "place", "c1", "c2")
     earlier = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv")
     keys = ("conv", "chunk")
@@ -43,13 +54,13 @@ def prefix_hashes(conversations: DataFrame, id_col: str = "conv_id", turn_col: s
 
     counts = turns.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("length"))
-    placed = same(turns, counts).withColumn("pos", F.row_number().over(in_chunk) + F.col("before"))
-    placed = placed.withColumns({"t1": _turn_hash(11), "t2": _turn_hash(29)})
+    placed = same(turns, counts).withColumn("pos", F.col("place") + F.col("before"))
+    placed = placed.withColumns({f"t{i}": F.xxhash64(F.lit(i), "pos", "c1", "c2") for i in (1, 2)})
     sums = placed.groupBy(*keys).agg(F.bit_xor("t1").alias("x1"), F.bit_xor("t2").alias("x2"))
-    sums = sums.select(*keys, *(F.coalesce(F.bit_xor(f"x{i}").over(earlier), F.lit(0)).alias(f"c{i}") for i in (1, 2)))
+    sums = sums.select(*keys, *(F.coalesce(F.bit_xor(f"x{i}").over(earlier), F.lit(0)).alias(f"s{i}") for i in (1, 2)))
     running = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     out = same(placed, sums)
-    return out.select("conv", "turn", "role", "text", "pos", "length", *(F.bit_xor(f"t{i}").over(running).bitwiseXOR(F.col(f"c{i}")).alias(f"h{i}") for i in (1, 2)))
+    return stored(out.select("conv", "chunk", "place", "pos", "length", *(F.bit_xor(f"t{i}").over(running).bitwiseXOR(F.col(f"s{i}")).alias(f"h{i}") for i in (1, 2))), "chat-prefixes")
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
@@ -63,9 +74,10 @@ def maximal_conversations(prefixes: DataFrame) -> DataFrame:
 def render_maximal(conversations: DataFrame, **names: str) -> DataFrame:
     """conv_id, n_turns, n_equal (conversations of the same content) and the rendered text
     of each maximal conversation: ``<|role|>`` line, text and ``<|end|>`` for every turn."""
-    prefixes = prefix_hashes(conversations, **names)
+    turns = turn_table(conversations, **names)
+    prefixes = prefix_hashes(turns)
     kept = maximal_conversations(prefixes).withColumnRenamed("conv", "_conv")
-    turns = prefixes.select("conv", "pos", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n")).alias("part"))
-    own = turns.join(kept, F.col("conv").eqNullSafe(F.col("_conv")))
-    packed = own.groupBy("conv", "n_turns", "n_equal").agg(F.sort_array(F.collect_list(F.struct("pos", "part"))).alias("parts"))
+    parts = turns.select("conv", "chunk", "place", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n")).alias("part"))
+    own = parts.join(kept, F.col("conv").eqNullSafe(F.col("_conv")))
+    packed = own.groupBy("conv", "n_turns", "n_equal").agg(F.sort_array(F.collect_list(F.struct("chunk", "place", "part"))).alias("parts"))
     return packed.select(F.col("conv").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), "n_equal", F.array_join(F.col("parts.part"), "").alias("text"))

@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 FEATURE_BITS = 20
 MIN_ROWS = 10  # training documents that a feature needs for a weight
 SURE = 8.0  # standard errors from which a feature counts in full
@@ -168,7 +170,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 12_000,
     rated = F.broadcast(grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows))
     extract = F.pandas_udf(lambda s: pd.Series([features(t).tobytes() for t in s]), "binary")
     chosen = documents.select("doc_id", F.col(text_col).alias("text")).join(rated, "doc_id")
-    got = chosen.select("doc_id", "grade", extract("text").alias("x")).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = chosen.select("doc_id", "grade", extract("text").alias("x")).groupBy("doc_id", "grade").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["grade"].to_numpy(np.int64))
 
 
@@ -182,8 +184,10 @@ def score(documents: DataFrame, model: OrdinalModel, min_tail: float = 0.7, text
             yield pd.DataFrame({"p1": p[:, 0], "p2": p[:, 1]})
 
     tails.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    scored = documents.drop(*RESULTS).withColumn("_p", F.pandas_udf(tails, "p1 double, p2 double")(F.col(text_col)))
-    return scored.withColumns({"expected_grade": F.col("_p.p1") + F.col("_p.p2"), "p_ge_1": F.col("_p.p1"), "p_ge_2": F.col("_p.p2"), "kept": F.col("_p.p2") >= min_tail}).drop("_p")
+    own = free_name([*documents.columns, *RESULTS], "_p")
+    p1, p2 = F.col(f"{own}.p1"), F.col(f"{own}.p2")
+    scored = documents.drop(*RESULTS).withColumn(own, F.pandas_udf(tails, "p1 double, p2 double")(F.col(text_col)))
+    return scored.withColumns({"expected_grade": p1 + p2, "p_ge_1": p1, "p_ge_2": p2, "kept": p2 >= min_tail}).drop(own)
 
 
 def classify(documents: DataFrame, labels: DataFrame, min_tail: float = 0.7, max_train_rows: int = 12_000, text_col: str = "text") -> DataFrame:

@@ -5,9 +5,8 @@ trusted target documents and that of the whole raw corpus. A document's score is
 of ``log p_target / p_raw`` over its n-grams, and it is kept if the score reaches a fixed threshold.
 Everything is DataFrame functions: no Python runs on the executors.
 
-Trained on labelled rows: the target model takes at most ``max_targets`` trusted documents, those of
-the lowest hashed ids (a documented bound, so that their ids can be broadcast). The raw
-model counts every n-gram of every document.
+The target model counts every n-gram of every trusted document, the raw model those of every document. Trusted ids
+meet the documents in a join that Spark plans by their size.
 
 Defined results: a null or empty text has zero in every count, fails the base rules and scores 0;
 rows that repeat a doc_id are documents of their own, each with the verdict of its text; without any
@@ -22,6 +21,8 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 SPACE = r"[\x20\x09-\x0D]+"
 TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 BUCKETS = 1 << 14
@@ -58,14 +59,15 @@ def base_columns(documents: DataFrame, text_col: str = "text") -> DataFrame:
     words = f"filter(split({text}, r'{SPACE}'), w -> w <> '')"
     lines = f"filter(split({text}, r'\n'), x -> x rlike r'[^\x20\x09-\x0D]')"
     counts = f"named_struct('n_words', cast(size(ws) as bigint), 'word_chars', cast(length(array_join(ws, '')) as bigint), 'n_repeat_words', {_repeat_words('ws')})"
-    df = documents.withColumn("_q", F.expr(_let(words, "ws", counts)))
+    own = free_name([*documents.columns, *RESULTS], "_q")
+    df = documents.withColumn(own, F.expr(_let(words, "ws", counts)))
     df = df.withColumns({
-        "n_words": F.col("_q.n_words"),
-        "word_chars": F.col("_q.word_chars"),
+        "n_words": F.col(f"{own}.n_words"),
+        "word_chars": F.col(f"{own}.word_chars"),
         "n_symbols": F.expr(f"cast(regexp_count({text}, r'[#*$%&|<>]') as bigint)"),
         "n_dup_lines": F.expr(_let(lines, "ls", "cast(size(ls) - size(array_distinct(ls)) as bigint)")),
-        "n_repeat_words": F.col("_q.n_repeat_words"),
-    }).drop("_q")
+        "n_repeat_words": F.col(f"{own}.n_repeat_words"),
+    }).drop(own)
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -81,19 +83,18 @@ def buckets(orders: tuple[int, ...], text_col: str = "text") -> str:
     return _let(f"regexp_extract_all(lower(coalesce({text_col}, '')), r'{TOKENS}', 0)", "ts", f"concat({', '.join(map(_grams, orders))})")
 
 
-def trusted_ids(labels: DataFrame, max_targets: int) -> DataFrame:
-    """At most ``max_targets`` ids of documents rated good and not toxic, lowest hashes first."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of documents rated good and not toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 and coalesce(x, 0) = 0 and doc_id is not null")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_targets)
+    return good.select("doc_id")
 
 
-def bucket_ratios(documents: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (1, 2), max_targets: int = 20_000, text_col: str = "text") -> list[float]:
+def bucket_ratios(documents: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (1, 2), text_col: str = "text") -> list[float]:
     """``log p_target / p_raw`` for each bucket. Counts meet as 2**14 sums at any input size."""
-    # a limit of max_targets ids of 8 bytes: the broadcast is bounded
-    trusted = F.broadcast(trusted_ids(labels, max_targets).withColumn("_qtrusted", F.lit(1)))
-    rows = documents.select("doc_id", text_col).join(trusted, "doc_id", "left")
-    grams = rows.select("_qtrusted", F.explode(F.expr(buckets(orders, text_col))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_qtrusted").alias("target")).collect()
+    trusted = trusted_ids(labels).withColumn("trusted", F.lit(1))
+    rows = documents.select("doc_id", F.col(text_col).alias("text")).join(trusted, "doc_id", "left")
+    grams = rows.select("trusted", F.explode(F.expr(buckets(orders))).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
     raw, target = {r["bucket"]: r["raw"] for r in counts}, {r["bucket"]: r["target"] for r in counts}
     n_raw, n_target = sum(raw.values()), sum(target.values())
     if not n_target:
@@ -102,9 +103,9 @@ def bucket_ratios(documents: DataFrame, labels: DataFrame, orders: tuple[int, ..
     return [log((target.get(b, 0) + SMOOTHING) / (n_target + floor)) - log((raw.get(b, 0) + SMOOTHING) / (n_raw + floor)) for b in range(BUCKETS)]
 
 
-def quality_columns(documents: DataFrame, labels: DataFrame, threshold: float = -0.25, orders: tuple[int, ...] = (1, 2), max_targets: int = 20_000, text_col: str = "text") -> DataFrame:
+def quality_columns(documents: DataFrame, labels: DataFrame, threshold: float = -0.25, orders: tuple[int, ...] = (1, 2), text_col: str = "text") -> DataFrame:
     """``documents`` with the counts, base_failed, llr and kept."""
-    ratios = bucket_ratios(documents, labels, orders, max_targets, text_col)
+    ratios = bucket_ratios(documents, labels, orders, text_col)
     # 2**14 numbers as one constant, which the optimizer folds to an array
     lookup = f"from_json('[{','.join(f'{r:.6f}' for r in ratios)}]', 'array<double>')"
     df = base_columns(documents.drop(*RESULTS), text_col)

@@ -35,6 +35,7 @@ DICT_MAGIC = b"\x5d\x2a\x4d\x18"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 ID_URI = "urn:x-page:"
 READ_BYTES = 1 << 17
+SAMPLE_CHARS = 1 << 16
 
 
 class WarcError(ValueError):
@@ -211,19 +212,22 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     The dictionary is trained on at most ``dictionary_pages`` pages, those of the lowest
     hashed ids. Which page leads a group of equal payloads comes from a pre-aggregated minimum
-    for each digest; only groups of several rows are joined back, by keys without payloads.
+    for each digest; only groups of several rows are joined back, by keys without payloads. Of a
+    page the dictionary sees ``SAMPLE_CHARS`` characters at most, which bounds what the driver gets.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     chosen = [r[0] for r in base.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(dictionary_pages).collect()]
-    samples = [r[0].encode("utf-8") for r in base.where(F.col("page_id").isin(chosen)).select("payload").limit(dictionary_pages).collect()] if chosen else []
+    sampled = base.where(F.col("page_id").isin(chosen)).select(F.substring("payload", 1, SAMPLE_CHARS)).limit(dictionary_pages)
+    samples = [r[0].encode("utf-8") for r in sampled.collect()] if chosen else []
     keyed = base.withColumn("digest", F.sha2("payload", 256))
-    groups = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
-    labelled = (
-        keyed.join(groups.select("digest", "first_id"), "digest", "left")
-        .withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
-        .select("page_id", "url", "payload", "digest", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"))
-    )
+    ids = keyed.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
+    groups = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    revisits = ids.join(groups.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    revisits = revisits.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    # payloads meet the few revisits by page and digest, so a page that very many rows hold is no hot key
+    labelled = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    labelled = labelled.select("page_id", "url", "payload", "digest", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to")
     manifest = write_archives(labelled, folder, train_dictionary(samples), date)
     return read_archives(manifest, folder)

@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and
 read again as the next stage's documents. All but the last give the columns of ``documents``.
+
+Defined results: a null or empty text fails the base rules, so nothing after the first stage sees one there; a stage
+called by itself keeps it where it can't judge it (classifier: by the grade of a document without features; near duplicates
+and decontamination: kept; ids: none). A null doc_id is a document like others. Rows that repeat a document are
+judged alike and leave near_duplicates as one. A stage that keeps nothing hands on an empty table, and the rest give empty ones. Further
+columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_batches, stored
+from eventloom.llm.common import bounded_batches, free_name, stored
 from eventloom.llm.decontaminate import leak_columns
-from eventloom.llm.jaccard import jaccard_components
+from eventloom.llm.jaccard import one_of_each_group
 from eventloom.llm.ordinal import classify
 from eventloom.llm.pieces import with_ids
 from eventloom.llm.qualityrules import quality_columns
@@ -29,17 +35,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component at a similarity of 0.8 on five-word shingles: that of the
-    smallest doc_id. Rows that repeat this doc_id within a component are one document."""
-    found = jaccard_components(docs, width=5, percent=80)
-    # ids of documents to go: few against all, so texts are shuffled only where these aren't small
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each component at a similarity of 0.8 on five-word shingles: that of the
+    smallest (doc_id, hash of the text), null ids last. Rows of one id with unlike texts are documents of their own."""
+    return one_of_each_group(docs, width=5, percent=80).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item's question and answer."""
-    return leak_columns(docs, table(spark, sf_dir, "benchmark"), name="_leaks").where(F.size("_leaks") == 0).select(docs.columns)
+    name = free_name(docs.columns, "_leaks")
+    return leak_columns(docs, table(spark, sf_dir, "benchmark"), name=name).where(F.size(name) == 0).select(docs.columns)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

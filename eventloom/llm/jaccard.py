@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_words, rows_of, stored, windows
+from .common import free_name, hashed_words, rows_of, stored, windows
 from .components import components
 
 MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB, at any input size
@@ -96,7 +96,7 @@ def _counts(sketches) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, width: int, emit, schema: str, ids=None) -> DataFrame:
-    """``emit(doc_id, node, shingles, seen)`` gives a row or None for each document. With ``ids``, a
+    """``emit((doc_id, text_hash), node, shingles, seen)`` gives a row or None for each document. With ``ids``, a
     broadcast bitmap of hashed doc_ids, only documents in it are looked at."""
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -105,19 +105,19 @@ def _sets(documents: DataFrame, width: int, emit, schema: str, ids=None) -> Data
         seen = set()
         for batch in batches:
             if ids is not None:
-                batch = batch.filter(pa.array(_marked(ids.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
+                batch = batch.filter(pa.array(_marked(ids.value, batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))))
             for a in range(0, batch.num_rows, 500):
                 part, out = batch.slice(a, 500), []
-                for doc_id, shingles in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
+                for doc_id, text_hash, shingles in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1), width), strict=True):
                     if len(seen) > 200_000:
                         seen.clear()
-                    if (row := emit(doc_id, node_of(shingles) if len(shingles) else None, shingles, seen)) is not None:
+                    if (row := emit((doc_id, text_hash), node_of(shingles) if len(shingles) else None, shingles, seen)) is not None:
                         out.append(row)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 
-    columns = ["doc_id", "text"] if ids is None else ["doc_id", "text", F.xxhash64("doc_id").alias("h")]
-    return documents.select(*columns).mapInArrow(run, schema)
+    hashed = [] if ids is None else [F.xxhash64("doc_id").alias("id_hash")]
+    return documents.select("doc_id", "text", "text_hash", *hashed).mapInArrow(run, schema)
 
 
 def _first_keys(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -320,21 +320,21 @@ def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 
 def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, n, node) of all documents, and edges (u, v) between nodes whose components
+    """rows (doc_id, text_hash, n, node) of all documents, and edges (u, v) between nodes whose components
     are those of all links at a similarity of ``percent`` hundredths."""
     spark = documents.sparkSession
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     counted = _first_keys(base, width, percent).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= FREQUENT[0])
     frequent = spark.sparkContext.broadcast(_bitmaps(counted, *(F.col("rows") >= n for n in FREQUENT)))
 
-    def second(doc_id, node, shingles, seen):
+    def second(row, node, shingles, seen):
         if node is None or node in seen:
-            return doc_id, node, len(shingles), None, None
+            return *row, node, len(shingles), None, None
         seen.add(node)
-        return doc_id, node, len(shingles), boundary(shingles, percent, frequent.value).tobytes(), sketch(shingles)
+        return *row, node, len(shingles), boundary(shingles, percent, frequent.value).tobytes(), sketch(shingles)
 
-    rows = stored(_sets(base, width, second, "doc_id long, node long, n int, keys binary, sketch binary"), "jaccard-rows")
+    rows = stored(_sets(base, width, second, "doc_id long, text_hash long, node long, n int, keys binary, sketch binary"), "jaccard-rows")
     bounded = rows.where("keys is not null")
     groups = stored(_exploded(bounded).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("key", "size"), "jaccard-groups")
     shared = spark.sparkContext.broadcast(_bitmaps(groups, F.lit(True))[0])
@@ -352,7 +352,7 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
     pairs = stored(pairs.select("pivot", "node", sized.alias("possible")), "jaccard-pairs")
     pairs = stored(_with_partners(pairs, sketches, percent), "jaccard-partners")
 
-    def whole(doc_id, node, shingles, seen):
+    def whole(_, node, shingles, seen):
         if node is None or node in seen:
             return None
         seen.add(node)
@@ -438,15 +438,43 @@ def _leaf_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("region", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 
-def jaccard_components(documents: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``documents`` (doc_id, text)."""
+def _grouped(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of all documents, and node, component (a node) of all nodes in a group of several rows."""
     rows, links = link_sets(documents, width, percent)
     comps = stored(components(stored(links, "jaccard-all-links")), "jaccard-components")
     # equal sets share a node; only groups of several rows get a component by join
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    placed = nodes.join(comps, "node", "left")
-    lone = placed.where("component is null and rows > 1").select("node", "least")
-    named = placed.where("component is not null")
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("_least")), "component").select("node", F.col("_least").alias("least"))
-    out = rows.join(lone.union(named), "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    lone = nodes.join(comps, "node", "left_anti").where("rows > 1").select("node", F.col("node").alias("component"))
+    return rows.select("doc_id", "text_hash", "n", "node"), comps.select("node", "component").union(lone)
+
+
+def jaccard_components(documents: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``documents`` (doc_id, text)."""
+    rows, groups = _grouped(documents, width, percent)
+    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(groups, "node")
+    named = least.join(least.groupBy("component").agg(F.min("least").alias("id")), "component").select("node", "id")
+    out = rows.join(named, "node", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each component: that of the smallest (doc_id, hash of the text), null ids last. Rows
+    without words are in no component and stay; rows that repeat both id and text are a group."""
+    rows, groups = _grouped(documents, width, percent)
+    told = rows.where("node is not null").groupBy("doc_id", "text_hash", "node").agg(F.count(F.lit(1)).alias("n_rows")).join(groups, "node")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = told.groupBy("component").agg(F.min(own).alias("first"))
+    told = told.join(first, "component").withColumn("stays", own == F.col("first"))
+    key, text_hash = free_name(documents.columns, "_text_hash"), F.xxhash64("text")
+    marked = documents.withColumn(key, text_hash)
+
+    def same(told: DataFrame, how: str) -> DataFrame:
+        told = told.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        return marked.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_hash")), how)
+
+    # ids and hashes of rows to go, and of those that stay once though they are repeated: few against all,
+    # so texts are shuffled only where these aren't small
+    repeated = F.col("stays") & (F.col("n_rows") > 1)
+    alone = same(told.where(~F.col("stays") | repeated), "left_anti")
+    once = same(told.where(repeated), "left_semi").dropDuplicates(["doc_id", key])
+    return alone.unionByName(once).drop(key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytic, relational, sourced  # noqa: F401  (they register their queries)
+from . import analytic, dashboards, relational, sourced  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

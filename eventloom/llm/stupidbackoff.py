@@ -105,7 +105,7 @@ def top_words(counts: DataFrame) -> tuple[Words, float]:
             break
         cut = r["bin"]
     own = _bin() >= F.lit(float(cut))
-    got = counts.where(own).toPandas()
+    got = counts.where(own).toArrow()  # two numbers for each of at most TOP words
     word, n = got["word"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     order = np.argsort(word)
     word, n = word[order], n[order]
@@ -128,7 +128,7 @@ def hot_pairs(texts: DataFrame, words: Words) -> np.ndarray:
             pairs, n = np.unique(rank[:-1][own] * HOT + rank[1:][own], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n)], names=["pair", "n"])
 
-    got = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    got = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(HOT * HOT, np.int64)
     out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out

@@ -106,7 +106,7 @@ def top_words(counts: DataFrame) -> tuple[Words, float]:
         cut = r["bin"]
     own = _bin() >= F.lit(float(cut))
     got = counts.where(own).toArrow()  # two numbers for each of at most TOP words
-    word, n = got["word"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    word, n = np.asarray(got["word"], np.int64).view(np.uint64), np.asarray(got["n"], np.int64)
     order = np.argsort(word)
     word, n = word[order], n[order]
     by_count = np.lexsort((word, -n))
@@ -130,7 +130,7 @@ def hot_pairs(texts: DataFrame, words: Words) -> np.ndarray:
 
     got = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(HOT * HOT, np.int64)
-    out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    out[np.asarray(got["pair"], np.int64)] = np.asarray(got["n"], np.int64)
     return out
 
 

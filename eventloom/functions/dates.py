@@ -31,9 +31,9 @@ def time_gap_minutes(a: Column, b: Column) -> Column:
 
 
 def implausible_end(start: Column, end: Column, max_hours: int = 12) -> Column:
-    """An end that, past midnight if need be, comes more than ``max_hours`` after the start."""
-    gap = F.pmod(minutes_of(end) - minutes_of(start), F.lit(24 * 60))
-    return F.coalesce(gap > max_hours * 60, F.lit(False))
+    """An end before the start that, taken as past midnight, comes more than ``max_hours`` after it."""
+    s, e = minutes_of(start), minutes_of(end)
+    return F.coalesce((e < s) & (e + 24 * 60 - s > max_hours * 60), F.lit(False))
 
 
 def start_utc(d: Column, hhmm: Column, tz: Column) -> Column:
@@ -43,20 +43,21 @@ def start_utc(d: Column, hhmm: Column, tz: Column) -> Column:
 
 
 def parse_12_hour(text: Column) -> Column:
-    """"7pm", "7:30 p.m." or "19:30" within a text as "HH:MM"; null if there is none."""
-    twelve = r"(?i)\b(1[0-2]|0?[1-9])(?::([0-5]\d))?\s*([ap])\.?m\b"
-    hour, minute, half = (F.regexp_extract(text, twelve, k) for k in (1, 2, 3))
-    h24 = F.pmod(hour.try_cast("int"), F.lit(12)) + F.when(F.lower(half) == "p", 12).otherwise(0)
-    plain = F.regexp_extract(text, r"\b([01]?\d|2[0-3]):([0-5]\d)\b", 0)
-    return F.when(hour != "", F.format_string("%02d:%02d", h24.cast("int"), F.coalesce(minute.try_cast("int"), F.lit(0)))).when(plain != "", F.lpad(plain, 5, "0"))
+    """The first "7:30 pm" of a text as "HH:MM"; minutes over 59 run on; null if there is none."""
+    part = lambda k: F.regexp_extract(text, r"(?i)(\d{1,2}):(\d{2,3})\s*(am|pm)", k)
+    hour, minute, half = part(1).try_cast("int"), part(2).try_cast("int"), F.lower(part(3))
+    h24 = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    return F.when(half != "", F.format_string("%02d:%02d", F.pmod(h24 + F.floor(minute / 60).cast("int"), F.lit(24)), F.pmod(minute, F.lit(60))))
 
 
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "EEEE, MMMM d, yyyy")
+DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
 
 
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """The date that the first fitting format gives; null for none (invalid days don't roll over)."""
-    cleaned = F.regexp_replace(F.trim(text), r"(?<=\d)(st|nd|rd|th)\b", "")
+    """The date that the first fitting format gives, a weekday before it and endings of ordinals left out; null for
+    none (invalid days don't roll over)."""
+    bare = F.regexp_replace(F.trim(text), r"(?i)^(?:sun|mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?)(?:day)?,?\s+", "")
+    cleaned = F.regexp_replace(bare, r"(?<=\d)(st|nd|rd|th)\b", "")
     return F.coalesce(*(F.try_to_timestamp(cleaned, F.lit(f)) for f in formats)).cast("date")
 
 
@@ -75,15 +76,17 @@ def within_season(d: Column, start: Column, end: Column) -> Column:
     return F.when(start.isNull() | end.isNull(), True).otherwise(inside)
 
 
-def activity_status(last: Column, today: Column) -> Column:
+def activity_status(last: Column, today: Column, upcoming: Column | None = None) -> Column:
+    """By the days since the last event; an upcoming one makes active."""
     days = F.datediff(today, last)
-    return F.when(last.isNull(), "unknown").when(days < 0, "active").when(days < 90, "active").when(days < 365, "possibly-inactive").otherwise("inactive")
+    found = F.when(last.isNull(), "unknown").when(days < 90, "active").when(days < 365, "possibly-inactive").otherwise("inactive")
+    return found if upcoming is None else F.when(F.coalesce(upcoming, F.lit(False)), "active").otherwise(found)
 
 
 def format_time_12(hhmm: Column) -> Column:
     m = minutes_of(hhmm)
     hour = F.floor(m / 60)
-    return F.format_string("%d:%02d %s", F.when(F.pmod(hour, F.lit(12)) == 0, 12).otherwise(F.pmod(hour, F.lit(12))).cast("int"), F.pmod(m, F.lit(60)).cast("int"), F.when(hour < 12, "AM").otherwise("PM"))
+    return F.when(m.isNotNull(), F.format_string("%d:%02d %s", F.when(F.pmod(hour, F.lit(12)) == 0, 12).otherwise(F.pmod(hour, F.lit(12))).cast("int"), F.pmod(m, F.lit(60)).cast("int"), F.when(hour < 12, "AM").otherwise("PM")))
 
 
 def ordinal(n: Column) -> Column:
@@ -91,3 +94,50 @@ def ordinal(n: Column) -> Column:
     last = F.pmod(n, F.lit(10))
     suffix = F.when(teen, "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th")
     return F.concat(n.cast("string"), suffix)
+
+
+def format_date_range(start: Column, end: Column) -> Column:
+    """"Mar 3", or from first to last day with what differs between them."""
+    one = F.date_format(start, "MMM d")
+    year, month = F.year(start) != F.year(end), F.month(start) != F.month(end)
+    dash = F.lit(" \u2013 ")
+    spans = F.when(year, F.concat(F.date_format(start, "MMM d, yyyy"), dash, F.date_format(end, "MMM d, yyyy"))).when(month, F.concat(one, dash, F.date_format(end, "MMM d"))).otherwise(F.concat(one, dash, F.day(end).cast("string")))
+    return F.when(end > start, spans).otherwise(one)
+
+
+def format_distance(meters: Column) -> Column:
+    return F.format_string("%.1f mi", meters / 1609.344)
+
+
+def format_duration(seconds: Column) -> Column:
+    h, m = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)
+    return F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h "))).otherwise(""), m.cast("string"), F.lit("m"))
+
+
+def format_drive(km: Column) -> Column:
+    """Driving time at 80 km/h, in steps of five minutes, at least one."""
+    total = F.greatest(F.lit(5), round_half_up(km / 80 * 60 / 5) * 5).cast("long")
+    h, m = F.floor(total / 60), F.pmod(total, F.lit(60))
+    return F.when(total < 60, F.concat(F.lit("~"), total.cast("string"), F.lit(" min drive"))).when(m == 0, F.concat(F.lit("~"), h.cast("string"), F.lit("h drive"))).otherwise(F.concat(F.lit("~"), h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m drive")))
+
+
+def shifted_weekday(d: Column, time: Column, start: int, to: int, placeholder: str | None = None, default: str | None = None) -> dict[str, Column]:
+    """Date and time of a row that a source puts on weekday ``start`` (Sunday 0) for one on ``to``, by the shortest way; with a
+    placeholder time only rows of that time move, and get the default one."""
+    delta = (to - start + 3) % 7 - 3
+    move = (weekday_sunday0(d) == start) & F.lit(delta != 0)
+    if placeholder is not None:
+        move = move & time.eqNullSafe(F.lit(placeholder))
+    return {"date": F.when(move, F.date_add(d, delta)).otherwise(d), "start_time": F.when(move & F.lit(default is not None), F.lit(default)).otherwise(time)}
+
+
+def local_day(instant: Column, tz: Column) -> Column:
+    """Calendar day of an instant in a time zone."""
+    return F.to_date(F.from_utc_timestamp(instant, tz))
+
+
+def tz_abbreviation(instant: Column, tz: Column) -> Column:
+    """Offset of a time zone at an instant as "UTC+2" or "UTC-3:30"."""
+    minutes = (F.unix_timestamp(F.from_utc_timestamp(instant, tz)) - F.unix_timestamp(instant)) / 60
+    h, m = F.floor(F.abs(minutes) / 60).cast("string"), F.pmod(F.abs(minutes), F.lit(60)).cast("int")
+    return F.concat(F.lit("UTC"), F.when(minutes >= 0, "+").otherwise("-"), h, F.when(m > 0, F.format_string(":%02d", m)).otherwise(""))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that stand for a value that isn't known yet.
-PLACEHOLDERS = r"(?i)^\s*(?:tbd|tba|tbc|n/a|na|none|needed|required|unknown|\?+|-+)\s*[.!?]*\s*$"
+# Texts that stand for a value that isn't known yet.
+PLACEHOLDER_TBD = r"(?i)^(?:venue[\s-]+)?(?:tbd|tba|tbc)$"
+PLACEHOLDER_OTHER = r"(?i)^(?:n/a|none|null|needed|required|registration|sign[\s\-_]*up!?|volunteer|vacant|\?{1,3})$"
+PLACEHOLDER_HARES = r"(?i)^(?:hares?\s+(?:needed|required|wanted)|needs?\s+(?:a\s+)?hares?)\b[\s\S]*$"
+ENTITIES = (("&nbsp;|&#160;|&#xa0;", " "), ("&lt;|&#60;", "<"), ("&gt;|&#62;", ">"), ("&quot;|&#34;", '"'), ("&apos;|&#39;|&#x27;", "'"), ("&ndash;|&#8211;", "\u2013"), ("&mdash;|&#8212;", "\u2014"), ("&rsquo;|&#8217;", "\u2019"), ("&hellip;|&#8230;", "\u2026"), ("&eacute;|&#233;", "\u00e9"), ("&amp;|&#38;|&#038;", "&"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -15,7 +18,15 @@ def blank_to_null(c: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    return F.coalesce(c.rlike(PLACEHOLDERS), F.lit(False))
+    t = F.trim(c)
+    return F.coalesce(t.rlike(PLACEHOLDER_TBD) | t.rlike(PLACEHOLDER_OTHER) | t.rlike(PLACEHOLDER_HARES), F.lit(False))
+
+
+def decode_entities(c: Column) -> Column:
+    """Text with the usual HTML entities decoded once; the ampersand comes last, or "&amp;lt;" would be decoded twice."""
+    for entity, value in ENTITIES:
+        c = F.regexp_replace(c, f"(?i){entity}", value)
+    return c
 
 
 def strip_placeholder(c: Column) -> Column:
@@ -43,15 +54,28 @@ def candidate_score(query: Column, names: Column) -> Column:
 
 
 def cluster_key(title: Column) -> Column:
-    """Key of titles that name one series: lower-case words without digits and punctuation, the first four;
-    null below two words or eight characters."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(title), r"[^a-z]+", " ")), " "), lambda w: w != "")
+    """Key of titles that name one series: lower case without dashes, colons, "#", the word "trail" and numbers that stand alone;
+    the first four words; null below two words or eight characters."""
+    bare = F.lower(title)
+    for pattern, to in ((r"[#\-–—:]", " "), (r"\btrail\b", ""), (r"\b\d+\b", ""), (r"\s+", " ")):
+        bare = F.regexp_replace(bare, pattern, to)
+    words = F.filter(F.split(F.trim(bare), " "), lambda w: w != "")
     key = F.array_join(F.slice(words, 1, 4), " ")
     return F.when((F.size(words) >= 2) & (F.length(key) >= 8), key)
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Key for addresses: brackets go, other runs of characters become a dash."""
+    return code(F.regexp_replace(c, r"[()]", ""))
+
+
+def code(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+
+
+def region_slug(c: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"[()]", ""), r"[,.\s]+", "-")
+    return F.regexp_replace(F.regexp_replace(bare, "-+", "-"), r"^-|-$", "")
 
 
 def normal_list(c: Column, separator: str = r"\s*,\s*") -> Column:
@@ -69,9 +93,9 @@ def name_parts(c: Column) -> Column:
 
 
 def run_number(c: Column) -> Column:
-    """The number of "#123" that isn't part of a longer token."""
-    found = F.regexp_extract(c, r"(?:^|[\s(\[:])#\s?(\d{1,5})(?=$|[\s)\]:,.!-])", 1)
-    return F.when(found != "", found.cast("int"))
+    """The number of "#123" that ends at a delimiter; none for 0."""
+    found = F.regexp_extract(c, r"[#＃][\s:]*(\d+)(?=$|[\s:\-–—,.()/])", 1).try_cast("int")
+    return F.when(found > 0, found)
 
 
 def strip_tags(html: Column) -> Column:
@@ -80,9 +104,7 @@ def strip_tags(html: Column) -> Column:
     t = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|section|article)\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    # the ampersand last, or "&amp;lt;" would be decoded twice
-    for entity, value in (("&nbsp;|&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&apos;|&#39;|&#x27;", "'"), ("&amp;|&#38;", "&")):
-        t = F.regexp_replace(t, entity, value)
+    t = decode_entities(t)
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\f\r]+", " "), r" *\n[ \n]*", "\n")
     return F.trim(F.regexp_replace(t, r"^\n+|\n+$", ""))
 
@@ -105,7 +127,65 @@ def scrub_contacts(c: Column) -> Column:
 
 
 def safe_url(c: Column) -> Column:
-    return F.when(c.rlike(r"(?i)^https?://[^\s/]+"), F.trim(c))
+    t = F.trim(c)
+    return F.when(t.rlike(r"(?i)^https?://[^\s/]+"), t)
+
+
+def domain(c: Column) -> Column:
+    """A link's host without "www."; other texts as they are."""
+    host = F.regexp_extract(c, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.when(host != "", F.regexp_replace(F.lower(host), r"^www\.", "")).otherwise(c)
+
+
+def trimmed_url(c: Column) -> Column:
+    """A link for comparison: lower case without closing slashes."""
+    return F.regexp_replace(F.lower(c), "/+$", "")
+
+
+def url_variants(c: Column) -> Column:
+    """Spellings of one link: both schemes, with and without "www.", with and without a closing slash."""
+    rest = F.regexp_replace(trimmed_url(c), r"^https?://(?:www\.)?", "")
+    return F.flatten(F.array(*(F.array(F.concat(F.lit(s + w), rest), F.concat(F.lit(s + w), rest, F.lit("/"))) for s in ("https://", "http://") for w in ("", "www."))))
+
+
+# Labels of well-known sites, in this order.
+SITE_LABELS = (("calendar.google.com", "Google Calendar"), ("docs.google.com", "Google Sheets"), ("facebook.com", "Facebook"), ("hashrego.com", "Hash Rego"), ("meetup.com", "Meetup"), ("blogspot.com", "Blogspot"), ("digitalpress.blog", "DigitalPress"))
+
+
+def url_label(url: Column, given: Column) -> Column:
+    """A given label, else the site's name, else its host."""
+    host = domain(url)
+    out = F.when(url.rlike(r"(?i)^https?://"), host).otherwise("Source")
+    for site, label in reversed(SITE_LABELS):
+        out = F.when((host == site) | host.endswith("." + site), label).otherwise(out)
+    out = F.when((host == "google.com") & url.rlike(r"(?i)^https?://(?:www\.)?google\.com/calendar"), "Google Calendar").otherwise(out)
+    return F.when(given.isNotNull() & (given != "Source") & (given != ""), given).otherwise(out)
+
+
+def plain_text(markdown: Column) -> Column:
+    """Markdown without emphasis, links' addresses, headings, quotes and list marks."""
+    for pattern, to in ((r"\*{3,}", "\n\n"), (r"\*\*(.+?)\*\*", "$1"), (r"\*(.+?)\*", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s+", ""), (r"(?m)^[-*+]\s+", ""), (r"\n{3,}", "\n\n")):
+        markdown = F.regexp_replace(markdown, pattern, to)
+    return F.regexp_replace(markdown, r"^\s+|\s+$", "")
+
+
+def display_title(title: Column, short: Column, full: Column, run: Column) -> Column:
+    """A title, or the organiser's name with the run where it says no more than that."""
+    fallback = F.when(run > 0, F.concat(short, F.lit(" \u2014 Run #"), run.cast("string"))).otherwise(short)
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+hash\s+house\s+harriers$", ""), r"\s+hash$", ""), r"\s+h3$", ""))
+    t = F.trim(F.coalesce(title, F.lit("")))
+    says_no_more = (t == "") | t.rlike(r"^\(.*\)$") | t.rlike(r"(?i)^run\s*#?\d+$") | (bare(t) == F.trim(F.lower(short))) | F.coalesce((bare(full) != "") & (bare(t) == bare(full)), F.lit(False))
+    return F.when(says_no_more, fallback).otherwise(t)
+
+
+def display_location(name: Column, city: Column) -> Column:
+    """Place and city, or the place alone where it names the city or ends in a state."""
+    n = blank_to_null(F.regexp_replace(name, r"https?://\S+", ""))
+    town = F.trim(F.split_part(city, F.lit(","), F.lit(1)))
+    word = lambda c: F.concat(F.lit("[^a-z0-9]"), F.regexp_replace(F.lower(c), r"([^a-z0-9\s])", r"\\$1"), F.lit("[^a-z0-9]"))
+    within = lambda c: F.regexp_like(F.concat(F.lit(" "), F.lower(n), F.lit(" ")), word(c))
+    told = within(city) | ((town != "") & within(town)) | n.rlike(r", [A-Za-z]{2}(?:\s+\d{5}(?:-\d{4})?)?\s*$")
+    return F.when(n.isNull() | city.isNull() | (city == ""), F.coalesce(F.when(city != "", city), n)).when(told, n).otherwise(F.concat(n, F.lit(", "), city))
 
 
 def normal_url(c: Column) -> Column:

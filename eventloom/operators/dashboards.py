@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
 
 
 def personal_stats(attendance: DataFrame, user: str, hare: Column, dimensions: dict[str, Column]) -> DataFrame:
@@ -15,7 +14,7 @@ def personal_stats(attendance: DataFrame, user: str, hare: Column, dimensions: d
     Weekdays that a user has no run on are left to :func:`with_weekday_spine`."""
     parts = [F.struct(F.lit("total").alias("dimension"), F.lit("all").alias("value")), *(F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("value")) for n, c in dimensions.items())]
     rows = attendance.select(user, hare.alias("_hare"), F.inline(F.array(*parts)))
-    return rows.groupBy(user, "dimension", "value").agg(F.count(ONE).alias("runs"), F.count_if("_hare").alias("hared"))
+    return rows.groupBy(user, "dimension", "value").agg(F.count(F.lit(1)).alias("runs"), F.count_if("_hare").alias("hared"))
 
 
 def with_weekday_spine(stats: DataFrame, user: str) -> DataFrame:
@@ -27,26 +26,26 @@ def with_weekday_spine(stats: DataFrame, user: str) -> DataFrame:
 
 def member_stats(attendance: DataFrame, member: str, hare: Column, paid: Column, date: str) -> DataFrame:
     """Runs, hared and paid runs, first and last run of each member."""
-    return attendance.groupBy(member).agg(F.count(ONE).alias("runs"), F.count_if(hare).alias("hared"), F.count_if(paid).alias("paid"), F.min(date).alias("first_run"), F.max(date).alias("last_run"))
+    return attendance.groupBy(member).agg(F.count(F.lit(1)).alias("runs"), F.count_if(hare).alias("hared"), F.count_if(paid).alias("paid"), F.min(date).alias("first_run"), F.max(date).alias("last_run"))
 
 
 def event_history(attendance: DataFrame, event: str, name: str, flags: dict[str, Column], at_most: int = 20) -> DataFrame:
     """Attendees and flag counts of each event, with its first names in order: a list that is bounded where it is built."""
     own = attendance.withColumn("_at", F.row_number().over(Window.partitionBy(event).orderBy(name)))
     names = F.array_sort(F.collect_list(F.when(F.col("_at") <= at_most, F.col(name))))
-    return own.groupBy(event).agg(F.count(ONE).alias("attendees"), *(F.count_if(c).alias(n) for n, c in flags.items()), names.alias("names"))
+    return own.groupBy(event).agg(F.count(F.lit(1)).alias("attendees"), *(F.count_if(c).alias(n) for n, c in flags.items()), names.alias("names"))
 
 
 def dense_counts(rows: DataFrame, group: Sequence[str], column: str, levels: Sequence[str]) -> DataFrame:
     """A count for each level, absent ones as 0, and ``total``, per group."""
-    return rows.groupBy(*group).agg(*(F.count_if(F.col(column) == v).alias(v.lower()) for v in levels), F.count(ONE).alias("total"))
+    return rows.groupBy(*group).agg(*(F.count_if(F.col(column) == v).alias(v.lower()) for v in levels), F.count(F.lit(1)).alias("total"))
 
 
 def counters(**counts: DataFrame) -> DataFrame:
     """One row of independent counts: each table gives one number, and these are added up by name."""
     parts = None
     for name, rows in counts.items():
-        one = rows.agg(F.count(ONE).alias("n")).select(*(F.col("n").alias(c) if c == name else F.lit(None).cast("long").alias(c) for c in counts))
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(*(F.col("n").alias(c) if c == name else F.lit(None).cast("long").alias(c) for c in counts))
         parts = one if parts is None else parts.unionByName(one)
     return parts.agg(*(F.sum(c).alias(c) for c in counts))
 
@@ -67,7 +66,7 @@ def json_trend(rows: DataFrame, at: str, json: str, categories: Sequence[str], z
 def top_offenders(logs: DataFrame, suppressions: DataFrame, k: int = 20) -> DataFrame:
     """(kennel_id, rule) of the findings nested in logs (findings: array of structs, at): how often, when last, and whether
     a suppression of the kennel or of all kennels covers them."""
-    flat = logs.select("at", F.inline("findings")).groupBy("kennel_id", "rule").agg(F.count(ONE).alias("n"), F.max("at").alias("last_at"))
+    flat = logs.select("at", F.inline("findings")).groupBy("kennel_id", "rule").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"))
     everywhere = suppressions.where("kennel_id is null").select("rule", F.lit(True).alias("_all")).distinct()
     own = suppressions.where("kennel_id is not null").select("kennel_id", "rule", F.lit(True).alias("_own")).distinct()
     told = flat.join(everywhere, "rule", "left").join(own, ["kennel_id", "rule"], "left")
@@ -80,12 +79,12 @@ def suppression_impact(findings: DataFrame, suppressions: DataFrame, days: int)
     own = suppressions.where("kennel_id is not null").distinct()
     everywhere = suppressions.where("kennel_id is null").select("rule").distinct()
     hits = findings.join(own, ["kennel_id", "rule"], "left_semi").select("kennel_id", "rule").unionByName(findings.join(everywhere, "rule", "left_semi").select(F.lit(None).cast(findings.schema["kennel_id"].dataType).alias("kennel_id"), "rule"))
-    return hits.groupBy("kennel_id", "rule").agg(F.count(ONE).alias("hidden")).withColumn("per_day_tenths", F.floor((20 * F.col("hidden") + days) / (2 * days)).cast("long"))
+    return hits.groupBy("kennel_id", "rule").agg(F.count(F.lit(1)).alias("hidden")).withColumn("per_day_tenths", F.floor((20 * F.col("hidden") + days) / (2 * days)).cast("long"))
 
 
 def open_then(items: DataFrame, changes: DataFrame, stream: str, since: Column) -> DataFrame:
     """Open items of each stream now and at ``since``: open now less the net of the changes from then on."""
-    now = items.where("state = 'open'").groupBy(stream).agg(F.count(ONE).alias("open_now"))
+    now = items.where("state = 'open'").groupBy(stream).agg(F.count(F.lit(1)).alias("open_now"))
     up, down = F.col("kind").isin("OPENED", "REOPENED"), F.col("kind") == "CLOSED"
     net = changes.where(F.col("day") >= since).groupBy(stream).agg((F.count_if(up) - F.count_if(down)).alias("net"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -101,7 +100,7 @@ def floored_ratio(rows: DataFrame, group: str, hit: Column, known: Column, least
 def coverage(items: DataFrame, done: DataFrame, key: str, done_per_week: Column) -> DataFrame:
     """One row: covered and all items, whole percent, and weeks until the rest is covered at the recent pace."""
     got = items.select(key).distinct().join(done.select(key, F.lit(1).alias("_done")).distinct(), key, "left")
-    told = got.agg(F.count("_done").alias("covered"), F.count(ONE).alias("total"))
+    told = got.agg(F.count("_done").alias("covered"), F.count(F.lit(1)).alias("total"))
     pace = done.agg(done_per_week.alias("pace"))
     told = told.crossJoin(pace)  # one row by one row
     percent = F.floor(F.try_divide(200 * F.col("covered") + F.col("total"), 2 * F.col("total"))).cast("long")
@@ -120,13 +119,13 @@ def evidence_timeline(rows: DataFrame, key: str, date: str, end: Column, weeks:
     week = F.floor(F.datediff(end, F.col(date)) / 7)
     own = rows.withColumn("_w", week).where((F.col("_w") >= 0) & (F.col("_w") < weeks))
     bits = F.bit_or(F.expr("shiftleft(1L, cast(_w as int))"))
-    told = own.groupBy(key).agg(bits.alias("_bits"), F.count(ONE).alias("total"))
+    told = own.groupBy(key).agg(bits.alias("_bits"), F.count(F.lit(1)).alias("total"))
     return told.select(key, F.lpad(F.bin("_bits"), weeks, "0").alias("weeks"), "total")
 
 
 def weekday_facets(rows: DataFrame, group: str, date: str) -> DataFrame:
     """Rows of each weekday (Sunday 0) and its dates in order; dates are few, as each is taken once."""
-    return rows.groupBy(group, (F.dayofweek(date) - 1).alias("weekday")).agg(F.count(ONE).alias("n"), F.array_sort(F.collect_set(F.date_format(date, "yyyy-MM-dd"))).alias("dates"))
+    return rows.groupBy(group, (F.dayofweek(date) - 1).alias("weekday")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.date_format(date, "yyyy-MM-dd"))).alias("dates"))
 
 
 def day_by_stop(rows: DataFrame, stops: Sequence[str], at_most: int = 50) -> DataFrame:
@@ -156,7 +155,7 @@ def census(kennels: DataFrame, projections: DataFrame, horizons: Sequence[int])
     full = kennels.select("kennel_id").distinct().join(best, "kennel_id", "left")
     name = lambda c: F.when(F.col(c) == 0, "HIGH").when(F.col(c) == 1, "MEDIUM").when(F.col(c) == 2, "LOW").otherwise("NONE")
     cells = full.select(F.inline(F.array(*(F.struct(F.lit(h).alias("horizon"), name(f"h{h}").alias("bucket")) for h in horizons))))
-    return cells.groupBy("horizon", "bucket").agg(F.count(ONE).alias("kennels"))
+    return cells.groupBy("horizon", "bucket").agg(F.count(F.lit(1)).alias("kennels"))
 
 
 def backtest(projections: DataFrame, actuals: DataFrame, tolerances: Sequence[int] = (0, 1)) -> DataFrame:
@@ -176,7 +175,7 @@ def padded_bounds(points: DataFrame, group: str, lat: str, lng: str, pad: float,
     """Box of a group's points, without Tukey outliers on either axis where it has ``least`` points, with padding. Quartiles
     are the values at place floor(n q), found through counts of values, not by a list of the group."""
     def axis(x: str) -> DataFrame:
-        values = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).groupBy(group, F.col(x).alias("v")).agg(F.count(ONE).alias("n"))
+        values = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).groupBy(group, F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
         run = values.withColumns({"upto": F.sum("n").over(Window.partitionBy(group).orderBy("v")), "all": F.sum("n").over(Window.partitionBy(group))})
         at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("all") * q), F.col("v")))
         return run.groupBy(group).agg(F.max("all").alias("n"), at(0.25).alias(f"q1_{x}"), at(0.75).alias(f"q3_{x}"))
@@ -184,4 +183,4 @@ def padded_bounds(points: DataFrame, group: str, lat: str, lng: str, pad: float,
     stats = axis(lat).join(axis(lng).drop("n"), group)
     inside = lambda x: F.col(x).between(F.col(f"q1_{x}") - 1.5 * (F.col(f"q3_{x}") - F.col(f"q1_{x}")), F.col(f"q3_{x}") + 1.5 * (F.col(f"q3_{x}") - F.col(f"q1_{x}")))
     kept = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).join(stats, group).where((F.col("n") < least) | (inside(lat) & inside(lng)))
-    return kept.groupBy(group).agg((F.min(lat) - pad).alias("south"), (F.min(lng) - pad).alias("west"), (F.max(lat) + pad).alias("north"), (F.max(lng) + pad).alias("east"), F.count(ONE).alias("kept"))
+    return kept.groupBy(group).agg((F.min(lat) - pad).alias("south"), (F.min(lng) - pad).alias("west"), (F.max(lat) + pad).alias("north"), (F.max(lng) + pad).alias("east"), F.count(F.lit(1)).alias("kept"))

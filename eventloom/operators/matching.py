@@ -156,8 +156,13 @@ def fuzzy_window_duplicates(incoming: DataFrame, existing: DataFrame, days: int
     return pick_best(pairs.where(ok), ["ordinal"], [F.desc("trust"), F.abs(F.datediff("date", "e_date")), F.col("event_id")])
 
 
-def activity_score(name_a: Column, name_b: Column, km: Column, minutes: Column, sport_ok: Column) -> Column:
-    """3 x name + 2 x nearness + time + 0.2 x sport. One missing position costs 0.25, a missing time counts 0.3."""
-    geo = F.when(km.isNull(), F.lit(-0.25)).otherwise(2 * F.greatest(F.lit(0.0), 1 - km / 10))
-    time = F.when(minutes.isNull(), F.lit(0.3)).otherwise(F.greatest(F.lit(0.0), 1 - minutes / 180))
-    return 3 * T.name_similarity(name_a, name_b) + geo + time + F.when(sport_ok, 0.2).otherwise(0.0)
+GENERIC_NAME = r"(?i)^(?:morning|lunch|afternoon|evening|night)\s+(?:run|trail run|walk|hike|ride|workout|activity)$"
+
+
+def activity_score(name_a: Column, name_b: Column, km: Column, one_sided: Column, minutes: Column, sport_ok: Column) -> Column:
+    """3 x name + 2 x nearness + time + 0.2 for a run. A generic name counts 0; nearness is 1 to 5 km, a half to 25, and -0.25 where only
+    one side has a position; a missing time counts 0.3."""
+    name = F.when(F.trim(name_a).rlike(GENERIC_NAME), 0.0).otherwise(T.name_similarity(name_a, name_b))
+    geo = F.when(one_sided, -0.25).when(km <= 5, 1.0).when(km <= 25, 0.5).otherwise(0.0)
+    time = F.when(minutes.isNull(), F.lit(0.3)).otherwise(F.greatest(F.lit(0.0), 1 - minutes / 120))
+    return 3 * name + 2 * geo + time + F.when(sport_ok, 0.2).otherwise(0.0)

@@ -20,11 +20,12 @@ def confidence_rank(c: Column) -> Column:
 
 
 def scored_confidence(base: Column, events: Column, validated_days: Column, inactive_days: Column) -> Column:
-    """Low stays low and no evidence is low; three events and a validation within 30 days raise by one step; a validation
-    over 180 days ago or no event for 90 days lowers by one."""
-    raised = F.when(base == "MEDIUM", "HIGH").otherwise(base)
-    lowered = F.when(base == "HIGH", "MEDIUM").otherwise("LOW")
-    return F.when((base == "LOW") | (events == 0), "LOW").when((events >= 3) & (validated_days < 30), raised).when((validated_days > 180) | (inactive_days > 90), lowered).otherwise(base)
+    """Low stays low. Three events and a validation within 30 days raise medium; a validation over 180 days ago or no event
+    for 90 days lowers high; medium without an event is low. Unknown days change nothing."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    up = F.when((base == "MEDIUM") & (events >= 3) & yes(validated_days < 30), "HIGH").otherwise(base)
+    down = F.when((up == "HIGH") & (yes(validated_days > 180) | yes(inactive_days > 90)), "MEDIUM").otherwise(up)
+    return F.when((down == "MEDIUM") & (events == 0), "LOW").otherwise(down)
 
 
 def project(rules: DataFrame, start: Column, end: Column) -> DataFrame:

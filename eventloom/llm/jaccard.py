@@ -11,9 +11,11 @@ drawn at random separate nothing. So pivots are taken where documents can be clo
 2.  Distances to the pivot decide who links to it. Counts of shingles in 256 hash ranges
     are distances to 256 more pivots; where these alone exclude a link, the sets aren't fetched.
 3.  What is left of a region are pairs of documents in different components, and of these only
-    pairs that the triangle inequality allows, |d(x, p) - d(y, p)| <= 1 - t. Large regions take
-    new pivots from what is left and repeat steps 2 and 3; small ones, or what the
-    rounds leave, are joined block by block with exact counts.
+    pairs that the triangle inequality allows, |d(x, p) - d(y, p)| <= 1 - t. A region of over ``LEAF`` of them
+    is split: pivots are drawn from what is left, every document goes to the cell of its nearest pivot, and to the others that its
+    window reaches, d(x, p) <= d(x, nearest) + 2 (1 - t), so that two linked documents meet in a cell. Cells are regions again, and
+    steps 2 and 3 repeat on them as long as they shrink. What fits, or doesn't shrink any more, is joined
+    block by block with exact counts.
 
 No link between different texts is lost: every linked pair is in one region, and in it either
 has a pivot, or is compared, or its documents are in one component already. Equal sets are one
@@ -48,7 +50,10 @@ FREQUENT = (3, 16, 128)  # boundaries that hold a shingle, for each class of the
 SKETCH = 256
 LEAF = 1024
 NARROW = 8192
-ROUNDS = 1
+PIVOTS = 8  # of a region that is split
+DEPTH = 6
+SHRINKS = 0.8  # a split is worth another one if no cell has over this share of its region
+GROUP_ROWS = 20_000
 BLOCK = 256
 ONE = np.ones(1, bool)
 
@@ -287,9 +292,10 @@ def _sketches_allow(percent: int):
 SMALL = 2048
 
 
-def _dealt(column: str, spark):
-    """A few groups for each shuffle partition: many regions to a group, for each group costs a call."""
-    return F.pmod(F.xxhash64(column), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).alias("_g")
+def _dealt(column: str, rows: DataFrame):
+    """Regions dealt to groups of about ``GROUP_ROWS`` rows of a stored table, for each group costs a call. Groups are more as rows are more."""
+    least = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64(column), F.lit(max(least, rows.count() // GROUP_ROWS))).alias("_g")
 
 
 def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +321,7 @@ def _with_partners(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("nodes"), F.max("possible").alias("any")).where("nodes > 1 or any")
     told = stored(pairs.join(counted, "pivot"), "jaccard-told")
     small = told.where(F.col("nodes") <= SMALL).join(sketches, "node")
-    looked = small.groupBy(_dealt("pivot", pairs.sparkSession)).applyInPandas(lambda _, pdf: partners(pdf), "pivot long, node long, possible boolean")
+    looked = small.groupBy(_dealt("pivot", told)).applyInPandas(lambda _, pdf: partners(pdf), "pivot long, node long, possible boolean")
     return looked.union(told.where(F.col("nodes") > SMALL).select("pivot", "node", "possible"))
 
 
@@ -374,21 +380,46 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
         return stored(_narrowed(stored(_left_over(_labelled(regions, links), percent), "jaccard-left"), sketches, percent), "jaccard-open")
 
     open_regions = still_open(measured.select(F.col("pivot").alias("region"), "pivot", "node", "dist"), links)
-    for _ in range(ROUNDS):
+    done = None
+    for depth in range(DEPTH):
         large = open_regions.where(F.col("n_out") > LEAF)
         if large.isEmpty():
             break
-        # the next pivot of a large region is the least document outside the last one's component
-        nexts = large.where("component <> home").groupBy("region").agg(F.min("node").alias("next"))
-        members = large.join(nexts, "region").select("region", F.col("next").alias("pivot"), "node").where("node <> pivot")
-        found = _distances(members.select("pivot", "node").distinct(), sets).withColumn("dist", far)
-        again = stored(members.join(found, ["pivot", "node"]).select("region", "pivot", "node", "dist", is_link.alias("linked")), "jaccard-round")
-        links = stored(links.union(again.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))), "jaccard-links")
-        small = open_regions.where(F.col("n_out") <= LEAF).select("region", "pivot", "node", "dist")
-        open_regions = still_open(again.drop("linked").unionByName(small), links)
+        cells, found = _cells(large, sets, percent, depth)
+        links = stored(links.union(found), "jaccard-links")
+        rest = open_regions.where(F.col("n_out") <= LEAF)
+        done = rest if done is None else done.unionByName(rest)
+        # cells that hardly shrink are left to the blocks
+        sized = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("region")))
+        stuck = F.col("n") > SHRINKS * F.col("parent")
+        own = ["region", "pivot", "node", "dist"]
+        done = done.unionByName(stored(_left_over(_labelled(sized.where(stuck).select(own), links), percent).select(done.columns), "jaccard-stuck"))
+        open_regions = still_open(sized.where(~stuck).select(own), links).select(done.columns)
+    if done is not None:
+        again = done.unionByName(open_regions).select("region", "pivot", "node", "dist").distinct()
+        open_regions = still_open(again, links)
     return rows, links.union(_leaf_links(open_regions, sets, percent))
 
 
+def _cells(large: DataFrame, sets: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Voronoi cells of large regions: rows (region, parent, pivot, node, dist), and the links to pivots. ``parent`` is the size of the region split."""
+    drawn = large.where("component <> home").groupBy("region", F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(PIVOTS)).alias("_k")).agg(F.min("node").alias("pivot"))
+    members = large.select("region", "node").distinct()
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("parent"))
+    pairs = members.join(drawn.select("region", "pivot"), "region").where("node <> pivot")
+    told = _distances(pairs.select("pivot", "node").distinct(), sets)
+    far = 1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))
+    is_link = 100 * F.col("inter") >= percent * (F.col("n") + F.col("m") - F.col("inter"))
+    measured = stored(pairs.join(told, ["pivot", "node"]).select("region", "pivot", "node", far.alias("dist"), is_link.alias("linked")), "jaccard-cells")
+    nearest = measured.groupBy("region", "node").agg(F.min("dist").alias("nearest"))
+    window = 2 * (1 - percent / 100) + 1e-9
+    # a pivot has distance 0 to itself, so it is in the cells of those near to it
+    nearest = nearest.join(drawn.select("region", F.col("pivot").alias("node"), F.lit(0.0).alias("own")), ["region", "node"], "left").withColumn("nearest", F.coalesce("own", "nearest")).drop("own")
+    reached = measured.join(nearest, ["region", "node"]).where(F.col("dist") <= F.col("nearest") + window)
+    cells = reached.join(sizes, "region").select(F.xxhash64("region", "pivot", F.lit(depth)).alias("region"), "parent", "pivot", "node", "dist")
+    return stored(cells, "jaccard-voronoi"), measured.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+
+
 def _narrowed(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Of regions of at most ``NARROW`` documents those whose sketches leave a link to one of another
     component possible; larger regions as they are."""
@@ -418,7 +449,7 @@ def _narrowed(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     small = F.col("n_out") + F.col("n_in") <= NARROW
     told = regions.where(small).join(sketches, "node")
     schema = ", ".join(f"{c} {regions.schema[c].dataType.simpleString()}" for c in columns)
-    looked = told.groupBy(_dealt("region", regions.sparkSession)).applyInPandas(lambda _, pdf: narrow(pdf), schema)
+    looked = told.groupBy(_dealt("region", regions)).applyInPandas(lambda _, pdf: narrow(pdf), schema)
     return looked.union(regions.where(~small))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from eventloom.llm import jaccard
@@ -69,6 +70,28 @@ def test_components_equal_brute_force(spark, monkeypatch, width, percent, leaf,
     assert got == brute(rows, width, percent)
 
 
+def test_cells_keep_every_link(spark, monkeypatch):
+    """Voronoi cells of one region: two linked documents meet in a cell, or one of them is its pivot and linked there."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rng = random.Random(9)
+    base = [rng.randrange(2**62) for _ in range(60)]
+    sets = {}
+    for node in range(1, 60):
+        own = set(base[: rng.randint(30, 60)]) | {rng.randrange(2**62) for _ in range(rng.randint(0, 8))}
+        sets[node] = sorted(own)
+    packed = spark.createDataFrame([(n, bytearray(np.array(s, np.uint64).tobytes())) for n, s in sets.items()], "node long, shingles binary")
+    large = spark.createDataFrame([(5, n, n, 0) for n in sets], "region long, node long, component long, home long")
+    cells, links = jaccard._cells(large, packed, 80, 0)
+    linked = {frozenset((r.u, r.v)) for r in links.collect()}
+    members = {}
+    for r in cells.collect():
+        members.setdefault(r.region, {r.pivot}).add(r.node)
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b])):
+                assert frozenset((a, b)) in linked or any({a, b} <= m for m in members.values())
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(empty).count() == 0

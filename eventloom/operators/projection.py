@@ -74,7 +74,7 @@ def outcomes(snapshots: DataFrame, events: DataFrame, near: int = 1, observed: i
 def capture_band(date: Column, today: Column, last_run: Column, bands: tuple[int, ...] = (180, 90, 30), slack: int = 4) -> Column:
     """The smallest band that a date is within ``slack`` days of, or has crossed since the last run."""
     out, before = F.datediff(date, today), F.datediff(date, last_run)
-    hits = F.array(*(F.when((F.abs(out - b) <= slack) | ((before > b) & (out <= b)), b) for b in bands))
+    hits = F.array(*(F.when((F.abs(out - b) <= slack) | ((before > b + slack) & (out < b - slack)), b) for b in bands))
     return F.array_min(F.array_compact(hits))
 
 

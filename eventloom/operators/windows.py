@@ -22,6 +22,32 @@ def rolling_baseline(runs: DataFrame, group: Sequence[str], order: Sequence[str]
     return runs.withColumns({"base_sum": F.sum(value).over(w), "base_n": F.count(value).over(w)})
 
 
+def success_baseline(runs: DataFrame, regime: Sequence[str], order: Sequence[str], value: str, failed: Column, depth: int = 10) -> DataFrame:
+    """Sum and number of the previous ``depth`` successful values of the same regime. Successes are numbered as they come, so
+    the frame is a range over that number: failed rows in between take no place in it."""
+    w = Window.partitionBy(*regime).orderBy(*order)
+    good = F.when(failed, 0).otherwise(1)
+    seen = runs.withColumn("_seen", F.coalesce(F.sum(good).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = seen.withColumn("_v", F.when(~failed, F.col(value)))
+    frame = Window.partitionBy(*regime).orderBy("_seen").rangeBetween(-depth, -1)
+    return kept.withColumns({"base_sum": F.sum("_v").over(frame), "base_n": F.count("_v").over(frame)}).drop("_seen", "_v")
+
+
+def excessive_cancellations(cancelled: Column, base_sum: Column, base_n: Column, most: int = 10) -> Column:
+    """Over ``most`` cancellations, or over half of the mean count."""
+    return (cancelled > most) | F.coalesce((base_n > 0) & (base_sum > 0) & (2 * cancelled * base_n > base_sum), F.lit(False))
+
+
+def structure_alerts(runs: DataFrame, group: Sequence[str], day: str, hash_col: str, count: str, fill: str, depth: int = 10) -> DataFrame:
+    """Rows with ``alert``: null while a hash equals the last one known, else WARNING if the count is over 20 per cent below its mean or the
+    fill rate over 15 points below one of 50 or more, INFO if not."""
+    w = Window.partitionBy(*group).orderBy(day).rowsBetween(-depth, -1)
+    last, mean, rate = F.last(hash_col, ignorenulls=True).over(w), F.floor(F.avg(count).over(w) + 0.5), F.avg(fill).over(w)
+    drop = F.when(mean > 0, F.floor((mean - F.col(count)) / mean * 100 + 0.5)).otherwise(0)
+    hit = (drop > 20) | F.coalesce((rate >= 50) & (rate - F.col(fill) > 15), F.lit(False))
+    return runs.withColumn("alert", F.when(F.col(hash_col) != last, F.when(hit, "WARNING").otherwise("INFO")))
+
+
 def count_anomaly(value: Column, base_sum: Column, base_n: Column, benign: Column | None = None) -> Column:
     """CRITICAL for zero against a positive mean, WARNING for less than half of a mean over 5."""
     found = F.when((base_n > 0) & (base_sum > 0) & (value == 0), "CRITICAL").when((base_n > 0) & (base_sum > 5 * base_n) & (2 * value * base_n < base_sum), "WARNING")
@@ -105,10 +131,16 @@ def next_milestones(rows: DataFrame, group: str, targets: Sequence[int], k: int
     return counts.withColumn("next_targets", F.slice(open_targets, 1, k))
 
 
-def stagger(rows: DataFrame, order: Sequence[str], window_seconds: int = 240) -> DataFrame:
-    """Delay of each row of a dispatch (one row for each source): floor(i / (n - 1) * window)."""
-    n = rows.count()
-    return rows.withColumn("delay_s", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) * window_seconds / max(1, n - 1)).cast("long"))
+def stagger(rows: DataFrame, key: str, window_seconds: int = 240, buckets: int = 64) -> DataFrame:
+    """Delay of each row of a dispatch: floor(i / (n - 1) * window). Rows are numbered in range buckets of their
+    key, and the rows of earlier buckets are added, so no window holds all rows."""
+    parts = rows.repartitionByRange(buckets, key).withColumn("_p", F.spark_partition_id())
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
+    counts = counts.select("_p", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_before"), F.sum("_n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    placed = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key))).join(F.broadcast(counts), "_p")
+    delay = F.floor((F.col("_before") + F.col("_i") - 1) * window_seconds / F.greatest(F.lit(1), F.col("_all") - 1)).cast("long")
+    return placed.withColumn("delay_s", delay).drop("_p", "_i", "_before", "_all")
 
 
 def repaired_years(rows: DataFrame, group: str, ordinal: str, date: str) -> DataFrame:

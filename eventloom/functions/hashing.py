@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +34,52 @@ def fingerprint(date: Column, tags: Column, fields: Sequence[tuple[str, Column]]
 def content_hash(*columns: Column) -> Column:
     """SHA-256 of parts, one to a line, nulls as empty lines."""
     return F.sha2(F.concat_ws("\n", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)
+
+
+def config_hash(text: Column) -> Column:
+    """SHA-256 of a JSON text in one form: keys in order at every level, no blanks; "null" for null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        def canonical(t):
+            return "null" if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+        return pd.Series([hashlib.sha256(canonical(t).encode("utf-8")).hexdigest() for t in texts])
+
+    return F.pandas_udf(run, "string")(text)
+
+
+class _Outline(HTMLParser):
+    """Tags with their classes, nested; texts, attributes and repeats of one sibling don't count."""
+
+    VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        name = tag + "".join(f".{c}" for c in sorted((dict(attrs).get("class") or "").split()))
+        line = f"{len(self.open)}:{name}"
+        if not self.parts or self.parts[-1] != line:
+            self.parts.append(line)
+        if tag not in self.VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+
+def structure_hash(html: Column) -> Column:
+    """SHA-256 of a page's outline of tags and classes: it changes with the template, not with texts."""
+
+    def run(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            outline = _Outline()
+            outline.feed(page or "")
+            out.append(hashlib.sha256("\n".join(outline.parts).encode("utf-8")).hexdigest())
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "string")(html)

@@ -15,9 +15,17 @@ def insert_if_absent(incoming: DataFrame, table: DataFrame, key: Sequence[str],
     return pick_best(incoming, key, order).join(table, list(key), "left_anti")
 
 
-def upsert(incoming: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The table with the incoming rows added; rows of known keys stay as they are."""
-    return table.unionByName(incoming.dropDuplicates(list(key)).join(table, list(key), "left_anti"), allowMissingColumns=True)
+def upsert(incoming: DataFrame, table: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The table with the incoming rows added, the first in ``order`` of each key; rows of known keys stay as they are."""
+    return table.unionByName(pick_best(incoming, key, order).join(table, list(key), "left_anti"), allowMissingColumns=True)
+
+
+def with_bridge(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events (event_id, kennel_id, cohosts: array) and their bridge rows (event_id, kennel_id, is_primary), the primary one first and once."""
+    others = F.filter(F.array_distinct(F.coalesce("cohosts", F.array().cast(events.schema["cohosts"].dataType))), lambda k: k != F.col("kennel_id"))
+    row = lambda k, p: F.struct(k.alias("kennel_id"), F.lit(p).alias("is_primary"))
+    bridge = events.select("event_id", F.inline(F.concat(F.array(row(F.col("kennel_id"), True)), F.transform(others, lambda k: row(k, False)))))
+    return events.drop("cohosts"), bridge
 
 
 def update_from(table: DataFrame, changes: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:

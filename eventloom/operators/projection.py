@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import within_season
+from ..functions.dates import ordinal, within_season
 from ..functions.rrule import occurrences
 from .windows import pick_best
 
@@ -93,3 +93,19 @@ def next_per_kennel(events: DataFrame, today: Column) -> DataFrame:
 def nth_latest(rows: DataFrame, key: str, order: str, n: int = 1) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def explanation(freq: Column, weekday: Column, nth: Column, month_day: Column, interval: Column, label: Column, season_start: Column, season_end: Column) -> Column:
+    """A rule in words, with its season's label and months where it has them."""
+    day = F.get(F.array(*map(F.lit, WEEKDAYS)), weekday)
+    which = F.when(nth == -1, "last").otherwise(ordinal(nth))
+    monthly = F.when(month_day.isNotNull(), F.concat(F.lit("Runs on the "), ordinal(month_day), F.lit(" of each month"))).otherwise(F.concat(F.lit("Runs on the "), which, F.lit(" "), day, F.lit(" of each month")))
+    weekly = F.when(interval > 1, F.concat(F.lit("Runs every "), interval.cast("string"), F.lit(" weeks on "), day)).otherwise(F.concat(F.lit("Runs every "), day))
+    month = lambda c: F.get(F.array(*map(F.lit, MONTHS)), F.split_part(c, F.lit("-"), F.lit(1)).cast("int") - 1)
+    months = F.when(season_start.isNotNull() & season_end.isNotNull(), F.concat(month(season_start), F.lit(" – "), month(season_end)))
+    hint = F.concat_ws(", ", F.nullif(F.trim(label), F.lit("")), months)
+    return F.concat(F.when(freq == "WEEKLY", weekly).otherwise(monthly), F.when(hint != "", F.concat(F.lit(" ("), hint, F.lit(")"))).otherwise(""))

@@ -18,7 +18,7 @@ def fnv1a(text: Column) -> Column:
 
 
 def ics_escaped(c: Column) -> Column:
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 

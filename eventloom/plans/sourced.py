@@ -1 +1,286 @@
-"""Source, sink and streaming operators on the driver's tables."""
+"""Feed readers, generated schedules and output forms on feeds that are built from the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import moon
+from ..functions.hashing import structure_hash
+from ..functions.rrule import occurrences
+from ..operators import projection as P
+from ..operators import sinks as O
+from ..sources import feeds as R
+from .registry import Tables, query
+from .texts import cases
+
+DAY = lambda s: F.lit(s).cast("date")
+
+
+def _text(*parts) -> F.Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def _calendars(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    ymd = F.date_format("o_orderdate", "yyyyMMdd")
+    first = _text("BEGIN:VEVENT\r\nUID:u", k, "\r\nSUMMARY:Run\\, no ", k, "\r\nDTSTART;TZID=UTC:", ymd, "T", F.lpad((k % 24).cast("string"), 2, "0"), "3000\r\nLOCATION:The long\r\n  pub\r\nEND:VEVENT\r\n")
+    second = _text("BEGIN:VEVENT\r\nUID:v", k, "\r\nSUMMARY:All day\r\nDTSTART;VALUE=DATE:", ymd, "\r\n", F.when(k % 7 == 0, "STATUS:CANCELLED\r\n").otherwise(""), "END:VEVENT\r\n")
+    end = F.when(k % 10 == 0, "BEGIN:VEVENT\r\n").otherwise("END:VCALENDAR\r\n")
+    return t.orders.select(k.alias("page_id"), F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), first, second, end).alias("text"))
+
+
+@query("""
+    SELECT o_orderkey AS page_id, 'u' || o_orderkey AS uid, 'Run, no ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30' AS start_time, 'The long pub' AS location FROM orders WHERE o_orderkey % 10 > 0
+    UNION ALL SELECT o_orderkey, 'v' || o_orderkey, 'All day', strftime(o_orderdate, '%Y-%m-%d'), NULL, NULL FROM orders WHERE o_orderkey % 10 > 0 AND o_orderkey % 7 > 0""")
+def ical_feed(t: Tables) -> DataFrame:
+    events, _ = R.parsed(_calendars(t), "page_id", "text", R.ical_events)
+    return events.select("page_id", "uid", "title", "date", "start_time", "location")
+
+
+@query("SELECT o_orderkey AS page_id, 'the calendar is cut short' AS error FROM orders WHERE o_orderkey % 10 = 0")
+def feed_errors(t: Tables) -> DataFrame:
+    return R.parsed(_calendars(t), "page_id", "text", R.ical_events)[1]
+
+
+@query("""
+    WITH e AS (SELECT o_custkey AS page_id, o_orderpriority AS title, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN '10:00' END AS st, o_orderkey AS uid FROM orders),
+    h AS (SELECT *, st IS NOT NULL AND EXISTS (SELECT 1 FROM e b WHERE b.page_id = e.page_id AND b.title = e.title AND b.st IS NULL AND b.d = e.d + 1) AS ends FROM e)
+    SELECT uid, CASE WHEN ends THEN d + 1 END AS end_date FROM h WHERE NOT (st IS NULL AND EXISTS (SELECT 1 FROM h b WHERE b.ends AND b.page_id = h.page_id AND b.title = h.title AND b.d + 1 = h.d))""")
+def feed_endpoints(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_custkey").alias("page_id"), F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, "10:00").alias("start_time"), F.col("o_orderkey").alias("uid"))
+    return R.coalesced_endpoints(rows).select("uid", "end_date")
+
+
+@query("""
+    SELECT p_partkey, 'Item <' || p_partkey || '> & more' AS title, 'https://x.example/' || p_partkey AS url, '2026-03-0' || CAST(1 + p_partkey % 9 AS VARCHAR) AS date FROM part UNION ALL SELECT p_partkey, 'Second', 'https://y.example/' || p_partkey, '2026-04-05' FROM part WHERE p_partkey % 2 = 0""")
+def rss_feed(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    day = (1 + k % 9).cast("string")
+    rss = _text("<rss><channel><item><title>Item &lt;", k, "&gt; &amp; more</title><link>https://x.example/", k, "</link><pubDate>Tue, 0", day, " Mar 2026 10:00:00 GMT</pubDate></item>")
+    atom = _text("<feed><entry><title><![CDATA[Item <", k, "> & more]]></title><link rel='alternate' href='https://x.example/", k, "'/><updated>2026-03-0", day, "T10:00:00Z</updated></entry><entry><title>Second</title><link href=\"https://y.example/", k, "\"/><published>2026-04-05T00:00:00Z</published></entry></feed>")
+    return t.part.select("p_partkey", F.inline(R.rss_items(F.when(k % 2 == 0, atom).otherwise(rss))))
+
+
+@query("""
+    SELECT p_partkey AS page_id, 'Run & ' || p_partkey AS title, '1997-01-0' || CAST(1 + p_partkey % 9 AS VARCHAR) AS date, '/e/' || p_partkey AS url FROM part UNION ALL SELECT p_partkey, 'Two words', NULL, NULL FROM part WHERE p_partkey % 3 = 0""")
+def html_config_feed(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    row = _text("<tr class='run x'><td class=d>1997-01-0", (1 + k % 9), "</td><td><a href='/e/", k, "'><b>Run &amp; ", k, "</b></a><br></td></tr>")
+    page = F.concat(F.lit("<html><table><tr><th>head</th></tr>"), row, F.when(k % 3 == 0, "<tr class=run><td><a>Two\n  words</a></td></tr>").otherwise(""), F.lit("</table><td class=d>outside</td></html>"))
+    parse = R.html_rows("tr.run", {"title": "a", "date": "td.d", "url": "a@href"})
+    return R.parsed(t.part.select(k.alias("page_id"), page.alias("text")), "page_id", "text", parse)[0].select("page_id", "title", "date", "url")
+
+
+@query("SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages WHERE regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> ''")
+def html_page_titles(t: Tables) -> DataFrame:
+    return R.parsed(t.pages, "page_id", "html", R.html_rows("article", {"title": "h1"}))[0].where("title is not null").select("page_id", "title")
+
+
+@query("SELECT count(*) AS pages, count(DISTINCT p_partkey % 4) AS outlines FROM part")
+def html_structure_hash(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    page = _text("<table class='past'><tr><td class='c", k % 4, "'>", k, "</td></tr><tr><td class='c", k % 4, "'>x</td></tr></table>")
+    return t.part.select(structure_hash(page).alias("h")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("h").alias("outlines"))
+
+
+@query("SELECT c_nationkey AS sheet, c_custkey AS id, 'He said \"' || c_name || '\", twice' AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS label FROM customer WHERE c_custkey % 5 > 0")
+def sheet_csv(t: Tables) -> DataFrame:
+    c = F.col("c_custkey")
+    line = F.concat(c.cast("string"), F.lit(',"He said \\"'), "c_name", F.lit('\\", twice",'), F.when(c % 3 > 0, F.col("c_mktsegment")).otherwise(""), F.lit(","), F.when(c % 5 > 0, "keep").otherwise("drop"))
+    rows = R.sheet_rows(t.customer.select(F.col("c_nationkey").alias("sheet"), line.alias("line")), ["id", "name", "label", "group"])
+    return rows.where("`group` = 'keep'").select("sheet", F.col("id").cast("long").alias("id"), "name", F.when(F.trim("label") != "", F.col("label")).alias("label"))
+
+
+def _json(t: Tables, text, path: str, fields: dict[str, str]) -> DataFrame:
+    return t.part.select("p_partkey", F.inline(R.json_items(text, path, fields)))
+
+
+@query("""
+    SELECT p_partkey, 'Run ' || p_partkey AS title, '2026-03-0' || CAST(1 + p_partkey % 9 AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN 'T19:00:00Z' ELSE '' END AS starts, CASE WHEN p_partkey % 3 = 0 THEN 'Pub' END AS place, p_partkey % 2 = 1 AS all_day FROM part""")
+def calendar_json(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    start = F.when(k % 2 == 0, _text('{"dateTime":"2026-03-0', (1 + k % 9), 'T19:00:00Z"}')).otherwise(_text('{"date":"2026-03-0', (1 + k % 9), '"}'))
+    text = F.concat(_text('{"items":[{"summary":"Run ', k, '","start":'), start, F.when(k % 3 == 0, ',"location":"Pub"').otherwise(""), F.lit('},{"status":"cancelled","summary":"x"}]}'))
+    rows = _json(t, text, "items", {"title": "summary", "at": "start.dateTime", "day": "start.date", "place": "location", "status": "status"})
+    return rows.where("coalesce(status, '') <> 'cancelled'").select("p_partkey", "title", F.coalesce("at", "day").alias("starts"), "place", F.col("at").isNull().alias("all_day"))
+
+
+@query("SELECT p_partkey, 'Post ' || p_partkey AS title, 'https://w.example/?p=' || p_partkey AS url, '2026-01-02' AS date FROM part UNION ALL SELECT p_partkey, 'B', 'https://w.example/b', '2026-01-03' FROM part")
+def posts_feed(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    text = _text('[{"title":{"rendered":"Post ', k, '"},"link":"https://w.example/?p=', k, '","date":"2026-01-02T03:04:05"},{"title":{"rendered":"B"},"link":"https://w.example/b","date":"2026-01-03T00:00:00"}]')
+    return _json(t, text, "", {"title": "title.rendered", "url": "link", "date": "date"}).withColumn("date", F.substring("date", 1, 10))
+
+
+@query("SELECT p_partkey, 'T' || p_partkey AS title, '19:00' AS start_time, CASE WHEN p_partkey % 2 = 0 THEN 'Hall' END AS venue FROM part")
+def tribe_feed(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(_text('{"events":[{"title":"T', k, '","start_date":"2026-05-06 19:00:00","venue":'), F.when(k % 2 == 0, '{"venue":"Hall"}').otherwise("[]"), F.lit("}]}"))
+    rows = _json(t, text, "events", {"title": "title", "at": "start_date", "venue": "venue.venue"})
+    return rows.select("p_partkey", "title", F.substring("at", 12, 5).alias("start_time"), "venue")
+
+
+@query("SELECT p_partkey, 'a' || p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey % 90 AS DOUBLE) END AS lat, CASE WHEN p_partkey % 3 > 0 THEN 5.0 END AS lng FROM part")
+def activity_feed(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(_text('[{"id":"a', k, '","start_latlng":['), F.when(k % 3 > 0, _text(k % 90, ",5")).otherwise("0,0"), F.lit("]}]"))
+    rows = _json(t, text, "", {"id": "id", "lat": "start_latlng[0]", "lng": "start_latlng[1]"}).withColumns({"lat": F.col("lat").cast("double"), "lng": F.col("lng").cast("double")})
+    unknown = (F.col("lat") == 0) & (F.col("lng") == 0)
+    return rows.select("p_partkey", "id", F.when((k % 3 > 0) | ~unknown, F.col("lat")).alias("lat"), F.when((k % 3 > 0) | ~unknown, F.col("lng")).alias("lng"))
+
+
+@query("SELECT p_partkey, n AS kennel, 'K' || n || '-' || p_partkey AS name FROM part, (SELECT unnest([3, 5]) AS n)")
+def archive_feed(t: Tables) -> DataFrame:
+    """A table of rows for many organisers: the configured map of slugs gives each its organiser."""
+    k = F.col("p_partkey")
+    text = _text('{"data":[{"slug":"three","name":"K3-', k, '"},{"slug":"five","name":"K5-', k, '"},{"slug":"other","name":"x"}]}')
+    rows = _json(t, text, "data", {"slug": "slug", "name": "name"})
+    slugs = t.spark.createDataFrame([("three", 3), ("five", 5)], "slug string, kennel int")
+    return rows.join(F.broadcast(slugs), "slug").select("p_partkey", "kennel", "name")  # a source's configuration
+
+
+@query("SELECT p_partkey, 'e' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'Bar ' || p_partkey END AS venue FROM part")
+def state_cache_feed(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    nodes = t.part.select(k.alias("page"), F.explode(F.array(
+        F.struct(_text("e", k).alias("node_id"), F.lit("Run").alias("name"), F.lit("v1").alias("ref")),
+        F.struct(F.when(k % 2 == 0, "v1").otherwise("v2").alias("node_id"), _text("Bar ", k).alias("name"), F.lit(None).cast("string").alias("ref")),
+    )).alias("n")).select("page", "n.*")
+    return R.resolved_references(nodes, "ref").where("ref is not null").select(F.col("page").alias("p_partkey"), F.col("node_id").alias("id"), "venue")
+
+
+@query("SELECT p_partkey, i AS n, 'E' || p_partkey || '-' || i AS name FROM part, (SELECT unnest([1, 2]) AS i)")
+def embedded_json_feed(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    page = _text('<script>var a={"x":1};event:{"n":1,"name":"E', k, '-1"}</script><p>event: {"n":2,"name":"E', k, '-2"} {"n":3}</p>')
+    rows = t.part.select("p_partkey", F.explode(R.marked_blobs(page, "event:")).alias("j"))
+    return rows.select("p_partkey", F.get_json_object("j", "$.n").cast("int").alias("n"), F.get_json_object("j", "$.name").alias("name"))
+
+
+@query("SELECT p_partkey, DATE '2026-05-01' AS date, 'hill ' || p_partkey AS body FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, DATE '2026-05-03', 'sea' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, DATE '2026-05-01', 'one day' FROM part WHERE p_partkey % 2 = 1")
+def day_sections(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = t.part.select("p_partkey", DAY("2026-05-01").alias("d"), F.when(k % 2 == 0, _text("Intro. Day 1: hill ", k, " DAY 3: sea ")).otherwise("one day").alias("text"))
+    return R.day_sections(rows, "p_partkey", "text", "d")
+
+
+cases("adapters_routed", lambda u: R.routed_adapter(u, [("example\\.org/special", "configured")], [("meetup\\.com", "meetup"), ("example\\.org", "generic-table"), ("calendar", "calendar")], "html"), [
+    ("https://example.org/special/{k}", "configured"), ("https://example.org/{k}", "generic-table"), ("https://MEETUP.com/{k}", "meetup"), ("https://other.net/{k}", "html"), ("https://calendar.example.org/", "generic-table"), (None, "html"),
+])
+
+
+@query("""
+    WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-06', TIMESTAMP '2024-06-30', INTERVAL 14 DAY)) AS DATE) AS date)
+    SELECT p_partkey, date, dayname(date) || ' run ' || monthname(date) || ' ' || day(date) || ' ' || CAST(date AS VARCHAR) AS title, 100 + date_diff('day', DATE '2024-01-06', date) // 14 AS run_number FROM part, d""")
+def schedule_source(t: Tables) -> DataFrame:
+    dates = occurrences(F.lit("FREQ=WEEKLY;INTERVAL=2;BYDAY=SA"), DAY("2024-01-01"), DAY("2024-06-30"), DAY("2024-01-06"))
+    return R.scheduled_rows(t.part.select("p_partkey"), dates, F.lit("{dayName} run {date} {iso}"), F.lit(100), DAY("2024-01-06"), F.lit(14))
+
+
+_RULES = "SELECT p_partkey AS rule_id, p_partkey % 50 AS kennel_id, CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, p_size % 2 = 0 AS seasonal FROM part"
+
+
+@query(f"""
+    WITH r AS ({_RULES}), d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-03-01', TIMESTAMP '2024-06-30', INTERVAL 1 DAY)) AS DATE) AS date), x AS (SELECT kennel_id, date, rule_id, row_number() OVER (PARTITION BY kennel_id, date ORDER BY CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, rule_id) AS k FROM r, d
+      WHERE day(date) BETWEEN 8 AND 14 AND dayofweek(date) = 3 AND month(date) IN (3, 4, 6) AND (NOT seasonal OR strftime(date, '%m-%d') BETWEEN '04-01' AND '09-30')) SELECT kennel_id, date, rule_id FROM x WHERE k = 1""")
+def projected_rules(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    season = lambda v: F.when(size % 2 == 0, v)
+    rules = t.part.select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 50).alias("kennel_id"), F.when(size % 3 == 0, "HIGH").when(size % 3 == 1, "MEDIUM").otherwise("LOW").alias("confidence"), F.lit("FREQ=MONTHLY;BYDAY=2WE;BYMONTH=3,4,6").alias("rule"), F.lit(None).cast("date").alias("anchor"), F.lit(None).cast("string").alias("start_time"), season("04-01").alias("season_start"), season("09-30").alias("season_end"))
+    return P.best_per_slot(P.project(rules, DAY("2024-03-01"), DAY("2024-06-30"))).select("kennel_id", "date", "rule_id")
+
+
+cases("rule_explanations", lambda f, d, n, m, s, e, label: P.explanation(f, d.cast("int"), n.cast("int"), m.cast("int"), F.lit(1), label, s, e), [
+    ("WEEKLY", "6", None, None, None, None, None, "Runs every Saturday"), ("MONTHLY", "3", "2", None, None, None, None, "Runs on the 2nd Wednesday of each month"), ("MONTHLY", "5", "-1", None, None, None, None, "Runs on the last Friday of each month"), ("MONTHLY", None, None, "15", "04-01", "10-31", "Summer", "Runs on the 15th of each month (Summer, Apr – Oct)"), ("WEEKLY", "0", None, None, "11-01", "03-01", None, "Runs every Sunday (Nov – Mar)"), ("WEEKLY", "1", None, None, None, None, "Winter {k}", "Runs every Monday (Winter {k})"),
+])
+
+
+@query("SELECT * FROM (VALUES ('full', DATE '2024-01-25'), ('full', DATE '2024-02-24'), ('full', DATE '2024-03-25'), ('full', DATE '2024-04-23'), ('full', DATE '2024-05-23'), ('full', DATE '2024-06-22'), ('new', DATE '2024-01-11'), ('new', DATE '2024-02-09'), ('new', DATE '2024-03-10'), ('new', DATE '2024-04-08'), ('new', DATE '2024-05-08'), ('new', DATE '2024-06-06')) t(phase, date)")
+def lunar_phases(t: Tables) -> DataFrame:
+    """Published dates (UTC) of the first moons of 2024."""
+    moons = moon.phases(t.spark, 2024, 2024).where("instant < timestamp'2024-07-01'")
+    return moon.lunar_dates(moons, "full", F.lit("UTC")).unionByName(moon.lunar_dates(moons, "new", F.lit("UTC"))).select("phase", "date")
+
+
+@query("""
+    WITH f AS (SELECT unnest([DATE '2024-01-25', DATE '2024-02-24', DATE '2024-03-25', DATE '2024-04-23', DATE '2024-05-23', DATE '2024-06-21']) AS d)
+    SELECT n_nationkey, d + CAST((6 - dayofweek(d) + 3) % 7 - 3 + CASE WHEN (6 - dayofweek(d) + 3) % 7 < 0 THEN 7 ELSE 0 END AS INT) AS date FROM nation, f""")
+def lunar_schedule(t: Tables) -> DataFrame:
+    """The Saturday nearest to each full moon in New York (of which that of June falls a day earlier there than in UTC)."""
+    moons = moon.phases(t.spark, 2024, 2024).where("instant < timestamp'2024-07-01'")
+    own = moon.lunar_dates(moons, "full", F.lit("America/New_York"), 6).select("date")
+    # every nation's schedule is the same short list, an array of a year's moons
+    dates = own.agg(F.array_sort(F.collect_list("date")).alias("dates"))
+    return t.nation.join(F.broadcast(dates)).select("n_nationkey", F.explode("dates").alias("date"))  # one row
+
+
+_FNV = "printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(seed, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296))"
+_ICS = """SELECT o_orderkey AS id, o_custkey % 9 AS g, 'Run; "A, B" ' || o_orderkey AS title, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 3 > 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':15' END AS start_time, CASE WHEN o_orderkey % 2 = 0 THEN 'Bar, 1' END AS location FROM orders"""
+
+
+def _ics(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    return t.orders.select(k.alias("id"), (F.col("o_custkey") % 9).alias("g"), _text('Run; "A, B" ', k).alias("title"), F.to_date("o_orderdate").alias("date"), F.when(k % 3 > 0, _text(F.lpad((k % 24).cast("string"), 2, "0"), ":15")).alias("start_time"), F.when(k % 2 == 0, "Bar, 1").alias("location"), F.lit(None).cast("string").alias("description"), F.lit("Europe/Berlin").alias("tz"), F.lit("BH3").alias("kennel"), F.when(k % 5 > 0, k % 100).alias("run_number"), F.lit("CONFIRMED").alias("status"))
+
+
+@query(f"""
+    WITH e AS ({_ICS}), s AS (SELECT *, strftime(date, '%Y-%m-%d') || '|' || coalesce(start_time, 'allday') || '|' || title || '|' || coalesce(location, '') || '|BH3|' || CASE WHEN id % 5 > 0 THEN CAST(id % 100 AS VARCHAR) ELSE '' END AS seed, date + CASE WHEN id % 24 >= 21 THEN 1 ELSE 0 END AS ed FROM e),
+    b AS (SELECT id, concat_ws(chr(13) || chr(10), 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//eventloom//EN', 'BEGIN:VEVENT', 'DTSTAMP:20260101T000000Z', 'UID:' || strftime(date, '%Y%m%d') || '-' || {_FNV} || '@events.invalid', 'SUMMARY:Run\\; "A\\, B" ' || id,
+      CASE WHEN start_time IS NULL THEN 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') ELSE 'DTSTART;TZID=Europe/Berlin:' || strftime(date, '%Y%m%d') || 'T' || replace(start_time, ':', '') || '00' END,
+      CASE WHEN start_time IS NULL THEN 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') ELSE 'DTEND;TZID=Europe/Berlin:' || strftime(ed, '%Y%m%d') || 'T' || lpad(CAST((id % 24 + 3) % 24 AS VARCHAR), 2, '0') || '1500' END, CASE WHEN location IS NOT NULL THEN 'LOCATION:Bar\\, 1' END, 'END:VEVENT', 'END:VCALENDAR') AS text FROM s) SELECT id, text FROM b""")
+def calendar_export(t: Tables) -> DataFrame:
+    rows = _ics(t)
+    return rows.select("id", O.calendar_file(O.vevent(rows, "20260101T000000Z", "events.invalid"), "eventloom").alias("text"))
+
+
+@query(f"WITH e AS ({_ICS}) SELECT g, (row_number() OVER (PARTITION BY g ORDER BY id) - 1) // 500 AS part, 1 AS n FROM e".replace("SELECT g, (row", "SELECT g, part, count(*) AS events FROM (SELECT g, (row").replace(", 1 AS n FROM e", " FROM e) GROUP BY 1, 2"))
+def calendar_export_groups(t: Tables) -> DataFrame:
+    rows = _ics(t)
+    texts = O.calendar_of_group(rows.select("g", "id", O.vevent(rows, "20260101T000000Z", "events.invalid").alias("block")), "g", "id", "block", "eventloom")
+    return texts.select("g", "part", F.size(F.regexp_extract_all("text", F.lit("BEGIN:VEVENT"), F.lit(0))).cast("long").alias("events"))
+
+
+@query(f"""
+    WITH e AS ({_ICS}) SELECT id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=' || replace(url_encode(title), '%20', '+') || '&details=&dates=' || CASE WHEN start_time IS NULL THEN strftime(date, '%Y%m%d') || '%2F' || strftime(date + 1, '%Y%m%d')
+      ELSE strftime(date, '%Y%m%d') || 'T' || replace(start_time, ':', '') || '00%2F' || strftime(date + CASE WHEN id % 24 >= 21 THEN 1 ELSE 0 END, '%Y%m%d') || 'T' || lpad(CAST((id % 24 + 3) % 24 AS VARCHAR), 2, '0') || '1500' END || CASE WHEN start_time IS NOT NULL THEN '&ctz=Europe%2FBerlin' ELSE '' END || CASE WHEN location IS NOT NULL THEN '&location=Bar%2C+1' ELSE '' END AS url FROM e""")
+def calendar_links(t: Tables) -> DataFrame:
+    return _ics(t).select("id", O.calendar_link(F.col("title"), F.col("date"), F.col("start_time"), F.lit(None).cast("string"), F.col("location"), F.col("tz")).alias("url"))
+
+
+@query(f"""
+    WITH e AS ({_ICS}) SELECT id, '{{"@context":"https://schema.org","@type":"SportsEvent","name":"Run; \\"A, B\\" ' || id || '","startDate":"' || strftime(date, '%Y-%m-%d') || coalesce('T' || start_time || ':00', '') || '","eventStatus":"https://schema.org/EventScheduled"' || CASE WHEN location IS NOT NULL THEN ',"location":{{"@type":"Place","name":"Bar, 1"}}' ELSE '' END || '}}' AS json FROM e""")
+def structured_data(t: Tables) -> DataFrame:
+    return _ics(t).select("id", O.event_json_ld().alias("json"))
+
+
+@query("""
+    WITH r AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) SELECT n_regionkey, '{"@type":"ItemList","itemListElement":[' || string_agg('{"position":' || k || ',"name":"' || n_name || '"}', ',' ORDER BY k) || ']}' AS json FROM r GROUP BY 1""")
+def structured_lists(t: Tables) -> DataFrame:
+    return O.item_list_json_ld(t.nation, "n_regionkey", "n_name")
+
+
+@query("""
+    WITH f AS (SELECT user_id % 6 AS log, event_type AS category, event_id, event_type AS rule FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY event_id, rule) AS k FROM f)
+    SELECT log, count(*) AS total, count(*) FILTER (category = 'view') AS views, list(event_id ORDER BY event_id, rule) FILTER (k <= 20) AS firsts FROM r GROUP BY 1""")
+def audit_log_rows(t: Tables) -> DataFrame:
+    rows = t.events.select((F.col("user_id") % 6).alias("log"), F.col("event_type").alias("category"), "event_id", F.col("event_type").alias("rule"))
+    out = O.audit_log(rows, "log", at_most=20)
+    return out.select("log", "total", F.coalesce(F.try_element_at("by_category", F.lit("view")), F.lit(0)).alias("views"), F.transform("findings", lambda x: x["event_id"]).alias("firsts"))
+
+
+@query("""
+    SELECT l_orderkey AS k, l_suppkey AS b, min(l_partkey) AS v FROM lineitem WHERE l_linenumber > 1 AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_linenumber = 1 AND o.l_orderkey = lineitem.l_orderkey AND o.l_suppkey = lineitem.l_suppkey) GROUP BY 1, 2""")
+def ledger_snapshot(t: Tables) -> DataFrame:
+    from ..operators.merging import insert_if_absent
+
+    rows = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("b"), F.col("l_partkey").alias("v"), "l_linenumber")
+    return insert_if_absent(rows.where("l_linenumber > 1"), rows.where("l_linenumber = 1"), ["k", "b"], [F.asc("v")]).select("k", "b", "v")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS a FROM events) WHERE a > 30")
+def deleted_by_retention(t: Tables) -> DataFrame:
+    from ..operators.windows import dual_quota
+
+    keep = dual_quota(t.events.select("event_id", "user_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], F.lit(True), 30, 0)
+    return t.events.select("event_id").join(keep.select("event_id"), "event_id", "left_anti")

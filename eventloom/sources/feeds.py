@@ -69,7 +69,7 @@ def ical_events(text: str) -> list[dict]:
                 out.append({"uid": own.get("UID"), "title": own.get("SUMMARY"), "date": f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}", "start_time": f"{clock[:2]}:{clock[2:]}" if len(clock) == 4 else None, "location": own.get("LOCATION"), "url": own.get("URL"), "description": own.get("DESCRIPTION")})
             own = None
         elif own is not None:
-            own[name] = value.replace("\\n", "\n").replace("\\N", "\n").replace("\\,", ",").replace("\;", ";").replace("\\\\", "\\")
+            own[name] = value.replace("\\n", "\n").replace("\\N", "\n").replace("\\,", ",").replace("\\;", ";").replace("\\\\", "\\")
     return out
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import first_values
+
 
 def active_by_region(events: DataFrame, since: Column, key: str, region: str, date: str = "date", k: int = 20) -> DataFrame:
     """Organisers with an event since a date, and these events, for each region; the ``k`` most active."""
@@ -81,15 +83,18 @@ def precision_grid(outcomes: DataFrame, confidences: Sequence[str], bins: Sequen
 
 
 def grouped_findings(findings: DataFrame, severity_rank: Column, k: int, samples: int = 3) -> DataFrame:
-    """Findings by (kennel_id, rule): count and the first samples by event id; errors first, then the most."""
-    ranked = findings.withColumn("_at", F.row_number().over(Window.partitionBy("kennel_id", "rule").orderBy("event_id")))
-    out = ranked.groupBy("kennel_id", "rule").agg(F.min(severity_rank).alias("severity_rank"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_at") <= samples, F.col("event_id")))).alias("samples"))
-    return out.orderBy("severity_rank", F.desc("n"), "kennel_id", "rule").limit(k)
+    """Findings by (kennel_id, rule): count and the first samples by event id; errors first, then the most. Samples are looked for in the
+    ``k`` groups that are left, and a few of each partition at most are shuffled."""
+    out = findings.groupBy("kennel_id", "rule").agg(F.min(severity_rank).alias("severity_rank"), F.count(F.lit(1)).alias("n"))
+    top = out.orderBy("severity_rank", F.desc("n"), "kennel_id", "rule").limit(k)
+    own = findings.join(F.broadcast(top.select("kennel_id", "rule")), ["kennel_id", "rule"], "left_semi")  # k rows
+    few = first_values(own, ["kennel_id", "rule"], ["event_id"], "event_id", samples, "samples")
+    return top.join(few, ["kennel_id", "rule"]).orderBy("severity_rank", F.desc("n"), "kennel_id", "rule")
 
 
 def repeated_blocks(docs: DataFrame, key: str, text: str, group: str, separator: str = r"\n", least: int = 2) -> DataFrame:
     """Blocks that occur in ``least`` documents of a group or more, with the number of documents."""
-    blocks = docs.select(group, key, F.explode(F.array_distinct(F.transform(F.split(text, separator), lambda b: F.trim(b)))).alias("block")).where("block <> ''")
+    blocks = docs.select(group, key, F.explode(F.array_distinct(F.transform(F.split(text, separator), lambda b: F.trim(b)))).alias("block")).where("block <> ''").distinct()
     return blocks.groupBy(group, "block").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least)
 
 
@@ -104,14 +109,14 @@ def without_blocks(docs: DataFrame, boilerplate: DataFrame, key: str, text: str,
 
 def robust_bounds(points: DataFrame, group: str, x: str, least: int = 8) -> DataFrame:
     """Minimum and maximum without Tukey outliers where a group has ``least`` values or more. Quartiles are the
-    values at sorted place floor(n q). They come from a row number, not from a list of the group."""
-    w = Window.partitionBy(group)
-    ranked = points.where(F.col(x).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(x)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    q = lambda f: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * f), F.col(x)))
-    stats = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), q(0.25).alias("q1"), q(0.75).alias("q3"))
+    values at sorted place floor(n q), found through counts of values: the window runs over different values, pre-aggregated."""
+    values = points.where(F.col(x).isNotNull()).groupBy(group, F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    run = values.withColumns({"upto": F.sum("c").over(Window.partitionBy(group).orderBy("v")), "all": F.sum("c").over(Window.partitionBy(group))})
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("all") * q), F.col("v")))
+    stats = run.groupBy(group).agg(F.max("all").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
     fence = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = points.join(stats, group).where((F.col("n") < least) | F.col(x).between(F.col("q1") - fence, F.col("q3") + fence))
-    return inside.groupBy(group).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("kept"), F.first("n").alias("n"))
+    inside = values.join(stats, group).where((F.col("n") < least) | F.col("v").between(F.col("q1") - fence, F.col("q3") + fence))
+    return inside.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("kept"), F.first("n").alias("n"))
 
 
 def stream_trend(changes: DataFrame, spine: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import first_values
+
 
 
 def personal_stats(attendance: DataFrame, user: str, hare: Column, dimensions: dict[str, Column]) -> DataFrame:
@@ -31,9 +33,8 @@ def member_stats(attendance: DataFrame, member: str, hare: Column, paid: Column,
 
 def event_history(attendance: DataFrame, event: str, name: str, flags: dict[str, Column], at_most: int = 20) -> DataFrame:
     """Attendees and flag counts of each event, with its first names in order: a list that is bounded where it is built."""
-    own = attendance.withColumn("_at", F.row_number().over(Window.partitionBy(event).orderBy(name)))
-    names = F.array_sort(F.collect_list(F.when(F.col("_at") <= at_most, F.col(name))))
-    return own.groupBy(event).agg(F.count(F.lit(1)).alias("attendees"), *(F.count_if(c).alias(n) for n, c in flags.items()), names.alias("names"))
+    counts = attendance.groupBy(event).agg(F.count(F.lit(1)).alias("attendees"), *(F.count_if(c).alias(n) for n, c in flags.items()))
+    return counts.join(first_values(attendance, [event], [name], name, at_most, "names"), event)
 
 
 def dense_counts(rows: DataFrame, group: Sequence[str], column: str, levels: Sequence[str]) -> DataFrame:
@@ -130,9 +131,10 @@ def weekday_facets(rows: DataFrame, group: str, date: str) -> DataFrame:
 
 def day_by_stop(rows: DataFrame, stops: Sequence[str], at_most: int = 50) -> DataFrame:
     """A row for each day, with the ids of each stop in order of time and distance (the first ``at_most``); a null day comes last."""
-    own = rows.withColumn("_at", F.row_number().over(Window.partitionBy("day", "stop").orderBy(F.coalesce("start_time", F.lit("99:99")), "distance", "id")))
-    cell = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("stop") == s) & (F.col("_at") <= at_most), F.struct("_at", "id")))), lambda x: x["id"])
-    return own.groupBy("day").agg(*(cell(s).alias(f"stop_{s}") for s in stops)).orderBy(F.asc_nulls_last("day"))
+    lists = first_values(rows, ["day", "stop"], [F.coalesce(F.col("start_time"), F.lit("99:99")), F.col("distance"), F.col("id")], "id", at_most, "ids")
+    none = F.array().cast(lists.schema["ids"].dataType)
+    cell = lambda s: F.coalesce(F.first(F.when(F.col("stop") == s, F.col("ids")), ignorenulls=True), none)
+    return lists.groupBy("day").agg(*(cell(s).alias(f"stop_{s}") for s in stops)).orderBy(F.asc_nulls_last("day"))
 
 
 def worst_of(rows: DataFrame, group: str, column: str, order: Sequence[str]) -> DataFrame:
@@ -143,9 +145,11 @@ def worst_of(rows: DataFrame, group: str, column: str, order: Sequence[str]) ->
 
 def action_counters(rows: DataFrame, group: str, action: str, actions: Sequence[str], key: str, samples: int = 3) -> DataFrame:
     """Rows of each action of a batch, and the first keys of each as samples, a bounded list."""
-    own = rows.withColumn("_at", F.row_number().over(Window.partitionBy(group, action).orderBy(key)))
-    few = lambda a: F.array_sort(F.collect_list(F.when((F.col(action) == a) & (F.col("_at") <= samples), F.col(key))))
-    return own.groupBy(group).agg(*(F.count_if(F.col(action) == a).alias(a) for a in actions), *(few(a).alias(f"{a}_samples") for a in actions))
+    counts = rows.groupBy(group).agg(*(F.count_if(F.col(action) == a).alias(a) for a in actions))
+    lists = first_values(rows.where(F.col(action).isin(list(actions))), [group, action], [key], key, samples, "_s")
+    none = F.array().cast(lists.schema["_s"].dataType)
+    few = lists.groupBy(group).agg(*(F.first(F.when(F.col(action) == a, F.col("_s")), ignorenulls=True).alias(f"{a}_samples") for a in actions))
+    return counts.join(few, group, "left").withColumns({f"{a}_samples": F.coalesce(f"{a}_samples", none) for a in actions})
 
 
 def census(kennels: DataFrame, projections: DataFrame, horizons: Sequence[int]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km
 from ..functions.text import safe_url
 from .filters import all_of
+from .windows import first_values
 
 
 def with_centroids(rows: DataFrame, regions: DataFrame, region: str = "region_id") -> DataFrame:
@@ -118,9 +119,7 @@ def merged_pages(shown: DataFrame, older: DataFrame, key: str) -> DataFrame:
 
 def sections(rows: DataFrame, group: str, key: str, order: Sequence[str], at_most: int = 100) -> DataFrame:
     """Groups of a page with their keys in order, the first ``at_most``, and their number."""
-    own = rows.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    keys = F.transform(F.array_sort(F.collect_list(F.when(F.col("_at") <= at_most, F.struct("_at", key)))), lambda x: x[key])
-    return own.groupBy(group).agg(F.count(F.lit(1)).alias("n"), keys.alias("keys"))
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(first_values(rows, [group], list(order), key, at_most, "keys"), group)
 
 
 def exploded_tags(rows: DataFrame, key: str, tags: str) -> DataFrame:

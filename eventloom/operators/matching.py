@@ -66,22 +66,6 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_d
     return a.join(b, [*keys, "_b"]).where(gap.between(1, days)).drop("_b")
 
 
-def fuzzy_pairs(rows: DataFrame, group: Sequence[str], key: str, name: str, least: float = 0.7) -> DataFrame:
-    """Pairs of a group's distinct names with a similarity of ``least`` or more. Names that can reach it differ little
-    in length, so pairs meet by length class within the group."""
-    ratio = -F.log(F.lit(least))
-    one = rows.select(*group, key, F.lower(F.trim(name)).alias("n")).where("n <> ''").withColumn("_c", F.floor(F.log(F.length("n").cast("double")) / ratio))
-    left = one.withColumn("_c", F.explode(F.array(F.col("_c"), F.col("_c") + 1)))
-    right = one.select(*group, F.col(key).alias("other"), F.col("n").alias("m"), "_c", F.col("_c").alias("_own"))
-    # a pair of one class meets there; of neighbouring classes, in the upper one
-    met = left.join(right, [*group, "_c"]).where((F.col(key) != F.col("other")))
-    met = met.select(*group, F.least(key, "other").alias("a"), F.greatest(key, "other").alias("b"), F.when(F.col(key) < F.col("other"), F.col("n")).otherwise(F.col("m")).alias("x"), F.when(F.col(key) < F.col("other"), F.col("m")).otherwise(F.col("n")).alias("y")).distinct()
-    longest = F.greatest(F.length("x"), F.length("y"))
-    close = met.where(F.least(F.length("x"), F.length("y")) >= least * longest)
-    scored = close.withColumn("distance", F.levenshtein("x", "y")).withColumn("longest", longest)
-    return scored.where(F.col("longest") - F.col("distance") >= least * F.col("longest"))
-
-
 def best_match(rows: DataFrame, candidates: DataFrame, block: Sequence[str], score: Column, order: Sequence[Column], least: float, key: Sequence[str]) -> DataFrame:
     """The best candidate of each row within its block, if its score reaches ``least``."""
     return pick_best(rows.join(candidates, list(block)).withColumn("score", score).where(F.col("score") >= least), key, [F.desc("score"), *order])

@@ -111,11 +111,23 @@ def consecutive_islands(rows: DataFrame, group: Sequence[str], date: str, key: s
     return out.where((F.col("members") >= 2) & (F.datediff("end_date", "start_date") <= max_span)).drop("_island")
 
 
-def streaks(present: DataFrame, group: Sequence[str], order: str, attended: str, cap: int = 4) -> DataFrame:
-    """Most recent slots in a row that were attended, at most ``cap``."""
-    ranked = present.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order))))
-    missed = F.min(F.when(~F.col(attended), F.col("_r")))
-    return ranked.groupBy(*group).agg(F.least(F.coalesce(missed - 1, F.count(F.lit(1))), F.lit(cap)).cast("long").alias("streak"))
+def first_values(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, k: int, name: str) -> DataFrame:
+    """The first ``k`` values of each group in an order, as an array. The filter on the row number is taken before the shuffle too, so a
+    very large group sends ``k`` rows of each partition."""
+    top = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_at") <= k)
+    return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias(name))
+
+
+def streaks(attended: DataFrame, slots: DataFrame, group: str, order: str, cap: int = 4) -> DataFrame:
+    """Most recent slots in a row that a member attended, at most ``cap``. Only the last ``cap`` slots matter, so they are
+    numbered once and a member's attendances are bits; members who missed the last slot have 0."""
+    last = slots.select(order).distinct().orderBy(F.desc(order)).limit(cap)
+    numbered = last.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(order))) - 1)  # of ``cap`` rows
+    bits = attended.select(group, order).distinct().join(F.broadcast(numbered), order).groupBy(group).agg(F.bit_or(F.expr("shiftleft(1, _r)")).alias("_b"))
+    out = attended.select(group).distinct().join(bits, group, "left")
+    b = F.coalesce("_b", F.lit(0))
+    first_gap = F.coalesce(*(F.when(b.bitwiseAND(F.lit(1 << i)) == 0, i) for i in range(cap)), F.lit(cap))
+    return out.select(group, first_gap.cast("long").alias("streak"))
 
 
 def milestones(rows: DataFrame, group: str, order: Sequence[str], targets: Sequence[int]) -> DataFrame:

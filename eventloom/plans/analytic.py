@@ -13,6 +13,7 @@ from ..operators import matching as M
 from ..operators import merging as G
 from ..operators import projection as P
 from ..operators import windows as W
+from ..operators.linking import near_names
 from .registry import Tables, query
 
 
@@ -80,12 +81,8 @@ def consecutive_islands(t: Tables) -> DataFrame:
     f AS (SELECT u.user_id, s.d, coalesce(a.att, false) AS att, row_number() OVER (PARTITION BY u.user_id ORDER BY s.d DESC) AS r FROM u CROSS JOIN s LEFT JOIN a ON a.user_id = u.user_id AND a.d = s.d)
     SELECT user_id, CAST(least(coalesce(min(CASE WHEN NOT att THEN r END) - 1, count(*)), 4) AS BIGINT) AS streak FROM f GROUP BY 1""")
 def streak(t: Tables) -> DataFrame:
-    attended = t.events.select("user_id", F.to_date("ts").alias("d")).distinct()
-    # the recorded days are a short list, which each member gets as an array
-    days = [r["d"] for r in attended.select("d").distinct().collect()]
-    slots = attended.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, sorted(days)))).alias("d"))
-    full = slots.join(attended.withColumn("att", F.lit(True)), ["user_id", "d"], "left").withColumn("att", F.coalesce("att", F.lit(False)))
-    return W.streaks(full, ["user_id"], "d", "att")
+    attended = t.events.select("user_id", F.to_date("ts").alias("d"))
+    return W.streaks(attended, attended, "user_id", "d")
 
 
 @query("""
@@ -141,8 +138,9 @@ def interval_match(t: Tables) -> DataFrame:
     WITH n AS (SELECT lower(p_name) AS n, min(p_partkey) AS k FROM part GROUP BY 1)
     SELECT a.k AS a, b.k AS b, levenshtein(a.n, b.n) AS distance FROM n a JOIN n b ON a.k < b.k AND greatest(length(a.n), length(b.n)) - levenshtein(a.n, b.n) >= 0.7 * greatest(length(a.n), length(b.n))""")
 def fuzzy_duplicates(t: Tables) -> DataFrame:
-    names = t.part.groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("k")).withColumn("g", F.lit(1))
-    return M.fuzzy_pairs(names, ["g"], "k", "name", 0.7).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    names = t.part.groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("k"))
+    pairs = near_names(names, names.select(F.col("name").alias("other"), F.col("k").alias("j")), "name", "other", [], 0.7).where("k < j")
+    return pairs.select(F.col("k").alias("a"), F.col("j").alias("b"), F.levenshtein("name", "other").cast("long").alias("distance")).distinct()
 
 
 @query("""
@@ -224,26 +222,43 @@ def fingerprint_dedupe(t: Tables) -> DataFrame:
     return new.select("l_orderkey", "l_linenumber", "fp")
 
 
-_AUDITED = """SELECT doc_id, text AS title, source AS location, CASE WHEN regexp_matches(text, '(?i)&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-f]+);') THEN 'title-html-entities' END AS title_rule,
-      CASE WHEN length(trim(text)) = 1 THEN 'hare-single-char' WHEN regexp_matches(text, '(?i)https?://') THEN 'hare-url' WHEN length(text) > 200 THEN 'hare-description-leak'
-           WHEN regexp_matches(text, '(?:^|[^0-9])(?:\\(?[0-9]{3}\\)?[-.\\s][0-9]{3}[-.\\s][0-9]{4}|[0-9]{10})(?:[^0-9]|$)') THEN 'hare-phone-number' END AS hares_rule FROM documents"""
+_SENDER = "CASE doc_id % 23 WHEN 0 THEN 'bh3   Trail ' || doc_id WHEN 1 THEN 'Boston trail' WHEN 2 THEN 'Wanna hare? ask' WHEN 3 THEN 'Hash runs on the first day' WHEN 4 THEN 'It meets every week' WHEN 5 THEN 'A &amp; B' WHEN 6 THEN '12:30pm' WHEN 7 THEN 'claim this trail' ELSE source END"
+_HARES = "CASE doc_id % 19 WHEN 0 THEN 'X' WHEN 1 THEN 'X ' WHEN 2 THEN 'tbd' WHEN 3 THEN 'Hares needed now' WHEN 4 THEN 'http://x.example' WHEN 5 THEN 'see http://x.example' WHEN 6 THEN 'Al (415) 555-1212' WHEN 7 THEN 'Zed Location: the pub' WHEN 8 THEN 'HTTP://x.example' WHEN 9 THEN 'sign' || chr(160) || 'up' WHEN 10 THEN repeat('ab ', 70) ELSE source END"
+_PLACE = "CASE doc_id % 17 WHEN 0 THEN 'https://x.example' WHEN 1 THEN 'N Main Road, north main rd, Town' WHEN 2 THEN 'Bar 415-555-1212' WHEN 3 THEN 'Inquire: a@b.org' WHEN 4 THEN 'Bar, Town' WHEN 5 THEN 'see https://x.example' ELSE 'Pub, ' || source END"
+_RULED = """CASE doc_id % 23 WHEN 0 THEN 'title-raw-kennel-code' WHEN 2 THEN 'title-cta-text' WHEN 3 THEN 'title-schedule-description' WHEN 4 THEN 'title-schedule-description' WHEN 5 THEN 'title-html-entities' WHEN 6 THEN 'title-time-only' WHEN 7 THEN 'title-cta-text' END AS title_rule,
+      CASE doc_id % 19 WHEN 0 THEN 'hare-single-char' WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'hare-cta-text' END WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'hare-cta-text' ELSE 'hare-boilerplate-leak' END WHEN 4 THEN 'hare-url' WHEN 6 THEN 'hare-phone-number' WHEN 7 THEN 'hare-boilerplate-leak' WHEN 9 THEN CASE WHEN doc_id % 2 = 0 THEN 'hare-cta-text' END WHEN 10 THEN 'hare-description-leak' END AS hares_rule,
+      CASE doc_id % 17 WHEN 0 THEN 'location-url' WHEN 1 THEN 'location-duplicate-segments' WHEN 2 THEN 'location-phone-number' WHEN 3 THEN 'location-email-cta' END AS location_rule,
+      CASE WHEN doc_id % 24 >= 23 OR doc_id % 24 <= 3 THEN 'event-improbable-time' END AS event_rule, CASE WHEN doc_id % 3 = 0 AND length(text) > 20 THEN 'description-dropped' END AS description_rule"""
+_FINDINGS = "SELECT event_id, kennel_id, field, rule FROM (SELECT doc_id AS event_id, source AS kennel_id, unnest(['title', 'hares', 'location', 'event', 'description']) AS field, unnest([title_rule, hares_rule, location_rule, event_rule, description_rule]) AS rule FROM a) WHERE rule IS NOT NULL"
+_AUDITED = f"SELECT doc_id, source, {_RULED} FROM documents"
 
 
 def _findings(t: Tables) -> DataFrame:
-    rules = U.builtin_rules(F.lit("2024-01-01").cast("date"))
-    rows = t.documents.select(F.col("doc_id").alias("event_id"), F.col("source").alias("kennel_id"), F.col("text").alias("title"), F.col("text").alias("hares"), F.lit("2024-06-01").cast("date").alias("date"))
-    own = {"title": [r for r in rules["title"] if r[0] == "title-html-entities"], "hares": [r for r in rules["hares"] if r[0] != "hare-cta-text"]}
-    return U.audit(rows, own, ("event_id", "kennel_id"))
+    """All rules over rows that each bear one of some texts; the SQL states which rule each text breaks."""
+    rows = t.documents.select(
+        F.col("doc_id").alias("event_id"), F.col("source").alias("kennel_id"), F.expr(_SENDER.replace("chr(160)", "'\\u00a0'")).alias("title"), F.lit("bh3").alias("kennel_code"), F.lit("Boston").alias("kennel_short_name"), F.expr(_HARES.replace("chr(160)", "'\\u00a0'")).alias("hares"), F.expr(_PLACE).alias("location"),
+        F.expr("if(doc_id % 2 = 0, date'2024-01-10', date'2024-03-01')").alias("date"), F.format_string("%02d:00", F.col("doc_id") % 24).alias("start_time"), F.when(F.col("doc_id") % 3 > 0, "x").alias("description"), F.col("text").alias("raw_description"),
+    )
+    return U.audit(rows, U.builtin_rules(F.lit("2024-01-01").cast("date")), ("event_id", "kennel_id"))
 
 
-@query(f"WITH a AS ({_AUDITED}) SELECT doc_id AS event_id, location AS kennel_id, 'title' AS field, title_rule AS rule FROM a WHERE title_rule IS NOT NULL UNION ALL SELECT doc_id, location, 'hares', hares_rule FROM a WHERE hares_rule IS NOT NULL")
+@query(f"WITH a AS ({_AUDITED}) {_FINDINGS}")
 def audit_rules(t: Tables) -> DataFrame:
     return _findings(t)
 
 
+@query("""
+    SELECT doc_id FROM documents WHERE (source = 'src3' OR (lang = 'de' AND NOT starts_with(source, 'src1'))) AND length(coalesce(text, '')) > 100 AND NOT regexp_matches(coalesce(text, ''), '(?i)zz')""")
+def matcher_language(t: Tables) -> DataFrame:
+    rule = {"op": "and", "of": [
+        {"op": "or", "of": [{"op": "equals", "field": "source", "value": "src3"}, {"op": "and", "of": [{"op": "equals", "field": "lang", "value": "de"}, {"op": "not", "of": {"op": "starts_with", "field": "source", "value": "src1"}}]}]},
+        {"op": "length_gt", "field": "text", "value": 100}, {"op": "not", "of": {"op": "regex", "field": "text", "value": "zz", "ignore_case": True}},
+    ]}
+    return t.documents.where(U.compiled(rule)).select("doc_id")
+
+
 @query(f"""
-    WITH a AS ({_AUDITED}), f AS (SELECT doc_id AS event_id, location AS kennel_id, title_rule AS rule FROM a WHERE title_rule IS NOT NULL UNION ALL SELECT doc_id, location, hares_rule FROM a WHERE hares_rule IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY kennel_id, rule ORDER BY event_id) AS k FROM f)
+    WITH a AS ({_AUDITED}), f AS ({_FINDINGS}), r AS (SELECT *, row_number() OVER (PARTITION BY kennel_id, rule ORDER BY event_id) AS k FROM f)
     SELECT kennel_id, rule, CASE WHEN rule = 'hare-url' THEN 0 ELSE 1 END AS severity_rank, count(*) AS n, list(event_id ORDER BY event_id) FILTER (k <= 3) AS samples FROM r GROUP BY 1, 2 ORDER BY 3, 4 DESC, 1, 2 LIMIT 10""")
 def audit_group_rank(t: Tables) -> DataFrame:
     return A.grouped_findings(_findings(t), F.when(F.col("rule") == "hare-url", 0).otherwise(1), 10)

@@ -11,7 +11,7 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Tables of a folder by name; timestamps without zone become UTC ones where asked."""
+    """Tables of a folder by name, as they are."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

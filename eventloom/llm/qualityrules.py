@@ -6,7 +6,7 @@ of ``log p_target / p_raw`` over its n-grams, and it is kept if the score reache
 Everything is DataFrame functions: no Python runs on the executors.
 
 The target model counts every n-gram of every trusted document, the raw model those of every document. Trusted ids
-meet the documents in a join that Spark plans by their size.
+meet the documents in a shuffled join, which moves each text once.
 
 Defined results: a null or empty text has zero in every count, fails the base rules and scores 0;
 rows that repeat a doc_id are documents of their own, each with the verdict of its text; without any
@@ -91,8 +91,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def bucket_ratios(documents: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (1, 2), text_col: str = "text") -> list[float]:
     """``log p_target / p_raw`` for each bucket. Counts meet as 2**14 sums at any input size."""
-    trusted = trusted_ids(labels).withColumn("trusted", F.lit(1))
-    rows = documents.select("doc_id", F.col(text_col).alias("text")).join(trusted, "doc_id", "left")
+    # ids grow with the corpus, so they are joined by a shuffle at every size; documents without an id are dealt out by text
+    trusted = trusted_ids(labels).select("doc_id", F.lit(0).cast("long").alias("deal"), F.lit(1).alias("trusted")).hint("merge")
+    deal = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    rows = documents.select("doc_id", F.col(text_col).alias("text")).withColumn("deal", deal).join(trusted, ["doc_id", "deal"], "left")
     grams = rows.select("trusted", F.explode(F.expr(buckets(orders))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
     raw, target = {r["bucket"]: r["raw"] for r in counts}, {r["bucket"]: r["target"] for r in counts}

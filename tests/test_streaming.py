@@ -51,7 +51,7 @@ def test_recurrences_escalate_once(spark, tmp_path):
 
 
 def test_matured_days_wait_and_late_rows_are_in(spark, tmp_path):
-    batches = [[(at(1),), (at(2),)], [(at(30),), (at(3),)], [(at(100),)], [(at(4),)]]
+    batches = [[(at(1),), (at(2),)], [(at(30),), (at(3),)], [(at(100),)], [(at(101),)], [(at(4),)]]
     stream = files(spark, tmp_path / "d", batches, "ts timestamp")
     got = S.drained(S.matured_days(stream, "ts", "1 day", F.count(F.lit(1)).alias("n")), "days").collect()
     # the row of hour 4 comes when its day is closed

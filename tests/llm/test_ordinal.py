@@ -75,3 +75,29 @@ def test_toxic_words_count_with_a_few_hundred_ratings():
     kept = model.tails(np.array([model.margin(x) for x, _ in held]))[:, 1] >= 0.7
     grades = np.array([g for _, g in held])
     assert kept[grades == 1].mean() < 0.2 and kept[grades == 2].mean() > 0.9
+
+
+def test_query_equals_brute_force(spark):
+    """The distributed query against a model fitted and applied document by document with dictionaries and sums."""
+    import math
+
+    rows = [*((i, t) for i, t, _ in corpus(400, 8)), (None, "w1 w2"), (401, None), (7, "another text of a rated id")]
+    labels = [(i, min(g, 1), int(g == 1)) for i, _, g in corpus(400, 8) if i % 2 == 0]
+    documents = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, _p string, kept string").repartition(3)
+    got = o.classify(documents, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(r._p == "a" for r in got)
+    texts = {}
+    for i, t in rows:
+        if i is not None:
+            texts.setdefault(i, []).append(t)
+    rated = {i: 0 if q < 1 else 1 if x > 0 else 2 for i, q, x in labels}
+    order = sorted(i for i in rated if i in texts)
+    model = o.fit([np.frombuffer(min(o.features(t).tobytes() for t in texts[i]), np.int32) for i in order], np.array([rated[i] for i in order]))
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+
+    def tail(text, k):
+        z = sum(weight.get(f, 0.0) for f in o.features(text).tolist()) - model.thresholds[k]
+        return 1 / (1 + math.exp(-z))
+
+    want = sorted((str(i), round(tail(t, 0), 9), round(tail(t, 1), 9), tail(t, 1) >= 0.7) for i, t in rows)
+    assert sorted((str(r.doc_id), round(r.p_ge_1, 9), round(r.p_ge_2, 9), r.kept) for r in got) == want

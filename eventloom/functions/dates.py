@@ -141,3 +141,20 @@ def tz_abbreviation(instant: Column, tz: Column) -> Column:
     minutes = (F.unix_timestamp(F.from_utc_timestamp(instant, tz)) - F.unix_timestamp(instant)) / 60
     h, m = F.floor(F.abs(minutes) / 60).cast("string"), F.pmod(F.abs(minutes), F.lit(60)).cast("int")
     return F.concat(F.lit("UTC"), F.when(minutes >= 0, "+").otherwise("-"), h, F.when(m > 0, F.format_string(":%02d", m)).otherwise(""))
+
+
+REFERENCE_INSTANT = "2026-01-15 12:00:00"  # fixed, so that a pair of zones always compares alike
+
+
+def offset_minutes(tz: Column) -> Column:
+    """Minutes that a time zone is ahead of UTC at the reference instant."""
+    at = F.lit(REFERENCE_INSTANT).cast("timestamp")
+    return ((F.unix_timestamp(F.from_utc_timestamp(at, tz)) - F.unix_timestamp(at)) / 60).cast("int")
+
+
+def zoned_gap_minutes(a: Column, tz_a: Column, b: Column, tz_b: Column) -> Column:
+    """Minutes between two local times of day, taken to UTC first where both zones are known and differ."""
+    x, y = minutes_of(a), minutes_of(b)
+    day = F.lit(24 * 60)
+    utc = F.abs(F.pmod(x - offset_minutes(tz_a), day) - F.pmod(y - offset_minutes(tz_b), day))
+    return F.when(F.coalesce(tz_a != tz_b, F.lit(False)), utc).otherwise(F.abs(x - y))

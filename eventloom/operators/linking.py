@@ -42,21 +42,24 @@ def moved_dates(incoming: DataFrame, existing: DataFrame, days: int = 30) -> Dat
     apart, trust not below the event's; the last updated event of each row."""
     keys = ["kennel_id", "source_url", "run_number", "label"]
     e = existing.select(*keys, "event_id", F.col("date").alias("old_date"), F.col("trust").alias("e_trust"), "updated_at")
-    pairs = incoming.join(e, keys).where(F.abs(F.datediff("date", "old_date")).between(1, days) & (F.col("trust") >= F.col("e_trust")))
+    pairs = interval_join(incoming, e, keys, "date", "old_date", days).where(F.col("trust") >= F.col("e_trust"))
     return pick_best(pairs, ["ordinal"], [F.desc("updated_at"), F.asc("event_id")]).select("ordinal", "event_id", "old_date", "date")
 
 
 def near_names(left: DataFrame, right: DataFrame, name: str, other: str, group: Sequence[str], least: float) -> DataFrame:
     """Pairs of a group whose names are ``least`` alike (0.6 or more). An edit spoils two bigrams of a name at most, so of the
     first 2 d + 1 bigrams of either name, in an order common to all, one is shared if at most d edits lie between them: names
-    meet by these, and the distance decides."""
+    meet by these, and the distance decides. The order puts rare bigrams first, so those that very many names hold bring few together."""
     norm = lambda c: F.lower(F.trim(c))
     a = left.withColumn("_n", norm(name)).where("_n <> ''")
     b = right.withColumn("_m", norm(other)).where("_m <> ''")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    edits = lambda c: F.ceil(F.length(c) / least * (1 - least)).cast("int")  # noqa: E731  (the longer name has at most length / least characters)
-    first = lambda c, d: F.slice(F.transform(F.array_sort(F.transform(grams(c), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: x["g"]), F.lit(1), 2 * d + 1)
-    x, y = a.withColumn("_g", F.explode(first(F.col("_n"), edits("_n")))), b.withColumn("_g", F.explode(first(F.col("_m"), edits("_m"))))
+    bigrams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_n") - 1, F.lit(1))), lambda i: F.substr("_n", i, F.lit(2))))
+    held = a.select("_n").unionByName(b.select(F.col("_m").alias("_n"))).distinct().select("_n", F.explode(bigrams).alias("_g"))
+    counted = held.join(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_f")), "_g")
+    edits = F.ceil(F.length("_n") / least * (1 - least))  # the longer name has at most length / least characters
+    place = F.row_number().over(Window.partitionBy("_n").orderBy("_f", "_g"))
+    keys = counted.withColumn("_at", place).where(F.col("_at") <= 2 * edits + 1).select("_n", "_g")
+    x, y = a.join(keys, "_n"), b.join(keys.withColumnRenamed("_n", "_m"), "_m")
     longest = F.greatest(F.length("_n"), F.length("_m"))
     met = x.join(y, [*group, "_g"]).where(F.least(F.length("_n"), F.length("_m")) >= least * longest)
     return met.drop("_g").dropDuplicates().where(longest - F.levenshtein("_n", "_m") >= least * longest)

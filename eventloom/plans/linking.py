@@ -123,11 +123,12 @@ def one_to_one(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT p_brand AS g, p_partkey AS k, p_name AS a, substr(p_name, 2) || 'x' AS b FROM part), s AS (SELECT x.k AS a, y.k AS b, greatest(1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)), 1 - levenshtein(x.b, y.b) / greatest(length(x.b), length(y.b)), 1 - levenshtein(x.a, y.b) / greatest(length(x.a), length(y.b))) AS v FROM r x JOIN r y ON x.g = y.g AND x.k < y.k)
+    WITH r AS (SELECT p_brand AS g, min(p_partkey) AS k, p_name AS a, substr(p_name, 2) || 'x' AS b FROM part GROUP BY 1, 3), s AS (SELECT x.k AS a, y.k AS b, greatest(1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)), 1 - levenshtein(x.b, y.b) / greatest(length(x.b), length(y.b)), 1 - levenshtein(x.a, y.b) / greatest(length(x.a), length(y.b))) AS v FROM r x JOIN r y ON x.g = y.g AND x.k < y.k)
     SELECT a, b, CAST(floor(v * 1000 + 0.5) AS BIGINT) AS score FROM s WHERE v >= 0.9""")
 def fuzzy_best_of_three(t: Tables) -> DataFrame:
-    rows = t.part.select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("k"), F.col("p_name").alias("a"), F.concat(F.substring("p_name", 2, 100), F.lit("x")).alias("b"))
-    # equal names are one name: pairs of names meet first, then the rows that bear them
+    # rows of one name and brand are one entity
+    rows = t.part.groupBy(F.col("p_brand").alias("g"), F.col("p_name").alias("a")).agg(F.min("p_partkey").alias("k")).withColumn("b", F.concat(F.substring("a", 2, 100), F.lit("x")))
+    # pairs of names meet first, then the rows that bear them
     names = rows.select("g", F.explode(F.array("a", "b")).alias("name")).distinct()
     near = K.near_names(names, names.withColumnRenamed("name", "other"), "name", "other", ["g"], 0.9).select("g", "name", "other", X.name_similarity(F.col("name"), F.col("other")).alias("v")).distinct()
     pairs = None

@@ -188,3 +188,6 @@ cases("name_similarities", lambda a, b: F.concat_ws("|", D.round_half_up(X.name_
 cases("activity_states", lambda d, u: D.activity_status(d.cast("date"), F.lit("2026-01-01").cast("date"), u == "up"), [
     (None, None, "unknown"), ("2025-12-01", None, "active"), ("2025-10-03", None, "possibly-inactive"), ("2025-01-01", None, "inactive"), ("2020-01-01", "up", "active"), ("2026-03-01", None, "active"),
 ])
+cases("zoned_gaps", D.zoned_gap_minutes, [
+    ("19:00", "America/New_York", "19:30", "America/New_York", "30"), ("19:00", "America/New_York", "16:10", "America/Los_Angeles", "10"), ("12:00", None, "13:00", "Europe/Berlin", "60"), ("01:00", "Europe/Berlin", "00:00", "UTC", "0"), ("x", "UTC", "00:00", "UTC", None),
+])

@@ -99,8 +99,8 @@ def import_records(cells: DataFrame, existing: DataFrame, attended: Sequence[str
 
 def discovery_matches(found: DataFrame, known: DataFrame, keep: float = 0.6, sure: float = 0.95, top: int = 3) -> DataFrame:
     """Known organisers (kennel_id, name, country, lat, lng) like each found one (found_id, name, country, lat, lng): by name, less 0.3 for another country and
-    0.2 over 200 km away; ``auto`` from ``sure``, else up to ``top`` candidates from ``keep``. They meet by a shared word of their names, of which a
-    word that very many names hold (over one in 20) counts only if nothing rarer is shared."""
+    0.2 over 200 km away; ``auto`` from ``sure``, else up to ``top`` candidates from ``keep``. They meet by a shared
+    word of three letters or more; found ones are a batch of queries against all known ones."""
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))).alias("w"))
     k = words(known, "kennel_id")
     met = words(found, "found_id").join(k, "w").select("found_id", "kennel_id").distinct()

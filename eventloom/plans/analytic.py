@@ -25,12 +25,12 @@ def dual_quota_retention(t: Tables) -> DataFrame:
     return W.dual_quota(rows, "user_id", [F.desc("ts"), F.desc("event_id")], F.col("event_type") != "error").select("event_id", "user_id")
 
 
-_DAILY = "SELECT user_id % 20 AS src, CAST(ts AS DATE) AS day, count(*) AS n, CAST(100 * count(*) FILTER (event_type = 'view') // count(*) AS BIGINT) AS fill, (count(*) FILTER (event_type = 'error')) * 4 > count(*) AS failed FROM events GROUP BY 1, 2"
+_DAILY = "SELECT user_id % 20 AS src, CAST(ts AS DATE) AS day, count(*) AS n, CAST(100 * count(*) FILTER (event_type <> 'error') // count(*) AS BIGINT) AS fill, (count(*) FILTER (event_type = 'error')) * 4 > count(*) AS failed FROM events GROUP BY 1, 2"
 
 
 def _daily(t: Tables) -> DataFrame:
     rows = t.events.groupBy((F.col("user_id") % 20).alias("src"), F.to_date("ts").alias("day"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.expr("100 * count_if(event_type = 'view') div count(1)").alias("fill"), (F.count_if(F.col("event_type") == "error") * 4 > F.count(F.lit(1))).alias("failed"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.expr("100 * count_if(event_type <> 'error') div count(1)").alias("fill"), (F.count_if(F.col("event_type") == "error") * 4 > F.count(F.lit(1))).alias("failed"))
 
 
 @query(f"""
@@ -43,10 +43,10 @@ def rolling_baseline_anomaly(t: Tables) -> DataFrame:
 
 @query(f"""
     WITH d AS ({_DAILY}), b AS (SELECT *, sum(fill) OVER w AS s, count(fill) OVER w AS k FROM d WINDOW w AS (PARTITION BY src ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-    SELECT src, day, fill FROM b WHERE k > 0 AND s >= 10 * k AND s - fill * k > 8 * k""")
+    SELECT src, day, fill FROM b WHERE k > 0 AND s >= 50 * k AND s - fill * k > 30 * k""")
 def fill_rate_drop(t: Tables) -> DataFrame:
     base = W.rolling_baseline(_daily(t), ["src"], ["day"], "fill")
-    return base.where(W.fill_drop(F.col("fill"), F.col("base_sum"), F.col("base_n"), 10, 8)).select("src", "day", "fill")
+    return base.where(W.fill_drop(F.col("fill"), F.col("base_sum"), F.col("base_n"))).select("src", "day", "fill")
 
 
 @query(f"""
@@ -163,7 +163,7 @@ def radius_search(t: Tables) -> DataFrame:
     return M.radius_join(stops, places, 900.0).select("stop_id", "c_custkey", "distance_tier")
 
 
-_RULES = """SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN 'FREQ=WEEKLY;INTERVAL=2;BYDAY=SA' WHEN p_partkey % 3 = 1 THEN 'FREQ=MONTHLY;BYDAY=2WE' ELSE 'FREQ=MONTHLY;BYMONTHDAY=31' END AS rule FROM part WHERE p_size <= 5"""
+_RULES = """SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN 'FREQ=WEEKLY;INTERVAL=2;BYDAY=SA' WHEN p_partkey % 3 = 1 THEN 'FREQ=MONTHLY;BYDAY=2WE' ELSE 'FREQ=MONTHLY;BYMONTHDAY=31' END AS rule FROM part"""
 
 
 @query(f"""
@@ -171,7 +171,7 @@ _RULES = """SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN 'FREQ=
     SELECT rule_id, date FROM r, d WHERE (rule_id % 3 = 0 AND dayofweek(date) = 6 AND (date_diff('day', DATE '2024-01-06', date) // 7) % 2 = 0)
       OR (rule_id % 3 = 1 AND dayofweek(date) = 3 AND day(date) BETWEEN 8 AND 14) OR (rule_id % 3 = 2 AND date = last_day(date))""")
 def rrule_occurrences(t: Tables) -> DataFrame:
-    return _occurrences(t.part.where("p_size <= 5"))
+    return _occurrences(t.part)
 
 
 def _occurrences(parts: DataFrame) -> DataFrame:

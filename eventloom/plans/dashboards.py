@@ -88,19 +88,19 @@ def rule_coverage(t: Tables) -> DataFrame:
     return B.rule_coverage(rules, t.customer.select(F.col("c_custkey").alias("kennel_id")))
 
 
-_DRIFT_E = "SELECT o_custkey % 50 AS kennel_id, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' AND dayofweek(o_orderdate) IN (o_custkey % 7, (o_custkey + 3) % 7)"
+_WEEK = "CAST(o_orderdate AS DATE) - CAST(dayofweek(o_orderdate) AS INT)"
 
 
 @query(f"""
-    WITH e AS ({_DRIFT_E}), c AS (SELECT kennel_id, dayofweek(date) AS w, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT kennel_id, arg_max(w, n * 10 - w) AS weekday, max(n) AS n, CAST(sum(n) AS BIGINT) AS events FROM c GROUP BY 1),
-    p AS (SELECT DISTINCT o_custkey % 50 AS kennel_id, dayofweek(o_orderdate) AS w FROM orders WHERE o_orderdate >= TIMESTAMP '1998-12-01' AND o_orderkey % 3 = 0)
-    SELECT kennel_id, weekday, n, events FROM t WHERE events >= 4 AND n * 10 >= 3 * events AND kennel_id IN (SELECT kennel_id FROM p) AND NOT EXISTS (SELECT 1 FROM p WHERE p.kennel_id = t.kennel_id AND p.w = t.weekday)""")
+    WITH e AS (SELECT o_custkey % 50 AS kennel_id, CASE WHEN o_orderkey % 4 > 0 THEN {_WEEK} + CAST(o_custkey % 50 % 7 AS INT) ELSE CAST(o_orderdate AS DATE) END AS date FROM orders), c AS (SELECT kennel_id, dayofweek(date) AS w, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT kennel_id, arg_max(w, n * 10 - w) AS weekday, max(n) AS n, CAST(sum(n) AS BIGINT) AS events FROM c GROUP BY 1),
+    p AS (SELECT DISTINCT o_custkey % 50 AS kennel_id, (o_custkey % 50 % 7 + o_custkey % 2) % 7 AS w FROM orders)
+    SELECT kennel_id, weekday, n, events FROM t WHERE events >= 4 AND n * 10 >= 6 * events AND kennel_id IN (SELECT kennel_id FROM p) AND NOT EXISTS (SELECT 1 FROM p WHERE p.kennel_id = t.kennel_id AND p.w = t.weekday)""")
 def rule_drift(t: Tables) -> DataFrame:
-    day = F.dayofweek("o_orderdate") - 1
-    e = t.orders.where("o_orderdate between timestamp_ntz'1997-01-01' and timestamp_ntz'1997-12-31'").where((day == F.col("o_custkey") % 7) | (day == (F.col("o_custkey") + 3) % 7))
-    projected = t.orders.where("o_orderdate >= timestamp_ntz'1998-12-01' and o_orderkey % 3 = 0")
-    rows = lambda df: df.select((F.col("o_custkey") % 50).alias("kennel_id"), F.to_date("o_orderdate").alias("date"))
-    return P.weekday_drift(rows(e), rows(projected), least_share=0.3).select("kennel_id", F.col("weekday").cast("long").alias("weekday"), "n", "events")
+    kennel, day = F.col("o_custkey") % 50, F.to_date("o_orderdate")
+    sunday = F.date_sub(day, F.dayofweek(day) - 1)
+    events = t.orders.select(kennel.alias("kennel_id"), F.when(F.col("o_orderkey") % 4 > 0, F.date_add(sunday, (kennel % 7).cast("int"))).otherwise(day).alias("date"))
+    projected = t.orders.select(kennel.alias("kennel_id"), F.date_add(sunday, ((kennel % 7 + F.col("o_custkey") % 2) % 7).cast("int")).alias("date"))
+    return P.weekday_drift(events, projected).select("kennel_id", F.col("weekday").cast("long").alias("weekday"), "n", "events")
 
 
 @query("""

@@ -174,22 +174,21 @@ def cursor_child_suppression(t: Tables) -> DataFrame:
     return L.without_children(L.keyset_page(rows, "l_shipdate", "id", None, 1500), "id", "parent").select("id", "l_shipdate")
 
 
-@query("""
-    SELECT user_id, 'd' || day AS header, n FROM (SELECT user_id, day(ts) AS day, count(*) AS n FROM events WHERE day(ts) <= 5 AND user_id < 500 GROUP BY 1, 2)""")
-def unpivot_matrix(t: Tables) -> DataFrame:
-    rows = t.events.select("user_id", F.concat(F.lit("d"), F.day("ts").cast("string")).alias("header")).where("user_id < 500")
-    wide = rows.groupBy("user_id").pivot("header", [f"d{i}" for i in range(1, 6)]).count()
-    return wide.unpivot("user_id", [f"d{i}" for i in range(1, 6)], "header", "n").where("n is not null")
+_MATRIX = "SELECT user_id, 'd' || day AS header, n FROM (SELECT user_id, day(ts) AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)"
 
 
-@query("""
-    SELECT user_id, 'd' || day AS header, n FROM (SELECT user_id, day(ts) AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)""")
-def unpivot_matrix_month(t: Tables) -> DataFrame:
+@query(_MATRIX)
+def unpivot_matrix(t: Tables) -> DataFrame:
     days = [f"d{i}" for i in range(1, 32)]
     rows = t.events.select("user_id", F.concat(F.lit("d"), F.day("ts").cast("string")).alias("header"))
     return rows.groupBy("user_id").pivot("header", days).count().unpivot("user_id", days, "header", "n").where("n is not null")
 
 
+@query(_MATRIX)
+def unpivot_matrix_month(t: Tables) -> DataFrame:
+    return unpivot_matrix(t)
+
+
 @query("""
     SELECT p_partkey, trim(u.x) AS name FROM part, unnest(string_split(p_name, ' ')) AS u(x) WHERE trim(u.x) <> ''
     QUALIFY row_number() OVER (PARTITION BY p_partkey, lower(trim(u.x)) ORDER BY u.x) = 1""")

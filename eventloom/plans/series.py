@@ -81,9 +81,9 @@ def same_title_runs(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN CAST(ts AS DATE) END AS d, user_id % 4 = 0 AS num FROM events WHERE user_id % 7 = CAST(day(ts) AS INT) % 7), x AS (SELECT *, bool_or(num) OVER (PARTITION BY d) AS anyn FROM r) SELECT event_id FROM x WHERE d IS NULL OR num OR NOT anyn""")
+    WITH r AS (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN DATE '2024-01-01' + CAST(user_id % 5000 AS INT) END AS d, event_id % 97 = 0 AS num FROM events), x AS (SELECT *, bool_or(num) OVER (PARTITION BY d) AS anyn FROM r) SELECT event_id FROM x WHERE d IS NULL OR num OR NOT anyn""")
 def numeric_ids_first(t: Tables) -> DataFrame:
-    rows = t.events.where(F.col("user_id") % 7 == F.day("ts") % 7).select("event_id", F.when(F.col("event_id") % 9 > 0, F.to_date("ts")).alias("d"), F.when(F.col("user_id") % 4 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), "event_id")).alias("key"))
+    rows = t.events.select("event_id", F.when(F.col("event_id") % 9 > 0, F.date_add(DAY("2024-01-01"), (F.col("user_id") % 5000).cast("int"))).alias("d"), F.when(F.col("event_id") % 97 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), "event_id")).alias("key"))
     return S.numeric_ids_first(rows, "d", "key").select("event_id")
 
 

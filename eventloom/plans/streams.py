@@ -90,7 +90,7 @@ def stream_bands(t: Tables) -> DataFrame:
     return found.groupBy("source_id", F.col("band").cast("int").alias("band")).agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("SELECT user_id FROM events GROUP BY 1 HAVING date_trunc('second', max(ts)) + INTERVAL 72 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("SELECT user_id FROM events GROUP BY 1 HAVING date_trunc('second', max(ts)) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def stream_expired(t: Tables) -> DataFrame:
     rows = _stream(t).select("user_id", "ts")
-    return S.drained(S.expired(rows, "user_id", "ts", 72, "1 day"), "expired").select("user_id")
+    return S.drained(S.expired(rows, "user_id", "ts", 24, "1 day"), "expired").select("user_id")

@@ -54,6 +54,7 @@ PIVOTS = 8  # of a region that is split
 DEPTH = 6
 SHRINKS = 0.8  # a split is worth another one if no cell has over this share of its region
 GROUP_ROWS = 20_000
+HOT_KEYS = 1024
 BLOCK = 256
 ONE = np.ones(1, bool)
 
@@ -175,6 +176,18 @@ def _bitmaps(keys: DataFrame, *conditions) -> list[np.ndarray]:
     return out
 
 
+def _keyed(rows: DataFrame, table: DataFrame, columns: list[str], groups: DataFrame) -> DataFrame:
+    """``rows`` (node, key) with the columns that ``table`` has for their key, for keys it has. Keys of over one in ``HOT_KEYS`` of all rows are
+    fewer than ``HOT_KEYS``: their part of the table is broadcast, and their rows are dealt by node."""
+    total = groups.agg(F.sum("size")).head()[0] or 0
+    hot = groups.where(F.col("size") * HOT_KEYS > total).select("key")
+    few = table.join(F.broadcast(hot), "key", "left_semi").select("key", *(F.col(c).alias(f"_hot_{c}") for c in columns), F.lit(True).alias("_hot"))
+    told = rows.join(F.broadcast(few), "key", "left").withColumn("_deal", F.when(F.col("_hot"), F.xxhash64("node").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    found = told.join(table.select("key", *columns, F.lit(0).cast("long").alias("_deal")), ["key", "_deal"], "left")
+    found = found.withColumns({c: F.coalesce(f"_hot_{c}", c) for c in columns}).where(F.col(columns[0]).isNotNull())
+    return found.select("key", "node", *(c for c in rows.columns if c not in ("key", "node")), *columns)
+
+
 def _of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Sets whose node is in a bitmap of ``nodes``, so that few others are shuffled in a join with these."""
     keys = nodes.select(F.shiftleft(nodes.columns[0], 1).alias("key"))  # nodes have 63 bits, keys 64
@@ -344,12 +357,12 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
     bounded = rows.where("keys is not null")
     groups = stored(_exploded(bounded).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("key", "size"), "jaccard-groups")
     shared = spark.sparkContext.broadcast(_bitmaps(groups, F.lit(True))[0])
-    members = stored(_exploded(bounded, shared).join(groups, "key"), "jaccard-members")
+    members = stored(_keyed(_exploded(bounded, shared), groups, ["size"], groups), "jaccard-members")
     # the pivot of a shingle's documents is the one that meets most others: the middle of a group of near copies
     # is in all their groups, so it is near to most of them and regions are few
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    pivots = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
-    regions = stored(members.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct(), "jaccard-regions")
+    pivots = stored(members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "jaccard-pivots")
+    regions = stored(_keyed(members.drop("size"), pivots, ["pivot"], groups).where("node <> pivot").select("pivot", "node").distinct(), "jaccard-regions")
 
     # a sketch for each node that regions name
     sketches = bounded.select("node", "n", "sketch").dropDuplicates(["node"])

@@ -64,6 +64,7 @@ def test_components_equal_brute_force(spark, monkeypatch, width, percent, leaf,
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     monkeypatch.setattr(jaccard, "NARROW", 2 * leaf)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT_KEYS", 64 if leaf < 100 else 1024)
     rows = corpus(width)
     documents = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, node int").repartition(3)
     got = sorted((tuple(r) for r in jaccard.jaccard_components(documents, width, percent).collect()), key=repr)

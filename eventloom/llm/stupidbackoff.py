@@ -59,7 +59,7 @@ class Words:
         if not len(self.hashes):
             return np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ranks[at], -1)
+        return np.where(self.hashes[at] == h, self.ranks[at].astype(np.int64), -1)  # two of them are packed to one number
 
 
 def _signed(h: np.ndarray) -> np.ndarray:

@@ -37,6 +37,16 @@ def test_scores_equal_brute_force(spark, monkeypatch, order, min_count, top):
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-6)
 
 
+def test_large_vocabulary(spark, monkeypatch):
+    """Ranks far beyond those of hot words, as pairs pack two of them to one key."""
+    monkeypatch.setattr(sb, "HOT", 8)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 30_000}" for _ in range(400)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    got = sorted((r.doc_id, r.log_score) for r in sb.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [s for _, s in got] == pytest.approx([s for _, s in brute(texts, 2, 0.4, 2)], abs=1e-6)
+
+
 def test_empty_table(spark):
     assert sb.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

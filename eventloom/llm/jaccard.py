@@ -507,8 +507,10 @@ def one_of_each_group(documents: DataFrame, width: int = 5, percent: int = 80) -
     rows, groups = _grouped(documents, width, percent)
     told = rows.where("node is not null").groupBy("doc_id", "text_hash", "node").agg(F.count(F.lit(1)).alias("n_rows")).join(groups, "node")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = told.groupBy("component").agg(F.min(own).alias("first"))
-    told = told.join(first, "component").withColumn("stays", own == F.col("first"))
+    first = told.groupBy("component").agg(F.min(own).alias("first")).select(F.col("first.doc_id").alias("_first"), F.col("first.text_hash").alias("_first_hash"))
+    # joined by id and text, as a component may hold very many rows
+    is_first = F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("text_hash") == F.col("_first_hash"))
+    told = told.join(first, is_first, "left").withColumn("stays", F.col("_first_hash").isNotNull())
     key, text_hash = free_name(documents.columns, "_text_hash"), F.xxhash64("text")
     marked = documents.withColumn(key, text_hash)
 

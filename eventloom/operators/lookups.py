@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import format_time_12
 from .windows import pick_best
 
+# The marks and version of an embedded block, and what an unknown region falls back to.
 BLOCK_START, BLOCK_END, BLOCK_VERSION = "<!-- audit-canonical:", "-->", 1
 DEFAULT_TIMEZONE, DEFAULT_COUNTRY = "America/New_York", "United States"
 

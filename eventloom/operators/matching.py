@@ -140,6 +140,7 @@ def fuzzy_window_duplicates(incoming: DataFrame, existing: DataFrame, days: int
     return pick_best(pairs.where(ok), ["ordinal"], [F.desc("trust"), F.abs(F.datediff("date", "e_date")), F.col("event_id")])
 
 
+# Fixed value: names of activities that say nothing.
 GENERIC_NAME = r"(?i)^(?:morning|lunch|afternoon|evening|night)\s+(?:run|trail run|walk|hike|ride|workout|activity)$"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import render_maximal
 from .common import bounded_batches
+from .contentsort import copies_query
 from .decontaminate import leaks
 from .directcodes import encode_documents
 from .jaccard import jaccard_components
@@ -78,6 +79,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_collapse": op8_chat_collapse,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_content_sort": op11_content_sort,
 }
 
 ORACLES: dict[str, str] = {
@@ -137,6 +143,12 @@ ORACLES: dict[str, str] = {
         ), c AS (SELECT x, min(reached) AS component_id FROM r GROUP BY x)
         SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c ON c.x = s.doc_id
     """,
+    "op11_content_sort": """
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+               row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST)
+    """,
     "op5_stupid_backoff": """
         WITH w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words

@@ -17,6 +17,7 @@ from .kdshards import kd_shards
 from .ordinal import classify
 from .pieces import id_digests
 from .qualityrules import quality_columns
+from .repair import repair_query
 from .stupidbackoff import score_documents
 from .warc import archive_pages
 
@@ -83,6 +84,10 @@ def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies_query(table(spark, sf_dir, "documents"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_quality_rules": op2_quality_rules,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_content_sort": op11_content_sort,
+    "op12_structure_repair": op12_structure_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,6 +155,60 @@ ORACLES: dict[str, str] = {
                row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST)
     """,
+    "op12_structure_repair": """
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)
+        ), k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes
+            FROM conversations
+        ), h AS (
+            SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS code FROM k, crc
+        ), d AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN code = 1 THEN '' WHEN code = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS twin
+            FROM h WHERE code <> 0
+        ), f AS (
+            SELECT conv_id, turn, role, text, row_number() OVER w AS i, left(role, 1) AS r, rtrim(text, '\x20\x09\x0A\x0B\x0C\x0D') AS body,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, twin) > 1 AS again,
+                   lag(left(role, 1)) OVER w AS before
+            FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, twin)
+        ), t AS (
+            SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f
+        ), n AS (
+            SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM t GROUP BY conv_id
+        ), put(q, p, cost, letters, added) AS (
+            VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', 'user:\n'), (1, 2, 3, 'I', 'user:\n'), (2, 3, 3, 'I', 'assistant:\n'),
+                   (3, 2, 3, 'I', 'user:\n'), (0, 3, 6, 'II', 'user:\nassistant:\n'), (1, 3, 6, 'II', 'user:\nassistant:\n')
+        ), keep(p, r, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        edit AS (
+            SELECT t.conv_id, t.i, put.q, put.p AS to_q, put.cost + 4 AS cost, put.letters || 'D' AS letters, put.added FROM t, put
+            UNION ALL
+            SELECT t.conv_id, t.i, put.q, keep.q, put.cost + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, put.letters || 'K', put.added || t.role || ':' || t.text || '\n'
+            FROM t, put JOIN keep ON keep.p = put.p WHERE keep.r = t.r AND fault NOT IN ('blank', 'duplicate')
+            UNION ALL
+            SELECT t.conv_id, t.i, put.q, CASE WHEN put.p = 2 THEN 3 ELSE 2 END, put.cost + 3 + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, put.letters || 'R',
+                   put.added || CASE WHEN put.p = 2 THEN 'assistant' ELSE 'user' END || ':' || t.text || '\n'
+            FROM t, put WHERE fault NOT IN ('blank', 'duplicate')
+        ), step AS (
+            SELECT conv_id, i, q, to_q, min(struct_pack(cost := cost, letters := letters, added := added)) AS best FROM edit GROUP BY conv_id, i, q, to_q
+        ), walk AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, struct_pack(cost := 0, letters := '', added := '') AS best FROM n
+            UNION ALL
+            SELECT w.conv_id, w.i + 1, s.to_q, min(struct_pack(cost := w.best.cost + s.best.cost, letters := w.best.letters || s.best.letters, added := w.best.added || s.best.added))
+            FROM walk w JOIN step s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i + 1 AND s.q = w.q GROUP BY w.conv_id, w.i, s.to_q
+        ), ends AS (
+            SELECT w.conv_id, min(struct_pack(cost := w.best.cost + put.cost, letters := w.best.letters || put.letters, added := w.best.added || put.added)) AS best
+            FROM walk w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.rows = w.i JOIN put ON put.q = w.q WHERE put.p IN (0, 3) GROUP BY w.conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.letters, '') AS audit, sha256(coalesce(left(best.added, length(best.added) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
     "op5_stupid_backoff": """
         WITH w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words

@@ -19,6 +19,7 @@ from .pieces import id_digests
 from .qualityrules import quality_columns
 from .repair import repair_query
 from .stupidbackoff import score_documents
+from .trie import trie_query
 from .warc import archive_pages
 
 
@@ -88,6 +89,10 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_query(table(spark, sf_dir, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_quality_rules": op2_quality_rules,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_content_sort": op11_content_sort,
     "op12_structure_repair": op12_structure_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -209,6 +215,40 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.letters, '') AS audit, sha256(coalesce(left(best.added, length(best.added) - 1), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
     """,
+    "op13_prefix_trie": """
+        WITH crc AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)
+        ), own AS (
+            SELECT conv_id AS c, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key, length(coalesce(text, '')) AS chars, turn
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), o AS (
+            SELECT c, turn_key, chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, turn_key) AS pos FROM own
+        ), k AS (
+            SELECT c, c - c % 100 AS base, n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                   lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 6 AS h
+            FROM (SELECT c, count(*) AS n FROM o GROUP BY c), crc
+        ), t AS (
+            SELECT k.c, o.pos, turn_key, chars FROM k JOIN o ON o.c = k.base AND o.pos <= k.h
+            UNION ALL
+            SELECT k.c, o.pos - k.h + least(k.h, coalesce(b.n, 0)), turn_key, chars FROM k JOIN o ON o.c = k.c AND o.pos > k.h LEFT JOIN k b ON b.c = k.base
+        ), p AS (
+            SELECT c, 0 AS pos, '' AS prefix, 0 AS chars FROM k
+            UNION ALL
+            SELECT c, pos, string_agg(turn_key, '') OVER (PARTITION BY c ORDER BY pos), chars FROM t
+        ), l AS (SELECT c, max(pos) AS n FROM p GROUP BY c),
+        node AS (
+            SELECT pos AS depth, prefix, min(p.c) AS conv_id, count(*) AS n_convs, max(chars) AS chars, coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (l.n = pos), '') AS ends
+            FROM p JOIN l ON l.c = p.c GROUP BY pos, prefix
+        ), path AS (SELECT p.c, p.pos, node.conv_id FROM p JOIN node ON node.depth = p.pos AND node.prefix = p.prefix),
+        kids AS (SELECT a.conv_id, a.pos AS depth, count(*) AS n FROM node JOIN path a ON a.c = node.conv_id AND a.pos = node.depth - 1 GROUP BY a.conv_id, a.pos),
+        below AS (
+            SELECT a.conv_id, a.pos AS depth, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((node.n_convs - 1) * node.chars) AS saved
+            FROM node JOIN path a ON a.c = node.conv_id AND a.pos <= node.depth LEFT JOIN kids ON kids.conv_id = node.conv_id AND kids.depth = node.depth GROUP BY a.conv_id, a.pos
+        )
+        SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, below.n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+        FROM node JOIN below ON below.conv_id = node.conv_id AND below.depth = node.depth LEFT JOIN kids ON kids.conv_id = node.conv_id AND kids.depth = node.depth
+        LEFT JOIN path a ON a.c = node.conv_id AND a.pos = node.depth - 1
+    """,
     "op5_stupid_backoff": """
         WITH w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import coords_key, haversine_km
 from ..functions.text import candidate_score, name_similarity
 from .matching import interval_join
+from .similarity import holding_pairs, similar_pairs
 from .windows import pick_best
 
 
@@ -47,22 +48,14 @@ def moved_dates(incoming: DataFrame, existing: DataFrame, days: int = 30) -> Dat
 
 
 def near_names(left: DataFrame, right: DataFrame, name: str, other: str, group: Sequence[str], least: float) -> DataFrame:
-    """Pairs of a group whose names are ``least`` alike (0.6 or more). An edit spoils two bigrams of a name at most, so of the
-    first 2 d + 1 bigrams of either name, in an order common to all, one is shared if at most d edits lie between them: names
-    meet by these, and the distance decides. The order puts rare bigrams first, so those that very many names hold bring few together."""
+    """Rows of a group whose names are ``least`` alike, case and outer blanks aside, with these names as _n and _m. Different names
+    meet first (:func:`~.similarity.similar_pairs`), then the rows that bear them."""
     norm = lambda c: F.lower(F.trim(c))
     a = left.withColumn("_n", norm(name)).where("_n <> ''")
     b = right.withColumn("_m", norm(other)).where("_m <> ''")
-    bigrams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_n") - 1, F.lit(1))), lambda i: F.substr("_n", i, F.lit(2))))
-    held = a.select("_n").unionByName(b.select(F.col("_m").alias("_n"))).distinct().select("_n", F.explode(bigrams).alias("_g"))
-    counted = held.join(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_f")), "_g")
-    edits = F.ceil(F.length("_n") / least * (1 - least))  # the longer name has at most length / least characters
-    place = F.row_number().over(Window.partitionBy("_n").orderBy("_f", "_g"))
-    keys = counted.withColumn("_at", place).where(F.col("_at") <= 2 * edits + 1).select("_n", "_g")
-    x, y = a.join(keys, "_n"), b.join(keys.withColumnRenamed("_n", "_m"), "_m")
-    longest = F.greatest(F.length("_n"), F.length("_m"))
-    met = x.join(y, [*group, "_g"]).where(F.least(F.length("_n"), F.length("_m")) >= least * longest)
-    return met.drop("_g").dropDuplicates().where(longest - F.levenshtein("_n", "_m") >= least * longest)
+    pairs = similar_pairs(a.withColumnRenamed("_n", "t"), b.withColumnRenamed("_m", "t"), group, least)
+    pairs = pairs.withColumnsRenamed({"a": "_n", "b": "_m"})
+    return a.join(pairs, [*group, "_n"]).join(b, [*group, "_m"])
 
 
 def matched_names(names: DataFrame, roster: DataFrame, least: float) -> DataFrame:
@@ -97,16 +90,21 @@ def import_records(cells: DataFrame, existing: DataFrame, attended: Sequence[str
     return rows.join(old, ["hasher_id", "event_id"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(True)))
 
 
-def discovery_matches(found: DataFrame, known: DataFrame, keep: float = 0.6, sure: float = 0.95, top: int = 3) -> DataFrame:
-    """Known organisers (kennel_id, name, country, lat, lng) like each found one (found_id, name, country, lat, lng): by name, less 0.3 for another country and
-    0.2 over 200 km away; ``auto`` from ``sure``, else up to ``top`` candidates from ``keep``. They meet by a shared
-    word of three letters or more; found ones are a batch of queries against all known ones."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))).alias("w"))
-    k = words(known, "kennel_id")
-    met = words(found, "found_id").join(k, "w").select("found_id", "kennel_id").distinct()
-    rows = met.join(found, "found_id").join(known.select("kennel_id", F.col("name").alias("k_name"), F.col("country").alias("k_country"), F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng")), "kennel_id")
+def discovery_matches(found: DataFrame, known: DataFrame, keep: float = 0.6, sure: float = 0.95, top: int = 3, each: int = 5) -> DataFrame:
+    """Known organisers (kennel_id, name, country, lat, lng) like each found one (found_id, slug, name, country, lat, lng): the ``each`` best of its slug and of its
+    name, the better score of both, less 0.3 for another country and 0.2 over 200 km away; ``auto`` from ``sure``, else up to ``top`` candidates from ``keep``.
+
+    A candidate scores ``keep`` by likeness alone, or with 0.3 less if one text holds the other; both meet by exact indexes."""
+    norm = lambda c: F.lower(F.trim(c))
+    asked = found.select("found_id", F.explode(F.array(F.struct(F.lit("slug").alias("by"), norm("slug").alias("t")), F.struct(F.lit("name").alias("by"), norm("name").alias("t")))).alias("q")).select("found_id", "q.*").where("t <> ''")
+    names = known.select("kennel_id", norm("name").alias("t")).where("t <> ''")
+    met = similar_pairs(asked, names, [], keep).unionByName(holding_pairs(asked, names, [], 6, keep - 0.3)).distinct()
+    hits = met.join(asked.withColumnRenamed("t", "a"), "a").join(names.withColumnRenamed("t", "b"), "b").withColumn("text_score", candidate_score(F.col("a"), F.array("b")))
+    best = Window.partitionBy("found_id", "by").orderBy(F.desc("text_score"), "kennel_id")
+    hits = hits.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= each).groupBy("found_id", "kennel_id").agg(F.max("text_score").alias("text_score"))
+    rows = hits.join(found.drop("name", "slug"), "found_id").join(known.select("kennel_id", F.col("country").alias("k_country"), F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng")), "kennel_id")
     far = haversine_km(F.col("lat"), F.col("lng"), F.col("k_lat"), F.col("k_lng")) > 200
-    score = candidate_score(F.col("name"), F.array("k_name")) - F.when(F.col("country") != F.col("k_country"), 0.3).otherwise(0.0) - F.when(F.coalesce(far, F.lit(False)), 0.2).otherwise(0.0)
+    score = F.col("text_score") - F.when(F.col("country") != F.col("k_country"), 0.3).otherwise(0.0) - F.when(F.coalesce(far, F.lit(False)), 0.2).otherwise(0.0)
     scored = rows.withColumn("score", F.floor(score * 1000 + 0.5).cast("long")).where(F.col("score") >= int(keep * 1000))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("found_id").orderBy(F.desc("score"), "kennel_id")))
     auto = F.max("score").over(Window.partitionBy("found_id")) >= int(sure * 1000)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import geo as G
 from ..functions import text as T
+from ..storage import written
 from .windows import pick_best
 
 
@@ -110,21 +111,71 @@ def same_day_match(incoming: DataFrame, existing: DataFrame, ordinal: str = "ord
     return picked.select(ordinal, chosen.alias("event_id"), tier.alias("tier"))
 
 
+STREAM_PAIRS = 1 << 22
+GAIN = 0.05
+
+
+def _equal(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & a[k].eqNullSafe(b[k])
+    return on
+
+
+def _dominant(pairs: DataFrame, slot: Sequence[str]) -> DataFrame:
+    """Pairs that are the first of both their sides, which the greedy order takes whatever else it takes."""
+    place = F.struct(F.col("rank").isNull().alias("none"), "rank", "ordinal", "event_id")
+    by_row = pairs.groupBy(*slot, "ordinal").agg(F.min(place).alias("p")).select(*slot, "ordinal", "p.event_id", "p.rank")
+    by_event = pairs.groupBy(*slot, "event_id").agg(F.min(place).alias("p")).select(*slot, "p.ordinal", "event_id", "p.rank")
+    return by_row.join(by_event, _equal(by_row, by_event, [*slot, "ordinal", "event_id", "rank"]), "left_semi")
+
+
+def _in_order(pairs: DataFrame, slot: Sequence[str]) -> DataFrame:
+    """Greedy choice over pairs that come sorted, in one pass: the sides taken in the current slot are all it holds."""
+    names = list(slot)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, events = None, set(), set()
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in (*names, "ordinal", "event_id")}
+            keep = []
+            for key, o, e in zip(zip(*(columns[c] for c in names), strict=True), columns["ordinal"], columns["event_id"], strict=True):
+                if key != now:
+                    now, rows, events = key, set(), set()
+                keep.append(free := o not in rows and e not in events)
+                if free:
+                    rows.add(o)
+                    events.add(e)
+            yield batch.filter(pa.array(keep))
+
+    dealt = pairs.repartition(*slot).sortWithinPartitions(*slot, F.asc_nulls_last("rank"), "ordinal", "event_id")
+    return dealt.mapInArrow(choose, pairs.schema)
+
+
 def assign_one_to_one(pairs: DataFrame, slot: Sequence[str]) -> DataFrame:
-    """Greedy assignment in each slot: pairs (ordinal, event_id, rank) are taken by rank, ordinal and id, each side once.
-    A slot is one organiser's day, so its pairs are few."""
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in (*slot, "ordinal", "event_id", "rank")]
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        for i, (o, e) in zip(pdf.index, zip(pdf["ordinal"], pdf["event_id"], strict=True), strict=True):
-            if o not in left and e not in right:
-                left.add(o)
-                right.add(e)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return pairs.select(*(f.split()[0] for f in fields)).groupBy(*slot).applyInPandas(lambda pdf: greedy(pdf.sort_values(["rank", "ordinal", "event_id"])), ", ".join(fields))
+    """Greedy assignment in each slot: pairs (ordinal, event_id, rank) are taken by rank (null last), ordinal and id, each side once. A pair without one of its
+    sides is none; a null slot is a slot.
+
+    Slots are sorted and read through once. A slot of over ``STREAM_PAIRS`` pairs is cut down before, in rounds: all pairs that are first for both
+    sides are taken and both sides go, until it is small enough or a round takes few away."""
+    pairs = pairs.select(*slot, "ordinal", "event_id", "rank").where("ordinal is not null and event_id is not null")
+    spark = pairs.sparkSession
+    sizes = pairs.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > STREAM_PAIRS)
+    large = written(sizes.drop("_n"), "large-slots")
+    if large.isEmpty():
+        return _in_order(pairs, slot)
+    small = pairs.join(large, _equal(pairs, large, slot), "left_anti")
+    left = written(pairs.join(large, _equal(pairs, large, slot), "left_semi"), "slots-left")
+    taken, n = spark.createDataFrame([], pairs.schema), left.count()
+    while n:
+        first = written(_dominant(left, slot), "slots-taken")
+        taken = taken.unionByName(first)
+        rest = left.join(first, _equal(left, first, [*slot, "ordinal"]), "left_anti")
+        left = written(rest.join(first, _equal(rest, first, [*slot, "event_id"]), "left_anti"), "slots-left")
+        before, n = n, left.count()
+        if n > (1 - GAIN) * before or left.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > STREAM_PAIRS).isEmpty():
+            break
+    return _in_order(small.unionByName(left), slot).unionByName(taken)
 
 
 def fuzzy_window_duplicates(incoming: DataFrame, existing: DataFrame, days: int = 2, title_distance: int = 4, minutes: int = 120, place_distance: int = 8) -> DataFrame:

@@ -174,14 +174,19 @@ def csv_records(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT n_nationkey AS found_id, 'harbour ' || CASE WHEN n_nationkey % 2 = 0 THEN 'hash' ELSE 'runners' END || ' nr' || CAST(100 + n_nationkey AS VARCHAR) AS name, n_regionkey AS country FROM nation), k AS (SELECT c_custkey AS kennel_id, 'harbour hash nr' || CAST(100 + c_custkey AS VARCHAR) AS name, c_custkey % 5 AS country FROM customer),
-    s AS (SELECT found_id, kennel_id, CAST(floor((greatest(0, 1 - levenshtein(f.name, k.name) / greatest(length(f.name), length(k.name))) - CASE WHEN f.country <> k.country THEN 0.3 ELSE 0 END) * 1000 + 0.5) AS BIGINT) AS score FROM f, k),
-    r AS (SELECT *, row_number() OVER (PARTITION BY found_id ORDER BY score DESC, kennel_id) AS rank, max(score) OVER (PARTITION BY found_id) >= 950 AS auto FROM s WHERE score >= 600) SELECT found_id, kennel_id, score, rank, auto FROM r WHERE CASE WHEN auto THEN rank = 1 ELSE rank <= 3 END""")
+    WITH f AS (SELECT n_nationkey AS found_id, CASE WHEN n_nationkey % 3 = 0 THEN 'harbor-hash-' ELSE 'hhnr' END || CAST(100 + n_nationkey AS VARCHAR) AS slug, 'harbourr ' || CASE WHEN n_nationkey % 2 = 0 THEN 'hash' ELSE 'runners' END || ' nr' || CAST(100 + n_nationkey AS VARCHAR) AS name, n_regionkey AS country FROM nation),
+    k AS (SELECT c_custkey AS kennel_id, CASE WHEN c_custkey % 50 = 7 THEN 'hash nr' ELSE 'harbour hash nr' END || CAST(100 + c_custkey AS VARCHAR) AS name, c_custkey % 5 AS country FROM customer),
+    q AS (SELECT found_id, country, 'slug' AS how, slug AS t FROM f UNION ALL SELECT found_id, country, 'name', name FROM f),
+    s AS (SELECT found_id, kennel_id, how, q.country AS c, k.country AS kc, least(1, 1 - levenshtein(t, k.name) / greatest(length(t), length(k.name)) + CASE WHEN least(length(t), length(k.name)) >= 6 AND (contains(t, k.name) OR contains(k.name, t)) AND t <> k.name THEN 0.3 ELSE 0 END) AS v FROM q, k),
+    e AS (SELECT *, row_number() OVER (PARTITION BY found_id, how ORDER BY v DESC, kennel_id) AS pos FROM s),
+    b AS (SELECT found_id, kennel_id, CAST(floor((max(v) - CASE WHEN any_value(c) <> any_value(kc) THEN 0.3 ELSE 0 END) * 1000 + 0.5) AS BIGINT) AS score FROM e WHERE pos <= 5 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY found_id ORDER BY score DESC, kennel_id) AS rank, max(score) OVER (PARTITION BY found_id) >= 950 AS auto FROM b WHERE score >= 600) SELECT found_id, kennel_id, score, rank, auto FROM r WHERE CASE WHEN auto THEN rank = 1 ELSE rank <= 3 END""")
 def discovery_matches(t: Tables) -> DataFrame:
     n, c = F.col("n_nationkey"), F.col("c_custkey")
     none = F.lit(None).cast("double")
-    found = t.nation.select(n.alias("found_id"), F.concat(F.lit("harbour "), F.when(n % 2 == 0, "hash").otherwise("runners"), F.lit(" nr"), (100 + n).cast("string")).alias("name"), F.col("n_regionkey").alias("country"), none.alias("lat"), none.alias("lng"))
-    known = t.customer.select(c.alias("kennel_id"), F.concat(F.lit("harbour hash nr"), (100 + c).cast("string")).alias("name"), (c % 5).alias("country"), none.alias("lat"), none.alias("lng"))
+    slug = F.concat(F.when(n % 3 == 0, "harbor-hash-").otherwise("hhnr"), (100 + n).cast("string"))
+    found = t.nation.select(n.alias("found_id"), slug.alias("slug"), F.concat(F.lit("harbourr "), F.when(n % 2 == 0, "hash").otherwise("runners"), F.lit(" nr"), (100 + n).cast("string")).alias("name"), F.col("n_regionkey").alias("country"), none.alias("lat"), none.alias("lng"))
+    known = t.customer.select(c.alias("kennel_id"), F.concat(F.when(c % 50 == 7, "hash nr").otherwise("harbour hash nr"), (100 + c).cast("string")).alias("name"), (c % 5).alias("country"), none.alias("lat"), none.alias("lng"))
     return K.discovery_matches(found, known)
 
 

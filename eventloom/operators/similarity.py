@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-HOT = 2048  # texts that hold a segment at a place
+HOT = 1 << 22  # pairs of texts that meet by one segment at a place
 EPSILON = 1e-9
 
 
@@ -34,10 +34,16 @@ def _size(i: Column, k: Column, length: Column) -> Column:
     return (F.floor(length / k) + (i >= k - length % k).cast("int")).cast("int")
 
 
-def _cut(texts: DataFrame, least: float, longest: int) -> DataFrame:
-    """Segments of texts as the shorter ones, for every length that a longer one may have, up to ``longest``."""
+def _other_lengths(rows: DataFrame, lengths: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+    """Rows whose ``name`` is the length of a text on the other side. There are few lengths in a group."""
+    return rows.join(lengths.select(*group, "side", F.col("n").alias(name)), [*group, "side", name], "left_semi")
+
+
+def _cut(texts: DataFrame, least: float, lengths: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Segments of texts as the shorter ones, for every length that a longer one has."""
     n = F.length("t")
-    rows = texts.withColumn("short", n).withColumn("long", F.explode(F.sequence(n, F.least(F.floor(n / least + EPSILON).cast("int"), F.lit(longest)))))
+    rows = texts.withColumn("short", n).withColumn("long", F.explode(F.sequence(n, F.floor(n / least + EPSILON).cast("int"))))
+    rows = _other_lengths(rows, lengths, group, "long")
     rows = rows.withColumn("edits", F.floor((1 - least) * F.col("long") + EPSILON).cast("int"))
     rows = rows.withColumn("k", F.least(F.col("edits") + 1, n)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     i, k = F.col("i"), F.col("k")
@@ -45,21 +51,36 @@ def _cut(texts: DataFrame, least: float, longest: int) -> DataFrame:
     return rows.withColumn("segment", F.substring("t", F.col("at") + 1, F.col("size")))
 
 
-def _probes(texts: DataFrame, least: float) -> DataFrame:
-    """All places of texts, as the longer ones, at which a segment of a shorter one may stand."""
+def _window(i: Column, k: Column, edits: Column, short: Column, long: Column) -> tuple[Column, Column, Column]:
+    """The places at which segment ``i`` of a text of length ``short`` may stand in one of length ``long``, and the segment's size."""
+    p, size, more = _start(i, k, short), _size(i, k, short), long - short
+    # edits before the segment are at most as many as segments before it, if this is the first one that is whole; likewise behind
+    whole = k == edits + 1
+    low = F.when(whole, F.greatest(p - i, p + more - (edits - i))).otherwise(p - edits)
+    high = F.when(whole, F.least(p + i, p + more + (edits - i))).otherwise(p + edits)
+    return F.greatest(F.lit(0), low).cast("int"), F.least(long - size, high).cast("int"), size
+
+
+def _probes(texts: DataFrame, least: float, lengths: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The places of texts, as the longer ones, at which a segment of a shorter one may stand: ``segments`` (segment, at)."""
     n = F.length("t")
     rows = texts.withColumn("long", n).withColumn("edits", F.floor((1 - least) * n + EPSILON).cast("int"))
     rows = rows.withColumn("short", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(least * n - EPSILON).cast("int")), n)))
+    rows = _other_lengths(rows, lengths, group, "short")
     rows = rows.withColumn("k", F.least(F.col("edits") + 1, F.col("short"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    i, k, d, short = (F.col(c) for c in ("i", "k", "edits", "short"))
-    rows = rows.withColumns({"p": _start(i, k, short), "size": _size(i, k, short), "more": n - short})
-    # edits before the segment are at most as many as segments before it, if this is the first one that is whole; likewise behind
-    whole = k == d + 1
-    low = F.when(whole, F.greatest(F.col("p") - i, F.col("p") + F.col("more") - (d - i))).otherwise(F.col("p") - d)
-    high = F.when(whole, F.least(F.col("p") + i, F.col("p") + F.col("more") + (d - i))).otherwise(F.col("p") + d)
-    rows = rows.withColumns({"low": F.greatest(F.lit(0), low).cast("int"), "high": F.least(n - F.col("size"), high).cast("int")}).where("low <= high")
-    rows = rows.withColumn("at", F.explode(F.sequence("low", "high")))
-    return rows.withColumn("segment", F.substring("t", F.col("at") + 1, F.col("size")))
+    low, high, size = _window(*(F.col(c) for c in ("i", "k", "edits", "short", "long")))
+    rows = rows.withColumns({"low": low, "high": high, "size": size}).where("low <= high")
+    return rows.withColumn("places", F.sequence("low", "high")).drop("low", "high")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """A row for each different segment at a text's places."""
+    return rows.withColumn("segment", F.explode(F.array_distinct(F.transform("places", lambda at: F.substring(F.col("t"), at + 1, F.col("size"))))))
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """A row for each place."""
+    return rows.withColumn("at", F.explode("places")).withColumn("segment", F.substring("t", F.col("at") + 1, F.col("size")))
 
 
 def _rest(rows: DataFrame) -> DataFrame:
@@ -103,12 +124,16 @@ def _met(shorts: DataFrame, longs: DataFrame, group: Sequence[str], slices: Data
         longs = longs.join(slices, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
         on.append("slice")
     a = shorts.select(*on, F.col("t").alias("x"), F.col("side").alias("x_side"))
-    return a.join(longs.select(*on, F.col("t").alias("y"), F.col("side").alias("y_side"), "long", "edits"), on).select(*group, "x", "y", "x_side", "y_side", "long", "edits")
+    met = a.join(longs.select(*on, F.col("t").alias("y"), F.col("side").alias("y_side"), "long", "edits"), on).select(*group, "x", "y", "x_side", "y_side", "long", "edits")
+    # of texts of one length either may be the shorter one, so only one order is looked at
+    return met.where("x_side <> y_side and (length(x) < `long` or x_side = 0)")
 
 
-def _counts(shorts: DataFrame) -> DataFrame:
-    """Keys that more than ``HOT`` shorter texts have, with the slices they need."""
-    return shorts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("slices")).where("slices > 1")
+def _hot(shorts: DataFrame, longs: DataFrame) -> DataFrame:
+    """Keys by which more than ``HOT`` pairs meet, with the slices that the shorter texts need."""
+    both = shorts.select("key", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(longs.select("key", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    pairs = both.groupBy("key").agg((F.sum("a").cast("double") * F.sum("b")).alias("n")).where(F.col("n") > HOT)
+    return pairs.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("slices"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], least: float, text: str = "t") -> DataFrame:
@@ -116,27 +141,29 @@ def similar_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], least
     group's columns and ``text``."""
     group = list(group)
     side = lambda df, s: df.select(*group, F.col(text).alias("t")).where("t <> ''").distinct().withColumn("side", F.lit(s))
-    both = written(side(left, 0).unionByName(side(right, 1)), "similar-texts")
-    longest = both.agg(F.max(F.length("t"))).head()[0] or 0
+    # few bytes of names make much work, so they are spread over as many tasks as shuffles have
+    spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = written(side(left, 0).unionByName(side(right, 1)).repartition(spread, F.xxhash64(*group, "t")), "similar-texts")
+    lengths = both.select(*group, (1 - F.col("side")).alias("side"), F.length("t").alias("n")).distinct()
     # a key is a hash; what a collision brings together, the distance tells apart
-    key = F.xxhash64(*group, "short", "long", "i", "segment").alias("key")
-    shorts = _cut(both, least, longest).withColumn("key", key)
-    longs = _probes(both, least).withColumn("key", key)
-    hot = written(_counts(shorts), "similar-hot")
+    place = ("short", "long", "i", "segment")
+    key, to = F.xxhash64("side", *group, *place), F.xxhash64(1 - F.col("side"), *group, *place)  # only texts of the other side meet
+    shorts, places = _cut(both, least, lengths, group).withColumn("key", key), _probes(both, least, lengths, group)
+    longs = _once(places).withColumn("key", to)
+    hot = written(_hot(shorts, longs), "similar-hot")
+    near = F.expr("levenshtein(x, y, edits) >= 0")
     if hot.isEmpty():
         pairs = _met(shorts, longs, group)
     else:
         # texts of a hot key that have enough characters left are refined by a second segment, others are sliced
         can = (F.col("k") == F.col("edits") + 1) & (F.col("short") - F.col("size") > F.col("edits"))
+        longs = _each(places).withColumn("key", to)
         shorts, longs = (df.join(hot.select("key", F.lit(True).alias("_hot")), "key", "left").withColumn("hot", F.col("_hot").isNotNull() & can) for df in (shorts, longs))
         key2 = F.xxhash64("key", "j", "segment2").alias("key")
-        twice = _second_cut(shorts.where("hot")).withColumn("key", key2)
-        pairs = _met(shorts.where("not hot"), longs.where("not hot"), group, hot)
-        pairs = pairs.unionByName(_met(twice, _second_probes(longs.where("hot")).withColumn("key", key2), group, written(_counts(twice), "similar-hot")))
-    # of texts of one length either may be the shorter one, so only one order is looked at
-    pairs = pairs.where("x_side <> y_side and (length(x) < `long` or x_side = 0)")
-    alike = pairs.where(F.col("long") - F.levenshtein("x", "y", longest) >= least * F.col("long") - EPSILON)
-    return alike.select(*group, F.when(F.col("x_side") == 0, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("x_side") == 0, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+        twice, again = _second_cut(shorts.where("hot")).withColumn("key", key2), _second_probes(longs.where("hot")).withColumn("key", key2)
+        pairs = _met(shorts.where("not hot"), longs.where("not hot"), group, hot).unionByName(_met(twice, again, group, written(_hot(twice, again), "similar-hot")))
+    of = lambda s: F.when(F.col("x_side") == s, F.col("x")).otherwise(F.col("y"))
+    return pairs.where(near).select(*group, of(0).alias("a"), of(1).alias("b")).distinct()
 
 
 def holding_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], shortest: int, share: float, text: str = "t") -> DataFrame:
@@ -148,7 +175,8 @@ def holding_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], short
     def held(shorter: DataFrame, longer: DataFrame) -> DataFrame:
         n = F.length("t")
         low = F.greatest(F.lit(shortest), F.ceil(share * n - EPSILON).cast("int"))
-        parts = side(longer).where(n >= low).withColumn("size", F.explode(F.sequence(low, n))).withColumn("at", F.explode(F.sequence(F.lit(1), n - F.col("size") + 1)))
+        lengths = side(shorter).select(*group, n.alias("size")).distinct()
+        parts = side(longer).where(n >= low).withColumn("size", F.explode(F.sequence(low, n))).join(lengths, [*group, "size"], "left_semi").withColumn("at", F.explode(F.sequence(F.lit(1), n - F.col("size") + 1)))
         parts = parts.select(*group, F.col("t").alias("y"), F.substring("t", F.col("at"), F.col("size")).alias("x")).distinct()
         return side(shorter).where(n >= shortest).withColumnRenamed("t", "x").join(parts, [*group, "x"])
 

@@ -40,7 +40,7 @@ def pairs(spark, left, right, least, group=()):
 
 
 @pytest.mark.parametrize("least", [0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
-@pytest.mark.parametrize("hot", [2048, 3])
+@pytest.mark.parametrize("hot", [1 << 22, 3])
 def test_equals_all_pairs(spark, monkeypatch, least, hot):
     monkeypatch.setattr(similarity, "HOT", hot)
     left = [(i % 2, t) for i, t in enumerate(names(1, 40, 8) + names(2, 16, 60, "abcdefgh"))] + [(0, None), (0, ""), (1, "é")]

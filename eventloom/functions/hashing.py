@@ -37,13 +37,19 @@ def content_hash(*columns: Column) -> Column:
 
 
 def config_hash(text: Column) -> Column:
-    """SHA-256 of a JSON text in one form: keys in order at every level, no blanks; "null" for null."""
+    """SHA-256 of a JSON text in one form: keys in order at every level, no blanks; "null" for null. A malformed text has none."""
 
     def run(texts: pd.Series) -> pd.Series:
         def canonical(t):
             return "null" if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-        return pd.Series([hashlib.sha256(canonical(t).encode("utf-8")).hexdigest() for t in texts])
+        def digest(t):
+            try:
+                return hashlib.sha256(canonical(t).encode("utf-8", "surrogatepass")).hexdigest()
+            except (ValueError, RecursionError):
+                return None
+
+        return pd.Series([digest(t) for t in texts], dtype=object)
 
     return F.pandas_udf(run, "string")(text)
 

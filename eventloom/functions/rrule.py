@@ -1,7 +1,8 @@
 """Recurrence rules as column functions: a rule's text becomes an array of dates in a window.
 
 Supported are WEEKLY (INTERVAL, BYDAY) and MONTHLY (BYDAY with an ordinal, BYMONTHDAY, INTERVAL), both
-with BYMONTH. Anything else, BYSETPOS among it, gives null, so that callers see it.
+with BYMONTH. A list of days, BYSETPOS, a month out of 1 to 12 and any other frequency give null, so that callers see it. COUNT and UNTIL
+don't end a rule: the window does.
 """
 
 from __future__ import annotations
@@ -20,14 +21,18 @@ def rule_part(rule: Column, name: str) -> Column:
 
 def rule_fields(rule: Column) -> dict[str, Column]:
     freq, by_day = rule_part(rule, "FREQ"), rule_part(rule, "BYDAY")
-    nth = F.regexp_extract(by_day, r"^([+-]?\d)", 1)
+    by_day = F.coalesce(by_day, F.lit(""))
+    nth = F.regexp_extract(by_day, r"^([+-]?\d+)[A-Z]{2}$", 1)
     month_day = rule_part(rule, "BYMONTHDAY").try_cast("int")
     interval = F.coalesce(rule_part(rule, "INTERVAL").try_cast("int"), F.lit(1))
-    weekday = F.array_position(F.array(*map(F.lit, DAYS)), F.regexp_extract(by_day, r"([A-Z]{2})$", 1)).cast("int") - 1
+    weekday = F.array_position(F.array(*map(F.lit, DAYS)), F.regexp_extract(by_day, r"^(?:[+-]?\d+)?([A-Z]{2})$", 1)).cast("int") - 1
     known = freq.isin("WEEKLY", "MONTHLY") & rule_part(rule, "BYSETPOS").isNull() & (interval >= 1)
     known = known & F.when(freq == "WEEKLY", F.coalesce(weekday >= 0, F.lit(False))).otherwise(F.coalesce(weekday >= 0, F.lit(False)) | F.coalesce(month_day.between(1, 31), F.lit(False)))
-    months = F.transform(F.split(rule_part(rule, "BYMONTH"), ","), lambda m: m.try_cast("int"))
-    return {"freq": F.when(known, freq), "weekday": weekday, "nth": F.when(nth != "", nth.cast("int")), "month_day": month_day, "interval": interval, "months": months}
+    months = F.transform(F.split(rule_part(rule, "BYMONTH"), ","), lambda m: F.trim(m).try_cast("int"))
+    nth = F.when(nth != "", nth.try_cast("int"))
+    wrong_day = (by_day != "") & ((weekday < 0) | F.coalesce(nth == 0, F.lit(False)))
+    known = known & ~wrong_day & F.coalesce(F.forall(months, lambda m: F.coalesce(m.between(1, 12), F.lit(False))), F.lit(True))
+    return {"freq": F.when(known, freq), "weekday": weekday, "nth": nth, "month_day": month_day, "interval": interval, "months": months}
 
 
 def weekly_dates(start: Column, end: Column, weekday: Column, interval: Column, anchor: Column) -> Column:

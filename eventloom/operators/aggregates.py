@@ -120,10 +120,10 @@ def robust_bounds(points: DataFrame, group: str, x: str, least: int = 8) -> Data
 
 
 def stream_trend(changes: DataFrame, spine: DataFrame) -> DataFrame:
-    """Opened, closed and net per day and stream on a dense spine (day, stream). A relabelled item closes in the
-    stream it leaves and opens in the one it joins."""
-    delta = lambda stream, opened, closed: F.struct(stream.alias("stream"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed"))
-    deltas = F.when(F.col("kind") == "CLOSED", F.array(delta(F.col("to_stream"), 0, 1))).when(F.col("kind") == "RELABELED", F.array(delta(F.col("to_stream"), 1, 0), delta(F.col("from_stream"), 0, 1))).otherwise(F.array(delta(F.col("to_stream"), 1, 0)))
-    rows = changes.select("day", F.explode(deltas).alias("d")).select("day", "d.*").groupBy("day", "stream").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+    """Opened, reopened, closed and net per day and stream on a dense spine (day, stream). A relabelled item closes in the
+    stream it leaves and opens in the one it joins; a reopened one counts by itself."""
+    delta = lambda stream, opened, closed, reopened=0: F.struct(stream.alias("stream"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed"), F.lit(reopened).alias("reopened"))
+    deltas = F.when(F.col("kind") == "CLOSED", F.array(delta(F.col("to_stream"), 0, 1))).when(F.col("kind") == "RELABELED", F.array(delta(F.col("to_stream"), 1, 0), delta(F.col("from_stream"), 0, 1))).when(F.col("kind") == "REOPENED", F.array(delta(F.col("to_stream"), 0, 0, 1))).otherwise(F.array(delta(F.col("to_stream"), 1, 0)))
+    rows = changes.select("day", F.explode(deltas).alias("d")).select("day", "d.*").groupBy("day", "stream").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"), F.sum("reopened").alias("reopened"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return spine.join(rows, ["day", "stream"], "left").withColumns({"opened": zero("opened"), "closed": zero("closed")}).withColumn("net", F.col("opened") - F.col("closed"))
+    return spine.join(rows, ["day", "stream"], "left").withColumns({c: zero(c) for c in ("opened", "closed", "reopened")}).withColumn("net", F.col("opened") + F.col("reopened") - F.col("closed"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import first_values
+from .windows import first_values, value_parts
 
 
 
@@ -31,10 +31,10 @@ def member_stats(attendance: DataFrame, member: str, hare: Column, paid: Column,
     return attendance.groupBy(member).agg(F.count(F.lit(1)).alias("runs"), F.count_if(hare).alias("hared"), F.count_if(paid).alias("paid"), F.min(date).alias("first_run"), F.max(date).alias("last_run"))
 
 
-def event_history(attendance: DataFrame, event: str, name: str, flags: dict[str, Column], at_most: int = 20) -> DataFrame:
-    """Attendees and flag counts of each event, with its first names in order: a list that is bounded where it is built."""
+def event_history(attendance: DataFrame, event: str, name: str, flags: dict[str, Column], size: int = 20) -> DataFrame:
+    """Attendees and flag counts of each event, with all its names in order, in parts of ``size`` names."""
     counts = attendance.groupBy(event).agg(F.count(F.lit(1)).alias("attendees"), *(F.count_if(c).alias(n) for n, c in flags.items()))
-    return counts.join(first_values(attendance, [event], [name], name, at_most, "names"), event)
+    return counts.join(value_parts(attendance, [event], [name], name, size, "names"), event)
 
 
 def dense_counts(rows: DataFrame, group: Sequence[str], column: str, levels: Sequence[str]) -> DataFrame:
@@ -51,9 +51,18 @@ def counters(**counts: DataFrame) -> DataFrame:
     return parts.agg(*(F.sum(c).alias(c) for c in counts))
 
 
+def _rule_counts() -> list[Column]:
+    return [*(F.count_if(F.col("confidence") == c).alias(c.lower()) for c in ("HIGH", "MEDIUM", "LOW")), F.count_if(F.col("season_start").isNotNull()).alias("seasonal")]
+
+
+def rule_coverage_by_source(rules: DataFrame) -> DataFrame:
+    """Rules of each source by confidence, seasonal ones, and its kennels with a rule."""
+    return rules.groupBy("source").agg(*_rule_counts(), F.count(F.lit(1)).alias("rules"), F.countDistinct("kennel_id").alias("covered"))
+
+
 def rule_coverage(rules: DataFrame, kennels: DataFrame) -> DataFrame:
     """One row: rules by confidence, kennels with a rule, seasonal rules, and dark kennels (those without)."""
-    told = rules.agg(*(F.count_if(F.col("confidence") == c).alias(c.lower()) for c in ("HIGH", "MEDIUM", "LOW")), F.count_if(F.col("season_start").isNotNull()).alias("seasonal"), F.countDistinct("kennel_id").alias("covered"))
+    told = rules.agg(*_rule_counts(), F.countDistinct("kennel_id").alias("covered"))
     return told.crossJoin(kennels.agg(F.countDistinct("kennel_id").alias("kennels"))).withColumn("dark", F.greatest(F.lit(0), F.col("kennels") - F.col("covered"))).drop("kennels")  # one row by one row
 
 
@@ -129,12 +138,13 @@ def weekday_facets(rows: DataFrame, group: str, date: str) -> DataFrame:
     return rows.groupBy(group, (F.dayofweek(date) - 1).alias("weekday")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.date_format(date, "yyyy-MM-dd"))).alias("dates"))
 
 
-def day_by_stop(rows: DataFrame, stops: Sequence[str], at_most: int = 50) -> DataFrame:
-    """A row for each day, with the ids of each stop in order of time and distance (the first ``at_most``); a null day comes last."""
-    lists = first_values(rows, ["day", "stop"], [F.coalesce(F.col("start_time"), F.lit("99:99")), F.col("distance"), F.col("id")], "id", at_most, "ids")
+def day_by_stop(rows: DataFrame, stops: Sequence[str], size: int = 50) -> DataFrame:
+    """A row for each day, with the ids of each stop in order of time and distance; a stop with more than ``size`` goes on in
+    further parts of the day. A null day comes last."""
+    lists = value_parts(rows, ["day", "stop"], [F.coalesce(F.col("start_time"), F.lit("99:99")), F.col("distance"), F.col("id")], "id", size, "ids")
     none = F.array().cast(lists.schema["ids"].dataType)
     cell = lambda s: F.coalesce(F.first(F.when(F.col("stop") == s, F.col("ids")), ignorenulls=True), none)
-    return lists.groupBy("day").agg(*(cell(s).alias(f"stop_{s}") for s in stops)).orderBy(F.asc_nulls_last("day"))
+    return lists.groupBy("day", "part").agg(*(cell(s).alias(f"stop_{s}") for s in stops)).orderBy(F.asc_nulls_last("day"), "part")
 
 
 def worst_of(rows: DataFrame, group: str, column: str, order: Sequence[str]) -> DataFrame:

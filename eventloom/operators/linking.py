@@ -28,12 +28,21 @@ def routed_tags(rows: DataFrame, text: str, rules: Sequence[tuple[str, str | Seq
 
 def theme_twins(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """The one event of another source with the incoming row's theme on its (kennel_id, date); where the incoming theme is
-    empty, the day's only themed event; where the day's only event has none, that one. Columns of both: kennel_id, date, source_id, theme; ordinal; event_id."""
-    e = existing.select("kennel_id", "date", "event_id", F.col("source_id").alias("e_source"), F.col("theme").alias("e_theme"))
-    pairs = incoming.join(e, ["kennel_id", "date"])
-    other = F.col("source_id") != F.col("e_source")
-    same = other & (F.col("theme") != "") & (F.col("theme") == F.col("e_theme"))
-    told = pairs.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"), F.first("theme").alias("theme"), F.count_if(same).alias("n_same"), F.min(F.when(same, F.col("event_id"))).alias("same"), F.count_if(F.col("e_theme") != "").alias("n_real"), F.min(F.when(F.col("e_theme") != "", F.col("event_id"))).alias("real"), F.min("event_id").alias("any"))
+    empty, the day's only themed event; where the day's only event has none, that one. Columns of both: kennel_id, date, source_id, theme; ordinal; event_id.
+
+    Events are counted by slot, by theme and by source first; a theme's two first sources are enough to name the one event that isn't of the row's own."""
+    slot = ["kennel_id", "date"]
+    real = F.col("theme") != ""
+    slots = existing.groupBy(*slot).agg(F.count(F.lit(1)).alias("n"), F.count_if(real).alias("n_real"), F.min(F.when(real, F.col("event_id"))).alias("real"), F.min("event_id").alias("any"))
+    by_source = existing.where(real & F.col("source_id").isNotNull()).groupBy(*slot, "theme", "source_id").agg(F.count(F.lit(1)).alias("n_own"), F.min("event_id").alias("id"))
+    by_theme = by_source.groupBy(*slot, "theme").agg(F.sum("n_own").alias("n_theme"), F.min(F.struct("source_id", "id")).alias("low"), F.max(F.struct("source_id", "id")).alias("high"))
+    rows = incoming.select("ordinal", *slot, "source_id", "theme").join(slots, slot)
+    rows = rows.join(by_theme, [*slot, "theme"], "left").join(by_source.drop("id"), [*slot, "theme", "source_id"], "left")
+    n_same = F.when(F.col("source_id").isNotNull(), F.coalesce("n_theme", F.lit(0)) - F.coalesce("n_own", F.lit(0))).otherwise(0)
+    # with one event of another source, that source is the least or the greatest of at most two
+    same = F.when(n_same == 1, F.when(F.col("low.source_id") != F.col("source_id"), F.col("low.id")).otherwise(F.col("high.id")))
+    rows = rows.withColumns({"n_same": n_same, "same": same})
+    told = rows.groupBy("ordinal").agg(F.sum("n").alias("n"), F.min("theme").alias("theme"), F.sum("n_same").alias("n_same"), F.min("same").alias("same"), F.sum("n_real").alias("n_real"), F.min("real").alias("real"), F.min("any").alias("any"))
     found = F.when(F.col("n_same") == 1, F.col("same")).when((F.col("theme") == "") & (F.col("n_real") == 1), F.col("real")).when((F.col("theme") != "") & (F.col("n") == 1) & (F.col("n_real") == 0), F.col("any"))
     return told.select("ordinal", found.alias("event_id")).where("event_id is not null")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km
 from ..functions.text import safe_url
 from .filters import all_of
-from .windows import first_values
+from .windows import value_parts
 
 
 def with_centroids(rows: DataFrame, regions: DataFrame, region: str = "region_id") -> DataFrame:
@@ -117,9 +117,9 @@ def merged_pages(shown: DataFrame, older: DataFrame, key: str) -> DataFrame:
     return shown.unionByName(older.join(shown.select(key), key, "left_anti"))
 
 
-def sections(rows: DataFrame, group: str, key: str, order: Sequence[str], at_most: int = 100) -> DataFrame:
-    """Groups of a page with their keys in order, the first ``at_most``, and their number."""
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(first_values(rows, [group], list(order), key, at_most, "keys"), group)
+def sections(rows: DataFrame, group: str, key: str, order: Sequence[str], size: int = 100) -> DataFrame:
+    """Groups of a page with all their keys in order, in parts of ``size`` keys, and the number of keys of the whole group."""
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(value_parts(rows, [group], list(order), key, size, "keys"), group)
 
 
 def exploded_tags(rows: DataFrame, key: str, tags: str) -> DataFrame:

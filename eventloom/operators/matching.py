@@ -100,12 +100,21 @@ def asof_latest(refs: DataFrame, rows: DataFrame, key: str, ref_date: str, row_d
 
 def same_day_match(incoming: DataFrame, existing: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """The event of each incoming row on its (kennel_id, date): by URL, else run number, else start time, else title;
-    a tier counts if it has exactly one candidate. A slot's sole event is taken where no tier speaks against it."""
-    e = existing.select("kennel_id", "date", "event_id", *(F.col(c).alias(f"e_{c}") for c in ("source_url", "run_number", "start_time", "title")))
-    pairs = incoming.join(e, ["kennel_id", "date"], "left")
+    a tier counts if it has exactly one candidate. A slot's sole event is taken where no tier speaks against it.
+
+    Events are counted by slot and by each tier's value first, so a row meets one row for each tier, however many events its slot has."""
+    slot = ["kennel_id", "date"]
     norm = lambda c: F.lower(F.trim(c))
-    tiers = {"url": F.col("source_url") == F.col("e_source_url"), "run": F.col("run_number") == F.col("e_run_number"), "time": F.col("start_time") == F.col("e_start_time"), "title": norm(F.col("title")) == norm(F.col("e_title"))}
-    picked = pairs.groupBy(ordinal).agg(F.count("event_id").alias("candidates"), F.min("event_id").alias("sole"), F.count_if(F.col("run_number") != F.col("e_run_number")).alias("other_runs"), *(x for t, c in tiers.items() for x in (F.count_if(c).alias(f"n_{t}"), F.min(F.when(c, F.col("event_id"))).alias(f"id_{t}"))))
+    tiers = {"url": F.col("source_url"), "run": F.col("run_number"), "time": F.col("start_time"), "title": norm(F.col("title"))}
+    rows = incoming.select(ordinal, *slot, *(c.alias(f"v_{t}") for t, c in tiers.items()))
+    slots = existing.groupBy(*slot).agg(F.count("event_id").alias("candidates"), F.min("event_id").alias("sole"), F.count("run_number").alias("runs"))
+    rows = rows.join(slots, slot, "left")
+    for t, c in tiers.items():
+        values = existing.select(*slot, "event_id", c.alias(f"v_{t}")).where(F.col(f"v_{t}").isNotNull())
+        rows = rows.join(values.groupBy(*slot, f"v_{t}").agg(F.count("event_id").alias(f"n_{t}"), F.min("event_id").alias(f"id_{t}")), [*slot, f"v_{t}"], "left")
+    other = F.when(F.col("v_run").isNotNull(), F.coalesce("runs", F.lit(0)) - F.coalesce("n_run", F.lit(0))).otherwise(0)
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    picked = rows.withColumn("other", other).groupBy(ordinal).agg(total("candidates").alias("candidates"), F.min("sole").alias("sole"), total("other").alias("other_runs"), *(x for t in tiers for x in (total(f"n_{t}").alias(f"n_{t}"), F.min(f"id_{t}").alias(f"id_{t}"))))
     chosen = F.coalesce(*(F.when(F.col(f"n_{t}") == 1, F.col(f"id_{t}")) for t in tiers), F.when((F.col("candidates") == 1) & (F.col("other_runs") == 0), F.col("sole")))
     tier = F.coalesce(*(F.when(F.col(f"n_{t}") == 1, t) for t in tiers), F.when((F.col("candidates") == 1) & (F.col("other_runs") == 0), "sole"), F.lit("new"))
     return picked.select(ordinal, chosen.alias("event_id"), tier.alias("tier"))

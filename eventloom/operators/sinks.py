@@ -80,11 +80,11 @@ def item_list_json_ld(rows: DataFrame, group: str, name: str, at_most: int = 100
     return own.groupBy(group).agg(F.to_json(F.struct(F.lit("ItemList").alias("@type"), items.alias("itemListElement"))).alias("json"))
 
 
-def audit_log(findings: DataFrame, log: str, at_most: int = 1000) -> DataFrame:
-    """One row of each run: findings in all, counts by category as a map, and the findings by event (the first ``at_most``)."""
+def audit_log(findings: DataFrame, log: str, size: int = 1000) -> DataFrame:
+    """A run's findings in all, counts by category as a map, and all its findings by event: one row, and further parts beyond ``size`` findings."""
     from pyspark.sql import Window
 
     counts = findings.groupBy(log, "category").agg(F.count(F.lit(1)).alias("n")).groupBy(log).agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("by_category"))
-    own = findings.withColumn("_at", F.row_number().over(Window.partitionBy(log).orderBy("event_id", "rule"))).where(F.col("_at") <= at_most)
-    nested = own.groupBy(log).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "event_id", "rule"))), lambda x: F.struct(x["event_id"].alias("event_id"), x["rule"].alias("rule"))).alias("findings"))
+    own = findings.withColumn("_at", F.row_number().over(Window.partitionBy(log).orderBy("event_id", "rule"))).withColumn("part", F.floor((F.col("_at") - 1) / size))
+    nested = own.groupBy(log, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "event_id", "rule"))), lambda x: F.struct(x["event_id"].alias("event_id"), x["rule"].alias("rule"))).alias("findings"))
     return counts.join(nested, log)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def dual_quota(rows: DataFrame, group: str, order: Sequence[Column], good: Column, any_rows: int = 30, good_rows: int = 10) -> DataFrame:
     """Rows among the newest ``any_rows`` of a group, or among the newest ``good_rows`` good ones."""
@@ -118,6 +120,13 @@ def first_values(rows: DataFrame, group: Sequence[str], order: Sequence[Column |
     return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias(name))
 
 
+def value_parts(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, size: int, name: str) -> DataFrame:
+    """All values of each group in an order, as arrays of at most ``size``: ``part`` numbers them from 0."""
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    placed = rows.withColumn("_at", at).withColumn("part", F.floor(F.col("_at") / size))
+    return placed.groupBy(*group, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias(name))
+
+
 def streaks(attended: DataFrame, slots: DataFrame, group: str, order: str, cap: int = 4) -> DataFrame:
     """Most recent slots in a row that a member attended, at most ``cap``. Only the last ``cap`` slots matter, so they are
     numbered once and a member's attendances are bits; members who missed the last slot have 0."""
@@ -145,8 +154,9 @@ def next_milestones(rows: DataFrame, group: str, targets: Sequence[int], k: int
 
 def stagger(rows: DataFrame, key: str, window_seconds: int = 240, buckets: int = 64) -> DataFrame:
     """Delay of each row of a dispatch: floor(i / (n - 1) * window). Rows are numbered in range buckets of their
-    key, and the rows of earlier buckets are added, so no window holds all rows."""
-    parts = rows.repartitionByRange(buckets, key).withColumn("_p", F.spark_partition_id())
+    key, and the rows of earlier buckets are added, so no window holds all rows. The buckets are written first: a second
+    run of the partitioning would sample the keys anew and cut elsewhere."""
+    parts = written(rows.repartitionByRange(buckets, key).withColumn("_p", F.spark_partition_id()), "stagger")
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
     counts = counts.select("_p", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_before"), F.sum("_n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))

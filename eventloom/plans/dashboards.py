@@ -48,9 +48,10 @@ def member_stats(t: Tables) -> DataFrame:
 
 @query(f"""
     WITH a AS ({_ATT}), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY member) AS k FROM a)
-    SELECT event_id, count(*) AS attendees, count(*) FILTER (hare) AS hares, count(*) FILTER (paid) AS paid_n, list(member ORDER BY member) FILTER (k <= 20) AS names FROM r GROUP BY 1""")
+    , c AS (SELECT event_id, count(*) AS attendees, count(*) FILTER (hare) AS hares, count(*) FILTER (paid) AS paid_n FROM a GROUP BY 1)
+    SELECT r.event_id, attendees, hares, paid_n, (k - 1) // 5 AS part, list(member ORDER BY member) AS names FROM r JOIN c ON c.event_id = r.event_id GROUP BY ALL""")
 def event_history_lists(t: Tables) -> DataFrame:
-    return B.event_history(_attendance(t), "event_id", "member", {"hares": F.col("hare"), "paid_n": F.col("paid")})
+    return B.event_history(_attendance(t), "event_id", "member", {"hares": F.col("hare"), "paid_n": F.col("paid")}, size=5)
 
 
 @query("SELECT user_id % 20 AS src, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'never') AS never, count(*) AS total FROM events GROUP BY 1")
@@ -88,6 +89,15 @@ def rule_coverage(t: Tables) -> DataFrame:
     return B.rule_coverage(rules, t.customer.select(F.col("c_custkey").alias("kennel_id")))
 
 
+@query("""
+    WITH r AS (SELECT p_partkey % 400 AS kennel_id, p_size % 8 AS source, CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, p_type = 'ECONOMY' AS seasonal FROM part)
+    SELECT source, count(*) FILTER (confidence = 'HIGH') AS high, count(*) FILTER (confidence = 'MEDIUM') AS medium, count(*) FILTER (confidence = 'LOW') AS low, count(*) FILTER (seasonal) AS seasonal, count(*) AS rules, count(DISTINCT kennel_id) AS covered FROM r GROUP BY 1""")
+def rule_coverage_by_source(t: Tables) -> DataFrame:
+    size = F.col("p_size") % 3
+    rules = t.part.select((F.col("p_partkey") % 400).alias("kennel_id"), (F.col("p_size") % 8).alias("source"), F.when(size == 0, "HIGH").when(size == 1, "MEDIUM").otherwise("LOW").alias("confidence"), F.when(F.col("p_type") == "ECONOMY", "04-01").alias("season_start"))
+    return B.rule_coverage_by_source(rules)
+
+
 _WEEK = "CAST(o_orderdate AS DATE) - CAST(dayofweek(o_orderdate) AS INT)"
 
 
@@ -185,12 +195,12 @@ def weekday_facets(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS day, o_custkey % 3 AS stop, CASE WHEN o_orderkey % 4 > 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':00' END AS start_time, o_orderkey % 50 AS distance, o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
+    WITH r AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS day, o_custkey % 3 AS stop, CASE WHEN o_orderkey % 4 > 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':00' END AS start_time, o_orderkey % 50 AS distance, o_orderkey AS id FROM orders),
     k AS (SELECT *, row_number() OVER (PARTITION BY day, stop ORDER BY coalesce(start_time, '99:99'), distance, id) AS pos FROM r)
-    SELECT day, coalesce(list(id ORDER BY pos) FILTER (stop = 0 AND pos <= 50), []) AS stop_0, coalesce(list(id ORDER BY pos) FILTER (stop = 1 AND pos <= 50), []) AS stop_1, coalesce(list(id ORDER BY pos) FILTER (stop = 2 AND pos <= 50), []) AS stop_2 FROM k GROUP BY 1""")
+    SELECT day, (pos - 1) // 50 AS part, coalesce(list(id ORDER BY pos) FILTER (stop = 0), []) AS stop_0, coalesce(list(id ORDER BY pos) FILTER (stop = 1), []) AS stop_1, coalesce(list(id ORDER BY pos) FILTER (stop = 2), []) AS stop_2 FROM k GROUP BY 1, 2""")
 def day_by_stop(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = t.orders.where("o_orderdate >= timestamp_ntz'1998-01-01'").select(F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("day"), (F.col("o_custkey") % 3).cast("string").alias("stop"), F.when(k % 4 > 0, F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":00"))).alias("start_time"), (k % 50).alias("distance"), k.alias("id"))
+    rows = t.orders.select(F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("day"), (F.col("o_custkey") % 3).cast("string").alias("stop"), F.when(k % 4 > 0, F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":00"))).alias("start_time"), (k % 50).alias("distance"), k.alias("id"))
     return B.day_by_stop(rows, ["0", "1", "2"])
 
 

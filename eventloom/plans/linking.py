@@ -21,10 +21,10 @@ DAY = lambda s: F.lit(s).cast("date")
 
 
 @query("""
-    SELECT s_suppkey, coalesce(n_name, '-') AS region, count(*) AS links FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'P') b ON l_suppkey = s_suppkey
+    SELECT s_suppkey, coalesce(n_name, '-') AS region, count(*) AS links FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) b ON l_suppkey = s_suppkey
     LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""")
 def bridge_chain(t: Tables) -> DataFrame:
-    bridge = t.lineitem.join(t.orders.where("o_orderstatus = 'P'"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    bridge = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
     rows = t.supplier.join(bridge, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return rows.groupBy("s_suppkey", F.coalesce("n_name", F.lit("-")).alias("region")).agg(F.count(F.lit(1)).alias("links"))
 
@@ -54,12 +54,12 @@ def pattern_routing(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(F.array_sort(K.routed_tags(t.part, "p_name", rules)), ",").alias("tags"))
 
 
-_IN = "SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 30 AS kennel_id, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, 's' || CAST(l_partkey % 7 AS VARCHAR) AS source_url, CASE WHEN l_linenumber > 2 THEN CAST(l_quantity AS INT) % 6 END AS run_number, CASE WHEN l_tax > 0.02 THEN '1' || CAST(l_linenumber % 4 AS VARCHAR) || ':00' END AS start_time, l_returnflag AS title FROM lineitem WHERE l_linestatus = 'O'"
+_IN = "SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 30 AS kennel_id, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, 's' || CAST(l_partkey % 7 AS VARCHAR) AS source_url, CASE WHEN l_linenumber > 2 THEN CAST(l_quantity AS INT) % 6 END AS run_number, CASE WHEN l_tax > 0.02 THEN '1' || CAST(l_linenumber % 4 AS VARCHAR) || ':00' END AS start_time, l_returnflag AS title FROM lineitem"
 _EX = "SELECT o_orderkey AS event_id, o_custkey % 30 AS kennel_id, CAST(date_trunc('week', o_orderdate) AS DATE) AS date, 's' || CAST(o_orderkey % 7 AS VARCHAR) AS source_url, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 6 END AS run_number, CASE WHEN o_orderkey % 5 > 0 THEN '1' || CAST(o_orderkey % 4 AS VARCHAR) || ':00' END AS start_time, CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'R' ELSE 'X' END AS title FROM orders"
 
 
 def _incoming(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_linestatus = 'O'").select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 30).alias("kennel_id"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.concat(F.lit("s"), (F.col("l_partkey") % 7).cast("string")).alias("source_url"),
+    return t.lineitem.select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 30).alias("kennel_id"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.concat(F.lit("s"), (F.col("l_partkey") % 7).cast("string")).alias("source_url"),
         F.when(F.col("l_linenumber") > 2, F.col("l_quantity").cast("int") % 6).alias("run_number"), F.when(F.col("l_tax") > 0.02, F.concat(F.lit("1"), (F.col("l_linenumber") % 4).cast("string"), F.lit(":00"))).alias("start_time"), F.col("l_returnflag").alias("title"))
 
 
@@ -77,19 +77,19 @@ def same_day_match(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH i AS (SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 40 AS kennel_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_linenumber % 3 AS source_id, CASE l_partkey % 4 WHEN 0 THEN '' ELSE 'theme ' || CAST(l_partkey % 4 AS VARCHAR) END AS theme FROM lineitem WHERE l_returnflag = 'A'),
+    WITH i AS (SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 40 AS kennel_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_linenumber % 3 AS source_id, CASE l_partkey % 4 WHEN 0 THEN '' ELSE 'theme ' || CAST(l_partkey % 4 AS VARCHAR) END AS theme FROM lineitem),
     e AS (SELECT o_orderkey AS event_id, o_custkey % 40 AS kennel_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderkey % 3 AS source_id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'theme ' || CAST(o_orderkey % 4 AS VARCHAR) END AS theme FROM orders),
     g AS (SELECT ordinal, count(*) AS n, min(i.theme) AS theme, count(*) FILTER (i.source_id <> e.source_id AND i.theme <> '' AND i.theme = e.theme) AS ns, min(event_id) FILTER (i.source_id <> e.source_id AND i.theme <> '' AND i.theme = e.theme) AS s, count(*) FILTER (e.theme <> '') AS nr, min(event_id) FILTER (e.theme <> '') AS r, min(event_id) AS a FROM i JOIN e ON e.kennel_id = i.kennel_id AND e.date = i.date GROUP BY 1),
     f AS (SELECT ordinal, CASE WHEN ns = 1 THEN s WHEN theme = '' AND nr = 1 THEN r WHEN theme <> '' AND n = 1 AND nr = 0 THEN a END AS event_id FROM g) SELECT * FROM f WHERE event_id IS NOT NULL""")
 def theme_twins(t: Tables) -> DataFrame:
     p, k = F.col("l_partkey") % 4, F.col("o_orderkey")
-    i = t.lineitem.where("l_returnflag = 'A'").select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 40).alias("kennel_id"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), (F.col("l_linenumber") % 3).alias("source_id"), F.when(p == 0, "").otherwise(F.concat(F.lit("theme "), p.cast("string"))).alias("theme"))
+    i = t.lineitem.select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 40).alias("kennel_id"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), (F.col("l_linenumber") % 3).alias("source_id"), F.when(p == 0, "").otherwise(F.concat(F.lit("theme "), p.cast("string"))).alias("theme"))
     e = t.orders.select(k.alias("event_id"), (F.col("o_custkey") % 40).alias("kennel_id"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date"), (k % 3).alias("source_id"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("theme "), (k % 4).cast("string"))).alias("theme"))
     return K.theme_twins(i, e)
 
 
 @query("""
-    WITH i AS (SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 20 AS kennel_id, CAST(l_shipdate AS DATE) AS date, l_linenumber AS source_id, substr(p_name, 1, 12) AS title, CASE WHEN l_linenumber > 3 THEN CAST(l_quantity AS INT) % 9 END AS run, CASE WHEN l_tax > 0.03 THEN '1' || CAST(l_linenumber % 4 AS VARCHAR) || ':30' END AS st FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+    WITH i AS (SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 20 AS kennel_id, CAST(l_shipdate AS DATE) AS date, l_linenumber AS source_id, substr(p_name, 1, 12) AS title, CASE WHEN l_linenumber > 3 THEN CAST(l_quantity AS INT) % 9 END AS run, CASE WHEN l_tax > 0.03 THEN '1' || CAST(l_linenumber % 4 AS VARCHAR) || ':30' END AS st FROM lineitem JOIN part ON l_partkey = p_partkey),
     e AS (SELECT o_orderkey AS event_id, o_custkey % 20 AS kennel_id, CAST(o_orderdate AS DATE) AS date, o_orderkey % 5 AS source_id, o_orderkey % 7 AS trust, substr(p_name, 1, 12) AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 END AS run, CASE WHEN o_orderkey % 3 > 0 THEN '1' || CAST(o_orderkey % 4 AS VARCHAR) || ':00' END AS st FROM orders JOIN part ON p_partkey = o_orderkey % 200),
     p AS (SELECT ordinal, event_id, trust, abs(date_diff('day', i.date, e.date)) AS gap FROM i JOIN e ON i.kennel_id = e.kennel_id AND abs(date_diff('day', i.date, e.date)) BETWEEN 1 AND 2 AND length(trim(i.title)) >= 4 AND levenshtein(lower(trim(i.title)), lower(trim(e.title))) <= 4 AND i.source_id <> e.source_id
       AND (i.run IS NULL OR e.run IS NULL OR i.run = e.run) AND (i.st IS NULL OR e.st IS NULL OR abs((CAST(substr(i.st, 1, 2) AS INT) * 60 + 30) - CAST(substr(e.st, 1, 2) AS INT) * 60) <= 120)),
@@ -97,18 +97,18 @@ def theme_twins(t: Tables) -> DataFrame:
 def fuzzy_window_duplicates(t: Tables) -> DataFrame:
     part = t.part.select("p_partkey", F.substring("p_name", 1, 12).alias("title"))
     k = F.col("o_orderkey")
-    i = t.lineitem.where("l_returnflag = 'R'").join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 20).alias("kennel_id"), F.to_date("l_shipdate").alias("date"), F.col("l_linenumber").alias("source_id"), "title",
+    i = t.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 20).alias("kennel_id"), F.to_date("l_shipdate").alias("date"), F.col("l_linenumber").alias("source_id"), "title",
         F.when(F.col("l_linenumber") > 3, F.col("l_quantity").cast("int") % 9).alias("run_number"), F.when(F.col("l_tax") > 0.03, F.concat(F.lit("1"), (F.col("l_linenumber") % 4).cast("string"), F.lit(":30"))).alias("start_time"), F.lit(None).cast("string").alias("location"))
     e = t.orders.join(part, k % 200 == F.col("p_partkey")).select(k.alias("event_id"), (F.col("o_custkey") % 20).alias("kennel_id"), F.to_date("o_orderdate").alias("date"), (k % 5).alias("source_id"), (k % 7).alias("trust"), "title", F.when(k % 2 == 0, k % 9).alias("run_number"), F.when(k % 3 > 0, F.concat(F.lit("1"), (k % 4).cast("string"), F.lit(":00"))).alias("start_time"), F.lit("x").alias("location"))
     return M.fuzzy_window_duplicates(i, e).select("ordinal", "event_id")
 
 
 @query("""
-    WITH i AS (SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 10 AS k, l_partkey % 20 AS u, CAST(l_quantity AS INT) % 3 AS run, CAST(l_shipdate AS DATE) AS date, l_linenumber AS trust FROM lineitem WHERE l_linestatus = 'F'), e AS (SELECT o_orderkey AS event_id, o_custkey % 10 AS k, o_orderkey % 20 AS u, o_orderkey % 3 AS run, CAST(o_orderdate AS DATE) AS d, o_orderkey % 6 AS trust, o_orderkey % 11 AS upd FROM orders),
+    WITH i AS (SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 10 AS k, l_partkey % 20 AS u, CAST(l_quantity AS INT) % 3 AS run, CAST(l_shipdate AS DATE) AS date, l_linenumber AS trust FROM lineitem), e AS (SELECT o_orderkey AS event_id, o_custkey % 10 AS k, o_orderkey % 20 AS u, o_orderkey % 3 AS run, CAST(o_orderdate AS DATE) AS d, o_orderkey % 6 AS trust, o_orderkey % 11 AS upd FROM orders),
     p AS (SELECT ordinal, event_id, d AS old_date, date, row_number() OVER (PARTITION BY ordinal ORDER BY upd DESC, event_id) AS r FROM i JOIN e ON i.k = e.k AND i.u = e.u AND i.run = e.run AND abs(date_diff('day', date, d)) BETWEEN 1 AND 30 AND i.trust >= e.trust) SELECT ordinal, event_id, old_date, date FROM p WHERE r = 1""")
 def moved_dates(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
-    i = t.lineitem.where("l_linestatus = 'F'").select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 10).alias("kennel_id"), (F.col("l_partkey") % 20).alias("source_url"), (F.col("l_quantity").cast("int") % 3).alias("run_number"), F.lit("a").alias("label"), F.to_date("l_shipdate").alias("date"), F.col("l_linenumber").alias("trust"))
+    i = t.lineitem.select((F.col("l_orderkey") * 1000 + F.col("l_partkey") % 1000).alias("ordinal"), (F.col("l_suppkey") % 10).alias("kennel_id"), (F.col("l_partkey") % 20).alias("source_url"), (F.col("l_quantity").cast("int") % 3).alias("run_number"), F.lit("a").alias("label"), F.to_date("l_shipdate").alias("date"), F.col("l_linenumber").alias("trust"))
     e = t.orders.select(k.alias("event_id"), (F.col("o_custkey") % 10).alias("kennel_id"), (k % 20).alias("source_url"), (k % 3).alias("run_number"), F.lit("a").alias("label"), F.to_date("o_orderdate").alias("date"), (k % 6).alias("trust"), (k % 11).alias("updated_at"))
     return K.moved_dates(i, e)
 

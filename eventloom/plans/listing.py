@@ -299,9 +299,9 @@ def merged_pages(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    WITH e AS ({_EV}), r AS (SELECT date, event_id, row_number() OVER (PARTITION BY date ORDER BY start_time NULLS FIRST, event_id) AS k FROM e) SELECT date, count(*) AS n, list(event_id ORDER BY k) FILTER (k <= 100) AS keys FROM r GROUP BY 1""")
+    WITH e AS ({_EV}), r AS (SELECT date, event_id, row_number() OVER (PARTITION BY date ORDER BY start_time NULLS FIRST, event_id) AS k FROM e) SELECT date, n, (k - 1) // 10 AS part, list(event_id ORDER BY k) AS keys FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM r) GROUP BY 1, 2, 3""")
 def date_sections(t: Tables) -> DataFrame:
-    return V.sections(_events(t), "date", "event_id", ["start_time", "event_id"])
+    return V.sections(_events(t), "date", "event_id", ["start_time", "event_id"], size=10)
 
 
 @query("""

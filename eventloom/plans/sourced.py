@@ -262,11 +262,11 @@ def structured_lists(t: Tables) -> DataFrame:
 
 @query("""
     WITH f AS (SELECT user_id % 6 AS log, event_type AS category, event_id, event_type AS rule FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY event_id, rule) AS k FROM f)
-    SELECT log, count(*) AS total, count(*) FILTER (category = 'view') AS views, list(event_id ORDER BY event_id, rule) FILTER (k <= 20) AS firsts FROM r GROUP BY 1""")
+    SELECT log, total, views, (k - 1) // 20 AS part, list(event_id ORDER BY event_id, rule) AS ids FROM (SELECT *, count(*) OVER (PARTITION BY log) AS total, count(*) FILTER (category = 'view') OVER (PARTITION BY log) AS views FROM r) GROUP BY 1, 2, 3, 4""")
 def audit_log_rows(t: Tables) -> DataFrame:
     rows = t.events.select((F.col("user_id") % 6).alias("log"), F.col("event_type").alias("category"), "event_id", F.col("event_type").alias("rule"))
-    out = O.audit_log(rows, "log", at_most=20)
-    return out.select("log", "total", F.coalesce(F.try_element_at("by_category", F.lit("view")), F.lit(0)).alias("views"), F.transform("findings", lambda x: x["event_id"]).alias("firsts"))
+    out = O.audit_log(rows, "log", size=20)
+    return out.select("log", "part", "total", F.coalesce(F.try_element_at("by_category", F.lit("view")), F.lit(0)).alias("views"), F.transform("findings", lambda x: x["event_id"]).alias("ids"))
 
 
 @query("""

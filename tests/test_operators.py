@@ -3,6 +3,7 @@
 import hashlib
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import cleaning as C
@@ -151,3 +152,59 @@ def test_moons_of_other_years(spark):
 def test_long_hares_end_at_a_delimiter(spark):
     assert one(spark, C.sanitized_hares(F.col("t")), t="x" * 250) == "x" * 200
     assert one(spark, C.sanitized_hares(F.col("t")), t="a, " + "x" * 250) == "a"
+
+
+def test_stagger_of_a_million_rows_with_columns(spark):
+    rows = spark.range(1_000_000).select(F.pmod(F.col("id") * 7919, F.lit(1_000_003)).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("more"), F.lit("x").alias("_q"))
+    got = W.stagger(rows, "k")
+    place = {k: i for i, k in enumerate(sorted(i * 7919 % 1_000_003 for i in range(1_000_000)))}
+    wrong = sum(place[k] * 240 // 999_999 != delay for k, delay in zip(*(got.toPandas()[c].tolist() for c in ("k", "delay_s")), strict=True))
+    assert wrong == 0 and got.columns == ["k", "more", "_q", "delay_s"]
+
+
+@pytest.mark.parametrize("rule, days", [
+    ("FREQ=WEEKLY;BYDAY=MO,WE", None), ("FREQ=MONTHLY;BYDAY=1SA,3SA", None), ("FREQ=MONTHLY;BYDAY=0SA", None), ("FREQ=WEEKLY;BYDAY=XX", None), ("FREQ=WEEKLY;BYDAY=SA;BYMONTH=13", None), ("FREQ=WEEKLY;BYDAY=SA;BYMONTH=a", None),
+    ("FREQ=MONTHLY;BYDAY=-1FR", ["2024-03-29"]), ("FREQ=MONTHLY;BYDAY=2SA;BYMONTH=3, 4", ["2024-03-09"]), ("FREQ=WEEKLY;BYDAY=SA;BYMONTH=4", []), ("FREQ=DAILY", None),
+])
+def test_rules_of_one_day_only(spark, rule, days):
+    from eventloom.functions import rrule
+
+    day = lambda s: F.lit(s).cast("date")
+    got = spark.range(1).select(rrule.occurrences(F.lit(rule), day("2024-03-01"), day("2024-03-31"), F.lit(None).cast("date"))).head()[0]
+    assert got == days if days is None else [str(d) for d in got] == days
+
+
+def test_lists_go_on_in_parts(spark):
+    from eventloom.operators import dashboards, listing, sinks
+
+    rows = spark.range(25).select(F.lit("d").alias("day"), F.lit("0").alias("stop"), F.lit(None).cast("string").alias("start_time"), F.lit(1).alias("distance"), "id")
+    assert sorted(len(r.stop_0) for r in dashboards.day_by_stop(rows, ["0", "1"], size=10).collect()) == [5, 10, 10]
+    parts = listing.sections(rows, "day", "id", ["id"], size=10).orderBy("part").collect()
+    assert [(r.n, r.keys[0]) for r in parts] == [(25, 0), (25, 10), (25, 20)]
+    findings = rows.select(F.lit(1).alias("log"), F.lit("c").alias("category"), F.col("id").alias("event_id"), F.lit("r").alias("rule"))
+    assert sum(len(r.findings) for r in sinks.audit_log(findings, "log", size=10).collect()) == 25
+
+
+def test_malformed_configurations_have_no_hash(spark):
+    from eventloom.functions import hashing
+
+    df = spark.createDataFrame([('{"b":1,"a":2}',), ('{"a":2, "b":1}',), ("{broken",), (None,)], "t string")
+    got = [r.h for r in df.select(hashing.config_hash(F.col("t")).alias("h")).collect()]
+    assert got[0] == got[1] and got[2] is None and got[3]
+
+
+def test_cleaning_steps_are_bound_once(spark):
+    from eventloom.functions import cleaning
+
+    df = spark.createDataFrame([("x",)], "t string")
+    for clean in (cleaning.sanitized_location, cleaning.sanitized_hares, cleaning.sanitized_title):
+        assert df.select(clean(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 100
+
+
+def test_theme_twins_and_same_day_match_count_values(spark):
+    from eventloom.operators import linking
+
+    e = [(1, "d", 1, "a", 10), (1, "d", 1, "a", 11), (1, "d", 2, "a", 12), (1, "d", 3, "", 13), (2, "d", 1, "", 20), (3, "d", None, "a", 30)]
+    existing = spark.createDataFrame(e, "kennel_id int, date string, source_id int, theme string, event_id int")
+    incoming = spark.createDataFrame([(1, "d", 1, "a", 1), (1, "d", 2, "a", 2), (1, "d", 3, "", 3), (2, "d", 9, "b", 4), (2, "d", 9, "", 5), (3, "d", 1, "a", 6), (9, "d", 1, "a", 7)], "kennel_id int, date string, source_id int, theme string, ordinal int")
+    assert {(r.ordinal, r.event_id) for r in linking.theme_twins(incoming, existing).collect()} == {(1, 12), (4, 20)}

@@ -77,15 +77,16 @@ class _Outline(HTMLParser):
                 pass
 
 
+def outline_hash(page: str) -> str:
+    outline = _Outline()
+    outline.feed(page)
+    return hashlib.sha256("\n".join(outline.parts).encode("utf-8")).hexdigest()
+
+
 def structure_hash(html: Column) -> Column:
     """SHA-256 of a page's outline of tags and classes: it changes with the template, not with texts."""
 
     def run(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
-            outline = _Outline()
-            outline.feed(page or "")
-            out.append(hashlib.sha256("\n".join(outline.parts).encode("utf-8")).hexdigest())
-        return pd.Series(out)
+        return pd.Series([outline_hash(page or "") for page in pages])
 
     return F.pandas_udf(run, "string")(html)

@@ -10,7 +10,10 @@ from ..functions.hashing import structure_hash
 from ..functions.rrule import occurrences
 from ..operators import projection as P
 from ..operators import sinks as O
+from ..sources import adapter
 from ..sources import feeds as R
+from ..storage import shared_folder, written
+from ..streaming.runs import drained
 from .registry import Tables, query
 from .texts import cases
 
@@ -43,6 +46,49 @@ def feed_errors(t: Tables) -> DataFrame:
     return R.parsed(_calendars(t), "page_id", "text", R.ical_events)[1]
 
 
+def _landed_calendars(t: Tables) -> str:
+    folder = shared_folder(t.spark, "landed")
+    pages = _calendars(t).withColumn("organiser", _text("o", F.col("page_id") % 4))
+    for batch in (0, 1):
+        adapter.land(pages.where(F.pmod(F.floor(F.col("page_id") / 4), F.lit(2)) == batch), folder, batch)
+    return folder
+
+
+@query("""
+    SELECT o_orderkey AS page_id, 'o' || CAST(o_orderkey % 4 AS VARCHAR) AS organiser, CASE WHEN o_orderkey % 10 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN 1 ELSE 2 END AS events, CASE WHEN o_orderkey % 10 = 0 THEN 'the calendar is cut short' END AS error, TRUE AS same FROM orders""")
+def adapter_outcomes(t: Tables) -> DataFrame:
+    """Events, errors and diagnostics of a page from one parse, which is stored and then parted."""
+    events, errors, pages = adapter.results(written(adapter.read_landed(t.spark, _landed_calendars(t), kind="ical"), "outcomes"))
+    counted = events.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    told = pages.join(counted, "page_id", "left").join(errors.drop("organiser"), "page_id", "left")
+    n, said = F.coalesce("n", F.lit(0)).cast("int"), F.get_json_object("diagnostics", "$.events").cast("int")
+    return told.select("page_id", "organiser", n.alias("events"), "error", (n == said).alias("same"))
+
+
+@query("""
+    SELECT o_orderkey AS page_id, 'u' || o_orderkey AS uid, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderkey % 10 > 0 AND o_orderkey % 4 IN (1, 3) AND strftime(o_orderdate, '%Y-%m-%d') >= '1998-02-01'
+    UNION ALL SELECT o_orderkey, 'v' || o_orderkey, strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderkey % 10 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 4 IN (1, 3) AND strftime(o_orderdate, '%Y-%m-%d') >= '1998-02-01'""")
+def adapter_pushed(t: Tables) -> DataFrame:
+    """Events of two organisers from a day on: both filters are the reader's."""
+    rows = adapter.read_landed(t.spark, _landed_calendars(t), kind="ical")
+    return rows.where(F.col("organiser").isin("o1", "o3") & (F.col("date") >= "1998-02-01")).select("page_id", "uid", "date")
+
+
+@query("SELECT p_partkey % 3 AS organiser, count(*) AS pages, sum(1 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS events, count(DISTINCT p_partkey % 5) AS outlines FROM part GROUP BY 1")
+def adapter_stream(t: Tables) -> DataFrame:
+    """Configured pages as a stream of landed batches: counts and structure hashes by organiser."""
+    k = F.col("p_partkey")
+    row = _text("<tr class='run x", k % 5, "'><td class=d>1997-01-0", (1 + k % 9), "</td><td><a>Run ", k, "</a></td></tr>")
+    page = F.concat(F.lit("<table>"), row, F.when(k % 3 == 0, "<tr class=run><td><a>Two</a></td></tr>").otherwise(""), F.lit("</table>"))
+    pages = t.part.select(k.alias("page_id"), (k % 3).cast("string").alias("organiser"), page.alias("text"))
+    folder = shared_folder(t.spark, "landed-stream")
+    for batch in (0, 1):
+        adapter.land(pages.where(k % 2 == batch), folder, batch)
+    rows = drained(adapter.stream_landed(t.spark, folder, kind="html", row="tr.run", field__title="a", field__date="td.d"), "landed")
+    told = rows.groupBy("organiser").agg(F.count_if(F.col("outcome") == "page").alias("pages"), F.count_if(F.col("outcome") == "event").alias("events"), F.countDistinct("structure_hash").alias("outlines"))
+    return told.withColumn("organiser", F.col("organiser").cast("long"))
+
+
 @query("""
     WITH e AS (SELECT o_custkey AS page_id, o_orderpriority AS title, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN '10:00' END AS st, o_orderkey AS uid FROM orders),
     h AS (SELECT *, st IS NOT NULL AND EXISTS (SELECT 1 FROM e b WHERE b.page_id = e.page_id AND b.title = e.title AND b.st IS NULL AND b.d = e.d + 1) AS ends FROM e)

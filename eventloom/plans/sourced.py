@@ -12,6 +12,7 @@ from ..operators import projection as P
 from ..operators import sinks as O
 from ..sources import adapter
 from ..sources import feeds as R
+from ..sources import states as ST
 from ..storage import shared_folder, written
 from ..streaming.runs import drained
 from .registry import Tables, query
@@ -196,12 +197,27 @@ def state_cache_feed(t: Tables) -> DataFrame:
     return R.resolved_references(nodes, "ref").where("ref is not null").select(F.col("page").alias("p_partkey"), F.col("node_id").alias("id"), "venue")
 
 
-@query("SELECT p_partkey, i AS n, 'E' || p_partkey || '-' || i AS name FROM part, (SELECT unnest([1, 2]) AS i)")
+@query("SELECT p_partkey, i AS n, 'E' || p_partkey || '-' || i AS name, CASE WHEN i = 1 THEN 'x } ' || p_partkey END AS venue FROM part, (SELECT unnest([1, 2]) AS i)")
 def embedded_json_feed(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    page = _text('<script>var a={"x":1};event:{"n":1,"name":"E', k, '-1"}</script><p>event: {"n":2,"name":"E', k, '-2"} {"n":3}</p>')
-    rows = t.part.select("p_partkey", F.explode(R.marked_blobs(page, "event:")).alias("j"))
-    return rows.select("p_partkey", F.get_json_object("j", "$.n").cast("int").alias("n"), F.get_json_object("j", "$.name").alias("name"))
+    page = _text('<script>var a={"x":1};event:{"n":1,"name":"E', k, '-1","venue":{"name":"x } ', k, '"}}</script><p>event: {"n":2,"name":"E', k, '-2"} {"n":3}</p> event:{"n":4')
+    rows = ST.documents(t.part.select("p_partkey", page.alias("html")), "p_partkey", "html", "event:")
+    return rows.select("p_partkey", ST.field("document", "n", "int").alias("n"), ST.field("document", "name").alias("name"), ST.field("document", "venue.name").alias("venue"))
+
+
+@query("""
+    SELECT p_partkey, 'Event:' || p_partkey AS id, 'Run ' || p_partkey AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN 'Inline' ELSE 'Bar ' || p_partkey END AS venue,
+      CASE WHEN p_partkey % 5 > 1 AND p_partkey % 2 = 0 THEN p_brand WHEN p_partkey % 5 = 1 THEN 'Here' END AS city FROM part""")
+def state_references(t: Tables) -> DataFrame:
+    """Events of a page's state with their venues and, a hop further, the venues' cities."""
+    k = F.col("p_partkey")
+    venue = F.when(k % 5 == 0, '{"__ref":"Venue:none"}').when(k % 5 == 1, '{"name":"Inline","city":{"name":"Here"}}').otherwise('{"__ref":"Venue:1"}')
+    city = F.when(k % 2 == 0, '{"__ref":"City:1"}').otherwise("null")
+    state = F.concat(_text('{"Event:', k, '":{"title":"Run ', k, '","venue":'), venue, _text('},"Venue:1":{"name":"Bar ', k, '","city":'), city, F.concat(F.lit('},"City:1":{"name":"'), "p_brand", F.lit('"}}')))
+    page = F.concat(F.lit('<script id="data">window.STATE = {"props":{"note":"a \\" } b","state":'), state, F.lit("}};</script>"))
+    nodes = ST.nodes(ST.documents(t.part.select("p_partkey", page.alias("html")), "p_partkey", "html", "window.STATE"), "p_partkey", "$.props.state")
+    rows = ST.followed(nodes.where("startswith(node_id, 'Event:')"), nodes, "p_partkey", ["venue", "city"])
+    return rows.select("p_partkey", F.col("node_id").alias("id"), ST.field("node", "title").alias("title"), ST.field("venue", "name").alias("venue"), ST.field("city", "name").alias("city"))
 
 
 @query("SELECT p_partkey, DATE '2026-05-01' AS date, 'hill ' || p_partkey AS body FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, DATE '2026-05-03', 'sea' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, DATE '2026-05-01', 'one day' FROM part WHERE p_partkey % 2 = 1")

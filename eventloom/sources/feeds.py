@@ -178,11 +178,6 @@ def resolved_references(nodes: DataFrame, reference: str) -> DataFrame:
     return nodes.join(other, (F.col("page") == F.col("_p")) & (F.col(reference) == F.col("_r")), "left").drop("_p", "_r")
 
 
-def marked_blobs(html: Column, marker: str) -> Column:
-    """JSON objects without nested ones that follow a marker in a page, as an array of texts."""
-    return F.regexp_extract_all(html, F.lit(rf"{marker}\s*(\{{[^{{}}]*\}})"), F.lit(1))
-
-
 def day_sections(rows: DataFrame, key: str, text: str, date: str) -> DataFrame:
     """A row for each "Day N:" section of a text, N days after the first; a text without sections is one row."""
     parts = F.filter(F.split(text, r"(?i)(?=\bDay \d+:)"), lambda x: x.rlike(r"(?i)^Day \d+:"))

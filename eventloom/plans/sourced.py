@@ -124,6 +124,18 @@ def html_page_titles(t: Tables) -> DataFrame:
     return R.parsed(t.pages, "page_id", "html", R.html_rows("article", {"title": "h1"}))[0].where("title is not null").select("page_id", "title")
 
 
+_SHOWN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""
+    WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS item, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), 1) AS pos FROM pages)
+    SELECT page_id, {_SHOWN.format("regexp_extract(item, '>([^<]+)</a>', 1)")} AS title, {_SHOWN.format("regexp_extract(item, 'href=\"([^\"]*)\"', 1)")} AS url FROM l WHERE pos % 2 = 1""")
+def html_selectors(t: Tables) -> DataFrame:
+    """Every other link of the navigation: a container, rows by their place, and a link that is a child of its row."""
+    parse = R.html_rows("ul > li:nth-child(2n+1)", {"title": "> a", "url": "a[href^='/']@href"}, container="body > nav")
+    return R.parsed(t.pages, "page_id", "html", parse)[0].select("page_id", "title", "url")
+
+
 @query("SELECT count(*) AS pages, count(DISTINCT p_partkey % 4) AS outlines FROM part")
 def html_structure_hash(t: Tables) -> DataFrame:
     k = F.col("p_partkey")

@@ -35,12 +35,12 @@ ARROW = pa.schema([(c, pa.int64() if c == "page_id" else pa.string()) for c in C
 
 
 def parser(options: dict[str, str]) -> tuple[Callable[[str], list[dict]], bool]:
-    """The parser that ``options`` name, and whether pages have an outline: ``kind`` is ical, or html with ``row`` and ``field.<name>`` selectors."""
+    """The parser that ``options`` name, and whether pages have an outline: ``kind`` is ical, or html with ``row``, ``container`` and ``field.<name>`` selectors."""
     if options.get("kind", "ical") == "ical":
         return ical_events, False
     # option names arrive in lower case
     fields = {f: options[f"field.{f}"] for f in FIELDS if f"field.{f}" in options}
-    return html_rows(options["row"], fields), True
+    return html_rows(options["row"], fields, options.get("container")), True
 
 
 def outcomes(page_id: int, organiser: str, text: str | None, parse: Callable[[str], list[dict]], outlined: bool) -> list[dict]:

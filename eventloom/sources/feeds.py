@@ -4,19 +4,19 @@ of events and sends what it can't read to ``errors`` instead of failing the run.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selectors import page_rows
+
 EVENT = "uid string, title string, date string, start_time string, location string, url string, description string"
 FIELDS = [f.split()[0] for f in EVENT.split(", ")]
 
 
 def parsed(documents: DataFrame, key: str, text: str, parse: Callable[[str], list[dict]]) -> tuple[DataFrame, DataFrame]:
-    """Events and errors (key, error) of a text column, a few texts at a time. Every key is read once: both tables come from one pass."""
+    """Events and errors (key, error) of a text column, a few texts at a time. Each of the two runs the parser for itself; :mod:`~.adapter` gives both, and more, of one parse."""
     kind = documents.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,61 +102,12 @@ def rss_items(xml: Column) -> Column:
     return F.transform(items, item)
 
 
-class _Select(HTMLParser):
-    """Texts of configured columns (tag or tag.class or .class) inside each row element of a page."""
-
-    VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-
-    def __init__(self, row: str, columns: dict[str, str]):
-        super().__init__(convert_charrefs=True)
-        self.row, self.columns, self.depth = row, columns, 0
-        self.rows: list[dict[str, str]] = []
-        self.row_depth, self.open = None, []
-
-    @staticmethod
-    def fits(selector: str, tag: str, classes: Sequence[str]) -> bool:
-        name, _, cls = selector.partition(".")
-        return (not name or name == tag) and (not cls or cls in classes)
-
-    def handle_starttag(self, tag, attrs):
-        attributes = dict(attrs)
-        classes = (attributes.get("class") or "").split()
-        void = tag in self.VOID
-        if not void:
-            self.depth += 1
-        if self.row_depth is None and self.fits(self.row, tag, classes) and not void:
-            self.row_depth = self.depth
-            self.rows.append({})
-        elif self.row_depth is not None:
-            for field, selector in self.columns.items():
-                css, _, attribute = selector.partition("@")
-                if self.fits(css, tag, classes) and field not in self.rows[-1]:
-                    if attribute:
-                        self.rows[-1][field] = attributes.get(attribute) or ""
-                    elif not void:
-                        self.rows[-1][field] = ""
-                        self.open.append((field, self.depth))
-
-    def handle_endtag(self, tag):
-        if tag in self.VOID:
-            return
-        self.open = [(f, d) for f, d in self.open if d < self.depth]
-        if self.row_depth is not None and self.depth <= self.row_depth:
-            self.row_depth = None
-        self.depth = max(0, self.depth - 1)
-
-    def handle_data(self, data):
-        for field, _ in self.open:
-            self.rows[-1][field] += data
-
-
-def html_rows(row: str, columns: dict[str, str]) -> Callable[[str], list[dict]]:
-    """Parser of pages by configuration: a selector of row elements, and one of each field within them ("a@href" for an attribute)."""
+def html_rows(row: str, columns: dict[str, str], container: str | None = None) -> Callable[[str], list[dict]]:
+    """Parser of pages by configuration: selectors of the container, of row elements and of each field within them ("a@href" for an attribute)."""
+    select = page_rows(row, columns, container)
 
     def parse(page: str) -> list[dict]:
-        select = _Select(row, columns)
-        select.feed(page)
-        return [{f: " ".join(unescape(v).split()) or None for f, v in r.items()} for r in select.rows if any(v.strip() for v in r.values())]
+        return [{f: " ".join(v.split()) or None for f, v in r.items()} for r in select(page) if any(v.strip() for v in r.values())]
 
     return parse
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import dates as D
 from ..functions import geo as G
+from ..functions import phrases as PH
 from ..functions import text as X
 from ..operators import projection as P
 from .registry import ORACLES, QUERIES, Tables
@@ -155,6 +156,13 @@ cases("html_to_text", X.strip_tags, [
 cases("dates_parsed", D.parse_date, [
     ("2026-03-05", "2026-03-05"), ("3/5/2026", "2026-03-05"), ("March 5, 2026", "2026-03-05"), ("Thursday, March 5th, 2026", "2026-03-05"), ("Mar 5, 2026", "2026-03-05"), ("5 March 2026", "2026-03-05"), ("2026-02-30", None), ("someday {k}", None), (None, None), ("3/5/26", "2026-03-05"),
 ])
+cases("dates_spoken", lambda t, r, day_first, forward: PH.spoken_date(t, r.cast("date"), day_first == "d", forward == "f"), [
+    ("5 Jun 26", "2026-03-04", "d", "", "2026-06-05"), ("6-Jun-49", "2026-03-04", "m", "", "2049-06-06"), ("6 Jun 50", "2026-03-04", "m", "", "1950-06-06"), ("31 Jun 26", "2026-03-04", "d", "", None), ("Friday 6th of March 2026 no {k}", "2025-01-01", "d", "", "2026-03-06"), ("August 7th, 2026", "2026-03-04", "m", "", "2026-08-07"),
+    ("05/06/2026", "2026-03-04", "m", "", "2026-05-06"), ("05/06/2026", "2026-03-04", "d", "", "2026-06-05"), ("25/06/2026", "2026-03-04", "m", "", "2026-06-25"), ("2026-02-15T14:00:00-06:00", "2026-03-04", "m", "", "2026-02-15"), ("11-20: Harvest run {k}", "2026-01-05", "m", "", "2025-11-20"), ("11-20: Harvest run {k}", "2026-01-05", "m", "f", "2026-11-20"),
+    ("4-7-26", "2026-01-01", "m", "", "2026-04-07"), ("2 January", "2026-12-10", "d", "f", "2027-01-02"), ("2 January", "2026-12-10", "d", "", "2027-01-02"), ("2 April", "2026-06-10", "d", "", "2026-04-02"), ("see you next Saturday", "2026-05-06", "m", "", "2026-05-16"), ("this Saturday", "2026-05-06", "m", "", "2026-05-09"),
+    ("last Saturday", "2026-05-09", "m", "", "2026-05-02"), ("Saturday at 7pm", "2026-05-06", "m", "", "2026-05-09"), ("Monday", "2026-05-06", "m", "", "2026-05-04"), ("Monday", "2026-05-06", "m", "f", "2026-05-11"), ("in two weeks", "2026-05-06", "m", "", "2026-05-20"), ("tomorrow", "2026-12-31", "m", "", "2027-01-01"),
+    ("three days ago, at {k}", "2026-03-02", "m", "", "2026-02-27"), ("next month", "2026-01-31", "m", "", "2026-02-28"), ("someday {k}", "2026-05-06", "m", "", None), ("29 February", "2026-05-06", "d", "f", "2028-02-29"), (None, "2026-05-06", "m", "", None), ("marathon of {k} mayors", "2026-05-06", "m", "", None),
+])
 cases("starts_in_utc", lambda d, t, z: F.date_format(D.start_utc(d.cast("date"), t, z), "yyyy-MM-dd HH:mm"), [
     ("2026-01-15", "19:00", "America/New_York", "2026-01-16 00:00"), ("2026-07-15", "19:00", "America/New_York", "2026-07-15 23:00"), ("2026-07-15", "9:30", "Europe/Berlin", "2026-07-15 07:30"), ("2026-07-15", None, "Europe/Berlin", None), ("2026-07-15", "25:00", "UTC", None),
 ])

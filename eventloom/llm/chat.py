@@ -33,8 +33,8 @@ def turn_table(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     to the shared folder. Texts are shuffled once for this; prefixes are computed from the other columns."""
     turns = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(2**62))))
-    # the same partitioning serves the removal of repeats and the numbering
-    turns = turns.repartition("conv", "chunk").dropDuplicates()
+    # repeats go first and by their whole content, so very many of one turn are no single task's work
+    turns = turns.dropDuplicates()
     place = F.row_number().over(Window.partitionBy("conv", "chunk").orderBy("turn", "role", "text"))
     return stored(turns.withColumns({"place": place, "c1": _turn_hash(11), "c2": _turn_hash(29)}), "chat-turns")
 

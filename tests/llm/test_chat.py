@@ -42,3 +42,8 @@ def test_equals_brute_force(spark, monkeypatch, chunk):
 
 def test_empty_table(spark):
     assert not found(spark, [])
+
+
+def test_long_texts_and_many_repeats(spark):
+    rows = [(1, 0, "user", "x" * 300_000), (2, 0, "user", "x" * 300_000), (2, 1, "bot", "y")] + [(3, 0, "user", "again")] * 500
+    assert found(spark, rows) == brute(rows)

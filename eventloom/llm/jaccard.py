@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, hashed_words, rows_of, stored, windows
@@ -403,7 +403,7 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
         rest = open_regions.where(F.col("n_out") <= LEAF)
         done = rest if done is None else done.unionByName(rest)
         # cells that hardly shrink are left to the blocks
-        sized = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("region")))
+        sized = cells.join(cells.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region")
         stuck = F.col("n") > SHRINKS * F.col("parent")
         own = ["region", "pivot", "node", "dist"]
         done = done.unionByName(stored(_left_over(_labelled(sized.where(stuck).select(own), links), percent).select(done.columns), "jaccard-stuck"))

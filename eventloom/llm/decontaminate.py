@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -180,8 +181,7 @@ class Searcher:
     def _advance(self, cursors: list[list[int]], n: int, target: int) -> None:
         for c in cursors[:n]:
             own = self.lists[c[2]][0]
-            while c[1] < len(own) and own[c[1]] < target:
-                c[1] += 1
+            c[1] = bisect_left(own, target, c[1])
             c[0] = own[c[1]] if c[1] < len(own) else -1
         cursors[:] = [c for c in cursors if c[0] >= 0]
 

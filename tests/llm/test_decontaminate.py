@@ -80,3 +80,12 @@ def test_query_finds_long_items_at_every_offset(spark):
     found = {(r.doc_id, r.item_id) for r in d.leaks(documents, spark.createDataFrame([*items, *long.items()], "item_id long, text string")).collect()}
     assert {(k, i) for k, (i, _) in enumerate(copies)} == {x for x in found if x[0] < 1000}
     assert {(1000 + k, j) for k, t in enumerate(texts) for j, x in items if t and x.upper() in t} <= found
+
+
+def test_repeated_items_and_documents(spark):
+    items, _ = corpus()
+    text = items[3][1]
+    bench = spark.createDataFrame([(1, text), (1, text), (2, text), (3, None), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "before " + text), (7, "before " + text), (8, None), (9, "nothing of it")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in d.leaks(docs, bench).collect())
+    assert got == sorted((doc, item) for doc in (7, 7) for item in (1, 1, 2))

@@ -29,12 +29,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, stored
 
 FEATURE_BITS = 20
+MAX_TRAIN_BYTES = 256 << 20  # of features of rated documents
 MIN_ROWS = 10  # training documents that a feature needs for a weight
 SURE = 8.0  # standard errors from which a feature counts in full
 SLICE = 1 << 20  # (document, feature) pairs in a step of the gradient, which bounds the driver's memory
@@ -163,14 +164,17 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", F.when(F.col("q") < 1, 0).when(F.col("x") > 0, 1).otherwise(2).alias("grade"))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 12_000, text_col: str = "text") -> OrdinalModel:
-    """Fits on the features of at most ``max_train_rows`` rated documents; features are extracted
-    on the executors, and the driver holds ids of features only."""
+def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 12_000, text_col: str = "text", max_train_bytes: int = MAX_TRAIN_BYTES) -> OrdinalModel:
+    """Fits on the features of at most ``max_train_rows`` rated documents, in the order of their hashed ids as far as ``max_train_bytes`` of
+    features go; features are extracted on the executors, and the driver holds ids of features only."""
     # a limit of max_train_rows rows of two numbers: the broadcast is bounded
     rated = F.broadcast(grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows))
     extract = F.pandas_udf(lambda s: pd.Series([features(t).tobytes() for t in s]), "binary")
     chosen = documents.select("doc_id", F.col(text_col).alias("text")).join(rated, "doc_id")
-    got = chosen.select("doc_id", "grade", extract("text").alias("x")).groupBy("doc_id", "grade").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
+    told = stored(chosen.select("doc_id", "grade", extract("text").alias("x")).groupBy("doc_id", "grade").agg(F.min("x").alias("x")), "ordinal-features")
+    # the sample is bounded in bytes as well: a window over its bounded rows
+    upto = F.sum(F.octet_length("x").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = told.withColumn("upto", upto).where(F.col("upto") <= max_train_bytes).select("doc_id", "grade", "x").toPandas().sort_values("doc_id")
     return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["grade"].to_numpy(np.int64))
 
 

@@ -12,6 +12,9 @@ share the whole key, such as repeats of one row, are split by 16 bits of a hash
 A node is the run of shards that it still has to be split to, so the tree lives in the rows; the driver
 sees a row for each node of a level while these are at most ``FEW_NODES``, and none of them beyond.
 
+Groups of equal texts aren't kept whole: an id is one of the dimensions, so a group is cut wherever its ids are. That is
+what keeps the law where one group holds a third of all rows; the README says how many groups it cuts.
+
 Defined results: a null text has no bytes and so size 1 and crc 0; nulls in a dimension sort
 first; rows that repeat an id and a text are split like others, and which of them goes where is open; fewer rows than
 shards leave shards empty; an empty table gives no rows; other columns are ignored.

@@ -47,3 +47,10 @@ def test_layout_and_damage(spark, tmp_path):
         warc.parse_record(good.replace(b"Content-Length: ", b"Content-Length: 1", 2))
     with pytest.raises(warc.WarcError):
         warc.parse_record(good.replace(b"WARC-Date", b"WARC-Data"))
+
+
+def test_repeated_rows_and_equal_ids(spark):
+    body = "<p>" + "same " * 40
+    pages = spark.createDataFrame([(5, "u", body), (5, "u", body), (3, "v", body), (9, "w", "small"), (9, "w", "small"), (None, "x", None)], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.archive_pages(pages).collect())
+    assert got == [(0, "response", 0), (3, "response", 0), (5, "revisit", 3), (5, "revisit", 3), (9, "response", 0), (9, "response", 0)]

@@ -212,14 +212,19 @@ def spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def candidate_spans(model: Model, symbols: list[int]) -> list[tuple[int, int, int]]:
     """(start, middle, end) of every merge that some order of merges can offer."""
     at = {(i, i + 1): s for i, s in enumerate(symbols) if s >= 0}
-    out = []
-    for width in range(2, len(symbols) + 1):
-        for start in range(len(symbols) - width + 1):
-            for middle in range(start + 1, start + width):
-                a, b = at.get((start, middle)), at.get((middle, start + width))
-                if a is not None and b is not None and (hit := model.pairs.get(a << 32 | b)):
-                    at[start, start + width] = hit[0]
-                    out.append((start, middle, start + width))
+    begun: list[list[tuple[int, int]]] = [[(i + 1, s)] if s >= 0 else [] for i, s in enumerate(symbols)]  # (end, symbol) of the spans from a place
+    out, n, pairs = [], len(symbols), model.pairs
+    for width in range(2, n + 1):
+        for start in range(n - width + 1):
+            end, found = start + width, None
+            for middle, a in begun[start]:
+                b = at.get((middle, end))
+                if b is not None and (hit := pairs.get(a << 32 | b)):
+                    found = hit[0]
+                    out.append((start, middle, end))
+            if found is not None:
+                at[start, end] = found
+                begun[start].append((end, found))
     return out
 
 
@@ -254,6 +259,28 @@ class Encoder:
         self.first, self.many = np.empty(0, np.int64), np.empty(0, np.int64)  # its candidates; -1 if not kept
         self.spans, self.n_spans = np.empty((3, 1 << 12), np.int64), 0
 
+    def _forget_rare(self) -> None:
+        """Forgets segments met seldom, and encodings where they are too many; the candidates of common segments stay."""
+        keep = self.seen >= OFTEN
+        if keep.sum() > self.LIMIT // 2:
+            self._forget()
+            return
+        code = np.cumsum(keep) - 1
+        names, known = self.known.names, _Codes()
+        for i in np.flatnonzero(keep).tolist():
+            known[names[i]]
+        self.known = known
+        self.hashes, self.seen, self.first, self.many = (x[keep] for x in (self.hashes, self.seen, self.first, self.many))
+        states, slots = np.array(self.slots.names, np.int64), _Codes()
+        own = np.flatnonzero(keep[states >> MOST]) if len(states) <= self.KEPT else states[:0]
+        for state in (code[states[own] >> MOST] << MOST | states[own] & ((1 << MOST) - 1)).tolist():
+            slots[state]
+        begin, sizes = self.begin[own], self.sizes[own]
+        self.slots, self.sizes, self.used = slots, sizes, int(sizes.sum())
+        self.begin = np.cumsum(sizes) - sizes
+        whole = self.flat[np.repeat(begin - self.begin, sizes) + np.arange(self.used)]
+        self.flat = np.append(whole, np.empty(1 << 16, np.int32))
+
     def _meet(self, codes: np.ndarray) -> None:
         """Notes new segments, and the candidates of those now met often."""
         names = self.known.names
@@ -367,7 +394,7 @@ class Encoder:
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         whole = self.flat[np.repeat(begin, sizes) + within]
         if len(self.known.names) > self.LIMIT or len(self.slots.names) > self.KEPT:
-            self._forget()
+            self._forget_rare()
         ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), counts), sizes, len(texts)).astype(np.int64))
         return np.split(whole, ends[:-1])
 

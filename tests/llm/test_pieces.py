@@ -78,3 +78,14 @@ def test_kept_encodings_equal_the_agenda(model):
                 one = encoder.segment_keys(np.array([p.xxhash.xxh64_intdigest(s)], np.uint64), variant)
                 want += model.finish(p.agenda_merge(model, model.symbol_ids(s), int(one[0]), 0.2))
             assert ids.tolist() == want
+
+
+@pytest.mark.parametrize("limit, kept", [(40, 10_000), (10_000, 30), (25, 20), (4, 4)])
+def test_forgetting_changes_nothing(model, limit, kept):
+    own = texts(300, 6) * 2
+    ids = list(range(len(own)))
+    whole, small = p.Encoder(model, 0.3, 5), p.Encoder(model, 0.3, 5)
+    small.LIMIT, small.KEPT = limit, kept
+    for i in range(0, len(own), 20):
+        a, b = (list(e.encode(ids[i : i + 20], own[i : i + 20])) for e in (whole, small))
+        assert all(x.tolist() == y.tolist() for x, y in zip(a, b, strict=True))

@@ -106,6 +106,6 @@ def test_query_equals_brute_force(spark):
 def test_the_sample_is_bounded_in_bytes(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(50)) + (" bad" if i % 2 else " good")) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    whole, few = o.train(docs, labels), o.train(docs, labels, max_train_bytes=1500)
+    whole, few = o.train(docs, labels), o.train(docs, labels, max_train_bytes=700)
     assert len(whole.ids) and few.thresholds.tolist() != whole.thresholds.tolist()
     assert not len(o.train(docs, labels, max_train_bytes=0).ids)

@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
 from ..streaming import runs as S
+from ..streaming import timed
 from .registry import Tables, query
 
 
@@ -71,6 +73,29 @@ def stream_alerts(t: Tables) -> DataFrame:
     return S.latest(S.drained(S.alerts(rows, 86400), "alerts", "update"), ["source_id"]).select("source_id", "status", "opened", "reopened")
 
 
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id % 60 AS source_id, ts, event_type, event_id, row_number() OVER (PARTITION BY user_id % 60 ORDER BY ts, event_id) AS k FROM events),
+    w AS (SELECT source_id, CAST(0 AS BIGINT) AS k, 'NONE' AS status, 0 AS opened, 0 AS reopened, CAST(NULL AS TIMESTAMP) AS until FROM (SELECT DISTINCT source_id FROM e)
+      UNION ALL SELECT source_id, k, CASE WHEN event_type = 'error' AND status IN ('NONE', 'RESOLVED') THEN 'OPEN' WHEN event_type = 'click' AND status = 'OPEN' THEN 'ACKNOWLEDGED' WHEN event_type = 'signup' AND status IN ('OPEN', 'ACKNOWLEDGED') THEN 'SNOOZED' WHEN event_type = 'view' AND status IN ('OPEN', 'ACKNOWLEDGED') THEN 'RESOLVED' ELSE status END,
+        opened + CASE WHEN event_type = 'error' AND status IN ('NONE', 'RESOLVED') THEN 1 ELSE 0 END, reopened, CASE WHEN event_type = 'signup' AND status IN ('OPEN', 'ACKNOWLEDGED') THEN ts + INTERVAL 2 DAY WHEN status = 'SNOOZED' THEN until END
+      FROM (SELECT w.source_id, e.k, e.ts, event_type, CASE WHEN status = 'SNOOZED' AND until <= ts THEN 'OPEN' ELSE status END AS status, opened, reopened + CASE WHEN status = 'SNOOZED' AND until <= ts THEN 1 ELSE 0 END AS reopened, until FROM w JOIN e ON e.source_id = w.source_id AND e.k = w.k + 1)),
+    z AS (SELECT source_id, arg_max(status, k) AS status, max(opened) AS opened, arg_max(reopened, k) AS reopened, arg_max(coalesce(until, TIMESTAMP '9999-01-01'), k) AS until FROM w GROUP BY 1), m AS (SELECT max(ts) - INTERVAL 21 DAY AS mark FROM events)
+    SELECT source_id, CASE WHEN status = 'SNOOZED' AND until <= mark THEN 'OPEN' ELSE status END AS status, CAST(opened AS BIGINT) AS opened, CAST(reopened + CASE WHEN status = 'SNOOZED' AND until <= mark THEN 1 ELSE 0 END AS BIGINT) AS reopened FROM z, m""")
+def stream_timed_alerts(t: Tables) -> DataFrame:
+    """Three landings in order of time, of which each fifth row comes one landing late."""
+    kind = F.col("event_type")
+    action = F.when(kind == "error", "raised").when(kind == "click", "ack").when(kind == "signup", "snooze").when(kind == "view", "cleared").otherwise("none")
+    rows = t.events.select((F.col("user_id") % 60).alias("source_id"), F.lit("health").alias("type"), F.col("ts").cast("timestamp").alias("at"), action.alias("action"), F.col("event_id").alias("ordinal"))
+    landing = F.least(F.lit(2), F.floor((F.dayofmonth("at") - 1) / 10)) + (F.col("ordinal") % 5 == 0).cast("int")
+    folder = shared_folder(t.spark, "timed-landings")
+    for i in range(4):
+        rows.where(landing == i).coalesce(1).write.mode("append").parquet(folder)
+    stream = S.landed(t.spark, folder, rows.schema, 1)
+    with timed.stores(t.spark):
+        found = S.drained(timed.timed_alerts(stream, 2 * 86400, "21 days", 10**9), "timed-alerts", "update")
+    return S.latest(found.drop("at", "reason"), ["source_id", "type"]).select("source_id", "status", "opened", "reopened")
+
+
 @query("""
     WITH e AS (SELECT user_id AS issue_id, ts, event_id, event_type, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ep FROM events), c AS (SELECT issue_id, ep, count(*) FILTER (event_type IN ('error', 'view')) AS n FROM e GROUP BY 1, 2)
     SELECT issue_id, arg_max(n, ep) AS count, count(*) FILTER (n >= 5) AS escalations FROM c GROUP BY 1""")

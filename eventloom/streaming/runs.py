@@ -53,22 +53,13 @@ def unique_within(rows: DataFrame, key: Sequence[str], at: str, delay: str) -> D
 
 
 def insert_once(rows: DataFrame, key: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    """Appends rows whose key the sink doesn't have yet. Each batch has a folder of its own, which a repeated batch overwrites, so
-    a restart after a failure adds nothing twice."""
-    from ..operators.windows import pick_best
+    """Appends rows whose key the sink doesn't have yet, exactly once over restarts; a batch reads filters and the buckets that may
+    hold its keys (:class:`~.keyed.KeyedSink`), not what earlier batches left."""
+    from .keyed import KeyedSink
 
     spark = rows.sparkSession
-    folder, checkpoint, schema = shared_folder(spark, f"{name}-sink"), shared_folder(spark, f"{name}-progress"), rows.schema
-
-    def append(batch: DataFrame, i: int) -> None:
-        first = pick_best(batch, list(key), list(order))
-        if i > 0:
-            earlier = batch.sparkSession.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("basePath", folder).parquet(folder).where(F.col("batch") < i)
-            first = first.join(earlier.select(*key), list(key), "left_anti")
-        first.write.mode("overwrite").parquet(f"{folder}/batch={i}")
-
-    rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).schema(rows.schema if "batch" not in schema.names else schema).parquet(folder).select(*rows.columns[: len(rows.columns)])
+    sink = KeyedSink(spark, shared_folder(spark, f"{name}-sink"), rows.schema, key, order)
+    return sink.drain(rows, shared_folder(spark, f"{name}-progress"))
 
 
 def matured_days(rows: DataFrame, at: str, delay: str, *aggregates: Column) -> DataFrame:

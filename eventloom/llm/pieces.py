@@ -26,6 +26,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -229,15 +230,21 @@ def candidate_spans(model: Model, symbols: list[int]) -> list[tuple[int, int, in
 
 
 class _Codes(dict):
-    """Segment -> number in order of first use."""
+    """Key -> number in order of first use; all keys of a batch at once."""
 
     def __init__(self):
-        self.names: list[str] = []
-
-    def __missing__(self, segment: str) -> int:
-        value = self[segment] = len(self.names)
-        self.names.append(segment)
-        return value
+        self.names: list = []
+
+    def of(self, keys: list) -> np.ndarray:
+        out = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = out < 0
+        if missing.any():
+            unknown = list(compress(keys, missing.tolist()))
+            new = list(dict.fromkeys(unknown))
+            self.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
+            self.names += new
+            out[missing] = np.fromiter(map(self.__getitem__, unknown), np.int64, len(unknown))
+        return out
 
 
 class Encoder:
@@ -267,14 +274,12 @@ class Encoder:
             return
         code = np.cumsum(keep) - 1
         names, known = self.known.names, _Codes()
-        for i in np.flatnonzero(keep).tolist():
-            known[names[i]]
+        known.of(list(compress(names, keep.tolist())))
         self.known = known
         self.hashes, self.seen, self.first, self.many = (x[keep] for x in (self.hashes, self.seen, self.first, self.many))
         states, slots = np.array(self.slots.names, np.int64), _Codes()
         own = np.flatnonzero(keep[states >> MOST]) if len(states) <= self.KEPT else states[:0]
-        for state in (code[states[own] >> MOST] << MOST | states[own] & ((1 << MOST) - 1)).tolist():
-            slots[state]
+        slots.of((code[states[own] >> MOST] << MOST | states[own] & ((1 << MOST) - 1)).tolist())
         begin, sizes = self.begin[own], self.sizes[own]
         self.slots, self.sizes, self.used = slots, sizes, int(sizes.sum())
         self.begin = np.cumsum(sizes) - sizes
@@ -366,7 +371,7 @@ class Encoder:
         if not segments:
             return [np.empty(0, np.int32) for _ in texts]
         counts = np.array(counts)
-        codes = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        codes = self.known.of(segments)
         key = np.array([xxhash.xxh64_intdigest(repr(i), self.seed) for i in ids], np.uint64)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
         variant = mixed(np.repeat(key, counts) + place.astype(np.uint64) * MUL)
@@ -377,7 +382,7 @@ class Encoder:
         often, single = np.flatnonzero(self.first[codes] >= 0), np.flatnonzero(self.first[codes] < 0)
         states, example, state = np.unique(codes[often] << MOST | self._skipped(codes[often], keys[often]), return_index=True, return_inverse=True)
         n_known = len(self.slots.names)
-        slot = np.fromiter(map(self.slots.__getitem__, states.tolist()), np.int64, len(states))
+        slot = self.slots.of(states.tolist())
         rows = np.concatenate([often[example[slot >= n_known]], single])
         if len(rows):
             found, starts = self._encode_keys([segments[i] for i in rows.tolist()], keys[rows])

@@ -13,6 +13,7 @@ from ..operators import filters as L
 from ..operators import linking as K
 from ..operators import matching as M
 from ..operators import merging as G
+from ..operators import rules as RT
 from ..operators import series as S
 from ..operators import windows as W
 from .registry import Tables, query
@@ -54,6 +55,18 @@ def pattern_routing(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(F.array_sort(K.routed_tags(t.part, "p_name", rules)), ",").alias("tags"))
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 AND contains(lower(o_orderpriority), 'urgent') THEN 'u,x' WHEN contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderpriority), 'low') THEN 'hl'
+      WHEN o_custkey IN (SELECT p_partkey FROM part) THEN 't' || o_custkey ELSE '' END AS tags FROM orders""")
+def rule_table(t: Tables) -> DataFrame:
+    """A rule for each part, and lists of tags for words, of one source and of all."""
+    k = F.col("p_partkey")
+    rows = t.orders.select("o_orderkey", (F.col("o_custkey") % 3).cast("long").alias("source_id"), F.concat("o_orderpriority", F.lit(" for "), F.col("o_custkey").cast("string")).alias("text"))
+    own = t.part.select(F.lit(None).cast("long").alias("source_id"), k.cast("long").alias("ordinal"), F.concat(F.lit(r"\bfor "), k.cast("string"), F.lit("$")).alias("pattern"), F.lit(False).alias("many"), F.array(F.concat(F.lit("t"), k.cast("string"))).alias("tags"))
+    lists = t.spark.createDataFrame([(0, -1, "urgent", True, ["u", "x"]), (None, 5, r"\b(?:high|low)\b", True, ["hl"])], own.schema)
+    return RT.routed(rows, own.unionByName(lists)).select("o_orderkey", F.array_join("tags", ",").alias("tags"))
+
+
 _IN = "SELECT l_orderkey * 1000 + l_partkey % 1000 AS ordinal, l_suppkey % 30 AS kennel_id, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, 's' || CAST(l_partkey % 7 AS VARCHAR) AS source_url, CASE WHEN l_linenumber > 2 THEN CAST(l_quantity AS INT) % 6 END AS run_number, CASE WHEN l_tax > 0.02 THEN '1' || CAST(l_linenumber % 4 AS VARCHAR) || ':00' END AS start_time, l_returnflag AS title FROM lineitem"
 _EX = "SELECT o_orderkey AS event_id, o_custkey % 30 AS kennel_id, CAST(date_trunc('week', o_orderdate) AS DATE) AS date, 's' || CAST(o_orderkey % 7 AS VARCHAR) AS source_url, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 6 END AS run_number, CASE WHEN o_orderkey % 5 > 0 THEN '1' || CAST(o_orderkey % 4 AS VARCHAR) || ':00' END AS start_time, CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'R' ELSE 'X' END AS title FROM orders"
 

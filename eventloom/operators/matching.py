@@ -72,20 +72,41 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: Sequence[str], sco
     return pick_best(rows.join(candidates, list(block)).withColumn("score", score).where(F.col("score") >= least), key, [F.desc("score"), *order])
 
 
+DENSE_PLACES = 4096
+FINEST = 64
+
+
 def radius_join(stops: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:
     """Places within a radius of each stop (stop_id, lat, lng). Both sides meet by grid cells of the radius's size: a
-    stop goes to the cells that its bounding box touches. Longitude cells wrap at the date line."""
+    stop goes to the cells that its bounding box touches. Longitude cells wrap at the date line. A cell with more than ``DENSE_PLACES`` places
+    is split, up to ``FINEST`` times each way, and a stop goes to the parts that its box touches, so a city isn't one key."""
     cell = radius_km / G.KM_PER_DEGREE
     columns = max(1, int(360 // cell))
-    row = lambda c: F.floor((c + 90) / cell)
-    col = lambda c: F.pmod(F.floor((c + 180) / 360 * columns), F.lit(columns))
-    box = G.bounding_box(F.col("lat"), F.col("lng"), radius_km)
-    lo, hi = F.floor((box["min_lng"] + 180) / 360 * columns), F.floor((box["max_lng"] + 180) / 360 * columns)
-    span = F.least(hi - lo, F.lit(columns - 1))
-    cells = stops.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn("_r", F.explode(F.sequence(row(box["min_lat"]), row(box["max_lat"])))).withColumn("_k", F.explode(F.sequence(lo, lo + span))).withColumn("_c", F.pmod("_k", F.lit(columns))).drop("_k")
-    own = places.withColumns({"_r": row(F.col("latitude")), "_c": col(F.col("longitude"))})
-    near = cells.join(own, ["_r", "_c"]).withColumn("distance_km", G.haversine_km(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")))
-    return near.where(F.col("distance_km") <= radius_km).drop("_r", "_c").withColumn("distance_tier", G.distance_tier(F.col("distance_km")))
+    y = lambda c: (c + 90) / cell
+    x = lambda c: (c + 180) / 360 * columns
+    # the whole circle: near a pole it has all longitudes
+    high = radius_km / G.KM_PER_DEGREE
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_km / 6371.0)) / F.cos(F.radians("lat"))))) + 1e-6
+    wide = F.when(F.abs("lat") + high >= 90, 180.0).otherwise(wide)
+    box = {"min_lat": F.col("lat") - high, "max_lat": F.col("lat") + high, "min_lng": F.col("lng") - wide, "max_lng": F.col("lng") + wide}
+    known = stops.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumns({"_y0": y(box["min_lat"]), "_y1": y(box["max_lat"]), "_x0": x(box["min_lng"]), "_x1": x(box["max_lng"])})
+    span = F.least(F.floor("_x1") - F.floor("_x0"), F.lit(columns - 1))
+    cells = known.withColumn("_r", F.explode(F.sequence(F.floor("_y0"), F.floor("_y1")))).withColumn("_k", F.explode(F.sequence(F.floor("_x0"), F.floor("_x0") + span))).withColumn("_c", F.pmod("_k", F.lit(columns)))
+    own = places.withColumns({"_y": y(F.col("latitude")), "_x": x(F.col("longitude"))}).withColumns({"_r": F.floor("_y"), "_c": F.pmod(F.floor("_x"), F.lit(columns))})
+    dense = own.groupBy("_r", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DENSE_PLACES)
+    dense = dense.select("_r", "_c", F.least(F.lit(FINEST), F.ceil(F.sqrt(F.col("_n") / DENSE_PLACES))).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    within = lambda c: F.least(parts - 1, F.greatest(F.lit(0), F.floor(c * parts))).cast("int")
+    own = own.join(dense, ["_r", "_c"], "left").withColumns({"_pr": within(F.col("_y") - F.floor("_y")), "_pc": within(F.col("_x") - F.floor("_x"))}).drop("_y", "_x", "_parts")
+    # a box that goes round the earth touches all parts of its columns
+    around = F.floor("_x1") - F.floor("_x0") > columns - 1
+    first = F.when(around, 0).otherwise(within(F.col("_x0") - F.col("_k")))
+    last = F.when(around, parts - 1).otherwise(within(F.col("_x1") - F.col("_k")))
+    cells = cells.join(dense, ["_r", "_c"], "left").withColumn("_pr", F.explode(F.sequence(within(F.col("_y0") - F.col("_r")), within(F.col("_y1") - F.col("_r"))))).withColumn("_pc", F.explode(F.sequence(first, last)))
+    cells = cells.drop("_y0", "_y1", "_x0", "_x1", "_k", "_parts")
+    key = ["_r", "_c", "_pr", "_pc"]
+    near = cells.join(own, key).withColumn("distance_km", G.haversine_km(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude")))
+    return near.where(F.col("distance_km") <= radius_km).drop(*key).withColumn("distance_tier", G.distance_tier(F.col("distance_km")))
 
 
 def asof_latest(refs: DataFrame, rows: DataFrame, key: str, ref_date: str, row_date: str) -> DataFrame:

@@ -149,9 +149,11 @@ def merged_bridge(bridge: DataFrame, mapping: DataFrame, key: str, other: str, p
 
 def window_hits(snapshots: DataFrame, events: DataFrame, days: int) -> DataFrame:
     """Snapshots with an event of one of the sources that were frozen with them, at most ``days`` days away. ``snapshots``: snapshot_id, kennel_id, date, sources
-    (array); ``events``: kennel_id, e_date, e_sources (array)."""
-    same = snapshots.join(events.withColumnRenamed("e_date", "date"), ["kennel_id", "date"], "inner")
-    near = interval_join(snapshots, events, ["kennel_id"], "date", "e_date", days)
-    hit = lambda df: df.where(F.arrays_overlap("sources", "e_sources")).select("snapshot_id")
+    (array); ``events``: kennel_id, e_date, e_sources (array). What a snapshot asks for decides, not its id, so rows that share an id are judged each for itself."""
+    ask = ["kennel_id", "date", "sources"]
+    asked = snapshots.select(*ask).distinct()
+    same = asked.join(events.withColumnRenamed("e_date", "date"), ["kennel_id", "date"], "inner")
+    near = interval_join(asked, events, ["kennel_id"], "date", "e_date", days)
+    hit = lambda df: df.where(F.arrays_overlap("sources", "e_sources")).select(*ask)
     found = hit(same).unionByName(hit(near)).distinct().withColumn("hit", F.lit(True))
-    return snapshots.join(found, "snapshot_id", "left").select("snapshot_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return snapshots.join(found, ask, "left").select("snapshot_id", F.coalesce("hit", F.lit(False)).alias("hit"))

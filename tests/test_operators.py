@@ -208,3 +208,10 @@ def test_theme_twins_and_same_day_match_count_values(spark):
     existing = spark.createDataFrame(e, "kennel_id int, date string, source_id int, theme string, event_id int")
     incoming = spark.createDataFrame([(1, "d", 1, "a", 1), (1, "d", 2, "a", 2), (1, "d", 3, "", 3), (2, "d", 9, "b", 4), (2, "d", 9, "", 5), (3, "d", 1, "a", 6), (9, "d", 1, "a", 7)], "kennel_id int, date string, source_id int, theme string, ordinal int")
     assert {(r.ordinal, r.event_id) for r in linking.theme_twins(incoming, existing).collect()} == {(1, 12), (4, 20)}
+
+
+def test_snapshots_of_one_id_are_judged_each_for_itself(spark):
+    day = date(2024, 5, 1)
+    snaps = spark.createDataFrame([(1, 7, day, [1]), (1, 7, day, [2]), (1, 8, day, [1]), (None, 7, day, [1])], "snapshot_id int, kennel_id int, date date, sources array<int>")
+    events = spark.createDataFrame([(7, date(2024, 5, 3), [1])], "kennel_id int, e_date date, e_sources array<int>")
+    assert sorted((r.snapshot_id or 0, r.hit) for r in K.window_hits(snaps, events, 14).collect()) == [(0, True), (1, False), (1, False), (1, True)]

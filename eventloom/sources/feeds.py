@@ -102,9 +102,10 @@ def rss_items(xml: Column) -> Column:
     return F.transform(items, item)
 
 
-def html_rows(row: str, columns: dict[str, str], container: str | None = None) -> Callable[[str], list[dict]]:
-    """Parser of pages by configuration: selectors of the container, of row elements and of each field within them ("a@href" for an attribute)."""
-    select = page_rows(row, columns, container)
+def html_rows(row: str, columns: dict[str, str], container: str | None = None, references: Sequence[str] | None = None) -> Callable[[str], list[dict]]:
+    """Parser of pages by configuration: selectors of the container, of row elements and of each field within them ("a@href" for an attribute);
+    ``references``: the names of those that are decoded, all if None."""
+    select = page_rows(row, columns, container, references)
 
     def parse(page: str) -> list[dict]:
         return [{f: " ".join(v.split()) or None for f, v in r.items()} for r in select(page) if any(v.strip() for v in r.values())]

@@ -94,3 +94,10 @@ def test_rows_of_containers():
 def test_unclosed_tags(page, rows):
     got = page_rows("tr", {"a": "> td:first-child", "b": "> td:nth-child(2)"})(page)
     assert [(r.get("a"), r.get("b")) for r in got] == rows
+
+
+def test_references_that_a_source_escapes_by():
+    page = "<div><h1>a &amp;&amp; &quot;b &lt;&amp</h1><a href='/?x=1&copy=2'>l</a><style>p & q</style></div>"
+    columns = {"t": "h1", "u": "a@href", "s": "style"}
+    assert page_rows("div", columns)(page)[0]["t"] == 'a && "b <&'
+    assert page_rows("div", columns, references=("lt", "amp"))(page) == [{"t": "a && &quot;b <&amp", "u": "/?x=1&copy=2", "s": "p & q"}]

@@ -57,18 +57,29 @@ def within_horizon(date: Column, today: Column, confidence: Column) -> Column:
     return F.coalesce((days <= 180) | ((days <= 365) & confidence.isin("HIGH", "LOW")), F.lit(True))
 
 
+PERIOD = 26  # observed windows to a period
+
+
 def outcomes(snapshots: DataFrame, events: DataFrame, near: int = 1, observed: int = 14) -> DataFrame:
     """Outcome of each forecast (snapshot_id, kennel_id, date): HIT with an event within ``near`` days, MISS if
-    the kennel has one within ``observed`` days, else UNOBSERVED. Events meet forecasts by kennel and
-    by buckets of the wider window."""
-    epoch = F.lit("1970-01-01").cast("date")
-    bucket = lambda c: F.floor(F.datediff(c, epoch) / observed)
-    s = snapshots.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: bucket(F.col("date")) + k)))
-    e = events.select("kennel_id", F.col("date").alias("_d"), bucket(F.col("date")).alias("_b")).distinct()
-    gap = F.abs(F.datediff("date", "_d"))
-    best = s.join(e, ["kennel_id", "_b"]).groupBy("snapshot_id").agg(F.min(gap).alias("gap"))
-    found = F.when(F.col("gap") <= near, "HIT").when(F.col("gap") <= observed, "MISS").otherwise("UNOBSERVED")
-    return snapshots.join(best, "snapshot_id", "left").withColumn("outcome", found).drop("gap")
+    the kennel has one within ``observed`` days, else UNOBSERVED; the nearest event of all rows of an id counts.
+
+    Forecasts and event days of a kennel and a period are one sorted stream, over which the last and the next event day run, so no row is
+    copied but the event days within reach of a period's border."""
+    reach = max(near, observed)
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    period = lambda d: F.floor(d / (PERIOD * reach)).cast("int")
+    own = snapshots.withColumns({"_t": day(F.col("date")), "_d": F.lit(None).cast("int")}).withColumn("_p", period(F.col("_t")))
+    days = events.select("kennel_id", day(F.col("date")).alias("_t")).where("kennel_id is not null and _t is not null").distinct()
+    days = days.select("kennel_id", "_t", F.col("_t").alias("_d"), F.explode(F.sequence(period(F.col("_t") - reach), period(F.col("_t") + reach))).alias("_p"))
+    both = own.withColumn("_event", F.lit(False)).unionByName(days.withColumn("_event", F.lit(True)), allowMissingColumns=True)
+    slot = Window.partitionBy("kennel_id", "_p")
+    past = F.last("_d", ignorenulls=True).over(slot.orderBy("_t", F.desc("_event")).rowsBetween(Window.unboundedPreceding, 0))
+    coming = F.last("_d", ignorenulls=True).over(slot.orderBy(F.desc("_t"), F.desc("_event")).rowsBetween(Window.unboundedPreceding, 0))
+    gaps = both.withColumns({"_past": past, "_next": coming}).where("not _event").withColumn("_gap", F.least(F.col("_t") - F.col("_past"), F.col("_next") - F.col("_t")))
+    gap = F.when(F.col("snapshot_id").isNotNull(), F.min("_gap").over(Window.partitionBy("snapshot_id")))
+    found = F.when(gap <= near, "HIT").when(gap <= observed, "MISS").otherwise("UNOBSERVED")
+    return gaps.withColumn("outcome", found).select(*snapshots.columns, "outcome")
 
 
 def capture_band(date: Column, today: Column, last_run: Column, bands: tuple[int, ...] = (180, 90, 30), slack: int = 4) -> Column:

@@ -215,3 +215,25 @@ def test_snapshots_of_one_id_are_judged_each_for_itself(spark):
     snaps = spark.createDataFrame([(1, 7, day, [1]), (1, 7, day, [2]), (1, 8, day, [1]), (None, 7, day, [1])], "snapshot_id int, kennel_id int, date date, sources array<int>")
     events = spark.createDataFrame([(7, date(2024, 5, 3), [1])], "kennel_id int, e_date date, e_sources array<int>")
     assert sorted((r.snapshot_id or 0, r.hit) for r in K.window_hits(snaps, events, 14).collect()) == [(0, True), (1, False), (1, False), (1, True)]
+
+
+def test_outcomes_copy_no_forecast_and_equal_brute_force(spark):
+    import random
+    from datetime import timedelta
+
+    from eventloom.operators import projection as P
+
+    rng, first = random.Random(5), date(1969, 11, 1)
+    day = lambda: first + timedelta(days=rng.randint(0, 900))
+    snaps = [(rng.randint(1, 500), rng.choice([1, 2, 3, None]), rng.choice([day(), day(), None])) for _ in range(600)]
+    events = [(rng.choice([1, 2, None]), rng.choice([day(), None])) for _ in range(60)]
+    asked = spark.createDataFrame(snaps, "snapshot_id int, kennel_id int, date date")
+    got = P.outcomes(asked, spark.createDataFrame(events, "kennel_id int, date date"))
+    gaps = {}
+    for i, k, d in snaps:
+        for e, x in events:
+            if k is not None and e == k and d and x:
+                gaps[i] = min(gaps.get(i, 99999), abs((x - d).days))
+    told = lambda g: "HIT" if g <= 1 else "MISS" if g <= 14 else "UNOBSERVED"
+    assert sorted((r.snapshot_id, str(r.kennel_id), str(r.date), r.outcome) for r in got.collect()) == sorted((i, str(k), str(d), told(gaps.get(i, 99999))) for i, k, d in snaps)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import coords_key, haversine_km
 from ..functions.text import candidate_score, name_similarity
+from ..storage import written
 from .matching import interval_join
 from .similarity import holding_pairs, similar_pairs
 from .windows import pick_best
@@ -49,11 +50,21 @@ def theme_twins(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 def moved_dates(incoming: DataFrame, existing: DataFrame, days: int = 30) -> DataFrame:
     """Events whose source now shows them on another day: equal kennel, link, run and label, at most ``days`` days
-    apart, trust not below the event's; the last updated event of each row."""
+    apart, trust not below the event's; the last updated event of each row.
+
+    Of the events of a key, day and trust only the first one can be chosen, and only where no less trusted one of the day comes before it. These meet the different
+    questions (key, day, trust) of the rows, so neither many events nor many rows of a key and day make pairs."""
     keys = ["kennel_id", "source_url", "run_number", "label"]
+    first = [F.desc("updated_at"), F.asc("event_id")]
     e = existing.select(*keys, "event_id", F.col("date").alias("old_date"), F.col("trust").alias("e_trust"), "updated_at")
-    pairs = interval_join(incoming, e, keys, "date", "old_date", days).where(F.col("trust") >= F.col("e_trust"))
-    return pick_best(pairs, ["ordinal"], [F.desc("updated_at"), F.asc("event_id")]).select("ordinal", "event_id", "old_date", "date")
+    e = pick_best(e.where("old_date is not null and e_trust is not null"), [*keys, "old_date", "e_trust"], first)
+    e = e.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*first)))
+    before = F.min("_rank").over(Window.partitionBy(*keys, "old_date").orderBy("e_trust").rowsBetween(Window.unboundedPreceding, -1))
+    e = written(e.withColumn("_before", before).where("_before is null or _rank < _before").drop("_before"), "moved-dates")
+    ask = [*keys, "date", "trust"]
+    pairs = interval_join(incoming.select(*ask).distinct(), e.select(*keys, "old_date", "e_trust", "_rank"), keys, "date", "old_date", days).where(F.col("trust") >= F.col("e_trust"))
+    told = pairs.groupBy(*ask).agg(F.min("_rank").alias("_rank")).join(e.drop("e_trust"), [*keys, "_rank"])
+    return pick_best(incoming.select("ordinal", *ask).join(told, ask), ["ordinal"], [*first, F.asc("date")]).select("ordinal", "event_id", "old_date", "date")
 
 
 def near_names(left: DataFrame, right: DataFrame, name: str, other: str, group: Sequence[str], least: float) -> DataFrame:

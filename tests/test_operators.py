@@ -237,3 +237,23 @@ def test_outcomes_copy_no_forecast_and_equal_brute_force(spark):
     told = lambda g: "HIT" if g <= 1 else "MISS" if g <= 14 else "UNOBSERVED"
     assert sorted((r.snapshot_id, str(r.kennel_id), str(r.date), r.outcome) for r in got.collect()) == sorted((i, str(k), str(d), told(gaps.get(i, 99999))) for i, k, d in snaps)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_moved_dates_make_no_pairs_of_a_crowded_key(spark):
+    from datetime import timedelta
+
+    first = date(2024, 1, 1)
+    key = ["1 as kennel_id", "2 as source_url", "3 as run_number", "'a' as label"]
+    incoming = spark.range(4000).selectExpr("id as ordinal", *key, "date_add(date'2024-01-01', cast(id % 40 as int)) as date", "cast(id % 3 as int) as trust")
+    existing = spark.range(4000).selectExpr("id as event_id", *key, "date_add(date'2024-01-01', cast(id % 37 as int)) as date", "cast(id % 5 as int) as trust", "nullif(id % 11, 0) as updated_at")
+    out = K.moved_dates(incoming, existing)
+    got = {r.ordinal: (r.event_id, r.old_date) for r in out.collect()}
+    events = [(-(i % 11), i, i % 37, i % 5) for i in range(4000)]
+    for o in range(0, 4000, 97):
+        fit = [(u, i, d) for u, i, d, t in events if 1 <= abs(d - o % 40) <= 30 and o % 3 >= t]
+        _, event, old = min(fit)
+        assert got[o] == (event, first + timedelta(days=old))
+    assert len(got) == 4000
+    # what is joined by days are events and rows that were grouped before
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") >= 2

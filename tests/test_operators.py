@@ -257,3 +257,17 @@ def test_moved_dates_make_no_pairs_of_a_crowded_key(spark):
     # what is joined by days are events and rows that were grouped before
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") >= 2
+
+
+def test_roster_scope_shuffles_no_pairs(spark):
+    groups = spark.createDataFrame([(1, 10), (2, 10), (2, 10), (3, 20), (1, 20), (5, None), (None, 10)], "kennel_id int, group_id int")
+    kennels = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (5,), (None,)], "kennel_id int")
+    got = sorted((r.kennel_id or 0, r.member or 0) for r in K.roster_scope(kennels, groups).collect())
+    assert got == [(0, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 3), (4, 4), (5, 5)]
+    n = 2000
+    one = spark.range(n).selectExpr("id as kennel_id", "1 as group_id")
+    df = K.roster_scope(one.select("kennel_id"), one)
+    assert df.count() == n * n
+    # made distinct are only the members of kennels of several groups
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith("Aggregate") and "Union" in plan.split("\n")[0]

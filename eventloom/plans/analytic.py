@@ -14,6 +14,7 @@ from ..operators import merging as G
 from ..operators import projection as P
 from ..operators import windows as W
 from ..operators.linking import near_names
+from ..storage import spread
 from .registry import Tables, query
 
 
@@ -178,7 +179,7 @@ def _occurrences(parts: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     rule = F.when(k % 3 == 0, "FREQ=WEEKLY;INTERVAL=2;BYDAY=SA").when(k % 3 == 1, "FREQ=MONTHLY;BYDAY=2WE").otherwise("FREQ=MONTHLY;BYMONTHDAY=31")
     day = lambda s: F.lit(s).cast("date")
-    return parts.select(k.alias("rule_id"), F.explode(occurrences(rule, day("2024-01-10"), day("2024-09-30"), day("2024-01-06"))).alias("date"))
+    return spread(parts.select("p_partkey"), "p_partkey").select(k.alias("rule_id"), F.explode(occurrences(rule, day("2024-01-10"), day("2024-09-30"), day("2024-01-06"))).alias("date"))
 
 
 @query("""

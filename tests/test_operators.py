@@ -271,3 +271,11 @@ def test_roster_scope_shuffles_no_pairs(spark):
     # made distinct are only the members of kennels of several groups
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not plan.lstrip().startswith("Aggregate") and "Union" in plan.split("\n")[0]
+
+
+def test_narrow_scans_are_spread(spark, tmp_path):
+    from eventloom.plans.queries import QUERIES
+
+    spark.range(100).selectExpr("id as p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("rrule_occurrences", "rrule_occurrences_all", "html_config_feed"):
+        assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4

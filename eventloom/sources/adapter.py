@@ -28,7 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..functions.hashing import outline_hash
 from .feeds import FIELDS, html_rows, ical_events
 
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 1 << 20  # packed: pages of one template shrink much, and parsing is the work
+FILE_PAGES = 1 << 14  # a file is read by one task
 SCHEMA = "page_id long, organiser string, outcome string, " + ", ".join(f"{f} string" for f in FIELDS) + ", error string, structure_hash string, diagnostics string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 ARROW = pa.schema([(c, pa.int64() if c == "page_id" else pa.string()) for c in COLUMNS])
@@ -169,7 +170,7 @@ def register(spark: SparkSession) -> SparkSession:
 
 def land(pages: DataFrame, folder: str, batch: int) -> None:
     """Writes pages (page_id, organiser, text) as batch number ``batch``; numbers go up."""
-    pages.select("page_id", F.col("organiser").cast("string").alias("organiser"), "text").write.mode("overwrite").partitionBy("organiser").parquet(f"{folder}/batch={batch}")
+    pages.select("page_id", F.col("organiser").cast("string").alias("organiser"), "text").write.mode("overwrite").option("maxRecordsPerFile", FILE_PAGES).partitionBy("organiser").parquet(f"{folder}/batch={batch}")
 
 
 def read_landed(spark: SparkSession, folder: str, **options: str) -> DataFrame:

@@ -67,3 +67,11 @@ def test_a_restarted_stream_goes_on_behind_its_last_batch(spark, folder, tmp_pat
     assert run() == [(10, "First")]
     adapter.land(pages(spark, [(11, "h", "<p><b>Second</b></p><p><b>Third</b></p>")]), folder, 2)
     assert run() == [(10, "First"), (11, "Second"), (11, "Third")]
+
+
+def test_a_landed_file_holds_few_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adapter, "FILE_PAGES", 2)
+    pages = spark.range(5).selectExpr("id as page_id", "'one' as organiser", "'' as text").coalesce(1)
+    adapter.land(pages, f"file://{tmp_path}/few", 0)
+    assert len(list((tmp_path / "few").rglob("*.parquet"))) == 3
+    assert adapter.PARTITION_BYTES <= 1 << 20

@@ -78,6 +78,31 @@ def near_names(left: DataFrame, right: DataFrame, name: str, other: str, group:
     return a.join(pairs, [*group, "_n"]).join(b, [*group, "_m"])
 
 
+STEPS = (0.95, 0.88)
+ROUNDING = 0.001
+
+
+def nearest_names(left: DataFrame, right: DataFrame, name: str, other: str, group: Sequence[str], least: float, key: Sequence[str], score: Column, order: Sequence[Column]) -> DataFrame:
+    """The best of :func:`near_names` for each ``key`` of ``left`` (which tells its rows apart and holds no null), by ``score`` and then ``order``; the score is
+    the likeness of the two names, rounded to ``ROUNDING`` or finer.
+
+    Names are asked for in steps from very alike down to ``least``: a row that has found one leaves, as all that is better was found as well. So few names come
+    to the loose steps, where common pieces of names bring many together."""
+    out, rest = None, left
+    for step in [*(s for s in STEPS if s > least), least]:
+        near = near_names(rest, right, name, other, group, step).withColumn("score", score)
+        best = pick_best(near, list(key), [F.desc("score"), *order])
+        if step > least:  # what is less alike than the step may not round to the same score
+            best = best.where(name_similarity(F.col("_n"), F.col("_m")) >= step + ROUNDING)
+        best = written(best, "nearest-names")
+        out = best if out is None else out.unionByName(best)
+        if step > least:
+            rest = written(rest.join(best.select(*key), list(key), "left_anti"), "names-left")
+            if rest.isEmpty():
+                break
+    return out
+
+
 def matched_names(names: DataFrame, roster: DataFrame, least: float) -> DataFrame:
     """Roster entry of each imported name: equal to either name of one (case and blanks aside), else the nearest that is
     ``least`` alike. ``names``: group_id, name; ``roster``: group_id, hasher_id, hash_name, nerd_name."""
@@ -85,11 +110,10 @@ def matched_names(names: DataFrame, roster: DataFrame, least: float) -> DataFram
     norm = lambda c: F.lower(F.trim(c))
     exact = names.join(either, (names["group_id"] == either["group_id"]) & (norm(names["name"]) == norm(either["known"])), "inner").groupBy(names["group_id"], names["name"]).agg(F.min("hasher_id").alias("hasher_id"))
     exact = exact.select("group_id", "name", "hasher_id", F.lit("exact").alias("kind"), F.lit(1000).cast("long").alias("score"))
-    rest = names.join(exact, ["group_id", "name"], "left_anti")
+    rest = written(names.join(exact, ["group_id", "name"], "left_anti"), "names-left")
     score = F.floor(name_similarity(F.col("name"), F.col("known")) * 1000 + 0.5).cast("long")
-    fuzzy = near_names(rest, either, "name", "known", ["group_id"], least).withColumn("score", score)
-    best = pick_best(fuzzy, ["group_id", "name"], [F.desc("score"), F.asc("hasher_id"), F.asc("known")]).select("group_id", "name", "hasher_id", F.lit("fuzzy").alias("kind"), "score")
-    return exact.unionByName(best)
+    best = nearest_names(rest, either, "name", "known", ["group_id"], least, ["group_id", "name"], score, [F.asc("hasher_id"), F.asc("known")])
+    return exact.unionByName(best.select("group_id", "name", "hasher_id", F.lit("fuzzy").alias("kind"), "score"))
 
 
 def matched_headers(headers: DataFrame, events: DataFrame) -> DataFrame:

@@ -279,3 +279,23 @@ def test_narrow_scans_are_spread(spark, tmp_path):
     spark.range(100).selectExpr("id as p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     for name in ("rrule_occurrences", "rrule_occurrences_all", "html_config_feed"):
         assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_nearest_names_take_loose_steps_for_the_rest_only(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    known = [(i, 1, "member " + "".join(rng.choice("0123456789") for _ in range(6))) for i in range(120)]
+    asked = [(n[:3] + rng.choice("xm") + n[4:] if i % 2 else n[:8] + "77" + n[10:], 1) for i, _, n in known] + [("nothing like it", 1)]
+    seen, plain = [], K.near_names
+    monkeypatch.setattr(K, "near_names", lambda left, *a: seen.append((a[-1], left.count())) or plain(left, *a))
+    names = spark.createDataFrame(sorted(set(asked)), "name string, group_id int")
+    roster = spark.createDataFrame(known, "hasher_id int, group_id int, hash_name string").selectExpr("*", "cast(null as string) as nerd_name")
+    got = {r.name: (r.hasher_id, r.score) for r in K.matched_names(names, roster, 0.8).where("kind = 'fuzzy'").collect()}
+    df = names.crossJoin(roster.select("hasher_id", "hash_name")).selectExpr("name", "hasher_id", "cast(floor((1 - levenshtein(name, hash_name) / greatest(length(name), length(hash_name))) * 1000 + 0.5) as int) as score")
+    best = {}
+    for r in df.where("score >= 800 and score < 1000").collect():
+        if r.name not in {n for _, _, n in known}:
+            best[r.name] = min(best.get(r.name, (0, 9999)), (-r.score, r.hasher_id))
+    assert got == {n: (h, -s) for n, (s, h) in best.items()}
+    assert [s for s, _ in seen] == [0.95, 0.88, 0.8] and seen[2][1] < seen[0][1]

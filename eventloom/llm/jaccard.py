@@ -6,7 +6,8 @@ drawn at random separate nothing. So pivots are taken where documents can be clo
 
 1.  Shingles are ordered (frequent ones later, else by hash), and a document's first
     ``n - ceil(t n) + 1`` are its boundary: documents linked at similarity t share one of it.
-    All documents that share a boundary shingle meet at one pivot, that of them which meets most
+    Of the documents that share a boundary shingle those stay that counts of shingles in 64 hash ranges let link with another of them:
+    in large tables most share one by chance. All that stay meet at one pivot, that of them which meets most
     others. The documents that reach a pivot form its Voronoi region; documents at the border of several regions are in each.
 2.  Distances to the pivot decide who links to it. Counts of shingles in 256 hash ranges
     are distances to 256 more pivots; where these alone exclude a link, the sets aren't fetched.
@@ -19,7 +20,7 @@ drawn at random separate nothing. So pivots are taken where documents can be clo
 
 No link between different texts is lost: every linked pair is in one region, and in it either
 has a pivot, or is compared, or its documents are in one component already. Equal sets are one
-node from the start. Which shingles are frequent is kept in bitmaps of fixed size; a
+node from the start. Which shingles are frequent is kept in bitmaps of bounded size; a
 collision in one moves a shingle back in the order for all documents alike, which can't
 change the result.
 
@@ -45,9 +46,12 @@ from pyspark.sql import functions as F
 from .common import free_name, hashed_words, rows_of, stored, windows
 from .components import components
 
-MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB, at any input size
+MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB
+MOST_MAP_BITS = 26  # of tables of more than MAP_ROWS documents, twice as many for each doubling
+MAP_ROWS = 1 << 18
 FREQUENT = (3, 16, 128)  # boundaries that hold a shingle, for each class of the order
 SKETCH = 256
+COARSE = 64
 LEAF = 1024
 NARROW = 8192
 PIVOTS = 8  # of a region that is split
@@ -86,8 +90,12 @@ def boundary(shingles: np.ndarray, percent: int, frequent: list[np.ndarray], str
     return shingles[: int(size * stretch)]
 
 
+def map_bits(rows: int) -> int:
+    return min(MOST_MAP_BITS, MAP_BITS + (max(0, rows - 1) // MAP_ROWS).bit_length())
+
+
 def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    at = (hashes >> np.uint64(62 - len(bits).bit_length())).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -97,8 +105,13 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def _counts(sketches) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+def _counts(sketches, size: int = SKETCH) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, size).astype(np.int16)
+
+
+def coarse(sketches: pd.Series) -> pd.Series:
+    """Sketches of 64 hash ranges; they bound as those of 256 do, less closely."""
+    return pd.Series([c.tobytes() for c in np.minimum(_counts(sketches).reshape(-1, COARSE, SKETCH // COARSE).sum(axis=2), 255).astype(np.uint8)], dtype=object)
 
 
 def _sets(documents: DataFrame, width: int, emit, schema: str, ids=None) -> DataFrame:
@@ -163,14 +176,14 @@ def _exploded(rows: DataFrame, wanted=None) -> DataFrame:
     return rows.select("node", "keys").mapInArrow(run, "node long, key long")
 
 
-def _bitmaps(keys: DataFrame, *conditions) -> list[np.ndarray]:
-    """A bitmap for each condition of the keys that meet it: at most a MiB each to the driver."""
-    bit = F.shiftrightunsigned("key", 64 - MAP_BITS)
-    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 31 as int))")
+def _bitmaps(keys: DataFrame, *conditions, size: int = MAP_BITS) -> list[np.ndarray]:
+    """A bitmap of 2**size bits for each condition of the keys that meet it: at most eight MiB each to the driver."""
+    bit = F.shiftrightunsigned("key", 64 - size)
+    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 31 as int))")
     words = keys.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(*(F.bit_or(F.when(c, mask).otherwise(F.lit(0))).alias(f"b{i}") for i, c in enumerate(conditions)))
     got, out = words.toPandas(), []
     for i in range(len(conditions)):
-        bits = np.zeros(1 << (MAP_BITS - 5), "<u4")
+        bits = np.zeros(1 << (size - 5), "<u4")
         bits[got["word"].to_numpy()] = got[f"b{i}"].to_numpy().astype(np.uint32)
         out.append(bits.view(np.uint8))
     return out
@@ -305,6 +318,37 @@ def _sketches_allow(percent: int):
 SMALL = 2048
 
 
+def able(key: np.ndarray, size: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows, sorted by key, may link with another one of their key by sizes and sketches. Rows are held against those one place
+    further on, two, and so on, of all keys at once."""
+    keep, at, step = np.zeros(len(key), bool), np.arange(len(key)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        a, b = size[at], size[at + step]
+        near = at[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
+        apart = np.concatenate([np.abs(sketches[c] - sketches[c + step]).sum(axis=1, dtype=np.int64) for c in np.array_split(near, len(near) // 100_000 + 1)])
+        near = near[(100 + percent) * apart <= (100 - percent) * (size[near] + size[near + step])]
+        keep[near] = keep[near + step] = True
+    return keep
+
+
+def _able_members(members: DataFrame, bounded: DataFrame, percent: int) -> DataFrame:
+    """Members (key, node, size) without those that sizes and coarse sketches let link with no other one of their key, so that what
+    shares a shingle by chance goes no further; a key without any is left out. Keys of more than ``SMALL`` members stay as they are."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(pdf["key"].to_numpy(), kind="stable")
+        pdf = pdf.iloc[order]
+        return pdf.loc[able(pdf["key"].to_numpy(), pdf["n"].to_numpy(np.int64), _counts(pdf["coarse"], COARSE), percent), ["key", "node", "size"]]
+
+    sketches = bounded.select("node", "n", F.pandas_udf(coarse, "binary")("sketch").alias("coarse")).dropDuplicates(["node"])
+    few = members.where(F.col("size") <= SMALL).join(sketches, "node").select("key", "node", "size", "n", "coarse")
+    looked = few.groupBy(_dealt("key", members)).applyInPandas(lambda _, pdf: run(pdf), "key long, node long, size long")
+    return looked.union(members.where(F.col("size") > SMALL).select("key", "node", "size"))
+
+
 def _dealt(column: str, rows: DataFrame):
     """Regions dealt to groups of about ``GROUP_ROWS`` rows of a stored table, for each group costs a call. Groups are more as rows are more."""
     least = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -344,8 +388,9 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
     spark = documents.sparkSession
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
+    size = map_bits(documents.count())
     counted = _first_keys(base, width, percent).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= FREQUENT[0])
-    frequent = spark.sparkContext.broadcast(_bitmaps(counted, *(F.col("rows") >= n for n in FREQUENT)))
+    frequent = spark.sparkContext.broadcast(_bitmaps(counted, *(F.col("rows") >= n for n in FREQUENT), size=size))
 
     def second(row, node, shingles, seen):
         if node is None or node in seen:
@@ -356,8 +401,9 @@ def link_sets(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame
     rows = stored(_sets(base, width, second, "doc_id long, text_hash long, node long, n int, keys binary, sketch binary"), "jaccard-rows")
     bounded = rows.where("keys is not null")
     groups = stored(_exploded(bounded).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("key", "size"), "jaccard-groups")
-    shared = spark.sparkContext.broadcast(_bitmaps(groups, F.lit(True))[0])
+    shared = spark.sparkContext.broadcast(_bitmaps(groups, F.lit(True), size=size)[0])
     members = stored(_keyed(_exploded(bounded, shared), groups, ["size"], groups), "jaccard-members")
+    members = stored(_able_members(members, bounded, percent), "jaccard-able")
     # the pivot of a shingle's documents is the one that meets most others: the middle of a group of near copies
     # is in all their groups, so it is near to most of them and regions are few
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))

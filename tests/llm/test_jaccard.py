@@ -105,3 +105,42 @@ def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(1, 61), 1), 100: 100, 101: 100}
+
+
+def test_what_shares_a_shingle_by_chance_is_in_no_region(spark, monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    # each document has twelve passages of three words that one other document has too, in otherwise unlike texts; one is a near copy
+    passages = [" ".join(words(3)) for _ in range(1200)]
+    own = [[] for _ in range(200)]
+    for k, passage in enumerate(passages):
+        own[k % 200].append(passage)
+        own[(k * 7 + k // 200 + 1) % 200].append(passage)
+    texts = [" x ".join([" ".join(words(30)), *o, " ".join(words(30))]) for o in own]
+    texts.append(texts[0] + " more")
+    seen = {}
+    kept = jaccard.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    out = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90).collect()
+    assert {r.doc_id: r.component_id for r in out} == {**{i: i for i in range(200)}, 200: 0}
+    assert seen["jaccard-members"] > 100 and seen["jaccard-regions"] <= 2
+
+
+def test_able_rows_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 60, 400))
+    size = rng.integers(40, 60, 400)
+    sketches = rng.poisson(1.0, (400, 64)).astype(np.int16)
+    sketches[1::2] = sketches[::2]
+    want = np.zeros(400, bool)
+    for i in range(400):
+        for j in range(400):
+            if i != j and key[i] == key[j] and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]) and 180 * np.abs(sketches[i] - sketches[j]).sum() <= 20 * (size[i] + size[j]):
+                want[i] = True
+    assert want.any() and not want.all() and (jaccard.able(key, size, sketches, 80) == want).all()

@@ -181,7 +181,7 @@ def _bitmaps(keys: DataFrame, *conditions, size: int = MAP_BITS) -> list[np.ndar
     bit = F.shiftrightunsigned("key", 64 - size)
     mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 31 as int))")
     words = keys.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(*(F.bit_or(F.when(c, mask).otherwise(F.lit(0))).alias(f"b{i}") for i, c in enumerate(conditions)))
-    got, out = words.toPandas(), []
+    got, out = words.toArrow(), []
     for i in range(len(conditions)):
         bits = np.zeros(1 << (size - 5), "<u4")
         bits[got["word"].to_numpy()] = got[f"b{i}"].to_numpy().astype(np.uint32)

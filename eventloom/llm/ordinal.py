@@ -38,7 +38,8 @@ FEATURE_BITS = 20
 MAX_TRAIN_BYTES = 256 << 20  # of features of rated documents
 MIN_ROWS = 10  # training documents that a feature needs for a weight
 SURE = 8.0  # standard errors from which a feature counts in full
-SLICE = 1 << 20  # (document, feature) pairs in a step of the gradient, which bounds the driver's memory
+SLICE = 1 << 18  # (document, feature) pairs in a step of the gradient, which bounds the driver's memory
+FIT_ROWS = 256  # documents whose features are counted at once
 RESULTS = ("expected_grade", "p_ge_1", "p_ge_2", "kept")
 CORE = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"(.)\1+")
@@ -128,15 +129,23 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 150, rate: floa
     start[1] = max(start[1], start[0] + 1e-3)
     if n == 0 or len(set(grades.tolist())) < 2:
         return OrdinalModel(np.empty(0, np.int32), np.empty(0), start)
-    flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
-    ids, counts = np.unique(flat, return_counts=True)
-    totals = np.bincount(np.searchsorted(ids, flat), np.repeat(grades, lengths), len(ids))
-    off = np.abs(totals - counts * grades.mean()) / (np.sqrt(counts) * grades.std())
-    some = (counts >= MIN_ROWS) & (counts < n)
-    ids, value = ids[some], np.minimum(1.0, off[some] / SURE) ** 2
-    at = np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
-    own = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
-    owner, at = np.repeat(np.arange(n, dtype=np.int32), lengths)[own], at[own].astype(np.int32)
+    counts, totals = np.zeros(1 << FEATURE_BITS, np.int64), np.zeros(1 << FEATURE_BITS)
+    for a in range(0, n, FIT_ROWS):
+        part = np.concatenate(rows[a : a + FIT_ROWS])
+        counts += np.bincount(part, minlength=len(counts))
+        totals += np.bincount(part, np.repeat(grades[a : a + FIT_ROWS], [len(r) for r in rows[a : a + FIT_ROWS]]), len(counts))
+    ids = np.flatnonzero((counts >= MIN_ROWS) & (counts < n)).astype(np.int32)
+    off = np.abs(totals[ids] - counts[ids] * grades.mean()) / (np.sqrt(counts[ids]) * grades.std())
+    value, place = np.minimum(1.0, off / SURE) ** 2, np.full(len(counts), -1, np.int32)
+    place[ids] = np.arange(len(ids))
+    owner, at = np.empty(counts[ids].sum(), np.int32), np.empty(counts[ids].sum(), np.int32)
+    filled = 0
+    for i, row in enumerate(rows):
+        found = place[row]
+        found = found[found >= 0]
+        owner[filled : filled + len(found)], at[filled : filled + len(found)] = i, found
+        filled += len(found)
+    del counts, totals, place
     slices = [(owner[a : a + SLICE], at[a : a + SLICE]) for a in range(0, len(at), SLICE)]
     # theta_2 = theta_1 + exp(gap): the order of the thresholds can't break
     p = np.concatenate([np.zeros(len(ids)), [start[0], np.log(start[1] - start[0])]])
@@ -174,8 +183,9 @@ def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 12_000,
     told = stored(chosen.select("doc_id", "grade", extract("text").alias("x")).groupBy("doc_id", "grade").agg(F.min("x").alias("x")), "ordinal-features")
     # the sample is bounded in bytes as well: a window over its bounded rows
     upto = F.sum(F.octet_length("x").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    got = told.withColumn("upto", upto).where(F.col("upto") <= max_train_bytes).select("doc_id", "grade", "x").toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["grade"].to_numpy(np.int64))
+    got = told.withColumn("upto", upto).where(F.col("upto") <= max_train_bytes).select("doc_id", "grade", "x").toArrow()
+    order = np.argsort(got["doc_id"].to_numpy()).tolist()
+    return fit([np.frombuffer(got["x"][i].as_buffer(), np.int32) for i in order], got["grade"].to_numpy().astype(np.int64)[order])
 
 
 def score(documents: DataFrame, model: OrdinalModel, min_tail: float = 0.7, text_col: str = "text") -> DataFrame:

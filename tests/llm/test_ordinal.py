@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -109,3 +110,14 @@ def test_the_sample_is_bounded_in_bytes(spark):
     whole, few = o.train(docs, labels), o.train(docs, labels, max_train_bytes=700)
     assert len(whole.ids) and few.thresholds.tolist() != whole.thresholds.tolist()
     assert not len(o.train(docs, labels, max_train_bytes=0).ids)
+
+
+def test_fit_holds_little_more_than_its_rows():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 50_000, 1000)).astype(np.int32) for _ in range(4000)]
+    grades = rng.integers(0, 3, len(rows))
+    tracemalloc.start()
+    o.fit(rows, grades, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * sum(r.nbytes for r in rows) + (32 << 20)

@@ -82,14 +82,14 @@ STEPS = (0.95, 0.88)
 ROUNDING = 0.001
 
 
-def nearest_names(left: DataFrame, right: DataFrame, name: str, other: str, group: Sequence[str], least: float, key: Sequence[str], score: Column, order: Sequence[Column]) -> DataFrame:
+def nearest_names(left: DataFrame, right: DataFrame, name: str, other: str, group: Sequence[str], least: float, key: Sequence[str], score: Column, order: Sequence[Column], steps: Sequence[float] = STEPS) -> DataFrame:
     """The best of :func:`near_names` for each ``key`` of ``left`` (which tells its rows apart and holds no null), by ``score`` and then ``order``; the score is
     the likeness of the two names, rounded to ``ROUNDING`` or finer.
 
     Names are asked for in steps from very alike down to ``least``: a row that has found one leaves, as all that is better was found as well. So few names come
     to the loose steps, where common pieces of names bring many together."""
     out, rest = None, left
-    for step in [*(s for s in STEPS if s > least), least]:
+    for step in [*(s for s in steps if s > least), least]:
         near = near_names(rest, right, name, other, group, step).withColumn("score", score)
         best = pick_best(near, list(key), [F.desc("score"), *order])
         if step > least:  # what is less alike than the step may not round to the same score
@@ -143,7 +143,9 @@ def discovery_matches(found: DataFrame, known: DataFrame, keep: float = 0.6, sur
     asked = found.select("found_id", F.explode(F.array(F.struct(F.lit("slug").alias("by"), norm("slug").alias("t")), F.struct(F.lit("name").alias("by"), norm("name").alias("t")))).alias("q")).select("found_id", "q.*").where("t <> ''")
     names = known.select("kennel_id", norm("name").alias("t")).where("t <> ''")
     met = similar_pairs(asked, names, [], keep).unionByName(holding_pairs(asked, names, [], 6, keep - 0.3)).distinct()
-    hits = met.join(asked.withColumnRenamed("t", "a"), "a").join(names.withColumnRenamed("t", "b"), "b").withColumn("text_score", candidate_score(F.col("a"), F.array("b")))
+    # of the organisers of one name only the first ones can be among the best
+    first = names.withColumn("_at", F.row_number().over(Window.partitionBy("t").orderBy("kennel_id"))).where(F.col("_at") <= each).select("kennel_id", F.col("t").alias("b"))
+    hits = met.join(asked.withColumnRenamed("t", "a"), "a").join(first, "b").withColumn("text_score", candidate_score(F.col("a"), F.array("b")))
     best = Window.partitionBy("found_id", "by").orderBy(F.desc("text_score"), "kennel_id")
     hits = hits.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= each).groupBy("found_id", "kennel_id").agg(F.max("text_score").alias("text_score"))
     rows = hits.join(found.drop("name", "slug"), "found_id").join(known.select("kennel_id", F.col("country").alias("k_country"), F.col("lat").alias("k_lat"), F.col("lng").alias("k_lng")), "kennel_id")

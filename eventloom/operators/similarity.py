@@ -9,6 +9,9 @@ A segment that very many texts of a group hold brings too many together. Such te
 segment, cut from what the first one left over, which must hold one that is untouched as well. What is still too common, or too short
 to be cut again, is dealt out in slices.
 
+Where one side of a group has at most ``FEW`` texts, all its pairs are compared, in slices: that grows as the other side does, and an index would cost
+more, for it cuts each text into hundreds of pieces.
+
 Null and empty texts are like nothing. Equal pairs are returned once, whatever number of segments they share.
 """
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 HOT = 1 << 22  # pairs of texts that meet by one segment at a place
+FEW = 1024
+DIRECT = 1 << 21  # pairs of a slice where all are compared
 EPSILON = 1e-9
 
 
@@ -136,6 +141,38 @@ def _hot(shorts: DataFrame, longs: DataFrame) -> DataFrame:
     return pairs.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("slices"))
 
 
+def _sizes(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Groups that both sides have, with the slices for all pairs of their different texts, the side that is dealt out, and whether they are ``few``."""
+    a, b = (df.groupBy(*group).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "_a"), (right, "_b")))
+    both = a.join(b, list(group)) if group else a.crossJoin(b)
+    pairs = F.col("_a").cast("double") * F.col("_b")
+    sizes = both.where("_a > 0 and _b > 0").select(*group, F.ceil(pairs / DIRECT).cast("int").alias("_slices"), (F.col("_a") >= F.col("_b")).alias("_left"), (F.least("_a", "_b") <= FEW).alias("_few"))
+    return written(sizes, "similar-sizes")
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Pairs (group, x, y) of all texts ``t`` of the two sides in the groups of ``sizes``."""
+    own, each = F.array(F.pmod(F.xxhash64("t"), F.col("_slices")).cast("int")), F.sequence(F.lit(0), F.col("_slices") - 1)
+
+    def side(df: DataFrame, dealt: Column, name: str) -> DataFrame:
+        met = df.join(sizes, list(group)) if group else df.crossJoin(F.broadcast(sizes))  # without a group it is one row
+        return met.select(*group, F.col("t").alias(name), F.explode(F.when(dealt, own).otherwise(each)).alias("_slice"))
+
+    return side(left, F.col("_left"), "x").join(side(right, ~F.col("_left"), "y"), [*group, "_slice"]).drop("_slice")
+
+
+def _split(left: DataFrame, right: DataFrame, group: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """All pairs of groups with few texts on one side, and the texts of both sides in other groups; None where there are none."""
+    sizes = _sizes(left, right, group)
+    kinds = {r[0] for r in sizes.select("_few").distinct().collect()}
+    pairs = _all_pairs(left, right, sizes.where("_few"), group) if True in kinds else None
+    if False not in kinds:
+        return pairs, None, None
+    if True in kinds:
+        left, right = (df.join(sizes.where("not _few").select(*group), list(group), "left_semi") for df in (left, right))
+    return pairs, left, right
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], least: float, text: str = "t") -> DataFrame:
     """Pairs (group, a, b) of different or equal texts of ``left`` and ``right`` that are ``least`` alike (over 0, up to 1). Both sides have the
     group's columns and ``text``."""
@@ -144,6 +181,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], least
     # few bytes of names make much work, so they are spread over as many tasks as shuffles have
     spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = written(side(left, 0).unionByName(side(right, 1)).repartition(spread, F.xxhash64(*group, "t")), "similar-texts")
+    direct, one, other = _split(both.where("side = 0"), both.where("side = 1"), group)
+    if direct is not None:
+        edits = F.floor((1 - least) * F.greatest(F.length("x"), F.length("y")) + EPSILON).cast("int")
+        direct = direct.withColumn("edits", edits).where("levenshtein(x, y, edits) >= 0").select(*group, F.col("x").alias("a"), F.col("y").alias("b"))
+    if one is None:
+        return both.select(*group, F.col("t").alias("a"), F.col("t").alias("b")).limit(0) if direct is None else direct
+    both = one.unionByName(other)
     lengths = both.select(*group, (1 - F.col("side")).alias("side"), F.length("t").alias("n")).distinct()
     # a key is a hash; what a collision brings together, the distance tells apart
     place = ("short", "long", "i", "segment")
@@ -163,7 +207,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], least
         twice, again = _second_cut(shorts.where("hot")).withColumn("key", key2), _second_probes(longs.where("hot")).withColumn("key", key2)
         pairs = _met(shorts.where("not hot"), longs.where("not hot"), group, hot).unionByName(_met(twice, again, group, written(_hot(twice, again), "similar-hot")))
     of = lambda s: F.when(F.col("x_side") == s, F.col("x")).otherwise(F.col("y"))
-    return pairs.where(near).select(*group, of(0).alias("a"), of(1).alias("b")).distinct()
+    pairs = pairs.where(near).select(*group, of(0).alias("a"), of(1).alias("b")).distinct()
+    return pairs if direct is None else pairs.unionByName(direct)
 
 
 def holding_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], shortest: int, share: float, text: str = "t") -> DataFrame:
@@ -180,5 +225,14 @@ def holding_pairs(left: DataFrame, right: DataFrame, group: Sequence[str], short
         parts = parts.select(*group, F.col("t").alias("y"), F.substring("t", F.col("at"), F.col("size")).alias("x")).distinct()
         return side(shorter).where(n >= shortest).withColumnRenamed("t", "x").join(parts, [*group, "x"])
 
+    direct, one, other = _split(side(left), side(right), group)
+    if direct is not None:
+        x, y = F.length("x"), F.length("y")
+        long_enough = (F.least(x, y) >= shortest) & (F.least(x, y) >= F.ceil(share * F.greatest(x, y) - EPSILON))
+        direct = direct.where(long_enough & (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x")))).select(*group, F.col("x").alias("a"), F.col("y").alias("b"))
+    if one is None:
+        return side(left).select(*group, F.col("t").alias("a"), F.col("t").alias("b")).limit(0) if direct is None else direct
+    left, right = (df.withColumnRenamed("t", text) for df in (one, other))
     one = held(left, right).select(*group, F.col("x").alias("a"), F.col("y").alias("b"))
-    return one.unionByName(held(right, left).select(*group, F.col("y").alias("a"), F.col("x").alias("b"))).distinct()
+    found = one.unionByName(held(right, left).select(*group, F.col("y").alias("a"), F.col("x").alias("b"))).distinct()
+    return found if direct is None else found.unionByName(direct)

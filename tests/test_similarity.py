@@ -94,3 +94,30 @@ def test_discovery_equals_all_pairs(spark):
         expected |= {(i, j): v for v, j in ranked}
     got = {(r.found_id, r.kennel_id): r.score for r in linking.discovery_matches(f, k).collect()}
     assert got == expected and (90, 90) in got
+
+
+@pytest.mark.parametrize("few", [0, 5, 1024])
+def test_groups_with_few_texts_on_one_side_are_compared_directly(spark, monkeypatch, few):
+    monkeypatch.setattr(similarity, "FEW", few)
+    cuts, plain = [], similarity._cut
+    monkeypatch.setattr(similarity, "_cut", lambda *a: cuts.append(1) or plain(*a))
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(4, 9)))
+    left = {(g, text()) for g, n in ((0, 4), (1, 40), (2, 40)) for _ in range(n)}
+    right = {(g, text()) for g, n in ((0, 40), (1, 40), (3, 9)) for _ in range(n)}
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "g int, t string")
+    limit = lambda a, b: int(0.4 * max(len(a), len(b)) + 1e-9)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = sorted((g, a, b) for g, a in left for h, b in right if g == h and distance(a, b) <= limit(a, b))
+    got = sorted(tuple(r) for r in similarity.similar_pairs(frame(left), frame(right), ["g"], 0.6).select("g", "a", "b").collect())
+    assert got == want and len(cuts) == (few < 1024)
+    hold = sorted((g, a, b) for g, a in left for h, b in right if g == h and (a in b or b in a) and 5 <= min(len(a), len(b)))
+    assert sorted(tuple(r) for r in similarity.holding_pairs(frame(left), frame(right), ["g"], 5, 0.3).select("g", "a", "b").collect()) == hold

@@ -123,19 +123,26 @@ def same_day_match(incoming: DataFrame, existing: DataFrame, ordinal: str = "ord
     """The event of each incoming row on its (kennel_id, date): by URL, else run number, else start time, else title;
     a tier counts if it has exactly one candidate. A slot's sole event is taken where no tier speaks against it.
 
-    Events are counted by slot and by each tier's value first, so a row meets one row for each tier, however many events its slot has."""
+    Events are counted by slot and by each tier's value first, so a row meets one row for each tier, however many events its slot has. What
+    rows ask is made distinct before, so the rows themselves are shuffled once to meet their answers and once by ordinal, not for each tier."""
     slot = ["kennel_id", "date"]
     norm = lambda c: F.lower(F.trim(c))
     tiers = {"url": F.col("source_url"), "run": F.col("run_number"), "time": F.col("start_time"), "title": norm(F.col("title"))}
-    rows = incoming.select(ordinal, *slot, *(c.alias(f"v_{t}") for t, c in tiers.items()))
+    ask = [*slot, *(f"v_{t}" for t in tiers)]
+    incoming = incoming.select(ordinal, *slot, *(c.alias(f"v_{t}") for t, c in tiers.items()))
+    rows = incoming.select(*ask).distinct()
     slots = existing.groupBy(*slot).agg(F.count("event_id").alias("candidates"), F.min("event_id").alias("sole"), F.count("run_number").alias("runs"))
     rows = rows.join(slots, slot, "left")
     for t, c in tiers.items():
         values = existing.select(*slot, "event_id", c.alias(f"v_{t}")).where(F.col(f"v_{t}").isNotNull())
         rows = rows.join(values.groupBy(*slot, f"v_{t}").agg(F.count("event_id").alias(f"n_{t}"), F.min("event_id").alias(f"id_{t}")), [*slot, f"v_{t}"], "left")
     other = F.when(F.col("v_run").isNotNull(), F.coalesce("runs", F.lit(0)) - F.coalesce("n_run", F.lit(0))).otherwise(0)
+    # a row that asks as others do has their answer; one without candidates needs none
+    told = rows.withColumn("other", other).where(F.col("candidates") > 0)
+    told = told.select(*ask, "candidates", "sole", "other", *(c for t in tiers for c in (f"n_{t}", f"id_{t}")))
+    rows = incoming.join(told, _equal(incoming, told, ask), "left").select(incoming[ordinal], *(c for c in told.columns if c not in ask))
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
-    picked = rows.withColumn("other", other).groupBy(ordinal).agg(total("candidates").alias("candidates"), F.min("sole").alias("sole"), total("other").alias("other_runs"), *(x for t in tiers for x in (total(f"n_{t}").alias(f"n_{t}"), F.min(f"id_{t}").alias(f"id_{t}"))))
+    picked = rows.groupBy(ordinal).agg(total("candidates").alias("candidates"), F.min("sole").alias("sole"), total("other").alias("other_runs"), *(x for t in tiers for x in (total(f"n_{t}").alias(f"n_{t}"), F.min(f"id_{t}").alias(f"id_{t}"))))
     chosen = F.coalesce(*(F.when(F.col(f"n_{t}") == 1, F.col(f"id_{t}")) for t in tiers), F.when((F.col("candidates") == 1) & (F.col("other_runs") == 0), F.col("sole")))
     tier = F.coalesce(*(F.when(F.col(f"n_{t}") == 1, t) for t in tiers), F.when((F.col("candidates") == 1) & (F.col("other_runs") == 0), "sole"), F.lit("new"))
     return picked.select(ordinal, chosen.alias("event_id"), tier.alias("tier"))
@@ -208,17 +215,59 @@ def assign_one_to_one(pairs: DataFrame, slot: Sequence[str]) -> DataFrame:
     return _in_order(small.unionByName(left), slot).unionByName(taken)
 
 
+TITLE_PAIRS = 1 << 26  # different titles of both sides that are compared with each other
+FIRST = 8  # candidates that a row looks at before the others
+
+
 def fuzzy_window_duplicates(incoming: DataFrame, existing: DataFrame, days: int = 2, title_distance: int = 4, minutes: int = 120, place_distance: int = 8) -> DataFrame:
-    """The event that an incoming row repeats within ``days`` days: near title (of four characters or more), equal
-    or missing run number, near time and place, another source; the most trusted first."""
-    e = existing.select("kennel_id", F.col("date").alias("e_date"), "event_id", "trust", *(F.col(c).alias(f"e_{c}") for c in ("source_id", "title", "run_number", "start_time", "location")))
-    pairs = interval_join(incoming, e, ["kennel_id"], "date", "e_date", days)
+    """The event (ordinal, event_id) that an incoming row repeats within ``days`` days: near title (of four characters or more), equal
+    or missing run number, near time and place, another source; the most trusted first, then the nearest in days.
+
+    Different titles are compared first. The ``FIRST`` events of each kennel, day and asked title are listed in the order of choice, so a row that fits one of
+    them has its best without meeting the others; only rows that fit none of a list that goes on meet all events of their window. Where
+    there are too many different titles to be compared, all rows do."""
     low = lambda c: F.lower(F.trim(c))
-    near = lambda a, b, t: F.levenshtein(low(F.col(a)), low(F.col(b)), t) >= 0
-    ok = (F.length(F.trim("title")) >= 4) & near("title", "e_title", title_distance) & (F.col("source_id") != F.col("e_source_id"))
-    for a, b, c in (("run_number", "e_run_number", F.col("run_number") == F.col("e_run_number")), ("start_time", "e_start_time", D.time_gap_minutes(F.col("start_time"), F.col("e_start_time")) <= minutes), ("location", "e_location", near("location", "e_location", place_distance))):
-        ok = ok & (F.col(a).isNull() | F.col(b).isNull() | F.coalesce(c, F.lit(False)))
-    return pick_best(pairs.where(ok), ["ordinal"], [F.desc("trust"), F.abs(F.datediff("date", "e_date")), F.col("event_id")])
+    side = lambda df, *own: df.select(*own, "kennel_id", "date", "source_id", low("title").alias("title"), "run_number", F.col("start_time").isNotNull().alias("timed"), D.minutes_of(F.col("start_time")).alias("minute"), low("location").alias("location"))
+    asked = side(incoming, "ordinal").where("length(title) >= 4 and source_id is not null")
+    e = side(existing, "event_id", "trust").where("title is not null and source_id is not null").withColumnRenamed("date", "e_date")
+
+    def fits(row, event) -> Column:
+        time = ~row("timed") | ~event("timed") | F.coalesce(F.abs(row("minute") - event("minute")) <= minutes, F.lit(False))
+        run = row("run_number").isNull() | event("run_number").isNull() | (row("run_number") == event("run_number"))
+        place = row("location").isNull() | event("location").isNull() | (F.levenshtein(row("location"), event("location"), place_distance) >= 0)
+        return (row("source_id") != event("source_id")) & run & time & place
+
+    order = lambda gap: F.struct(F.col("trust").isNull().alias("none"), (-F.col("trust")).alias("trust"), gap.alias("gap"), "event_id")
+    attributes = ["source_id", "run_number", "timed", "minute", "location"]
+
+    def among_all(rows: DataFrame, near: DataFrame | None) -> DataFrame:
+        events = e.select("kennel_id", "e_date", "event_id", "trust", *(F.col(c).alias(f"e_{c}") for c in ("title", *attributes)))
+        pairs = interval_join(rows, events, ["kennel_id"], "date", "e_date", days)
+        pairs = pairs.where(F.levenshtein("title", "e_title", title_distance) >= 0) if near is None else pairs.join(near, ["title", "e_title"])
+        pairs = pairs.where(fits(F.col, lambda c: F.col(f"e_{c}")))
+        return pairs.groupBy("ordinal").agg(F.min(order(F.abs(F.datediff("date", "e_date")))).alias("found"))
+
+    ours, theirs = written(asked.select("title").distinct(), "asked-titles"), written(e.select(F.col("title").alias("e_title")).distinct(), "event-titles")
+    if ours.count() * theirs.count() > TITLE_PAIRS:
+        return among_all(asked, None).select("ordinal", "found.event_id")
+    near = written(ours.crossJoin(theirs).where(F.levenshtein("title", "e_title", title_distance) >= 0), "near-titles")
+
+    def firsts(rows: DataFrame, slot: Sequence[str]) -> DataFrame:
+        best = Window.partitionBy(*slot).orderBy("order")
+        return rows.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= FIRST + 1)
+
+    listed = e.withColumnRenamed("title", "e_title").join(near, "e_title").drop("e_title")
+    listed = firsts(listed.withColumn("order", order(F.lit(0))), ["kennel_id", "e_date", "title"])
+    listed = listed.withColumn("_gap", F.explode(F.array(*(F.lit(d) for d in range(-days, days + 1) if d)))).withColumn("date", F.date_add("e_date", F.col("_gap")))
+    slot = ["kennel_id", "date", "title"]
+    listed = firsts(listed.withColumn("order", order(F.abs("_gap"))), slot)
+    lists = listed.groupBy(*slot).agg(F.array_sort(F.collect_list(F.struct("order", *attributes))).alias("listed"))  # FIRST + 1 at most
+    found = F.get(F.filter(F.slice("listed", 1, FIRST), lambda x: fits(F.col, lambda c: x[c])), F.lit(0))["order"]
+    told = asked.join(lists, slot).withColumn("found", found)
+    more = F.col("found").isNull() & (F.size("listed") > FIRST)
+    told = written(told.where(F.col("found").isNotNull() | more).select("ordinal", *slot, *attributes, "found"), "first-candidates")
+    chosen = told.where("found is not null").select("ordinal", "found").unionByName(among_all(told.where("found is null").drop("found"), near))
+    return chosen.groupBy("ordinal").agg(F.min("found").alias("found")).select("ordinal", "found.event_id")
 
 
 # Fixed value: names of activities that say nothing.

@@ -1,9 +1,10 @@
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import linking, similarity
+from eventloom.operators import linking, matching, similarity
 
 
 def distance(a, b):
@@ -121,3 +122,39 @@ def test_groups_with_few_texts_on_one_side_are_compared_directly(spark, monkeypa
     assert got == want and len(cuts) == (few < 1024)
     hold = sorted((g, a, b) for g, a in left for h, b in right if g == h and (a in b or b in a) and 5 <= min(len(a), len(b)))
     assert sorted(tuple(r) for r in similarity.holding_pairs(frame(left), frame(right), ["g"], 5, 0.3).select("g", "a", "b").collect()) == hold
+
+
+@pytest.mark.parametrize("first, most", [(8, 1 << 26), (1, 1 << 26), (8, 0)])
+def test_fuzzy_window_finds_the_first_that_fits(spark, monkeypatch, first, most):
+    monkeypatch.setattr(matching, "FIRST", first)
+    monkeypatch.setattr(matching, "TITLE_PAIRS", most)
+    rng = random.Random(4)
+    day = datetime.date(2024, 1, 1)
+    title = lambda: rng.choice(["Red run", "red  run ", "Blue moon trail", "blue moon", "abc", None])
+    row = lambda i: (i, rng.randrange(2), day + datetime.timedelta(rng.randrange(6)), rng.choice([1, 2, None]), title(), rng.choice([1, 2, None]), rng.choice(["10:00", "13:30", "x", None]), rng.choice(["park", "harbour side house", None]))
+    a, b = [row(i % 50) for i in range(60)], [(*row(i), rng.choice([1, 2, None])) for i in range(60)]
+    minute = lambda t: None if t == "x" else int(t[:2]) * 60 + int(t[3:])
+
+    def fits(x, y):
+        gap = abs((x[2] - y[2]).days)
+        time = x[6] is None or y[6] is None or ("x" not in (x[6], y[6]) and abs(minute(x[6]) - minute(y[6])) <= 120)
+        place = x[7] is None or y[7] is None or distance(x[7], y[7]) <= 8
+        return x[1] == y[1] and 1 <= gap <= 2 and x[4] and y[4] and len(x[4].strip()) >= 4 and distance(x[4].strip().lower(), y[4].strip().lower()) <= 4 and None not in (x[3], y[3]) and x[3] != y[3] and (x[5] is None or y[5] is None or x[5] == y[5]) and time and place
+
+    want = {}
+    for x in a:
+        for y in b:
+            if fits(x, y):
+                key = (y[8] is None, -(y[8] or 0), abs((x[2] - y[2]).days), y[0])
+                want[x[0]] = min(want.get(x[0], key), key)
+    schema = "kennel_id int, date date, source_id int, title string, run_number int, start_time string, location string"
+    out = matching.fuzzy_window_duplicates(spark.createDataFrame(a, f"ordinal int, {schema}"), spark.createDataFrame(b, f"event_id int, {schema}, trust int"))
+    assert len(want) > 5 and {r.ordinal: r.event_id for r in out.collect()} == {o: k[3] for o, k in want.items()}
+
+
+def test_same_day_rows_that_ask_alike_have_one_answer_each(spark):
+    schema = "kennel_id int, date string, source_url string, run_number int, start_time string, title string"
+    incoming = spark.createDataFrame([(1, 1, "d", None, 5, None, None), (2, 1, "d", None, 5, None, None), (3, 1, "d", None, 6, None, None), (4, None, "d", None, 5, None, None), (4, 1, "d", None, 5, None, None)], f"ordinal int, {schema}")
+    existing = spark.createDataFrame([(9, 1, "d", "u", 5, "10:00", "t")], f"event_id int, {schema}")
+    out = matching.same_day_match(incoming, existing)
+    assert {tuple(r) for r in out.collect()} == {(1, 9, "run"), (2, 9, "run"), (3, None, "new"), (4, 9, "run")}

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, hashed_words, rows_of, stored, windows
+from .common import free_name, hashed_words, holding, rows_of, stored, windows
 from .components import components
 
 MAP_BITS = 23  # a bitmap has 2**23 bits, one MiB
@@ -121,6 +121,7 @@ def _sets(documents: DataFrame, width: int, emit, schema: str, ids=None) -> Data
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard")
         seen = set()
         for batch in batches:
             if ids is not None:
@@ -143,6 +144,7 @@ def _first_keys(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """key: shingles that may be in a boundary, of each different set that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard")
         seen = set()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -163,6 +165,7 @@ def _exploded(rows: DataFrame, wanted=None) -> DataFrame:
     """node, key for each boundary shingle in ``keys``; ``wanted``: a broadcast bitmap to look them up in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard")
         for nodes, keys in rows_of(batches, "node", "keys"):
             for a in range(0, len(nodes), 500):
                 counts = np.array([len(k) // 8 for k in keys[a : a + 500]])
@@ -220,6 +223,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = pairs.join(sets.select("node", F.col("shingles").alias("own")), "node").join(right, "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard")
         for batch in batches:
             n = batch.num_rows
             own, theirs = batch.column(batch.schema.get_field_index("own")), batch.column(batch.schema.get_field_index("theirs"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, holding, stored
 
 FEATURE_BITS = 20
 MAX_TRAIN_BYTES = 256 << 20  # of features of rated documents
@@ -81,6 +81,11 @@ class WordShapes(dict):
 _FEATURES, _SHAPES = WordFeatures(), WordShapes()
 
 
+def _release() -> None:
+    _FEATURES.clear()
+    _SHAPES.clear()
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted ids of the features that a text has: its words and prefixes, the share (by powers of
     two, to 1/16) of each word shape, and the share of words that repeat the one before."""
@@ -178,7 +183,12 @@ def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 12_000,
     features go; features are extracted on the executors, and the driver holds ids of features only."""
     # a limit of max_train_rows rows of two numbers: the broadcast is bounded
     rated = F.broadcast(grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows))
-    extract = F.pandas_udf(lambda s: pd.Series([features(t).tobytes() for t in s]), "binary")
+
+    def extracted(texts: pd.Series) -> pd.Series:
+        holding("ordinal", _release)
+        return pd.Series([features(t).tobytes() for t in texts])
+
+    extract = F.pandas_udf(extracted, "binary")
     chosen = documents.select("doc_id", F.col(text_col).alias("text")).join(rated, "doc_id")
     told = stored(chosen.select("doc_id", "grade", extract("text").alias("x")).groupBy("doc_id", "grade").agg(F.min("x").alias("x")), "ordinal-features")
     # the sample is bounded in bytes as well: a window over its bounded rows
@@ -193,6 +203,7 @@ def score(documents: DataFrame, model: OrdinalModel, min_tail: float = 0.7, text
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a weight for each feature of the bounded sample
 
     def tails(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        holding("ordinal", _release)
         for texts in batches:
             p = shared.value.tails(np.array([shared.value.margin(features(t)) for t in texts]))
             yield pd.DataFrame({"p1": p[:, 0], "p2": p[:, 1]})

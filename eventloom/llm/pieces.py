@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MUL, mixed
+from .common import MUL, holding, mixed
 
 MARK = "▁"
 LONG = 64
@@ -256,8 +256,8 @@ class Encoder:
             if len(c) == 1 and ord(c) < 65536:
                 self.characters[ord(c)] = i
 
-    LIMIT = 300_000  # segments that a Python worker remembers
-    KEPT = 600_000  # and encodings
+    LIMIT = 100_000  # segments that a Python worker remembers
+    KEPT = 200_000  # and encodings
 
     def _forget(self) -> None:
         self.known, self.slots, self.flat, self.used = _Codes(), _Codes(), np.empty(1 << 16, np.int32), 0
@@ -408,8 +408,14 @@ _MODELS: dict[str, Model] = {}
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+def _release() -> None:
+    _MODELS.clear()
+    _ENCODERS.clear()
+
+
 def encoder_for(path: str, rate: float, seed: int, variants: int | None) -> Encoder:
-    """A Python worker's model and encoder, kept from one task to the next."""
+    """A Python worker's model and encoder, kept from one task to the next until another operator has the worker."""
+    holding("pieces", _release)
     model = _MODELS.get(path) or _MODELS.setdefault(path, Model(path))
     key = (path, rate, seed, variants)
     return _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(model, rate, seed, variants))

@@ -89,3 +89,16 @@ def test_forgetting_changes_nothing(model, limit, kept):
     for i in range(0, len(own), 20):
         a, b = (list(e.encode(ids[i : i + 20], own[i : i + 20])) for e in (whole, small))
         assert all(x.tolist() == y.tolist() for x, y in zip(a, b, strict=True))
+
+
+def test_another_operator_in_the_worker_empties_the_encoder():
+    from eventloom.llm import common
+
+    common.holding("other")
+    text = "some words of some text"
+    ids = next(iter(p.encoder_for(PATH, 0.1, 17, None).encode([1], [text]))).tolist()
+    assert p.encoder_for(PATH, 0.1, 17, None) is p.encoder_for(PATH, 0.1, 17, None)
+    assert p._MODELS and p._ENCODERS
+    common.holding("other")
+    assert not p._MODELS and not p._ENCODERS
+    assert next(iter(p.encoder_for(PATH, 0.1, 17, None).encode([1], [text]))).tolist() == ids

@@ -51,3 +51,19 @@ def test_no_pattern_and_no_rules(spark):
     with pytest.raises(ValueError):
         found(spark, [(1, 1, "a")], [(1, 1, "(", False, ["t"])])
     assert found(spark, [(1, 1, "a")], []) == {1: []}
+
+
+def test_no_task_or_driver_holds_all_rules(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rules with a required text are held together")
+
+    monkeypatch.setattr(R, "Matcher", refuse)
+    rules = [(None, i, rf"\bevent {i}$", False, [f"t{i}"]) for i in range(3000)]
+    rows = [(i, 0, f"the event {i * 7}") for i in range(300)] + [(300, None, "The EVENT 5"), (301, 0, None)]
+    assert found(spark, rows, rules) == brute(rows, rules)
+
+
+def test_letters_of_one_case_fold_and_rules_without_ordinal(spark):
+    rows = [(1, 0, "R\u0130SE"), (2, 0, "ri\u017fe"), (3, 0, "r\u0131se"), (4, None, "rise \u00fc"), (5, 0, "")]
+    rules = [(None, None, "rise", False, ["last"]), (None, 3, "ri", False, ["first"]), (0, 1, "zz|e$", True, [])]
+    assert found(spark, rows, rules) == brute(rows, rules)

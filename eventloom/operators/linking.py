@@ -15,6 +15,8 @@ from .matching import interval_join
 from .similarity import holding_pairs, similar_pairs
 from .windows import pick_best
 
+TASK_ROWS = 1 << 20
+
 
 def routed_tags(rows: DataFrame, text: str, rules: Sequence[tuple[str, str | Sequence[str]]]) -> Column:
     """Tags that ordered rules (pattern, tag or list of tags) give a text: the union of the lists that fit; else the first
@@ -31,7 +33,8 @@ def theme_twins(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """The one event of another source with the incoming row's theme on its (kennel_id, date); where the incoming theme is
     empty, the day's only themed event; where the day's only event has none, that one. Columns of both: kennel_id, date, source_id, theme; ordinal; event_id.
 
-    Events are counted by slot, by theme and by source first; a theme's two first sources are enough to name the one event that isn't of the row's own."""
+    Events are counted by slot, by theme and by source first; a theme's two first sources are enough to name the one event that isn't of the row's own.
+    Rows are dealt by ordinal to tasks of about ``TASK_ROWS`` and summed there by numbers alone, so no task sorts its share of the input."""
     slot = ["kennel_id", "date"]
     real = F.col("theme") != ""
     slots = existing.groupBy(*slot).agg(F.count(F.lit(1)).alias("n"), F.count_if(real).alias("n_real"), F.min(F.when(real, F.col("event_id"))).alias("real"), F.min("event_id").alias("any"))
@@ -43,8 +46,12 @@ def theme_twins(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     # with one event of another source, that source is the least or the greatest of at most two
     same = F.when(n_same == 1, F.when(F.col("low.source_id") != F.col("source_id"), F.col("low.id")).otherwise(F.col("high.id")))
     rows = rows.withColumns({"n_same": n_same, "same": same})
-    told = rows.groupBy("ordinal").agg(F.sum("n").alias("n"), F.min("theme").alias("theme"), F.sum("n_same").alias("n_same"), F.min("same").alias("same"), F.sum("n_real").alias("n_real"), F.min("real").alias("real"), F.min("any").alias("any"))
-    found = F.when(F.col("n_same") == 1, F.col("same")).when((F.col("theme") == "") & (F.col("n_real") == 1), F.col("real")).when((F.col("theme") != "") & (F.col("n") == 1) & (F.col("n_real") == 0), F.col("any"))
+    # the least theme is empty or not: 0 or 1 in its place are summed without a sort
+    themed = F.when(F.col("theme") == "", 0).when(F.col("theme") != "", 1).alias("themed")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, incoming.count() // TASK_ROWS + 1)
+    rows = rows.select("ordinal", "n", themed, "n_same", "same", "n_real", "real", "any").repartition(tasks, "ordinal")
+    told = rows.groupBy("ordinal").agg(F.sum("n").alias("n"), F.min("themed").alias("themed"), F.sum("n_same").alias("n_same"), F.min("same").alias("same"), F.sum("n_real").alias("n_real"), F.min("real").alias("real"), F.min("any").alias("any"))
+    found = F.when(F.col("n_same") == 1, F.col("same")).when((F.col("themed") == 0) & (F.col("n_real") == 1), F.col("real")).when((F.col("themed") == 1) & (F.col("n") == 1) & (F.col("n_real") == 0), F.col("any"))
     return told.select("ordinal", found.alias("event_id")).where("event_id is not null")
 
 

@@ -210,6 +210,18 @@ def test_theme_twins_and_same_day_match_count_values(spark):
     assert {(r.ordinal, r.event_id) for r in linking.theme_twins(incoming, existing).collect()} == {(1, 12), (4, 20)}
 
 
+def test_theme_twins_sums_by_numbers_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from eventloom.operators import linking
+
+    monkeypatch.setattr(linking, "TASK_ROWS", 10)
+    existing = spark.createDataFrame([(1, "d", 1, "a", 10), (2, "d", 1, "", 20)], "kennel_id int, date string, source_id int, theme string, event_id int")
+    incoming = spark.createDataFrame([(1, "d", 2, "a", i) for i in range(100)] + [(2, "d", 2, None, 200), (2, "d", 2, "b", 200), (1, "d", 1, "", 201), (1, "d", 1, "b", 202)], "kennel_id int, date string, source_id int, theme string, ordinal int")
+    found = linking.theme_twins(incoming, existing)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(theme#" not in plan and "RepartitionByExpression [ordinal" in plan and ", 11" in plan
+    assert {(r.ordinal, r.event_id) for r in found.collect()} == {(i, 10) for i in range(100)} | {(201, 10)}
+
+
 def test_snapshots_of_one_id_are_judged_each_for_itself(spark):
     day = date(2024, 5, 1)
     snaps = spark.createDataFrame([(1, 7, day, [1]), (1, 7, day, [2]), (1, 8, day, [1]), (None, 7, day, [1])], "snapshot_id int, kennel_id int, date date, sources array<int>")

@@ -12,6 +12,8 @@ from ..streaming import runs as S
 from ..streaming import timed
 from .registry import Tables, query
 
+LANDING_ROWS = 100_000  # of a file, at the least
+
 
 def _stream(t: Tables) -> DataFrame:
     return S.landed(t.spark, f"{t.sf_dir}/events.parque[t]", t.events.schema)  # a pattern, for a stream wants folders, and this may be a file
@@ -88,9 +90,13 @@ def stream_timed_alerts(t: Tables) -> DataFrame:
     rows = t.events.select((F.col("user_id") % 60).alias("source_id"), F.lit("health").alias("type"), F.col("ts").cast("timestamp").alias("at"), action.alias("action"), F.col("event_id").alias("ordinal"))
     landing = F.least(F.lit(2), F.floor((F.dayofmonth("at") - 1) / 10)) + (F.col("ordinal") % 5 == 0).cast("int")
     folder = shared_folder(t.spark, "timed-landings")
+    # all landings have the same number of files, a batch's, and enough rows that no file is missing
+    sizes = {r["i"]: r["count"] for r in rows.groupBy(landing.alias("i")).count().collect()}
+    files = 1 + min(sizes.get(i, 0) for i in range(4)) // LANDING_ROWS
     for i in range(4):
-        rows.where(landing == i).coalesce(1).write.mode("append").parquet(folder)
-    stream = S.landed(t.spark, folder, rows.schema, 1)
+        own = rows.where(landing == i)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(folder)
+    stream = S.landed(t.spark, folder, rows.schema, files)
     with timed.stores(t.spark):
         found = S.drained(timed.timed_alerts(stream, 2 * 86400, "21 days", 10**9), "timed-alerts", "update")
     return S.latest(found.drop("at", "reason"), ["source_id", "type"]).select("source_id", "status", "opened", "reopened")

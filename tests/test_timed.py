@@ -59,3 +59,11 @@ def test_the_provider_is_set_back(spark):
     with timed.stores(spark):
         assert spark.conf.get(timed.PROVIDER) == timed.ROCKSDB
     assert spark.conf.get(timed.PROVIDER) == before
+
+
+def test_newer_rows_are_few_values_of_the_store(monkeypatch):
+    monkeypatch.setattr(timed, "PACK", 4)
+    rows = [(i, -i, a) for i, a in enumerate(["raised", "ack", "snooze", "cleared", "other"] * 2)]
+    values = timed.packed(rows)
+    assert len(values) == 3 and timed.unpacked(values) == rows
+    assert timed.unpacked(timed.packed([(1, 2, "what")])) == [(1, 2, "other")] and timed.packed([]) == []

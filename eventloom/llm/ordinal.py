@@ -49,40 +49,61 @@ def _bucket(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{value}") >> (64 - FEATURE_BITS)
 
 
+class CharacterShapes(dict):
+    """Code point -> what stands for it in a shape."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        value = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        if point < 65536:
+            self[point] = value
+        return value
+
+
+_CHARACTERS = CharacterShapes()
+
+
 def shape_of(word: str) -> str:
     """Letter cases, digits and other characters of a word, runs collapsed."""
-    return RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+    return RUN.sub(r"\1", word.translate(_CHARACTERS))
 
 
-class WordFeatures(dict):
-    """Word -> feature ids of its letters, and of their first four and five."""
+class Words(dict):
+    """Word -> feature ids of its letters, and of their first four and five; its shape."""
 
-    LIMIT = 100_000
+    LIMIT, LONGEST = 100_000, 64
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        core = "".join(CORE.findall(word.lower()))
-        value = (_bucket("w", core), *(_bucket("p", core[:k]) for k in (4, 5) if len(core) > k)) if core else ()
-        self[word] = value
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
+        lower = word.lower()
+        core = lower if lower.isalpha() else "".join(CORE.findall(lower))
+        ids = (_bucket("w", core), *(_bucket("p", core[:k]) for k in (4, 5) if len(core) > k)) if core else ()
+        value = ids, _SHAPES[word.translate(_CHARACTERS)]
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
 
-class WordShapes(dict):
-    LIMIT = 100_000
+class Shapes(dict):
+    """Shape with its runs -> the first characters of the shape without."""
+
+    LIMIT, LONGEST = 100_000, 64
 
-    def __missing__(self, word: str) -> str:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = shape_of(word)[:8]
+    def __missing__(self, shape: str) -> str:
+        value = RUN.sub(r"\1", shape)[:8]
+        if len(shape) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[shape] = value
         return value
 
 
-_FEATURES, _SHAPES = WordFeatures(), WordShapes()
+_WORDS, _SHAPES = Words(), Shapes()
 
 
 def _release() -> None:
-    _FEATURES.clear()
+    _WORDS.clear()
     _SHAPES.clear()
 
 
@@ -92,11 +113,12 @@ def features(text: str | None) -> np.ndarray:
     words = text.split() if text else []
     if not words:
         return np.empty(0, np.int32)
-    found = set()
-    for ids in map(_FEATURES.__getitem__, set(words)):
+    found: set[int] = set()
+    shares = {"repeat": sum(map(operator.eq, words, words[1:]))}
+    for word, n in Counter(words).items():
+        ids, shape = _WORDS[word]
         found.update(ids)
-    shares = Counter(map(_SHAPES.__getitem__, words))
-    shares["repeat"] = sum(map(operator.eq, words, words[1:]))
+        shares[shape] = shares.get(shape, 0) + n
     for shape, n in shares.items():
         level, at = 0, n
         while at < len(words) and level < 5:

@@ -121,3 +121,47 @@ def test_fit_holds_little_more_than_its_rows():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 3.5 * sum(r.nbytes for r in rows) + (32 << 20)
+
+
+def test_new_words_of_known_shapes_cost_no_search(monkeypatch):
+    """A corpus brings ever new words: neither their letters nor their shapes may be searched word by word."""
+    calls = []
+
+    class Counting:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.pattern, name)
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("abcdefgé", k=rng.randint(3, 9))) for _ in range(3000)})
+    want = o.features(" ".join(words)).tolist()
+    o._release()
+    monkeypatch.setattr(o, "CORE", Counting(o.CORE))
+    monkeypatch.setattr(o, "RUN", Counting(o.RUN))
+    assert o.features(" ".join(words)).tolist() == want and len(words) > 2000
+    assert len(calls) < 20
+
+
+def test_features_of_odd_words_by_hand():
+    import re
+
+    def by_hand(text):
+        found, shares, words = set(), {}, text.split()
+        for w in words:
+            core = "".join(re.findall(r"[^\W\d_]+", w.lower()))
+            found |= {o._bucket("w", core), *(o._bucket("p", core[:k]) for k in (4, 5) if len(core) > k)} if core else set()
+            shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w))[:8]
+            shares[shape] = shares.get(shape, 0) + 1
+        shares["repeat"] = shares.get("repeat", 0) * 0 + sum(x == y for x, y in zip(words, words[1:], strict=False))
+        for shape, n in shares.items():
+            found |= {o._bucket("s", f"{shape}:{k}") for k in range(5) if n * 2**k >= len(words)}
+        return sorted(found)
+
+    rng = random.Random(3)
+    odd = ["İstanbul", "ǅ", "x²", "Ⅷ", "a_b", "٣٤", "字字", "😀😀", "ßẞ", "it's", "--", "0", "AAA", "ée", "z" * 200, "Q" * 70 + "!", "\x00", "𝒳𝒳y", "#" * 90]
+    for _ in range(60):
+        text = " ".join(rng.choices(odd, k=rng.randint(1, 30)))
+        assert o.features(text).tolist() == by_hand(text), text

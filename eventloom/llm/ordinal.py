@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, holding, stored
+from .common import free_name, given_back, holding, stored
 
 FEATURE_BITS = 20
 MAX_TRAIN_BYTES = 256 << 20  # of features of rated documents
@@ -217,7 +217,11 @@ def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 12_000,
     upto = F.sum(F.octet_length("x").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     got = told.withColumn("upto", upto).where(F.col("upto") <= max_train_bytes).select("doc_id", "grade", "x").toArrow()
     order = np.argsort(got["doc_id"].to_numpy()).tolist()
-    return fit([np.frombuffer(got["x"][i].as_buffer(), np.int32) for i in order], got["grade"].to_numpy().astype(np.int64)[order])
+    rows, grades = [np.frombuffer(got["x"][i].as_buffer(), np.int32) for i in order], got["grade"].to_numpy().astype(np.int64)[order]
+    model = fit(rows, grades)
+    del got, rows
+    given_back()  # the driver lives on: later operators would run beside the memory of this fit
+    return model
 
 
 def score(documents: DataFrame, model: OrdinalModel, min_tail: float = 0.7, text_col: str = "text") -> DataFrame:

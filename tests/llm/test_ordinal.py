@@ -165,3 +165,11 @@ def test_features_of_odd_words_by_hand():
     for _ in range(60):
         text = " ".join(rng.choices(odd, k=rng.randint(1, 30)))
         assert o.features(text).tolist() == by_hand(text), text
+
+
+def test_the_driver_gives_back_the_memory_of_the_fit(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(o, "given_back", lambda: called.append(1), raising=False)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(40, 5)], "doc_id long, text string")
+    o.train(docs, spark.createDataFrame([(i, min(g, 1), int(g == 1)) for i, _, g in corpus(40, 5)], "doc_id long, quality int, toxic int"))
+    assert called

@@ -285,6 +285,19 @@ def test_roster_scope_shuffles_no_pairs(spark):
     assert not plan.lstrip().startswith("Aggregate") and "Union" in plan.split("\n")[0]
 
 
+def test_roster_scope_moves_packed_members(spark, monkeypatch):
+    monkeypatch.setattr(K, "SCOPE_PAIRS", 40, raising=False)  # the slices that each member was copied to
+    monkeypatch.setattr(K, "SCOPE_BLOCK", 7, raising=False)
+    monkeypatch.setattr(K, "SCOPE_SLICE", 5, raising=False)
+    rows = [(i, i % 3) for i in range(90)] + [(i, 9) for i in range(0, 90, 4)] + [(i, 1) for i in range(0, 20, 3)] + [(200, 50), (None, 1), (3, None)]
+    groups = spark.createDataFrame(rows, "kennel_id int, group_id int")
+    df = K.roster_scope(spark.createDataFrame([(i,) for i in (*range(0, 95, 2), 200, 2)], "kennel_id int"), groups)
+    of = lambda k: {m for m, g in rows if m is not None and g is not None and (k, g) in rows} or {k}
+    assert sorted(tuple(r) for r in df.collect()) == sorted((k, m) for k in {*range(0, 95, 2), 200} for m in of(k))
+    # members reach the join in blocks, not one by one
+    assert "collect_list(kennel_id" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_narrow_scans_are_spread(spark, tmp_path):
     from eventloom.plans.queries import QUERIES
 

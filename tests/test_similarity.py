@@ -124,6 +124,29 @@ def test_groups_with_few_texts_on_one_side_are_compared_directly(spark, monkeypa
     assert sorted(tuple(r) for r in similarity.holding_pairs(frame(left), frame(right), ["g"], 5, 0.3).select("g", "a", "b").collect()) == hold
 
 
+@pytest.mark.parametrize("hot", [1 << 22, 3])
+@pytest.mark.parametrize("least", [0.6, 0.7, 0.8, 0.87])
+def test_common_beginnings_leave_the_rest_exact(spark, monkeypatch, least, hot):
+    monkeypatch.setattr(similarity, "FEW", 0)
+    monkeypatch.setattr(similarity, "HOT", hot)
+    rng = random.Random(12)
+    rest = lambda: "".join(rng.choice("01a") for _ in range(rng.randint(0, 7)))
+    begins = [("member ", "membre "), ("member", "emberm"), ("abcdefgh", "h"), ("ab", "abab"), ("same ", "same "), ("", "xx"), ("aaa", "a01"), ("éé1", "é1")]
+    side = lambda s: [(g, b[s] + rest()) for g, b in enumerate(begins) for _ in range(22)]
+    left, right = side(0), side(1)
+    assert pairs(spark, left, right, least) == {(g, a, b) for g, a in left for h, b in right if g == h and a and b and alike(a, b, least)}
+
+
+def test_common_beginnings_bring_nothing_together(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW", 0)
+    met, plain = [], similarity._met
+    monkeypatch.setattr(similarity, "_met", lambda *a: met.append(plain(*a)) or met[-1])
+    rng = random.Random(2)
+    left, right = ([(0, f"{word} 000{i:06}") for i in rng.sample(range(1000000), 250)] for word in ("member", "membre"))
+    assert pairs(spark, left, right, 0.7) == {(0, a, b) for _, a in left for _, b in right if alike(a, b, 0.7)}
+    assert sum(df.count() for df in met) < len(left) * len(right) / 8
+
+
 @pytest.mark.parametrize("first, most", [(8, 1 << 26), (1, 1 << 26), (8, 0)])
 def test_fuzzy_window_finds_the_first_that_fits(spark, monkeypatch, first, most):
     monkeypatch.setattr(matching, "FIRST", first)

@@ -201,7 +201,8 @@ def _all_pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, group: Seque
         met = df.join(sizes, list(group)) if group else df.crossJoin(F.broadcast(sizes))  # without a group it is one row
         return met.select(*group, F.col("t").alias(name), F.explode(F.when(dealt, own).otherwise(each)).alias("_slice"))
 
-    return side(left, F.col("_left"), "x").join(side(right, ~F.col("_left"), "y"), [*group, "_slice"]).drop("_slice")
+    on = [*group, "_slice"]
+    return spread(side(left, F.col("_left"), "x"), *on).join(spread(side(right, ~F.col("_left"), "y"), *on), on).drop("_slice")
 
 
 def _split(left: DataFrame, right: DataFrame, group: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
